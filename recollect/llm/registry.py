@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sql
+from . import chat, pii, quality, sql
 from .common import documents
 
 
@@ -14,13 +14,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(documents(spark, sf_dir))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return chat.read_back(chat.expand(chat.with_probe(conversations)))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_rows(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_chat_formatting": op5_chat_formatting,
         "op8_quality_rules": op8_quality_rules,
+        "op10_pii": op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_chat_formatting": sql.chat_formatting(),
         "op8_quality_rules": sql.quality_rules(),
     }

@@ -31,3 +31,23 @@ def quality_rules() -> str:
     f AS (SELECT *, coalesce(wc, 0) AS word_chars, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {" AND ".join(passes)} AS kept FROM f
     """
+
+
+def chat_formatting() -> str:
+    """The contract's columns; formatted_chars follows from the template: every example holds all turns up to its own."""
+    return r"""
+    WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+               UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+    t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM c),
+    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS i,
+                 count(*) OVER (PARTITION BY conv_id) AS n,
+                 14 + length(r) + length(regexp_replace(r, '[^\\<#:]', '', 'g')) + length(x) + length(regexp_replace(x, '[^\\<#]', '', 'g')) AS f FROM t)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY i)) AS turns_sha256,
+           coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(x, '' ORDER BY i) FILTER (r = 'assistant'), '')) AS loss_sha256,
+           sum(f * k)::BIGINT AS formatted_chars
+    FROM (SELECT *, count(*) FILTER (r = 'assistant' OR i = n) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k FROM n)
+    GROUP BY conv_id
+    """
+
