@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, pii, quality, sql
+from . import bpe, chat, neardup, packing, pii, quality, sql
 from .common import documents
 
 
@@ -14,6 +14,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(documents(spark, sf_dir))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files live on this machine; a parameter of the operators, never copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_rows(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_rows(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return chat.read_back(chat.expand(chat.with_probe(conversations)))
@@ -25,8 +44,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe": op1_bpe,
+        "op4_packing": op4_packing,
         "op5_chat_formatting": op5_chat_formatting,
         "op8_quality_rules": op8_quality_rules,
+        "op9_near_duplicates": op9_near_duplicates,
         "op10_pii": op10_pii,
     }
 
@@ -35,4 +57,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_chat_formatting": sql.chat_formatting(),
         "op8_quality_rules": sql.quality_rules(),
+        "op9_near_duplicates": sql.near_duplicates(),
     }

@@ -51,3 +51,21 @@ def chat_formatting() -> str:
     GROUP BY conv_id
     """
 
+
+
+def near_duplicates() -> str:
+    """All pairs that share a shingle, counted exactly, then components by a recursive walk."""
+    return r"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+        list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents),
+    s AS (SELECT rid, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS g FROM d),
+    e AS (SELECT rid, len(g) AS n, unnest(g) AS g FROM s),
+    p AS (SELECT x.rid AS a, y.rid AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS i
+          FROM e x JOIN e y ON x.g = y.g AND x.rid < y.rid GROUP BY ALL),
+    l AS (SELECT a, b FROM p WHERE 100 * i >= 85 * (na + nb - i)),
+    both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    walk AS (SELECT rid AS a, rid AS b FROM s UNION SELECT w.a, x.b FROM walk w JOIN both_ways x ON w.b = x.a),
+    c AS (SELECT w.a AS rid, min(s.doc_id) AS component_id FROM walk w JOIN s ON s.rid = w.b GROUP BY 1)
+    SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM s JOIN c USING (rid)
+    """
