@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, neardup, packing, pii, quality, sql
+from . import bpe, chat, lm, neardup, packing, pii, quality, sql, topk
 from .common import documents
 
 
@@ -29,6 +29,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_rows(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
@@ -47,6 +55,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op4_packing": op4_packing,
         "op5_chat_formatting": op5_chat_formatting,
+        "op6_top_k": op6_top_k,
+        "op7_lm_scores": op7_lm_scores,
         "op8_quality_rules": op8_quality_rules,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_pii": op10_pii,
@@ -56,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_chat_formatting": sql.chat_formatting(),
+        "op6_top_k": sql.top_k(),
         "op8_quality_rules": sql.quality_rules(),
         "op9_near_duplicates": sql.near_duplicates(),
     }
