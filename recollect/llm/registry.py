@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, lm, neardup, packing, pii, quality, sql, topk
+from . import bpe, chat, licences, lm, neardup, packing, pii, quality, secretscan, sql, topk
 from .common import documents
 
 
@@ -25,6 +25,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_rows(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.secret_rows(documents(spark, sf_dir))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.license_rows(documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_rows(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
@@ -50,9 +58,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_rows(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_secrets": op2_secrets,
+        "op3_licenses": op3_licenses,
         "op4_packing": op4_packing,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_top_k": op6_top_k,
@@ -60,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_pii": op10_pii,
+        "pipeline": pipeline,
     }
 
 
