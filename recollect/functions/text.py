@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TOKEN = r"[\p{L}\p{N}]+"
 
@@ -163,7 +164,7 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({_TOKEN})"), F.lit(1))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def english_lexemes(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stems by position; null where a stop word stands."""
     known: dict[str, str | None] = {w: None for w in STOP_WORDS}

@@ -52,7 +52,7 @@ def tagged(thoughts: DataFrame, field: str, values: list[str], project: str | No
     """Live rows that carry any of the values in ``topics`` or ``people``; a project, if given, with '' for none."""
     if field not in ("topics", "people"):
         raise ValueError(f"not a tag field: {field}")
-    rows = thoughts.where(visible()).where(F.arrays_overlap(field, F.array(*[F.lit(v) for v in values])))
+    rows = thoughts.where(F.col("archived") == F.lit(False)).where(F.arrays_overlap(field, F.array(*[F.lit(v) for v in values])))
     if project is not None:
         rows = rows.where(F.coalesce("project", F.lit("")) == project)
     return rows.select("id", "topics", "people", "project")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .browse import visible
 
 
 def scoped(thoughts: DataFrame, project: str | None = None, created_by: str | None = None) -> DataFrame:
@@ -36,14 +35,14 @@ def distinct_topics(thoughts: DataFrame, project: str | None = None, limit: int
 
 def vocabulary(thoughts: DataFrame, project: str) -> DataFrame:
     """field, value, n over live rows: topics of one project ('' for none), people of all projects."""
-    live = thoughts.where(visible())
+    live = thoughts.where(F.col("archived") == F.lit(False))
     topics = live.where(F.coalesce("project", F.lit("")) == project).select(F.lit("topics").alias("field"), F.explode("topics").alias("value"))
     people = live.select(F.lit("people").alias("field"), F.explode("people").alias("value"))
     return topics.unionByName(people).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def projects(thoughts: DataFrame) -> DataFrame:
-    return thoughts.where(visible()).select(F.coalesce("project", F.lit("")).alias("project")).distinct()
+    return thoughts.where(F.col("archived") == F.lit(False)).select(F.coalesce("project", F.lit("")).alias("project")).distinct()
 
 
 def combined(thoughts: DataFrame, project: str | None = None, created_by: str | None = None) -> DataFrame:
