@@ -113,3 +113,43 @@ def vocabulary_changes(rows: DataFrame, topic_table: Mapping[str, str], person_t
         resolved(F.col("people"), person_table, None, False).alias("new_people"),
     )
     return new.where(~(F.col("topics").eqNullSafe(F.col("new_topics"))) | ~(F.col("people").eqNullSafe(F.col("new_people"))))
+
+
+def resolve_entries(rows: DataFrame, field: str, aliases: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """id, pos, original, spelt, resolved and action of every entry of a list column, by joins: tables of any size will do.
+
+    Topics are spelt normalised and matched to ``known`` (value) with or without a final s; people are trimmed.
+    ``action`` is canonicalised, normalised, new_topic or null, as a note for whoever wrote the entry.
+    """
+    topics = field == "topics"
+    entry = normalise_topic(F.col("original")) if topics else F.trim("original")
+    e = rows.select("id", F.posexplode(field).alias("pos", "original")).withColumn("spelt", entry).where("spelt <> ''")
+    table = aliases.select(F.col("variant").alias("key"), "canonical").dropDuplicates(["key"])
+    e = e.withColumn("key", F.col("spelt") if topics else F.lower("spelt")).join(table, "key", "left").withColumn("resolved", F.coalesce("canonical", "spelt"))
+    if topics and known is not None:
+        stored = known.select(normalise_topic(F.col("value")).alias("k")).distinct()
+        short = F.when(F.col("resolved").endswith("s"), F.substring(F.col("resolved"), F.lit(1), F.length("resolved") - 1))
+        for name, form in (("same", F.col("resolved")), ("short", short), ("long", F.concat("resolved", F.lit("s")))):
+            e = e.withColumn("_f", form).join(stored.select(F.col("k").alias("_f"), F.col("k").alias(name)), "_f", "left").drop("_f")
+        e = e.withColumn("resolved", F.coalesce("same", "short", "long", "resolved"))
+        e = e.withColumn("unknown", F.coalesce("same", "short", "long").isNull())
+    else:
+        e = e.withColumn("unknown", F.lit(False))
+    action = F.when(F.col("resolved") != F.col("spelt"), "canonicalised").when(F.col("unknown"), "new_topic").when(F.col("spelt") != F.col("original"), "normalised")
+    return e.select("id", "pos", "original", "spelt", "resolved", action.alias("action"))
+
+
+def resolve_lists(rows: DataFrame, field: str, aliases: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """id and the resolved list, in order and without repeats; rows without entries are left out."""
+    e = resolve_entries(rows, field, aliases, known)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "resolved")))
+    return e.groupBy("id").agg(F.array_distinct(F.transform(ordered, lambda x: x["resolved"])).alias(f"new_{field}"))
+
+
+def planned_changes(rows: DataFrame, topic_table: DataFrame, person_table: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """As ``vocabulary_changes``, with the tables joined."""
+    empty = F.array().cast("array<string>")
+    out = rows.select("id", F.coalesce("topics", empty).alias("topics"), F.coalesce("people", empty).alias("people"))
+    out = out.join(resolve_lists(rows, "topics", topic_table, known), "id", "left").join(resolve_lists(rows, "people", person_table), "id", "left")
+    out = out.withColumns({c: F.coalesce(c, empty) for c in ("new_topics", "new_people")})
+    return out.where((F.col("topics") != F.col("new_topics")) | (F.col("people") != F.col("new_people")))

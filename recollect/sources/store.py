@@ -11,13 +11,17 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import THOUGHTS
 
 
-class Store:
-    def __init__(self, spark: SparkSession, root: str, keep: int = 3):
+class VersionedTable:
+    """Snapshots v1, v2, ... of one table under a root folder; the newest ``keep`` stay."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | str, keep: int = 3):
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def _path(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -34,18 +38,28 @@ class Store:
     def read(self, version: int | None = None) -> DataFrame:
         known = self.versions()
         if not known:
-            return self.spark.createDataFrame([], THOUGHTS)
-        return self.spark.read.schema(THOUGHTS).parquet(f"{self.root}/v{known[-1] if version is None else version}")
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{known[-1] if version is None else version}")
 
     def write(self, rows: DataFrame) -> int:
         version = max(self.versions(), default=0) + 1
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in THOUGHTS]
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
         rows.select(*columns).write.mode("overwrite").parquet(f"{self.root}/v{version}")
         for old in self.versions()[: -self.keep]:
             fs, p = self._path(f"{self.root}/v{old}")
             fs.delete(p, True)
         return version
 
+    def append(self, rows: DataFrame) -> int:
+        return self.write(self.read().unionByName(rows, allowMissingColumns=True))
+
+
+class Store(VersionedTable):
+    """The memory table."""
+
+    def __init__(self, spark: SparkSession, root: str, keep: int = 3):
+        super().__init__(spark, root, THOUGHTS, keep)
+
     def insert(self, rows: DataFrame, as_of: datetime) -> int:
         """Append; missing columns are null, and both times are ``as_of`` unless given."""
         for f in THOUGHTS:
@@ -58,6 +72,15 @@ class Store:
         values = values | {"updated_at": F.lit(as_of)}
         return self.read().withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
 
+    def replace(self, id: str, content: str, embedding: list[float] | None, metadata: dict, as_of: datetime) -> int:
+        """Update by id: content, vector and all metadata columns; those not given become null."""
+        columns = ("type", "topics", "people", "source", "origin", "source_file_hash", "code_hash")
+        kinds = {f.name: f.dataType for f in self.schema}
+        value = lambda v: F.array(*[F.lit(x) for x in v]) if isinstance(v, (list, tuple)) else F.lit(v)
+        values = {c: value(metadata.get(c)).cast(kinds[c]) for c in columns}
+        values |= {"content": F.lit(content), "embedding": value(embedding).cast(kinds["embedding"])}
+        return self.update(id, values, as_of)
+
     def update(self, id: str, values: dict[str, Column], as_of: datetime) -> int:
         """Replace columns of one row; an unknown id raises."""
         if self.read().where(F.col("id") == id).isEmpty():

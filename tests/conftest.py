@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 def spark():
     from recollect.session import session
 
-    s = session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="4g")
+    s = session("tests", f"local[{os.environ.get('TEST_CPUS', 4)}]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="4g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
