@@ -8,8 +8,8 @@ probability at most 2 * (1 - s ** DEPTH) ** SIDE, about 2e-5 at 0.85 and under 1
 Within a table key no list of all pairs is made. First every member is compared with one hub, the member
 that meets most others over all its tables; the links found join into components, which settles groups of
 near copies in one comparison per member. Only members of one key that are still apart are then compared
-with each other, in cells of bounded size, first on their minhashes; what passes is confirmed on full sets.
-The minhash test keeps a pair with at least AGREE of all minhashes equal; a pair at 0.85 fails it with
+with each other, in cells of bounded size, first on their minhashes and then on their sets; a cell yields only
+the links that join components, and these are confirmed once more on full 64-bit sets. The minhash test keeps a pair with at least AGREE of all minhashes equal; a pair at 0.85 fails it with
 probability under 1e-6.
 
 Texts are read whole, lower-cased in A-Z and split at white space. Null or empty texts, and texts of white
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, arrow_schema, materialise
-from .graph import components
+from ..operators.components import components
 
 MEMO_LIMIT = 2_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -44,7 +44,8 @@ class Params:
     percent: int = 85  # link when 100 * intersection >= percent * union
     side: int = 9
     depth: int = 2
-    cell: int = 2048  # members of one key that are compared in one task
+    cell: int = 2048  # members of a block; two blocks are compared in one task
+    cell_shingles: int = 4_000_000  # shingles of a block
 
     @property
     def hashes(self) -> int:
@@ -138,25 +139,30 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
 
 
-def _sets(docs: DataFrame, signed: DataFrame, needed: DataFrame, p: Params) -> DataFrame:
-    """class and full set, for the classes in ``needed`` (class, rep) only; texts are read again."""
+def _sets(docs: DataFrame, needed: DataFrame, p: Params) -> DataFrame:
+    """class, full set and its low 32 bits packed, for the classes in ``needed`` (class, rep) only; texts are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, p.shingle) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], out.field(1).type)],
+                [
+                    pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([s.view(np.int64) for s in sets], out.field(1).type),
+                    pa.array([s.astype("<u4").tobytes() for s in sets], pa.binary()),
+                ],
                 schema=out,
             )
 
-    out = arrow_schema(docs.sparkSession, "class long, shingles array<long>")
+    ddl = "class long, shingles array<long>, packed binary"
+    out = arrow_schema(docs.sparkSession, ddl)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     wanted = texts.join(needed.select("rep").distinct(), texts["rep"].eqNullSafe(needed["rep"]), "left_semi").select("text")
-    made = wanted.mapInArrow(run, "class long, shingles array<long>")
+    made = wanted.mapInArrow(run, ddl)
     return made.join(needed.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, signed: DataFrame, p: Params) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) of classes whose full sets reach the threshold."""
     sizes = classes.select("class", "n_shingles")
     near = (
@@ -166,8 +172,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, signed: Da
     )
     near = materialise(near, "pairs")
     ends = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = _sets(docs, signed, classes.join(ends, "class", "left_semi").select("class", "rep"), p)
-    sets = materialise(sets, "sets")
+    sets = _sets(docs, classes.join(ends, "class", "left_semi").select("class", "rep"), p)
+    sets = materialise(sets.select("class", "shingles"), "sets")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return (
         near.join(sets.withColumnsRenamed({"class": "b", "shingles": "sb"}), "b")
@@ -178,41 +184,67 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, signed: Da
     )
 
 
-def _apart(members: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """Pairs of members of one key in different components that agree on enough minhashes.
-
-    ``members``: key, class, hub, root. Keys with up to ``cell`` members make one cell; larger ones are split
-    into blocks, and every pair of blocks makes a cell, so a task never holds more than two blocks.
+def _joined(t: pa.Table, p: Params) -> pa.Table:
+    """Links between the components of one cell: a spanning forest of its pairs at or over the threshold."""
+    ids, root, n, part = (t[c].to_numpy().copy() for c in ("class", "root", "n_shingles", "part"))
+    low = np.frombuffer(b"".join(t["low"].to_pylist()), "<u2").reshape(len(t), p.hashes)
+    sets = [np.frombuffer(x, "<u4") for x in t["packed"].to_pylist()]
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([len(x) for x in sets])
+    marked = np.zeros(int(token.max()) + 1, bool)
+    found_a, found_b = [], []
+    for i in range(len(ids) - 1):
+        rest = slice(i + 1, None)
+        fit = (root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= p.percent * np.maximum(n[rest], n[i]))
+        fit &= (part[rest] == 0) & (part[i] == 0) | (part[rest] + part[i] == 3)
+        at = np.flatnonzero(fit) + i + 1
+        if not len(at):
+            continue
+        agree = (low[at] == low[i]).sum(axis=1)
+        at = at[agree >= p.agree][np.argsort(-agree[agree >= p.agree], kind="stable")]
+        own = token[ends[i] - len(sets[i]) : ends[i]]
+        marked[own] = True
+        while len(at):
+            some, at = at[:64], at[64:]
+            pieces = [token[ends[j] - len(sets[j]) : ends[j]] for j in some]
+            starts = np.cumsum([0, *(len(x) for x in pieces[:-1])])
+            common = np.add.reduceat(marked[np.concatenate(pieces)].astype(np.int64), starts)
+            for j in some[100 * common >= p.percent * (n[some] + n[i] - common)].tolist():
+                if root[j] != root[i]:
+                    found_a.append(ids[i])
+                    found_b.append(ids[j])
+                    root[root == root[j]] = root[i]
+            at = at[root[at] != root[i]]
+        marked[own] = False
+    a, b = np.array(found_a, np.int64), np.array(found_b, np.int64)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _apart(rooted: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """Links that join components which still meet in a table key.
+
+    ``rooted``: key, class, root. Whoever meets another component in any key is compared, on full sets, within
+    the cells of the first side's sub-keys (a pair that shares a table shares one of them). A cell yields a
+    spanning forest, never its pairs. A cell of too many members or shingles is split into blocks, and every
+    pair of blocks makes a cell, so a task never holds more than two blocks.
     """
-    mixed = members.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).where("r1 <> r2").select("key", "n")
-    rows = members.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / F.lit(p.cell)).cast("int"))
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
-        F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)).alias("part"),
-        "class", "hub", "root",
-    ).join(classes.select("class", "n_shingles", "low"), "class")
-
-    def compare(t: pa.Table) -> pa.Table:
-        ids, hub, root = (t[c].to_numpy() for c in ("class", "hub", "root"))
-        n, part = t["n_shingles"].to_numpy(), t["part"].to_numpy()
-        low = np.frombuffer(b"".join(t["low"].to_pylist()), "<u2").reshape(len(t), p.hashes)
-        found_a, found_b = [], []
-        for i in range(len(t) - 1):
-            rest = slice(i + 1, None)
-            fit = (root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= p.percent * np.maximum(n[rest], n[i]))
-            fit &= (ids[rest] != hub[i]) & (ids[i] != hub[i]) & ((part[rest] == 0) & (part[i] == 0) | (part[rest] + part[i] == 3))
-            at = np.flatnonzero(fit) + i + 1
-            if len(at):
-                at = at[(low[at] == low[i]).sum(axis=1) >= p.agree]
-                found_a.append(np.full(len(at), ids[i]))
-                found_b.append(ids[at])
-        a = np.concatenate(found_a) if found_a else np.empty(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.empty(0, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return rows.groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
+    open_classes = materialise(rooted.join(mixed, "key").groupBy("class").agg(F.min("root").alias("root")), "open")
+    about = classes.join(open_classes, "class")
+    cells = about.select(
+        "class", "root", "n_shingles", F.explode(F.transform(F.sequence(F.lit(0), F.lit(p.side - 1)), lambda i: F.xxhash64(F.get("sub", i), i))).alias("key")
+    )
+    sizes = cells.groupBy("key").agg(
+        F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")
+    ).where("r1 <> r2")
+    blocks = F.greatest(F.ceil(F.col("members") / F.lit(p.cell)), F.ceil(F.col("shingles") / F.lit(p.cell_shingles))).cast("int")
+    rows = cells.join(sizes.select("key", blocks.alias("blocks")), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.when((F.col("blocks") == 1) | (F.col("block") == F.col("other")), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    rows = rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), part.cast("long").alias("part"), "class", "root", "n_shingles")
+    sets = _sets(docs, about.select("class", "rep"), p).select("class", "packed")
+    whole = rows.join(about.select("class", "low").join(sets, "class"), "class")
+    return whole.groupBy("cell").applyInArrow(lambda t: _joined(t, p), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
@@ -237,12 +269,12 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     hubs = members.join(met, "class").groupBy("key").agg(F.max(F.struct("met", "class"))["class"].alias("hub"))
     starred = materialise(members.join(hubs, "key").select("key", "class", "hub"), "starred")
     star = starred.where("class <> hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
-    links = materialise(_confirmed(star, classes, docs, signed, p), "links")
+    links = materialise(_confirmed(star, classes, docs, p), "links")
 
     roots = components(links).withColumnRenamed("node", "class")
     rooted = starred.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rest = materialise(_apart(rooted, classes, p), "apart")
-    more = _confirmed(rest, classes, docs, signed, p)
+    rest = materialise(_apart(rooted, classes, docs, p), "apart")
+    more = _confirmed(rest, classes, docs, p)
     roots = components(links.unionByName(more)).withColumnRenamed("node", "class")
 
     whole = classes.select("class", "rep").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
