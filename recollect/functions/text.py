@@ -242,17 +242,23 @@ def _cover(size: int, needed: int):
     return step
 
 
+def with_lexemes(rows: DataFrame) -> DataFrame:
+    """Rows with ``lexemes`` and ``english_lexemes`` from ``content``: store them once and searches need not make them."""
+    return rows.withColumn("lexemes", tokens(F.col("content"))).withColumn("english_lexemes", english_lexemes("lexemes"))
+
+
 def ranked(rows: DataFrame, query: Query, with_english: bool = True) -> DataFrame:
     """The matching rows with ``text_rank``: cover density of the simple leg plus that of the English leg."""
-    legs = [("_simple", query)]
-    rows = rows.withColumn("_simple", tokens(F.col("content")))
+    if "lexemes" not in rows.columns:
+        rows = rows.withColumn("lexemes", tokens(F.col("content")))
+    legs = [("lexemes", query)]
     if with_english:
-        stemmed = english(query)
-        rows = rows.withColumn("_english", english_lexemes("_simple"))
-        legs.append(("_english", stemmed))
+        if "english_lexemes" not in rows.columns:
+            rows = rows.withColumn("english_lexemes", english_lexemes("lexemes"))
+        legs.append(("english_lexemes", english(query)))
     hit, rank = F.lit(False), F.lit(0.0)
     for column, q in legs:
         found = matches(F.col(column), q)
         hit = hit | found
         rank = rank + F.when(found, cover_density(F.col(column), q)).otherwise(F.lit(0.0))
-    return rows.where(hit).withColumn("text_rank", rank).drop(*[c for c, _ in legs])
+    return rows.where(hit).withColumn("text_rank", rank)

@@ -1,9 +1,9 @@
 """Nearest neighbours of many rows at once, and the edges of the similarity graph.
 
-A stated, bounded set of rows (the candidates of a run, a batch of captures) is compared with all rows in blocks:
-the set is packed into rows of a few hundred vectors, every block meets every packed part of the corpus once, and a
-matrix product keeps each block's best k. Parts of the corpus are packed where they lie; what is shuffled is the
-set, once per part group, and k rows per vector and part.
+A stated set of rows (the candidates of a run, a batch of captures) is compared with all rows in blocks: the set is
+packed into rows of a few hundred vectors, every block meets every packed part of the corpus once, and a matrix
+product keeps each block's best k. Parts of the corpus are packed where they lie. A set of up to SMALL rows, which is
+counted first, is broadcast, so the corpus is not shuffled; a larger one meets the parts lane by lane in a shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, PART = 512, 8192
+BLOCK, PART, SMALL = 512, 8192, 8192
 _PACKED = "names array<string>, scope array<string>, width int, vectors binary"
 
 
@@ -48,7 +48,7 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("id", "scope", "embedding").mapInArrow(run, _PACKED)
 
 
-def nearest(asked: DataFrame, corpus: DataFrame, k: int, threshold: float, per_project: bool = False, lanes: int = 8) -> DataFrame:
+def nearest(asked: DataFrame, corpus: DataFrame, k: int, threshold: float, per_project: bool = False, small: int = SMALL) -> DataFrame:
     """a, b, similarity: for every asked row its ``k`` most similar corpus rows at or over ``threshold``.
 
     Both sides: id, project, embedding. Ties go to the smaller id, and a row finds itself. With ``per_project`` an asked
@@ -56,9 +56,14 @@ def nearest(asked: DataFrame, corpus: DataFrame, k: int, threshold: float, per_p
     """
     scope = F.col("project") if per_project else F.lit(None).cast("string")
     ready = lambda df, s: df.where(F.col("embedding").isNotNull()).select("id", s.alias("scope"), "embedding")
-    parts = _pack(ready(corpus, F.col("project")), PART).withColumn("lane", F.pmod(F.xxhash64("names"), F.lit(lanes)).cast("int"))
+    parts = _pack(ready(corpus, F.col("project")), PART)
     blocks = _pack(ready(asked, scope), BLOCK).select(F.col("names").alias("q_names"), F.col("scope").alias("q_scope"), F.col("width").alias("q_width"), F.col("vectors").alias("q_vectors"))
-    pairs = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).join(parts, "lane").drop("lane")
+    if asked.limit(small + 1).count() <= small:
+        pairs = parts.join(F.broadcast(blocks), F.lit(True))
+    else:
+        lanes = max(8, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        parts = parts.withColumn("lane", F.pmod(F.xxhash64("names"), F.lit(lanes)).cast("int"))
+        pairs = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).join(parts, "lane").drop("lane")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -54,7 +54,8 @@ def semantic(thoughts: DataFrame, query: Sequence[float], k: int = 10, threshold
 def textual(thoughts: DataFrame, query: str, k: int = 50, scope: Scope | None = None, english: bool = True) -> DataFrame:
     """id, text_rank and created_at of the k best text matches, by rank and id. An empty query matches nothing."""
     parsed = fts.parse(query)
-    matched = thoughts.where((scope or Scope()).condition()).select("id", "created_at", "content")
+    stored = [c for c in ("lexemes", "english_lexemes") if c in thoughts.columns]
+    matched = thoughts.where((scope or Scope()).condition()).select("id", "created_at", "content", *stored)
     return (
         fts.ranked(matched, parsed, english)
         .select("id", "text_rank", "created_at")

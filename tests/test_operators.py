@@ -140,6 +140,8 @@ def test_text_search(spark):
     assert hits('"gold price" -silver') == ["4", "1"]
     assert hits("5340199 or silver") == ["2", "3"]
     assert hits("") == [] and hits("-gold") == ["3", "5"]
+    kept = text.with_lexemes(rows)
+    assert [r.id for r in search.textual(kept, "gold price").collect()] == ["4", "1", "2"]
     ranks = {r.id: r.text_rank for r in search.textual(rows, "gold price", english=False).collect()}
     assert ranks["2"] == pytest.approx(0.1 / 3) and ranks["4"] == pytest.approx(0.3)
 
@@ -177,6 +179,9 @@ def test_neighbours_count_the_row_itself(spark):
     rows = memories(spark, *({"id": str(i), "embedding": [1.0, i / 100]} for i in range(9)), {"id": "x", "embedding": [1.0, 0.0], "archived": None}, {"id": "y", "embedding": [1.0, 0.0], "project": "other"})
     e = neighbours.edges(rows.where("id = '4'"), rows, 0.8, 6).collect()
     assert len(e) == 5 and all(r.a == "4" and r.b not in ("4", "x", "y") for r in e)
+    many = neighbours.nearest(rows.where("id < '3'"), rows, 3, 0.8, small=1)
+    few = neighbours.nearest(rows.where("id < '3'"), rows, 3, 0.8)
+    assert many.count() == 9 and sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
     free = memories(spark, {"id": "q", "embedding": [1.0, 0.0], "project": None})
     assert {r.b for r in neighbours.edges(free, rows, 0.8, 20).collect()} == {*map(str, range(9)), "y"}
 
