@@ -14,7 +14,7 @@ T0 = datetime(2026, 8, 1, 10)
 
 def memories(spark, *rows):
     base = dict(content="Gold broke out above 3400", embedding=None, type=None, topics=None, people=None, source=None, origin=None, source_file_hash=None,
-                code_hash=None, project="markets", created_by="ahuvi", archived=False, supersedes=None, created_at=T0, updated_at=T0 + timedelta(days=9))
+                code_hash=None, project="markets", created_by="someone", archived=False, supersedes=None, created_at=T0, updated_at=T0 + timedelta(days=9))
     full = [base | r for r in rows]
     return spark.createDataFrame([tuple(r[f.name] for f in THOUGHTS) for r in full], THOUGHTS)
 
