@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_AZ, arrow_schema, materialise, shuffle_partitions
 from .eliasfano import BigramTrie
 
-MEMO_LIMIT = 2_000_000
+MEMO_LIMIT = 250_000
 HOT_SHARE = 2000
 #: Fixed stand-ins for the end of a text and for the place before its first word; words never hold a blank.
 END = xxhash.xxh3_64_intdigest(b" end")
@@ -49,8 +49,8 @@ _LOW48 = np.uint64((1 << 48) - 1)
 class Params:
     mu: float = 200.0
     add: float = 0.1
-    tokens_per_shard: int = 3_000_000
-    tokens_per_batch: int = 1_500_000  # a map task holds one such batch at a time
+    tokens_per_shard: int = 1_300_000
+    tokens_per_batch: int = 1_000_000  # a map task holds one such batch at a time
 
 
 class _WordIds(dict):
@@ -109,13 +109,15 @@ def shard_of(word: np.ndarray, context: np.ndarray, hot: np.ndarray, shards: int
     return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-BLOB = "shard long, row_key long, rows long, doc_ids array<long>, doc_at array<int>, doc_tokens array<int>, train binary, words binary, fan binary, contexts binary, times binary, places binary"
+BLOB = "shard long, batch long, doc_ids array<long>, doc_at array<int>, doc_tokens array<int>, words binary, fan binary, contexts binary, times binary, places binary"
+#: The top bit of a place says that its row is one of training.
+_TRAIN = np.uint32(1 << 31)
 
 
 def _blobs(docs: DataFrame, hot: np.ndarray, shards: int, p: Params) -> DataFrame:
-    """Per batch and shard: the distinct words, their contexts, and the rows of every occurrence.
+    """Per batch and shard: the distinct words, their contexts, and the places (rows of the batch) of every occurrence.
 
-    The ids and lengths of a row ride with one of the shards; ``row_key`` numbers the rows of a task.
+    The ids and lengths of a row ride with one of the shards.
     """
     fields = arrow_schema(docs.sparkSession, BLOB)
 
@@ -131,8 +133,8 @@ def _blobs(docs: DataFrame, hot: np.ndarray, shards: int, p: Params) -> DataFram
         shard = shard_of(word, context, hot, shards)
         order = np.argsort(shard.astype(np.uint16) if shards <= 65536 else shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(shards + 1))
-        train = np.packbits([not held_out(i) for i in ids]).tobytes()
-        carrier = np.arange(first, first + len(ids)) % shards
+        row |= np.repeat(np.where([held_out(i) for i in ids], np.uint32(0), _TRAIN), lengths)
+        carrier = (first + np.arange(len(ids))) % shards
         out = []
         present = np.union1d(np.flatnonzero(np.diff(edges)), np.unique(carrier))
         for s in present.tolist():
@@ -147,7 +149,7 @@ def _blobs(docs: DataFrame, hot: np.ndarray, shards: int, p: Params) -> DataFram
             firsts = np.flatnonzero(new_word[heads])
             own = np.flatnonzero(carrier == s)
             out.append((
-                s, first, len(ids), [ids[k] for k in own], own, lengths[own], train, w[heads[firsts]].tobytes(),
+                s, first, [ids[k] for k in own], own, lengths[own], w[heads[firsts]].tobytes(),
                 np.diff(firsts, append=len(heads)).astype("<u4").tobytes(),
                 v[heads].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
                 np.diff(heads, append=len(at)).astype("<u4").tobytes(), r.astype("<u4").tobytes(),
@@ -173,16 +175,15 @@ def _blobs(docs: DataFrame, hot: np.ndarray, shards: int, p: Params) -> DataFram
 
 
 class _Shard:
-    """The questions of one shard, unpacked: entries (word, context) with training counts, and occurrences."""
+    """The questions of one shard, unpacked: distinct bigrams with training counts, and every occurrence's row.
+
+    A row is its blob's number above its place in the batch; only rows that occur are held.
+    """
 
     def __init__(self, t: pa.Table):
-        words, contexts, counts, times, rows, trains, self.keys = [], [], [], [], [], [], []
-        base = 0
+        words, contexts, counts, times, rows = [], [], [], [], []
         for k in range(len(t)):
             get = lambda c, kind: np.frombuffer(t[c][k].as_buffer(), kind)  # noqa: B023, E731
-            n = t["rows"][k].as_py()
-            self.keys.append(t["row_key"][k].as_py() + np.arange(n))
-            train = np.unpackbits(get("train", np.uint8))[:n].astype(np.int64)
             fan, six = get("fan", "<u4"), get("contexts", np.uint8).reshape(-1, 6)
             wide = np.zeros((len(six), 8), np.uint8)
             wide[:, :6] = six
@@ -190,25 +191,21 @@ class _Shard:
             words.append(np.repeat(get("words", np.uint64), fan))
             contexts.append(wide.view(np.uint64).ravel())
             times.append(time)
-            rows.append(place.astype(np.int64) + base)
+            rows.append((place & ~_TRAIN).astype(np.int64) | k << 32)
             heads = np.concatenate([[0], np.cumsum(time)[:-1]]).astype(np.int64) if len(time) else np.empty(0, np.int64)
-            counts.append(np.add.reduceat(train[place], heads) if len(time) else np.empty(0, np.int64))
-            base += n
-        self.size = base
-        self.keys = np.concatenate(self.keys)
-        self.rows = np.concatenate(rows)
-        self.times = np.concatenate(times)
+            counts.append(np.add.reduceat((place >> np.uint32(31)).astype(np.int64), heads) if len(time) else np.empty(0, np.int64))
+        self.rows, self.times = np.concatenate(rows), np.concatenate(times)
         word, context, count = np.concatenate(words), np.concatenate(contexts), np.concatenate(counts)
+        del words, contexts, counts, times, rows
         order = np.lexsort((context, word))
         w, v = word[order], context[order]
         new = np.ones(len(order), bool)
         new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
-        number = np.cumsum(new) - 1
         heads = np.flatnonzero(new)
         self.word, self.context = w[heads], v[heads]
         self.count = np.add.reduceat(count[order], heads) if len(heads) else np.empty(0, np.int64)
         self.entry = np.empty(len(order), np.int64)  # the distinct bigram of every entry
-        self.entry[order] = number
+        self.entry[order] = np.cumsum(new) - 1
 
 
 def _trie(q: _Shard, hot: np.ndarray, hot_counts: np.ndarray, total: float, p: Params) -> bytes:
@@ -225,6 +222,23 @@ def _trie(q: _Shard, hot: np.ndarray, hot_counts: np.ndarray, total: float, p: P
     return BigramTrie.build(words, counts, of_word, context, gains).to_bytes()
 
 
+def _gathered(t: pa.Table) -> pa.Table:
+    """The rows of one batch: sums over its shards. Its tokens bound what it holds."""
+    flat = lambda c: np.concatenate([np.asarray(x.as_py() if x.is_valid else [], np.int64) for x in t[c]])
+    at, length = flat("doc_at"), flat("doc_tokens")
+    ids = [i for x in t["doc_ids"] for i in x.as_py()]
+    order = np.argsort(at)
+    joined = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
+    place = joined("places", "<u4")
+    sums = [np.bincount(place, joined(c, kind), len(at)) for c, kind in (("known", "<u4"), ("base", "<f8"), ("score", "<f8"))]
+    return pa.table(
+        {
+            "doc_id": pa.array([ids[k] for k in order], pa.int64()), "n_tokens": pa.array(length[order]), "n_known": pa.array(sums[0].astype(np.int64)),
+            "base_score": pa.array(sums[1]), "score": pa.array(sums[2]),
+        }
+    )
+
+
 def score(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
     p = params or Params()
@@ -255,36 +269,22 @@ def score(docs: DataFrame, params: Params | None = None) -> DataFrame:
         part = alone + np.log10(p.mu / (as_context + p.mu))
         value = part[of_word] + trie.gain(number[of_word], q.context)
         token = np.repeat(q.entry, q.times)
-        rows = q.rows
+        hit, at = np.unique(q.rows, return_inverse=True)
         sums = [
-            np.bincount(rows, (seen > 0)[of_word][token], q.size),
-            np.bincount(rows, alone[of_word][token], q.size),
-            np.bincount(rows, value[token], q.size),
+            np.bincount(at, (seen > 0)[of_word][token], len(hit)).astype("<u4"),
+            np.bincount(at, alone[of_word][token], len(hit)),
+            np.bincount(at, value[token], len(hit)),
         ]
-        hit = np.flatnonzero(np.bincount(rows, minlength=q.size))
-        none = pa.nulls(len(hit), pa.int64())
-        partial = pa.Table.from_arrays(
-            [pa.array(q.keys[hit]), none, none, pa.array(sums[0][hit].astype(np.int64)), pa.array(sums[1][hit]), pa.array(sums[2][hit])], schema=out
-        )
-        key, ids, length = [], [], []
-        for k in range(len(t)):
-            key += [t["row_key"][k].as_py() + a for a in t["doc_at"][k].as_py()]
-            ids += t["doc_ids"][k].as_py()
-            length += t["doc_tokens"][k].as_py()
-        m = len(key)
-        info = pa.Table.from_arrays(
-            [pa.array(key, pa.int64()), pa.array(ids, pa.int64()), pa.array(length, pa.int64()), pa.array([0] * m, pa.int64()), pa.array([0.0] * m, pa.float64()), pa.array([0.0] * m, pa.float64())],
-            schema=out,
-        )
-        return pa.concat_tables([partial, info])
-
-    ddl = "row_key long, doc_id long, n_tokens long, n_known long, base double, score double"
-    out = arrow_schema(spark, ddl)
-    parts = _blobs(docs, hot, shards, p).groupBy("shard").applyInArrow(judge, ddl)
-    whole = parts.groupBy("row_key").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.sum("base").alias("base_score"), F.sum("score").alias("score"),
-    )
+        edges = np.searchsorted(hit, np.arange(len(t) + 1) << 32)
+        place = (hit & 0xFFFFFFFF).astype("<u4")
+        cut = lambda x: [x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+        columns = [t["batch"], t["doc_ids"], t["doc_at"], t["doc_tokens"], *[pa.array(cut(x), pa.binary()) for x in (place, *sums)]]
+        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=part_fields)
+
+    part_ddl = "batch long, doc_ids array<long>, doc_at array<int>, doc_tokens array<int>, places binary, known binary, base binary, score binary"
+    part_fields = arrow_schema(spark, part_ddl)
+    parts = _blobs(docs, hot, shards, p).groupBy("shard").applyInArrow(judge, part_ddl)
+    whole = parts.groupBy("batch").applyInArrow(_gathered, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     out_of_training = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
     return whole.select(
         "doc_id", out_of_training.alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score"
