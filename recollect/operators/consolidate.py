@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import contents_joined, origin_of, project_key
+from ..plans.storage import materialise
 from .components import components
 
 Judge = Callable[[DataFrame], DataFrame]
@@ -62,16 +64,12 @@ def can_merge(members: DataFrame) -> DataFrame:
     )
 
 
-def member_pairs(members: DataFrame) -> DataFrame:
-    """cluster, position, a, b: the pairs of a cluster in order of its members, for a judge that stops early.
-
-    Clusters come from at most 500 candidates and their neighbours, so they are small.
-    """
-    place = F.row_number().over(Window.partitionBy("cluster").orderBy("created_at", "id"))
-    numbered = members.withColumn("n", place).select("cluster", "id", "n", "content")
-    left = numbered.select("cluster", F.col("id").alias("a"), F.col("n").alias("i"), F.col("content").alias("content_a"))
-    right = numbered.select("cluster", F.col("id").alias("b"), F.col("n").alias("j"), F.col("content").alias("content_b"))
-    return left.join(right, "cluster").where("i < j").withColumn("position", F.struct("i", "j")).drop("i", "j")
+def member_pairs(left: DataFrame, members: DataFrame) -> DataFrame:
+    """cluster, position, a, b: every pair of a row of ``left`` with a later member of its cluster; age, then id, is the order."""
+    age = F.struct("created_at", "id")
+    first = left.select("cluster", F.col("id").alias("a"), age.alias("i"), F.col("content").alias("content_a"))
+    later = members.select("cluster", F.col("id").alias("b"), age.alias("j"), F.col("content").alias("content_b"))
+    return first.join(later, "cluster").where("i < j").withColumn("position", F.struct("i", "j")).drop("i", "j")
 
 
 def _decision(a: Column, b: Column) -> Column:
@@ -87,11 +85,28 @@ def _decision(a: Column, b: Column) -> Column:
 
 
 def screened(members: DataFrame, judge: Judge) -> DataFrame:
-    """Per cluster the first decision in pair order: outcome is mergeable, contradiction, or why it is blocked."""
-    judged = judge(member_pairs(members)).withColumn("outcome", _decision(F.col("a"), F.col("b")))
-    first = judged.where("outcome IS NOT NULL").groupBy("cluster").agg(F.min_by(F.struct("outcome", "a", "b", "verdict", "reason", "obsolete_id"), "position").alias("x"))
-    every = members.select("cluster").distinct()
-    return every.join(first, "cluster", "left").select("cluster", F.coalesce("x.outcome", F.lit("mergeable")).alias("outcome"), "x.a", "x.b", "x.verdict", "x.reason", "x.obsolete_id")
+    """Per cluster the first decision in pair order: outcome is mergeable, contradiction, or why it is blocked.
+
+    Members are walked in rounds, the oldest first: 1, then 2, 4 and so on of every cluster still undecided meet all
+    later members. A decided cluster is left alone, so only one whose pairs are all independent has all of them judged.
+    """
+    rows = materialise(members.select("cluster", "id", "created_at", "content"), "screening")
+    oldest, width, found = Window.partitionBy("cluster").orderBy("created_at", "id"), 1, []
+    rest = rows
+    while True:
+        taken = rest.withColumn("n", F.row_number().over(oldest)).where(F.col("n") <= width).drop("n")
+        taken = materialise(taken, "screening-left")
+        if taken.isEmpty():
+            break
+        judged = judge(member_pairs(taken, rest)).withColumn("outcome", _decision(F.col("a"), F.col("b")))
+        first = judged.where("outcome IS NOT NULL").groupBy("cluster").agg(F.min_by(F.struct("outcome", "a", "b", "verdict", "reason", "obsolete_id"), "position").alias("x"))
+        found.append(materialise(first, "screening-found"))
+        walked = taken.groupBy("cluster").agg(F.max(F.struct("created_at", "id")).alias("walked")).join(found[-1].select("cluster"), "cluster", "left_anti")
+        rest = rows.join(materialise(walked, "screening-walked"), "cluster").where(F.struct("created_at", "id") > F.col("walked")).drop("walked")
+        width *= 2
+    every = rows.select("cluster").distinct()
+    decided = reduce(DataFrame.unionByName, found) if found else every.select("cluster", F.lit(None).cast("struct<outcome:string,a:string,b:string,verdict:string,reason:string,obsolete_id:string>").alias("x")).limit(0)
+    return every.join(decided, "cluster", "left").select("cluster", F.coalesce("x.outcome", F.lit("mergeable")).alias("outcome"), "x.a", "x.b", "x.verdict", "x.reason", "x.obsolete_id")
 
 
 def _first_present(value: Column) -> Column:

@@ -378,7 +378,7 @@ def _judge(pairs: DataFrame) -> DataFrame:
 
 
 def _screen_members(t: DataFrame) -> DataFrame:
-    return t.where("source_file_hash IS NOT NULL AND CAST(id AS INT) < 200").withColumn("cluster", F.col("source_file_hash"))
+    return t.where("source_file_hash IS NOT NULL").withColumn("cluster", F.col("source_file_hash"))
 
 
 _SCREEN_SQL = """(WITH m AS (SELECT source_file_hash AS cluster, id, content, row_number() OVER (PARTITION BY source_file_hash ORDER BY created_at, id) AS n FROM t WHERE source_file_hash IS NOT NULL AND id::INT < 200),
