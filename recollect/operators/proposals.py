@@ -1,7 +1,8 @@
 """Proposals: keys, consistency, review and application.
 
 Items are a table: pos (from 0), kind (contradiction or synthesis), a, b, verdict, reason, obsolete_id, content,
-sources. A proposal holds the items of one run over at most 500 candidates, so an ordered fold over it fits a row.
+sources. A proposal holds the items of one run over at most 500 candidates, so an ordered fold over it fits a row;
+a table of several runs names the column that tells them apart.
 """
 
 from __future__ import annotations
@@ -12,13 +13,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LONG_CHARS, LONG_RATIO = 2000, 2
+#: Positions numbered in one task.
+STRETCH = 4096
 TTL = timedelta(hours=72)
 
 
 def keyed(items: DataFrame) -> DataFrame:
-    """Items with ``key``: kind and number within the kind, from 1."""
-    n = F.row_number().over(Window.partitionBy("kind").orderBy("pos"))
-    return items.withColumn("key", F.concat_ws(":", "kind", n.cast("string")))
+    """Items with ``key``: kind and number within the kind, from 1. Stretches of positions are numbered apart, then counted on."""
+    rows = items.withColumn("stretch", F.floor(F.col("pos") / STRETCH))
+    held = rows.groupBy("kind", "stretch").agg(F.count(F.lit(1)).alias("held"))
+    earlier = F.sum("held").over(Window.partitionBy("kind").orderBy("stretch")) - F.col("held")
+    starts = held.select(F.col("kind").alias("k"), F.col("stretch").alias("s"), earlier.alias("earlier"))
+    n = F.row_number().over(Window.partitionBy("kind", "stretch").orderBy("pos")) + F.col("earlier")
+    own = rows["kind"].eqNullSafe(starts["k"]) & rows["stretch"].eqNullSafe(starts["s"])
+    return rows.join(starts, own).withColumn("key", F.concat_ws(":", "kind", n.cast("string"))).drop("stretch", "k", "s", "earlier")
 
 
 def _ids() -> Column:
@@ -29,12 +37,16 @@ def _kills() -> Column:
     return F.when(F.col("kind") == "contradiction", F.array("obsolete_id")).otherwise(F.array().cast("array<string>"))
 
 
-def consistent(items: DataFrame) -> DataFrame:
-    """Items with ``kept``: in order, one that would archive a row needed or already archived by a kept one goes."""
+def consistent(items: DataFrame, run: str | None = None) -> DataFrame:
+    """Items with ``kept``: in order, one that would archive a row needed or already archived by a kept one goes.
+
+    With ``run``, a column, the items of each run are folded on their own.
+    """
+    by = [run] if run else []
     needs = F.when(F.col("kind") == "contradiction", F.array_except(F.array("a", "b"), F.array("obsolete_id"))).otherwise(F.col("sources"))
-    rows = F.array_sort(F.collect_list(F.struct("pos", _kills().alias("kills"), needs.alias("needs"))))
+    rows = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), _kills().alias("kills"), needs.alias("needs"))))
     empty = F.array().cast("array<string>")
-    blank = F.struct(empty.alias("doomed"), empty.alias("needed"), F.array().cast("array<int>").alias("kept"))
+    blank = F.struct(empty.alias("doomed"), empty.alias("needed"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(acc, x):
         clash = F.arrays_overlap(x["kills"], acc["needed"]) | F.arrays_overlap(x["kills"], acc["doomed"])
@@ -42,8 +54,9 @@ def consistent(items: DataFrame) -> DataFrame:
             F.struct(F.concat(acc["doomed"], x["kills"]).alias("doomed"), F.concat(acc["needed"], x["needs"]).alias("needed"), F.array_append(acc["kept"], x["pos"]).alias("kept"))
         )
 
-    kept = items.withColumn("pos", F.col("pos").cast("int")).agg(F.aggregate(rows, blank, step, lambda acc: acc["kept"]).alias("kept_at"))
-    return items.join(F.broadcast(kept)).withColumn("kept", F.array_contains("kept_at", F.col("pos").cast("int"))).drop("kept_at")
+    kept = items.groupBy(*by).agg(F.aggregate(rows, blank, step, lambda acc: acc["kept"]).alias("kept_at"))
+    joined = items.join(kept, run) if run else items.join(F.broadcast(kept))
+    return joined.withColumn("kept", F.array_contains("kept_at", F.col("pos").cast("long"))).drop("kept_at")
 
 
 def overlaps(items: DataFrame) -> DataFrame:
@@ -55,22 +68,23 @@ def overlaps(items: DataFrame) -> DataFrame:
 
 
 def caution(obsolete: Column, survivor: Column) -> Column:
-    long = F.length(obsolete) >= LONG_CHARS
-    far = (F.coalesce(F.length(survivor), F.lit(0)) == 0) | (F.length(obsolete) >= LONG_RATIO * F.length(survivor))
-    return F.when(long & far, F.concat(F.lit("accepting retires "), F.length(obsolete).cast("string"), F.lit(" characters, far more than what supersedes them hold")))
+    """From the lengths of both contents."""
+    long = obsolete >= LONG_CHARS
+    far = (F.coalesce(survivor, F.lit(0)) == 0) | (obsolete >= LONG_RATIO * survivor)
+    return F.when(long & far, F.concat(F.lit("accepting retires "), obsolete.cast("string"), F.lit(" characters, far more than what supersedes them hold")))
 
 
 def reviewed(items: DataFrame, thoughts: DataFrame) -> DataFrame:
-    """Contradictions with both contents (null where a row is gone), the survivor and a caution."""
+    """Contradictions, the survivor and a caution; only the lengths of both contents (null where a row is gone) are moved."""
     rows = keyed(items).where("kind = 'contradiction'")
     ids = rows.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    contents = thoughts.select("id", "content").join(F.broadcast(ids), "id", "left_semi")  # two ids an item
+    lengths = thoughts.select("id", F.length("content").alias("n")).join(ids, "id", "left_semi")
     for end in ("a", "b"):
-        rows = rows.join(contents.select(F.col("id").alias(end), F.col("content").alias(f"content_{end}")), end, "left")
+        rows = rows.join(lengths.select(F.col("id").alias(end), F.col("n").alias(f"length_{end}")), end, "left")
     goes_a = F.col("obsolete_id") == F.col("a")
     return rows.select(
         "key", "a", "b", "obsolete_id", F.when(goes_a, F.col("b")).otherwise(F.col("a")).alias("survivor"),
-        caution(F.when(goes_a, F.col("content_a")).otherwise(F.col("content_b")), F.when(goes_a, F.col("content_b")).otherwise(F.col("content_a"))).alias("caution"),
+        caution(F.when(goes_a, F.col("length_a")).otherwise(F.col("length_b")), F.when(goes_a, F.col("length_b")).otherwise(F.col("length_a"))).alias("caution"),
     )
 
 

@@ -400,12 +400,13 @@ _ITEMS_SQL = """(SELECT row_number() OVER (ORDER BY id::BIGINT) - 1 AS pos, CASE
 
 
 def _items(t: DataFrame) -> DataFrame:
+    """An item of every row; a run reads at most 500 candidates, so its items are those of 500 ids."""
     n = F.col("id").cast("long")
     after = lambda k: (n + k).cast("string")
     kind = F.when(n % 3 == 0, "synthesis").otherwise("contradiction")
     pair = kind == "contradiction"
-    return t.where(n < 60).select(
-        n.alias("pos"), kind.alias("kind"), F.when(pair, F.col("id")).alias("a"), F.when(pair, after(1)).alias("b"), F.lit("contradicts").alias("verdict"),
+    return t.select(
+        F.floor(n / 500).alias("run"), n.alias("pos"), kind.alias("kind"), F.when(pair, F.col("id")).alias("a"), F.when(pair, after(1)).alias("b"), F.lit("contradicts").alias("verdict"),
         F.lit("stated").alias("reason"), F.when(pair, F.when(n % 2 == 0, F.col("id")).otherwise(after(1))).alias("obsolete_id"),
         F.when(~pair, F.col("content")).alias("content"), F.when(~pair, F.array(F.col("id"), after(2))).alias("sources"),
     )
@@ -418,7 +419,7 @@ def _(t):
 
 @_query("proposal_consistency")
 def _(t):
-    return proposals.consistent(_items(t)).select("pos", "kind", "kept")
+    return proposals.consistent(_items(t), "run").select("pos", "kind", "kept")
 
 
 @_query("proposal_overlaps", f"""SELECT id, list(key ORDER BY pos) AS keys, list_filter(list(CASE WHEN dies THEN key END ORDER BY pos), lambda x: x IS NOT NULL) AS obsolete_in FROM (
@@ -442,7 +443,7 @@ def _(t):
     SELECT obsolete_id AS id, true AS archive, NULL AS supersedes FROM {_ITEMS_SQL} WHERE kind = 'contradiction' AND pos < 10
     UNION ALL SELECT CASE WHEN obsolete_id = a THEN b ELSE a END, NULL, obsolete_id FROM {_ITEMS_SQL} WHERE kind = 'contradiction' AND pos < 10) GROUP BY id""")
 def _(t):
-    patch, _new = proposals.changes(proposals.keyed(_items(t)).where("pos < 10"))
+    patch, _new = proposals.changes(proposals.keyed(_items(t)))
     return patch
 
 
@@ -451,7 +452,7 @@ _RUNS_SQL = f"""(SELECT id AS run_id, coalesce(project, '') AS project, created_
 
 def _runs(t: DataFrame) -> DataFrame:
     n = F.col("id").cast("long")
-    return t.where(n % 10 == 0).select(
+    return t.select(
         F.col("id").alias("run_id"), F.coalesce("project", F.lit("")).alias("project"), F.col("created_at").alias("started_at"),
         F.col("updated_at").alias("expires_at"), F.when(n % 3 == 0, "applied").otherwise("open").alias("status"),
     )
@@ -483,8 +484,7 @@ def _(t):
 
 @_query("hold_back_watermark", f"SELECT greatest(TIMESTAMP '{SINCE}', least(TIMESTAMP '{STARTED}', min(updated_at) - INTERVAL 1 MILLISECOND)) AS watermark FROM ({_CANDIDATES_SQL.format('proj2')}) WHERE id::BIGINT % 4 = 0", embedding=True)
 def _(t):
-    held = consolidate.candidates(t, "proj2", SINCE).where(F.col("id").cast("long") % 4 == 0)
-    return consolidate.hold_back(F.lit(STARTED), held, SINCE)
+    return consolidate.hold_back(F.lit(STARTED), consolidate.candidates(t, "proj2", SINCE), SINCE)
 
 
 _PATCH_SQL = f"""SELECT id, coalesce(p.type, t.type) AS type, project, CASE WHEN p.id IS NULL THEN updated_at ELSE TIMESTAMP '{AS_OF}' END AS updated_at

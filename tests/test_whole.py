@@ -3,10 +3,11 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators import consolidate
+from recollect.operators import consolidate, proposals
 from recollect.plans import registry
 from test_parity import rows_of
 
@@ -54,3 +55,36 @@ def test_screening_stops_at_the_first_decision(spark):
     got = {r.cluster: (r.outcome, r.a, r.b) for r in consolidate.screened(members, judge).collect()}
     assert got == {"one": ("contradiction", "00", "01"), "two": ("mergeable", None, None)}
     assert seen.value == 39 + 10
+
+
+@pytest.mark.parametrize(
+    "name, cuts",
+    [
+        ("proposal_keys", (" WHERE id::BIGINT < 60",)), ("proposal_overlaps", (" WHERE id::BIGINT < 60",)), ("proposal_review", (" WHERE id::BIGINT < 60",)),
+        ("proposal_apply", (" WHERE id::BIGINT < 60", " AND pos < 10")), ("run_history", (" WHERE id::BIGINT % 10 = 0",)),
+        ("proposal_status", (" WHERE id::BIGINT % 10 = 0",)), ("hold_back_watermark", (" WHERE id::BIGINT % 4 = 0",)),
+    ],
+)
+def test_proposals_and_runs_of_all_rows(spark, larger, monkeypatch, name, cuts):
+    monkeypatch.setattr(proposals, "STRETCH", 64)  # so that numbers are counted on
+    got, want = registry.queries()[name](spark, LARGER).toPandas(), larger.sql(without(name, *cuts)).df()
+    assert rows_of(got) == rows_of(want.astype(object).replace({pd.NA: None}))
+
+
+def test_consistency_of_all_rows(spark, larger):
+    """Every document has an item, and each run is folded in order on its own."""
+    want, run, needed, doomed = set(), None, set(), set()
+    for (n,) in larger.sql("SELECT doc_id FROM documents ORDER BY doc_id").fetchall():
+        if n // 500 != run:
+            run, needed, doomed = n // 500, set(), set()
+        goes = n + n % 2
+        if n % 3 == 0:
+            kills, needs = set(), {n, n + 2}
+        else:
+            kills, needs = {goes}, {n, n + 1} - {goes}
+        kept = not kills & (needed | doomed)
+        if kept:
+            needed, doomed = needed | needs, doomed | kills
+        want.add((n, "synthesis" if n % 3 == 0 else "contradiction", kept))
+    assert len(want) == 1000 and run == 1
+    assert set(map(tuple, registry.queries()["proposal_consistency"](spark, LARGER).collect())) == want
