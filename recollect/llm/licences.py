@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 Rules are regexes written by hand over lower-cased text: names, license texts, notices and addresses of each
-license, in the forms of the table below. A rule runs only on texts that hold its keyword (one Aho-Corasick
-pass finds all keywords). Detections are taken by priority, then length, then start; one whose interval lies
+license, in the forms of the table below. A rule runs only on texts that hold one of its keywords, which every text
+it matches does once runs of white space are one blank (one Aho-Corasick pass finds all keywords). Detections are taken by priority, then length, then start; one whose interval lies
 inside that of an accepted detection is suppressed. The base phrases are rules as well, never suppressed, and
 match on words.
 
@@ -29,9 +29,9 @@ _TO_WORDS = bytes(32 if b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) else b
 
 _V = r",?\s+(?:version\s+|v(?:er(?:sion)?)?\.?\s*)?"
 
-#: label, keyword, pattern of the name, pattern of the identifier.
+#: label, keywords (parted by a bar), pattern of the name, pattern of the identifier.
 NAMES = (
-    ("mit", "mit", r"mit(?:\s+|/x11\s+)licen[cs]e|expat\s+licen[cs]e", r"mit"),
+    ("mit", "mit|expat", r"mit(?:\s+|/x11\s+)licen[cs]e|expat\s+licen[cs]e", r"mit"),
     ("mit-0", "mit", r"mit\s+no\s+attribution(?:\s+licen[cs]e)?", r"mit-0"),
     ("x11", "x11", r"x11\s+licen[cs]e", r"x11"),
     ("isc", "isc", r"isc\s+licen[cs]e", r"isc"),
@@ -42,9 +42,9 @@ NAMES = (
     ("bsd", "bsd", r"bsd(?:[- ]style)?\s+licen[cs]e", r"bsd"),
     ("apache-1.1", "apache", rf"apache(?:\s+software)?\s+licen[cs]e{_V}1\.1", r"apache-1\.1"),
     ("apache-2.0", "apache", rf"apache(?:\s+software)?\s+licen[cs]e{_V}2(?:\.0)?|apache\s+2\.0", r"apache-2\.0"),
-    ("gpl-2.0", "general public", rf"(?<!lesser )(?<!affero )(?<!library )general\s+public\s+licen[cs]e{_V}2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later|\+)?"),
-    ("gpl-3.0", "general public", rf"(?<!lesser )(?<!affero )general\s+public\s+licen[cs]e{_V}3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later|\+)?"),
-    ("gpl", "general public", r"(?<!lesser )(?<!affero )(?<!library )(?:gnu\s+)?general\s+public\s+licen[cs]e", r"gpl"),
+    ("gpl-2.0", "general public", rf"(?<!lesser\s)(?<!affero\s)(?<!library\s)general\s+public\s+licen[cs]e{_V}2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later|\+)?"),
+    ("gpl-3.0", "general public", rf"(?<!lesser\s)(?<!affero\s)general\s+public\s+licen[cs]e{_V}3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later|\+)?"),
+    ("gpl", "general public", r"(?<!lesser\s)(?<!affero\s)(?<!library\s)(?:gnu\s+)?general\s+public\s+licen[cs]e", r"gpl"),
     ("lgpl-2.0", "library general public", rf"library\s+general\s+public\s+licen[cs]e{_V}2(?:\.0)?", r"lgpl-2\.0(?:-only|-or-later|\+)?"),
     ("lgpl-2.1", "lesser general public", rf"lesser\s+general\s+public\s+licen[cs]e{_V}2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?"),
     ("lgpl-3.0", "lesser general public", rf"lesser\s+general\s+public\s+licen[cs]e{_V}3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later|\+)?"),
@@ -69,7 +69,7 @@ NAMES = (
     ("elastic-2.0", "elastic", r"elastic\s+licen[cs]e", r"elastic-2\.0"),
     ("zlib", "zlib", r"zlib(?:/libpng)?\s+licen[cs]e", r"zlib"),
     ("libpng", "libpng", r"(?<!zlib/)libpng\s+licen[cs]e", r"libpng(?:-2\.0)?"),
-    ("unlicense", "unlicense", r"the\s+unlicen[cs]e", r"unlicense"),
+    ("unlicense", "unlicen", r"the\s+unlicen[cs]e", r"unlicense"),
     ("wtfpl", "want to public", r"do\s+what\s+the\s+\S+\s+you\s+want\s+to\s+public\s+licen[cs]e", r"wtfpl"),
     ("cc0-1.0", "cc0", r"cc0(?:\s+1\.0)?(?:\s+universal)?", r"cc0-1\.0"),
     ("cc-by-nc-nd", "cc", r"cc[ -]by[ -]nc[ -]nd", r"cc-by-nc-nd-[1-4]\.[0-5]"),
@@ -116,7 +116,7 @@ TEXTS = (
     ("mit", "shall be included in all copies", r"the\s+above\s+copyright\s+notice\s+and\s+this\s+permission\s+notice\s+shall\s+be\s+included\s+in\s+all\s+copies"),
     ("isc", "permission to use, copy", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose"),
     ("bsd", "redistribution and use", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms,\s+with\s+or\s+without\s+modification"),
-    ("bsd-3-clause", "endorse or promote", r"neither\s+the\s+names?\s+of\s+.{1,120}?endorse\s+or\s+promote\s+products"),
+    ("bsd-3-clause", "endorse or promote", r"neither\s+the\s+names?\s+of\s+(?s:.){1,120}?endorse\s+or\s+promote\s+products"),
     ("bsd-4-clause", "advertising materials", r"all\s+advertising\s+materials\s+mentioning\s+features\s+or\s+use\s+of\s+this\s+software"),
     ("apache-2.0", "except in compliance", r"you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+licen[cs]e"),
     ("apache-2.0", "apache.org/licenses", r"https?://www\.apache\.org/licenses/license-2\.0"),
@@ -173,7 +173,7 @@ def rules() -> list[Rule]:
             Rule(label, keyword, rf"licen[cs]e\s*::\s*osi\s+approved\s*::\s*(?:{name})", 80, 1.0),
             Rule(label, keyword, rf"licen[cs]ed\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:gnu\s+)?(?:{name})(?!\w)", 70, 0.95),
             Rule(label, keyword, rf"(?<!\w)(?:{name})(?!\w)", 50, 0.8),
-            Rule(label, "license", rf"(?<!\w)licen[cs]e\"?\s*[:=]\s*[\"']?(?:{ident})(?![\w.-])", 60, 0.9),
+            Rule(label, "licen", rf"(?<!\w)licen[cs]e\"?\s*[:=]\s*[\"']?(?:{ident})(?![\w.-])", 60, 0.9),
         ]
     made += [Rule(label, keyword, pattern, 65, 0.9 if label != "proprietary" else 0.5) for label, keyword, pattern in TEXTS]
     return sorted(made, key=lambda r: -r.priority)
@@ -184,7 +184,8 @@ class Scanner:
         self.rules = [(r, re.compile(r.pattern)) for r in table]
         by_keyword: dict[str, list[int]] = {}
         for n, r in enumerate(table):
-            by_keyword.setdefault(r.keyword, []).append(n)
+            for k in r.keyword.split("|"):
+                by_keyword.setdefault(k, []).append(n)
         self.keywords = ahocorasick.Automaton()
         for k, own in by_keyword.items():
             self.keywords.add_word(k, tuple(own))
@@ -193,7 +194,7 @@ class Scanner:
     def detections(self, lower: str) -> list[tuple[int, int, str, float]]:
         """start, end, label and score of what is not suppressed, by start."""
         due: set[int] = set()
-        for _, own in self.keywords.iter(lower):
+        for _, own in self.keywords.iter(" ".join(lower.split())):
             due.update(own)
         found = []
         for n in sorted(due):
