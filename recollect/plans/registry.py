@@ -243,7 +243,7 @@ _ALIAS_SQL = "SELECT value AS variant, canonical FROM (SELECT value, first_value
 @_query("topic_aliases", _ALIAS_SQL.format(_KEY.format("(" + _FLAT.format("value") + ")"), "SELECT v AS value, count(*) AS n FROM (SELECT unnest(topics) AS v FROM t WHERE archived = false) GROUP BY v"))
 def _(t):
     live = t.where(F.col("archived") == F.lit(False))
-    return vocabulary.topic_aliases(stats.top_values(live, "topics", 1 << 30))
+    return vocabulary.topic_aliases(live.select(F.explode("topics").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")))
 
 
 _PEOPLE_SQL = r"""(WITH RECURSIVE p AS (SELECT v AS value, count(*) AS n, list_filter(regexp_split_to_array(lower(trim(v)), '[\s_-]+'), lambda x: x <> '') AS w FROM (SELECT unnest(people) AS v FROM t WHERE archived = false) GROUP BY v),
@@ -381,7 +381,7 @@ def _screen_members(t: DataFrame) -> DataFrame:
     return t.where("source_file_hash IS NOT NULL").withColumn("cluster", F.col("source_file_hash"))
 
 
-_SCREEN_SQL = """(WITH m AS (SELECT source_file_hash AS cluster, id, content, row_number() OVER (PARTITION BY source_file_hash ORDER BY created_at, id) AS n FROM t WHERE source_file_hash IS NOT NULL AND id::INT < 200),
+_SCREEN_SQL = """(WITH m AS (SELECT source_file_hash AS cluster, id, content, row_number() OVER (PARTITION BY source_file_hash ORDER BY created_at, id) AS n FROM t WHERE source_file_hash IS NOT NULL),
     p AS (SELECT x.cluster, x.n AS i, y.n AS j, x.id AS a, y.id AS b, length(x.content) AS la, length(y.content) AS lb FROM m x JOIN m y ON x.cluster = y.cluster AND x.n < y.n),
     d AS (SELECT *, CASE WHEN la % 5 = 0 THEN 'judgment_failed' WHEN la % 3 = 0 THEN 'contradiction' END AS outcome FROM p),
     f AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY i, j) AS k FROM d WHERE outcome IS NOT NULL)
@@ -396,7 +396,7 @@ def _(t):
 
 
 _ITEMS_SQL = """(SELECT row_number() OVER (ORDER BY id::BIGINT) - 1 AS pos, CASE WHEN id::BIGINT % 3 = 0 THEN 'synthesis' ELSE 'contradiction' END AS kind,
-    id AS a, (id::BIGINT + 1)::VARCHAR AS b, CASE WHEN id::BIGINT % 2 = 0 THEN id ELSE (id::BIGINT + 1)::VARCHAR END AS obsolete_id, [id, (id::BIGINT + 2)::VARCHAR] AS sources FROM t WHERE id::BIGINT < 60)"""
+    id AS a, (id::BIGINT + 1)::VARCHAR AS b, CASE WHEN id::BIGINT % 2 = 0 THEN id ELSE (id::BIGINT + 1)::VARCHAR END AS obsolete_id, [id, (id::BIGINT + 2)::VARCHAR] AS sources FROM t)"""
 
 
 def _items(t: DataFrame) -> DataFrame:
@@ -440,14 +440,14 @@ def _(t):
 
 
 @_query("proposal_apply", f"""SELECT id, max(archive) AS archive, max(supersedes) AS supersedes FROM (
-    SELECT obsolete_id AS id, true AS archive, NULL AS supersedes FROM {_ITEMS_SQL} WHERE kind = 'contradiction' AND pos < 10
-    UNION ALL SELECT CASE WHEN obsolete_id = a THEN b ELSE a END, NULL, obsolete_id FROM {_ITEMS_SQL} WHERE kind = 'contradiction' AND pos < 10) GROUP BY id""")
+    SELECT obsolete_id AS id, true AS archive, NULL AS supersedes FROM {_ITEMS_SQL} WHERE kind = 'contradiction'
+    UNION ALL SELECT CASE WHEN obsolete_id = a THEN b ELSE a END, NULL, obsolete_id FROM {_ITEMS_SQL} WHERE kind = 'contradiction') GROUP BY id""")
 def _(t):
     patch, _new = proposals.changes(proposals.keyed(_items(t)))
     return patch
 
 
-_RUNS_SQL = f"""(SELECT id AS run_id, coalesce(project, '') AS project, created_at AS started_at, updated_at AS expires_at, CASE WHEN id::BIGINT % 3 = 0 THEN 'applied' ELSE 'open' END AS status FROM t WHERE id::BIGINT % 10 = 0)"""
+_RUNS_SQL = f"""(SELECT id AS run_id, coalesce(project, '') AS project, created_at AS started_at, updated_at AS expires_at, CASE WHEN id::BIGINT % 3 = 0 THEN 'applied' ELSE 'open' END AS status FROM t)"""
 
 
 def _runs(t: DataFrame) -> DataFrame:
@@ -482,7 +482,7 @@ def _(t):
     return consolidate.next_watermark(consolidate.candidates(t, "proj1", SINCE), SINCE, STARTED, timedelta(seconds=60))
 
 
-@_query("hold_back_watermark", f"SELECT greatest(TIMESTAMP '{SINCE}', least(TIMESTAMP '{STARTED}', min(updated_at) - INTERVAL 1 MILLISECOND)) AS watermark FROM ({_CANDIDATES_SQL.format('proj2')}) WHERE id::BIGINT % 4 = 0", embedding=True)
+@_query("hold_back_watermark", f"SELECT greatest(TIMESTAMP '{SINCE}', least(TIMESTAMP '{STARTED}', min(updated_at) - INTERVAL 1 MILLISECOND)) AS watermark FROM ({_CANDIDATES_SQL.format('proj2')}) ", embedding=True)
 def _(t):
     return consolidate.hold_back(F.lit(STARTED), consolidate.candidates(t, "proj2", SINCE), SINCE)
 

@@ -13,7 +13,7 @@ from recollect.plans import registry
 
 
 def plain(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return "None"
     if isinstance(x, (list, tuple, np.ndarray)):
         return "[" + ",".join(map(plain, x)) + "]"
