@@ -13,5 +13,6 @@ def session(app: str = "recollect", master: str | None = None, **conf: str) -> S
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # call sites of columns: milliseconds for each one built
     }
     return builder.config(map=defaults | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
