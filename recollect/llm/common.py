@@ -30,6 +30,49 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def kept_struct(docs: DataFrame, keep: list[str]) -> Column:
+    """The columns ``keep`` as one struct with fields c0, c1, ..., so that names of the input cannot clash or be misread."""
+    return F.struct(*[named(c).alias(f"c{n}") for n, c in enumerate(keep)])
+
+
+def unkept(docs: DataFrame, instead: dict[str, Column] | None = None, struct: str = "kept_columns") -> list[Column]:
+    """The input's columns from ``kept_struct(docs, docs.columns)``, some of them replaced."""
+    return [(instead or {}).get(c, F.col(f"{struct}.c{n}")).alias(c) for n, c in enumerate(docs.columns)]
+
+
+def before_each(values: Column, join: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each element what ``join`` makes of all elements before it, from ``zero``.
+
+    An appended array is copied at each step, so the elements are folded in blocks of about the cube root of their
+    number: n elements cost n ** (4 / 3) copies, not n * n.
+    """
+    kind = "array<bigint>"
+
+    def fold(part: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct(join(acc["all"], x).alias("all"), F.array_append(acc["at"], acc["all"]).alias("at"))
+
+        return F.aggregate(part, F.struct(zero.alias("all"), F.array().cast(kind).alias("at")), step, lambda acc: acc["at"])
+
+    def blocked(all_values: Column, width: Column) -> Column:
+        def together(blocks: Column) -> Column:
+            wholes = F.transform(blocks, lambda b: F.aggregate(b, zero, join))
+            return let(fold(wholes), lambda heads: F.flatten(F.transform(blocks, lambda b, i: F.transform(fold(b), lambda x: join(F.get(heads, i), x)))))
+
+        last = F.floor((F.size(all_values) - 1) / width).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(all_values, i * width + 1, width)), together)
+
+    def bound(v: Column) -> Column:
+        return F.when(F.size(v) == 0, F.array().cast(kind)).otherwise(let(F.ceil(F.cbrt(F.size(v))).cast("int") + 3, lambda width: blocked(v, width)))
+
+    return let(values, bound)
+
+
 def map_texts(
     df: DataFrame,
     make_rows: Callable[[], Callable[[list, list], list[list]]],

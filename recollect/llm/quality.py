@@ -2,19 +2,21 @@
 
 Length, symbol, stop-word and line measures are built-in expressions, so the operator has no user
 function and no shuffle. Texts are read whole; a null text counts as empty. A long text costs
-n log n in its own words: repeated windows are found by sorting 64-bit keys inside the row.
+n log n in its own words: repeated windows are found by sorting 64-bit keys inside the row, and a row in
+which two different windows share a key sorts the windows themselves.
 Repeated rows are measured each on their own, an empty table gives an empty result, further
 columns of the input are not read and so cannot clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, let
+from .common import SPACE_RUN, kept_struct, let, unkept
 
 #: Function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -41,9 +43,12 @@ RULES = (
     Rule("words", "n_words", least=50),
     Rule("repeated_words", "n_repeat_words", "n_words", most=0.5),
     Rule("long_words", "word_chars", "n_words", most=25),
-    Rule("symbols", "n_symbols", "n_words", most=0.5),
-    Rule("stop_words", "n_stop_words", least=2),
+    Rule("symbols", "n_symbols", "n_words", most=0.25),
+    Rule("stop_words", "n_stop_words", "n_words", least=0.08),
     Rule("repeated_lines", "n_dup_lines", "n_lines", most=0.5),
+    Rule("repeated_line_chars", "dup_line_chars", "line_chars", most=0.5),
+    Rule("bullets", "n_bullet_lines", "n_lines", most=0.9),
+    Rule("ellipses", "n_ellipsis_lines", "n_lines", most=0.3),
 )
 BASE_RULES = ("words", "repeated_words")
 
@@ -52,13 +57,20 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_RUN, -1), "")
 
 
-def _repeat_words(words: Column) -> Column:
+def _repeat_words(words: Column, hashed: Callable[[Column], Column] = F.xxhash64) -> Column:
     """Words inside 3-word windows that occur twice or more: sort window keys, look at neighbours.
 
     A key holds a hash of the window above the window's position, so one sort of longs brings equal
-    windows together; equal hashes are confirmed on the words themselves.
+    windows together; neighbours with one hash are compared word by word, and if any two differ the
+    windows themselves are sorted.
     """
     zero = F.lit(0).cast("long")
+    none = F.array().cast("array<bigint>")
+
+    def either(at, first, second):
+        """The sorted positions of both ends of the neighbours that ``at`` counts."""
+        ends = F.array_union(F.transform(at, first), F.transform(at, second))
+        return F.when(F.size(at) == 0, none).otherwise(F.sort_array(ends))
 
     def same(w, p, q):
         return (F.get(w, p) == F.get(w, q)) & (F.get(w, p + 1) == F.get(w, q + 1)) & (F.get(w, p + 2) == F.get(w, q + 2))
@@ -66,20 +78,32 @@ def _repeat_words(words: Column) -> Column:
     def starts(w, low):
         n = F.size(w)
         windows = F.arrays_zip(F.slice(w, 1, n - 2), F.slice(w, 2, n - 2), F.slice(w, 3, n - 2))
-        keys = F.transform(windows, lambda x, i: F.xxhash64(x).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
+        keys = F.transform(windows, lambda x, i: hashed(x).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
+
+        def exact():
+            placed = F.transform(windows, lambda x, i: F.struct(x["0"].alias("a"), x["1"].alias("b"), x["2"].alias("c"), i.cast("long").alias("i")))
+
+            def neighbours(s):
+                def equal(j):
+                    x, y = F.get(s, j), F.get(s, j + 1)
+                    return (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+
+                return let(F.filter(F.sequence(F.lit(0), n - 4), equal), lambda at: either(at, lambda j: F.get(s, j)["i"], lambda j: F.get(s, j + 1)["i"]))
+
+            return let(F.array_sort(placed), neighbours)
 
         def twins(s):
-            def equal(j):
-                a, b = F.get(s, j), F.get(s, j + 1)
-                p, q = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
-                return (a.bitwiseXOR(b) <= low) & (a.bitwiseXOR(b) >= zero) & same(w, p, q)
-
-            at = F.filter(F.sequence(F.lit(0), n - 4), equal)
-            return F.when(F.size(at) == 0, F.array().cast("array<bigint>")).otherwise(
-                F.sort_array(F.array_union(
-                    F.transform(at, lambda j: F.get(s, j).bitwiseAND(low)), F.transform(at, lambda j: F.get(s, j + 1).bitwiseAND(low))
-                ))
-            )
+            place = lambda j: F.get(s, j).bitwiseAND(low)
+
+            def met(j):
+                differ = F.get(s, j).bitwiseXOR(F.get(s, j + 1))
+                return (differ <= low) & (differ >= zero)
+
+            def settled(at):
+                true = F.forall(at, lambda j: same(w, place(j).cast("int"), place(j + 1).cast("int")))
+                return F.when(true, either(at, place, lambda j: place(j + 1))).otherwise(exact())
+
+            return let(F.filter(F.sequence(F.lit(0), n - 4), met), settled)
 
         return let(F.sort_array(keys), twins)
 
@@ -98,10 +122,11 @@ def measure(docs: DataFrame, text_col: str = "text", keep: list[str] | None = No
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))
     split = docs.select(
-        F.struct(*[F.col(c) for c in keep]).alias("kept_columns"), _words(text).alias("w"), lines.alias("l"),
+        kept_struct(docs, keep).alias("kept_columns"), _words(text).alias("w"), lines.alias("l"),
         F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
     )
-    stops = F.array(*[F.lit(x) for x in dict.fromkeys([*STOP_WORDS, *(x.capitalize() for x in STOP_WORDS)])])
+    stops = [*dict.fromkeys([*STOP_WORDS, *(x.capitalize() for x in STOP_WORDS)])]
+    long_chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     return split.select(
         "kept_columns",
         F.size("w").cast("long").alias("n_words"),
@@ -110,7 +135,11 @@ def measure(docs: DataFrame, text_col: str = "text", keep: list[str] | None = No
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("w")).alias("n_repeat_words"),
-        F.size(F.array_intersect(F.col("w"), stops)).cast("long").alias("n_stop_words"),
+        F.size(F.filter("w", lambda x: x.isin(stops))).cast("long").alias("n_stop_words"),
+        long_chars(F.col("l")).alias("line_chars"),
+        (long_chars(F.col("l")) - long_chars(F.array_distinct("l"))).alias("dup_line_chars"),
+        F.size(F.filter("l", lambda x: x.rlike("^[ \\t]*[-*\u2022]"))).cast("long").alias("n_bullet_lines"),
+        F.size(F.filter("l", lambda x: x.rlike("(\\.\\.\\.|\u2026)[ \\t\\r]*\\z"))).cast("long").alias("n_ellipsis_lines"),
     )
 
 
@@ -128,8 +157,8 @@ def failed(rule: Rule) -> Column:
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Measures, the base verdict, the names of the rules that failed, and ``kept``.
 
-    ``kept_columns`` is a struct of the columns in ``keep`` (the id only, by default), so that a
-    column of the input may have any name.
+    ``kept_columns`` is a struct of the columns in ``keep`` (the id only, by default) as c0, c1, ..., so that
+    a column of the input may have any name.
     """
     measured = measure(docs, text_col, keep)
     names = F.array_compact(F.array(*[F.when(failed(r), F.lit(r.name)) for r in rules]))
@@ -146,7 +175,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
 def quality_rows(docs: DataFrame) -> DataFrame:
     """The digest rows of the query."""
     return judge(docs).select(
-        F.col("kept_columns.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.col("kept_columns.c0").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept",
     )
 
@@ -154,4 +183,4 @@ def quality_rows(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that pass every rule, with the input's columns."""
     judged = judge(docs, keep=docs.columns)
-    return judged.filter("kept").select("kept_columns.*")
+    return judged.filter("kept").select(*unkept(docs))

@@ -26,7 +26,11 @@ def quality_rules() -> str:
     m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(list_aggregate(ws, 'string_agg', ''))::BIGINT AS wc,
                  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(ls) AS n_lines,
                  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-                 len(list_intersect(ws, [{words}])) AS n_stop_words
+                 len(list_filter(ws, lambda x: x IN ({words}))) AS n_stop_words,
+                 coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) AS line_chars,
+                 coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) - coalesce(list_sum(list_transform(list_distinct(ls), lambda x: length(x))), 0) AS dup_line_chars,
+                 len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*[-*\x{{2022}}]'))) AS n_bullet_lines,
+                 len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})[ \t\r]*\z'))) AS n_ellipsis_lines
           FROM w LEFT JOIN cov USING (rid)),
     f AS (SELECT *, coalesce(wc, 0) AS word_chars, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {" AND ".join(passes)} AS kept FROM f
