@@ -1,10 +1,14 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby context words move the score.
 
 Everything is a built-in expression over one row, without a shuffle. Positions come from pairing the
-matches of a pattern with the pieces between them, so a text is scanned twice per kind however many
-matches it has. Patterns are written with possessive repeats and anchored starts, so that they find the
+matches of a pattern with the pieces between them and summing lengths in blocks, so a text is scanned twice per
+kind however many matches it has. Patterns are written with possessive repeats and anchored starts, so that they find the
 same leftmost non-overlapping matches in linear time and without deep recursion on very long texts.
 
+A span's score is its kind's own, more beside a word of the kind's context, less beside a word of its
+counter-context (an order number is no account number). What ends under the threshold is no span. The base kinds
+start high enough to stay reported whatever stands beside them; context decides for the others.
+
 Whole texts are read; a null text counts as empty and has no spans. Repeated rows are handled each on
 their own, an empty table gives an empty result, and only the id and the text are read, so further
 columns of any name are harmless (``keep`` carries them along in a struct).
@@ -18,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import before_each, kept_struct, let, named, unkept
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 
@@ -67,7 +71,7 @@ def _octets(match: Column) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern, its check, a score when the check holds, and words nearby that add to it."""
+    """A pattern, its check, a score when the check holds, and words nearby that raise or lower it."""
 
     name: str
     pattern: str
@@ -76,7 +80,11 @@ class Kind:
     context: str
     needs: str | None = None  # a character that any match holds
     bonus: float = 0.2
+    counter: str = "order|invoice|ticket|serial|part no|version|isbn"
+    malus: float = 0.1
+
 
+_SSN_BAD = "^(?:000|666|9)|-00-|0000$"
 
 #: In this order at equal starts; the first four are the base kinds and always clear the threshold.
 KINDS = (
@@ -84,45 +92,45 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", _octets, 0.7, "host|server|addr|ip|from", "."),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", luhn, 0.7, "card|visa|master|credit|pay|carte|karte|tarjeta"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), 0.6, "phone|call|tel|mobile|fax|ruf", "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97, 0.7, "iban|account|bank|konto|compte|cuenta"),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|0000$"), 0.3, "ssn|social security", "-", 0.4),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97, 0.55, "iban|account|bank|konto|compte|cuenta"),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike(_SSN_BAD), 0.3, "ssn|social security", "-", 0.4),
+    Kind("mac", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z:])", lambda m: F.lit(True), 0.45, "mac|device|wlan|wifi|ethernet", ":"),
+    Kind("passport", r"(?<![A-Za-z0-9])[A-Z][A-Z0-9][0-9]{7}(?![A-Za-z0-9])", lambda m: F.lit(True), 0.25, "passport|passeport|reisepass|pasaporte", bonus=0.3),
 )
 BASE_KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.5
 CONTEXT_CHARS = 40
 
+_plus = lambda a, x: a + x
+_most = lambda a, x: F.greatest(a, x)
+
 
 def _kind_spans(text: Column, kind: Kind, order: int) -> Column:
     pattern = F.lit(kind.pattern)
 
     def placed(matches, gaps):
-        def step(acc, i):
-            start = acc["pos"] + F.length(F.get(gaps, i))
-            end = start + F.length(F.get(matches, i))
-            return F.struct(end.alias("pos"), F.array_append(acc["at"], start).alias("at"))
-
-        zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("at"))
-        starts = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["at"])
-
-        def span(m, i):
-            before, after = F.get(gaps, i), F.get(gaps, i + 1)
-            near = F.lower(F.concat_ws(" ", F.right(before, F.lit(CONTEXT_CHARS)), F.left(after, F.lit(CONTEXT_CHARS))))
-            score = F.lit(kind.score) + F.when(near.rlike(kind.context), F.lit(kind.bonus)).otherwise(F.lit(0.0))
-            return F.when(
-                kind.valid(m),
-                F.struct(i.alias("start"), F.lit(order).alias("order"), F.length(m).alias("end"), F.lit(kind.name).alias("kind"), score.alias("score")),
-            )
-
-        def shifted(at):
-            return F.transform(
-                F.filter(F.transform(matches, span), lambda s: s.isNotNull()),
-                lambda s: F.struct(
-                    F.get(at, s["start"]).alias("start"), s["order"].alias("order"), (F.get(at, s["start"]) + s["end"]).alias("end"),
-                    s["kind"].alias("kind"), s["score"].alias("score"),
-                ),
-            )
-
-        return let(starts, shifted)
+        steps = F.transform(matches, lambda m, i: (F.length(m) + F.length(F.get(gaps, i))).cast("long"))
+
+        def spans(before):
+            def span(m, i):
+                left, right = F.get(gaps, i), F.get(gaps, i + 1)
+                near = F.lower(F.concat_ws(" ", F.right(left, F.lit(CONTEXT_CHARS)), F.left(right, F.lit(CONTEXT_CHARS))))
+                start = (F.get(before, i) + F.length(left)).cast("int")
+                score = let(
+                    near,
+                    lambda n: F.lit(kind.score)
+                    + F.when(n.rlike(kind.context), F.lit(kind.bonus)).otherwise(F.lit(0.0))
+                    - F.when(n.rlike(rf"\b(?:{kind.counter})\b"), F.lit(kind.malus)).otherwise(F.lit(0.0)),
+                )
+                whole = lambda s: F.struct(
+                    s.alias("start"), F.lit(order).alias("order"), (s + F.length(m)).alias("end"), F.lit(kind.name).alias("kind"),
+                    F.round(score, 3).alias("score"),
+                )
+                return F.when(kind.valid(m), let(start, whole))
+
+            return F.filter(F.transform(matches, span), lambda s: s.isNotNull())
+
+        return let(before_each(steps, _plus, F.lit(0).cast("long")), spans)
 
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,score:double>>")
     found = let(
@@ -135,9 +143,9 @@ def _kind_spans(text: Column, kind: Kind, order: int) -> Column:
 def find(
     docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, threshold: float = THRESHOLD, text_col: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
-    """``kept_columns`` (a struct of ``keep``), ``text`` and ``spans``: start, order, end, kind, score, sorted by start and kind."""
+    """``kept_columns`` (``keep`` as a struct c0, c1, ...), ``text`` and ``spans``: start, order, end, kind, score, sorted by start and kind."""
     keep = ["doc_id"] if keep is None else keep
-    base = docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept_columns"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = docs.select(kept_struct(docs, keep).alias("kept_columns"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
     each = base.select("*", *[_kind_spans(F.col("text"), k, n).alias(f"spans_{n}") for n, k in enumerate(kinds)])
     spans = F.array_sort(F.filter(F.concat(*[F.col(f"spans_{n}") for n in range(len(kinds))]), lambda s: s["score"] >= threshold))
     return each.select("kept_columns", "text", spans.alias("spans"))
@@ -155,9 +163,45 @@ def pii_rows(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [of(k) for k in BASE_KINDS]
+    surest = F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0))
     return find(docs).select(
-        F.col("kept_columns.doc_id").alias("doc_id"), *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans")
-    )
+        F.col("kept_columns.c0").alias("doc_id"), *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), surest.alias("score"),
+    )
+
+
+def _marked(text: Column, spans: Column) -> Column:
+    """The text with runs of overlapping spans replaced by the mark of the first.
+
+    ``reach`` is where the spans before one end; one that starts there or later is a head. A substring is counted from
+    its text's start, so heads are taken in stretches of about the root of their number, and each cuts from its stretch.
+    """
+    top = F.lit(0).cast("long")
+    ends = F.transform(spans, lambda s: s["end"].cast("long"))
+
+    def cut(of, start, end):
+        return F.substring(of, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def from_heads(heads):
+        def stretches(width):
+            def piece(i):
+                def within(own):
+                    first, last = F.get(own, F.lit(0))["reach"], F.get(own, F.size(own) - 1)["start"]
+                    mark = lambda h: F.concat(F.lit("<"), F.upper(h["kind"]), F.lit(">"))
+                    return let(cut(text, first, last), lambda t: F.array_join(F.transform(own, lambda h: F.concat(cut(t, h["reach"] - first, h["start"] - first), mark(h))), ""))
+
+                return let(F.slice(heads, i * width + 1, width), within)
+
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(heads) - 1) / width).cast("int")), piece), "")
+
+        return let(F.ceil(F.sqrt(F.size(heads))).cast("int"), stretches)
+
+    def all_heads(reach):
+        each = F.transform(spans, lambda s, i: F.struct(F.get(reach, i).alias("reach"), s["start"].cast("long").alias("start"), s["kind"].alias("kind")))
+        return F.filter(each, lambda h: h["start"] >= h["reach"])
+
+    marked = let(let(before_each(ends, _most, top), lambda reach: all_heads(reach)), from_heads)
+    return F.concat(marked, F.substring(text, F.array_max(ends).cast("int") + 1, F.length(text)))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -166,23 +210,10 @@ def redact(docs: DataFrame) -> DataFrame:
     Overlapping spans give the mark of the first only. A null text stays null.
     """
     found = find(docs, keep=docs.columns)
-
-    def step(acc, s):
-        piece = F.substring(F.col("text"), acc["pos"] + 1, s["start"] - acc["pos"])
-        new = F.array_append(F.array_append(acc["out"], piece), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.struct(
-            F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], new).otherwise(acc["out"]).alias("out")
-        )
-
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    rebuilt = F.aggregate(
-        "spans", start, step, lambda acc: F.array_join(F.array_append(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))), "")
-    )
-    clean = F.when(F.size("spans") == 0, F.col("kept_columns.text")).otherwise(rebuilt)
-    done = found.select("kept_columns", clean.alias("clean"))
-    columns = {c: F.col("kept_columns").getField(c).alias(c) for c in docs.columns}
-    columns["text"] = F.col("clean").alias("text")
-    if "n_chars" in columns:
-        kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(F.col("clean").isNull(), F.col("kept_columns.n_chars")).otherwise(F.length("clean")).cast(kind).alias("n_chars")
-    return done.select(*columns.values())
+    old = F.col(f"kept_columns.c{docs.columns.index('text')}")
+    done = found.select("kept_columns", F.when(F.size("spans") == 0, old).otherwise(_marked(F.col("text"), F.col("spans"))).alias("clean"))
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        n = F.col(f"kept_columns.c{docs.columns.index('n_chars')}")
+        new["n_chars"] = F.when(F.col("clean").isNull(), n).otherwise(F.length("clean")).cast(docs.schema["n_chars"].dataType)
+    return done.select(*unkept(docs, new))
