@@ -1,10 +1,12 @@
 """License scans by ordered signature rules.
 
-Rules are regexes written by hand over lower-cased text: names, license texts, notices and addresses of each
-license, in the forms of the table below. A rule runs only on texts that hold one of its keywords, which every text
+Regexes written by hand over lower-cased text: a name and an identifier for each license, and sentences, notices and
+addresses of their texts. Names and identifiers stand in the forms that ``rules`` lists (a notice, a classifier, a
+field, an SPDX line, the bare name), which makes the rules. Patterns let words part at any white space, so wrapped
+texts match as well. A rule runs only on texts that hold one of its keywords, which every text
 it matches does once runs of white space are one blank (one Aho-Corasick pass finds all keywords). Detections are taken by priority, then length, then start; one whose interval lies
-inside that of an accepted detection is suppressed. The base phrases are rules as well, never suppressed, and
-match on words.
+inside that of an accepted detection is suppressed, which a tree of greatest ends answers in logarithmic time.
+The base phrases are rules as well, never suppressed, and match on words.
 
 Null texts count as empty; whole texts are scanned; repeated rows are scanned each on their own; an empty table
 gives an empty result; only the id and the text are read.
@@ -13,6 +15,7 @@ gives an empty result; only the id and the text are read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -35,10 +38,10 @@ NAMES = (
     ("mit-0", "mit", r"mit\s+no\s+attribution(?:\s+licen[cs]e)?", r"mit-0"),
     ("x11", "x11", r"x11\s+licen[cs]e", r"x11"),
     ("isc", "isc", r"isc\s+licen[cs]e", r"isc"),
-    ("0bsd", "bsd", r"(?:zero[- ]clause|0[- ]clause)\s+bsd(?:\s+licen[cs]e)?", r"0bsd"),
-    ("bsd-2-clause", "bsd", rf"(?:simplified|freebsd|2[- ]clause|two[- ]clause)\s+bsd(?:\s+licen[cs]e)?|bsd\s+2[- ]clause", r"bsd-2-clause"),
-    ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3[- ]clause|three[- ]clause)\s+bsd(?:\s+licen[cs]e)?|bsd\s+3[- ]clause", r"bsd-3-clause"),
-    ("bsd-4-clause", "bsd", r"(?:original|4[- ]clause|four[- ]clause)\s+bsd(?:\s+licen[cs]e)?", r"bsd-4-clause"),
+    ("0bsd", "bsd", r"(?:zero(?:-|\s+)clause|0(?:-|\s+)clause)\s+bsd(?:\s+licen[cs]e)?", r"0bsd"),
+    ("bsd-2-clause", "bsd", rf"(?:simplified|freebsd|2(?:-|\s+)clause|two(?:-|\s+)clause)\s+bsd(?:\s+licen[cs]e)?|bsd\s+2(?:-|\s+)clause", r"bsd-2-clause"),
+    ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3(?:-|\s+)clause|three(?:-|\s+)clause)\s+bsd(?:\s+licen[cs]e)?|bsd\s+3(?:-|\s+)clause", r"bsd-3-clause"),
+    ("bsd-4-clause", "bsd", r"(?:original|4(?:-|\s+)clause|four(?:-|\s+)clause)\s+bsd(?:\s+licen[cs]e)?", r"bsd-4-clause"),
     ("bsd", "bsd", r"bsd(?:[- ]style)?\s+licen[cs]e", r"bsd"),
     ("apache-1.1", "apache", rf"apache(?:\s+software)?\s+licen[cs]e{_V}1\.1", r"apache-1\.1"),
     ("apache-2.0", "apache", rf"apache(?:\s+software)?\s+licen[cs]e{_V}2(?:\.0)?|apache\s+2\.0", r"apache-2\.0"),
@@ -72,12 +75,12 @@ NAMES = (
     ("unlicense", "unlicen", r"the\s+unlicen[cs]e", r"unlicense"),
     ("wtfpl", "want to public", r"do\s+what\s+the\s+\S+\s+you\s+want\s+to\s+public\s+licen[cs]e", r"wtfpl"),
     ("cc0-1.0", "cc0", r"cc0(?:\s+1\.0)?(?:\s+universal)?", r"cc0-1\.0"),
-    ("cc-by-nc-nd", "cc", r"cc[ -]by[ -]nc[ -]nd", r"cc-by-nc-nd-[1-4]\.[0-5]"),
-    ("cc-by-nc-sa", "cc", r"cc[ -]by[ -]nc[ -]sa", r"cc-by-nc-sa-[1-4]\.[0-5]"),
-    ("cc-by-nc", "cc", r"cc[ -]by[ -]nc(?![ -](?:nd|sa))", r"cc-by-nc-[1-4]\.[0-5]"),
-    ("cc-by-nd", "cc", r"cc[ -]by[ -]nd", r"cc-by-nd-[1-4]\.[0-5]"),
-    ("cc-by-sa", "cc", r"cc[ -]by[ -]sa", r"cc-by-sa-[1-4]\.[0-5]"),
-    ("cc-by", "cc", r"cc[ -]by(?:\s+[1-4]\.[0-5])?(?![ -](?:nc|nd|sa))", r"cc-by-[1-4]\.[0-5]"),
+    ("cc-by-nc-nd", "cc", r"cc(?:\s+|-)by(?:\s+|-)nc(?:\s+|-)nd", r"cc-by-nc-nd-[1-4]\.[0-5]"),
+    ("cc-by-nc-sa", "cc", r"cc(?:\s+|-)by(?:\s+|-)nc(?:\s+|-)sa", r"cc-by-nc-sa-[1-4]\.[0-5]"),
+    ("cc-by-nc", "cc", r"cc(?:\s+|-)by(?:\s+|-)nc(?!(?:\s+|-)(?:nd|sa))", r"cc-by-nc-[1-4]\.[0-5]"),
+    ("cc-by-nd", "cc", r"cc(?:\s+|-)by(?:\s+|-)nd", r"cc-by-nd-[1-4]\.[0-5]"),
+    ("cc-by-sa", "cc", r"cc(?:\s+|-)by(?:\s+|-)sa", r"cc-by-sa-[1-4]\.[0-5]"),
+    ("cc-by", "cc", r"cc(?:\s+|-)by(?:\s+[1-4]\.[0-5])?(?!(?:\s+|-)(?:nc|nd|sa))", r"cc-by-[1-4]\.[0-5]"),
     ("cc", "creative commons", r"creative\s+commons(?:\s+\S+){0,4}?\s+licen[cs]e", r"cc"),
     ("odbl-1.0", "open database", r"open\s+database\s+licen[cs]e", r"odbl-1\.0"),
     ("odc-by-1.0", "open data commons", r"open\s+data\s+commons\s+attribution\s+licen[cs]e", r"odc-by-1\.0"),
@@ -152,6 +155,107 @@ TEXTS = (
     ("public-domain", "public domain", r"(?:placed|dedicated|released)\s+(?:in|into|to)\s+the\s+public\s+domain"),
     ("proprietary", "all rights reserved", r"all\s+rights\s+reserved"),
     ("proprietary", "proprietary and confidential", r"proprietary\s+and\s+confidential"),
+    ("mit", "without restriction, including", r"to\s+deal\s+in\s+the\s+software\s+without\s+restriction,\s+including\s+without\s+limitation"),
+    ("mit", "the software is provided", r"the\s+software\s+is\s+provided\s+[\"']*as\s+is[\"']*,?\s+without\s+warranty\s+of\s+any\s+kind,\s+express\s+or\s+implied"),
+    ("mit", "released under mit", r"released\s+under\s+mit(?!\w)"),
+    ("mit", "tldrlegal.com/license", r"https?://(?:www\.)?tldrlegal\.com/license/mit"),
+    ("mit", "choosealicense.com", r"https?://choosealicense\.com/licenses/mit"),
+    ("mit-0", "aws/mit-0", r"github\.com/aws/mit-0"),
+    ("isc", "opensource.org/license/isc", r"https?://opensource\.org/license/isc"),
+    ("0bsd", "permission to use, copy", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose\s+with\s+or\s+without\s+fee\s+is\s+hereby\s+granted\.(?!\s*provided)"),
+    ("bsd", "must retain the above copyright", r"redistributions\s+of\s+source\s+code\s+must\s+retain\s+the\s+above\s+copyright\s+notice"),
+    ("bsd", "must reproduce the above copyright", r"redistributions\s+in\s+binary\s+form\s+must\s+reproduce\s+the\s+above\s+copyright\s+notice"),
+    ("bsd", "use of this source code is governed", r"use\s+of\s+this\s+source\s+code\s+is\s+governed\s+by\s+a\s+bsd"),
+    ("bsd-3-clause", "choosealicense.com", r"https?://choosealicense\.com/licenses/bsd-3-clause"),
+    ("bsd-2-clause", "choosealicense.com", r"https?://choosealicense\.com/licenses/bsd-2-clause"),
+    ("bsd-4-clause", "this product includes software", r"this\s+product\s+includes\s+software\s+developed\s+by\s+the\s+university\s+of\s+california"),
+    ("apache-1.1", "this product includes software", r"this\s+product\s+includes\s+software\s+developed\s+by\s+the\s+apache\s+software\s+foundation\s+\(https?://www\.apache\.org/\)"),
+    ("apache-2.0", "apache software foundation", r"licensed\s+to\s+the\s+apache\s+software\s+foundation\s+\(asf\)\s+under\s+one"),
+    ("apache-2.0", "warranties or conditions of any kind", r"on\s+an\s+[\"']*as\s+is[\"']*\s+basis,\s+without\s+warranties\s+or\s+conditions\s+of\s+any\s+kind"),
+    ("apache-2.0", "terms and conditions for use", r"apache\s+license\s+version\s+2\.0,?\s+january\s+2004(?s:.){0,80}terms\s+and\s+conditions\s+for\s+use"),
+    ("apache-2.0", "choosealicense.com", r"https?://choosealicense\.com/licenses/apache-2\.0"),
+    ("apache-2.0", "apache 2", r"apache\s+2\s+licen[cs]e"),
+    ("gpl", "this program is free software", r"this\s+program\s+is\s+free\s+software[;:,]\s+you\s+can\s+redistribute\s+it\s+and/or\s+modify"),
+    ("gpl", "you should have received a copy", r"you\s+should\s+have\s+received\s+a\s+copy\s+of\s+the\s+gnu\s+general\s+public\s+licen[cs]e"),
+    ("gpl", "for software", r"the\s+gnu\s+general\s+public\s+licen[cs]e\s+is\s+a\s+free,\s+copyleft\s+licen[cs]e\s+for\s+software"),
+    ("gpl-2.0", "version 2 of the licen", r"gnu\s+general\s+public\s+licen[cs]e(?s:.){1,90}?either\s+version\s+2\s+of\s+the\s+licen[cs]e"),
+    ("gpl-3.0", "version 3 of the licen", r"gnu\s+general\s+public\s+licen[cs]e(?s:.){1,90}?either\s+version\s+3\s+of\s+the\s+licen[cs]e"),
+    ("gpl-2.0", "gplv2", r"(?<![la])gplv2(?!\w)"),
+    ("gpl-3.0", "gplv3", r"(?<![la])gplv3(?!\w)"),
+    ("lgpl-2.1", "lgplv2.1", r"lgplv2\.1(?!\w)"),
+    ("lgpl-3.0", "lgplv3", r"lgplv3(?!\w)"),
+    ("agpl-3.0", "agplv3", r"agplv3(?!\w)"),
+    ("lgpl", "this library is free software", r"this\s+library\s+is\s+free\s+software[;:,]\s+you\s+can\s+redistribute\s+it\s+and/or\s+modify"),
+    ("lgpl", "you should have received a copy", r"you\s+should\s+have\s+received\s+a\s+copy\s+of\s+the\s+gnu\s+(?:lesser|library)\s+general\s+public"),
+    ("agpl", "you should have received a copy", r"you\s+should\s+have\s+received\s+a\s+copy\s+of\s+the\s+gnu\s+affero\s+general\s+public"),
+    ("agpl-3.0", "remote network interaction", r"remote\s+network\s+interaction;\s+use\s+with\s+the\s+gnu\s+general\s+public"),
+    ("gfdl", "invariant sections", r"with\s+no\s+invariant\s+sections,\s+no\s+front-cover\s+texts"),
+    ("gfdl", "gnu.org/copyleft", r"https?://www\.gnu\.org/copyleft/fdl"),
+    ("gpl", "gnu.org/copyleft", r"https?://www\.gnu\.org/copyleft/gpl"),
+    ("lgpl", "gnu.org/copyleft", r"https?://www\.gnu\.org/copyleft/lesser"),
+    ("classpath-exception", "as a special exception", r"as\s+a\s+special\s+exception,\s+the\s+copyright\s+holders\s+of\s+this\s+library\s+give\s+you\s+permission\s+to\s+link"),
+    ("mpl-2.0", "subject to the terms of the mozilla", r"this\s+source\s+code\s+form\s+is\s+subject\s+to\s+the\s+terms\s+of\s+the\s+mozilla\s+public"),
+    ("mpl-1.1", "the contents of this file are subject", r"the\s+contents\s+of\s+this\s+file\s+are\s+subject\s+to\s+the\s+mozilla\s+public\s+licen[cs]e"),
+    ("mpl-2.0", "incompatible with secondary", r"incompatible\s+with\s+secondary\s+licen[cs]es"),
+    ("cddl-1.0", "opensource.org/licenses", r"https?://(?:www\.)?opensource\.org/licenses/cddl"),
+    ("cddl-1.0", "usr/src/opensolaris", r"usr/src/opensolaris\.licen[cs]e"),
+    ("epl-2.0", "available under the terms of the eclipse", r"made\s+available\s+under\s+the\s+terms\s+of\s+the\s+eclipse\s+public\s+licen[cs]e\s+(?:v\.?\s*)?2"),
+    ("epl-1.0", "available under the terms of the eclipse", r"made\s+available\s+under\s+the\s+terms\s+of\s+the\s+eclipse\s+public\s+licen[cs]e\s+v(?:ersion\s+)?1"),
+    ("artistic-2.0", "perlfoundation.org", r"https?://www\.perlfoundation\.org/artistic_license_2_0"),
+    ("artistic-1.0", "the intent of this document", r"the\s+intent\s+of\s+this\s+document\s+is\s+to\s+state\s+the\s+conditions\s+under\s+which\s+a\s+package\s+may\s+be\s+copied"),
+    ("artistic-2.0", "everyone is permitted to copy", r"everyone\s+is\s+permitted\s+to\s+copy\s+and\s+distribute\s+verbatim\s+copies\s+of\s+this\s+licen[cs]e\s+document,\s+but\s+changing\s+it\s+is\s+not\s+allowed\.(?s:.){0,40}artistic"),
+    ("perl", "under the same terms as", r"under\s+the\s+same\s+terms\s+as\s+perl"),
+    ("zlib", "the origin of this software", r"the\s+origin\s+of\s+this\s+software\s+must\s+not\s+be\s+misrepresented"),
+    ("zlib", "altered source versions", r"altered\s+source\s+versions\s+must\s+be\s+plainly\s+marked\s+as\s+such"),
+    ("libpng", "libpng.org", r"https?://www\.libpng\.org/pub/png/src/libpng-license"),
+    ("bsl-1.0", "permission is hereby granted", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+or\s+organization\s+obtaining\s+a\s+copy"),
+    ("unlicense", "anyone is free to copy", r"anyone\s+is\s+free\s+to\s+copy,\s+modify,\s+publish,\s+use,\s+compile,\s+sell"),
+    ("wtfpl", "you just do what", r"you\s+just\s+do\s+what\s+the\s+\S+\s+you\s+want\s+to"),
+    ("beerware", "you can buy me a beer", r"you\s+can\s+buy\s+me\s+a\s+beer\s+in\s+return"),
+    ("ofl-1.1", "open font", r"this\s+font\s+software\s+is\s+licen[cs]ed\s+under\s+the\s+sil\s+open\s+font"),
+    ("ofl-1.1", "reserved font name", r"with\s+reserved\s+font\s+names?"),
+    ("psf-2.0", "psf licen|python software", r"psf\s+licen[cs]e\s+agreement|python\s+software\s+foundation\s+licen[cs]e\s+version\s+2"),
+    ("openssl", "openssl project for use", r"developed\s+by\s+the\s+openssl\s+project\s+for\s+use\s+in\s+the\s+openssl\s+toolkit"),
+    ("php-3.01", "php.net/license", r"https?://www\.php\.net/license/3_01"),
+    ("php-3.01", "this product includes php", r"this\s+product\s+includes\s+php\s+software"),
+    ("postgresql", "in no event shall the university of california", r"in\s+no\s+event\s+shall\s+the\s+university\s+of\s+california\s+be\s+liable"),
+    ("curl", "permission to use, copy", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and\s+distribute\s+this\s+software\s+for\s+any\s+purpose\s+with\s+or\s+without\s+fee\s+is\s+hereby\s+granted,\s+provided"),
+    ("json", "shall be used for good", r"the\s+software\s+shall\s+be\s+used\s+for\s+good,\s+not\s+evil"),
+    ("w3c", "w3.org/consortium/legal", r"https?://www\.w3\.org/consortium/legal/(?:\d+/)?copyright-software"),
+    ("ms-pl", "opensource.org/licenses", r"https?://(?:www\.)?opensource\.org/licenses/ms-pl"),
+    ("ms-pl", "if you bring a patent claim", r"if\s+you\s+bring\s+a\s+patent\s+claim\s+against\s+any\s+contributor\s+over\s+patents"),
+    ("eupl-1.2", "joinup.ec.europa.eu", r"https?://joinup\.ec\.europa\.eu/\S*eupl"),
+    ("eupl-1.2", "eupl", r"licen[cs]ed\s+under\s+the\s+eupl"),
+    ("cecill-2.1", "cecill.info", r"https?://(?:www\.)?cecill\.info"),
+    ("sspl-1.0", "mongodb.com/licensing", r"https?://www\.mongodb\.com/licensing/server-side-public-license"),
+    ("busl-1.1", "change date", r"change\s+date:(?s:.){0,120}?change\s+licen[cs]e:"),
+    ("busl-1.1", "mariadb.com/bsl11", r"https?://(?:www\.)?mariadb\.com/bsl11"),
+    ("elastic-2.0", "elastic.co/licensing", r"https?://www\.elastic\.co/licensing/elastic-license"),
+    ("commons-clause", "commons clause", r"commons\s+clause\s+licen[cs]e\s+condition"),
+    ("polyform", "polyform", r"polyform\s+(?:noncommercial|small\s+business|strict|shield)\s+licen[cs]e"),
+    ("hippocratic", "hippocratic", r"hippocratic\s+licen[cs]e"),
+    ("cc-by", "attribution 4.0 international", r"(?<!\w)attribution\s+4\.0\s+international"),
+    ("cc-by-sa", "attribution-sharealike", r"attribution-sharealike\s+[1-4]\.[0-5]"),
+    ("cc-by-nc", "attribution-noncommercial", r"attribution-noncommercial\s+[1-4]\.[0-5]"),
+    ("cc-by-nd", "attribution-noderiv", r"attribution-noderiv(?:ative)?s\s+[1-4]\.[0-5]"),
+    ("cc-by-nc-sa", "attribution-noncommercial-sharealike", r"attribution-noncommercial-sharealike\s+[1-4]\.[0-5]"),
+    ("cc-by-nc-nd", "attribution-noncommercial-noderiv", r"attribution-noncommercial-noderiv(?:ative)?s\s+[1-4]\.[0-5]"),
+    ("cc0-1.0", "no copyright", r"the\s+person\s+who\s+associated\s+a\s+work\s+with\s+this\s+deed(?s:.){0,80}no\s+copyright|waived\s+all\s+copyright(?s:.){0,60}no\s+copyright"),
+    ("cc0-1.0", "waived all copyright", r"has\s+waived\s+all\s+copyright\s+and\s+related\s+or\s+neighbou?ring\s+rights"),
+    ("odbl-1.0", "opendatacommons.org", r"https?://(?:www\.)?opendatacommons\.org/licenses/odbl"),
+    ("odc-by-1.0", "opendatacommons.org", r"https?://(?:www\.)?opendatacommons\.org/licenses/by"),
+    ("pddl-1.0", "opendatacommons.org", r"https?://(?:www\.)?opendatacommons\.org/licenses/pddl"),
+    ("ogl-uk-3.0", "open government", r"open\s+government\s+licen[cs]e\s+v(?:ersion\s+)?3(?:\.0)?"),
+    ("ogl-uk-3.0", "nationalarchives.gov.uk", r"https?://www\.nationalarchives\.gov\.uk/doc/open-government-licence"),
+    ("etalab-2.0", "licence ouverte", r"licence\s+ouverte(?:\s*/\s*open\s+licen[cs]e)?"),
+    ("openrail", "use-based restrictions", r"use-based\s+restrictions\s+as\s+referenced\s+in\s+paragraph\s+5"),
+    ("llama-community", "llama", r"llama\s+\d(?:\.\d)?\s+community\s+licen[cs]e"),
+    ("gemma", "gemma terms", r"gemma\s+terms\s+of\s+use"),
+    ("public-domain", "no copyright is claimed", r"no\s+copyright\s+is\s+claimed"),
+    ("public-domain", "public domain mark", r"public\s+domain\s+mark\s+1\.0"),
+    ("proprietary", "trade secret|confidential and", r"confidential\s+and\s+proprietary|trade\s+secrets?\s+of"),
+    ("proprietary", "end user licen", r"end\s+user\s+licen[cs]e\s+agreement"),
+    ("proprietary", "may not be reproduced", r"may\s+not\s+be\s+reproduced(?:,\s+\w+){0,4}\s+(?:or\s+\w+\s+)?without\s+(?:the\s+)?(?:express\s+|prior\s+)*written\s+(?:permission|consent)"),
 )
 
 
@@ -162,6 +266,10 @@ class Rule:
     pattern: str
     priority: int
     score: float
+    opening: str = ""  # how a match begins, where many rules share that; found once for all of them
+
+
+_CLASSIFIER, _NOTICE, _FIELD = r"licen[cs]e\s*::\s*osi", r"licen[cs]ed\s+under\s", r"(?<!\w)licen[cs]e\"?\s*[:=]"
 
 
 def rules() -> list[Rule]:
@@ -170,10 +278,10 @@ def rules() -> list[Rule]:
     for label, keyword, name, ident in NAMES:
         made += [
             Rule(label, "spdx-license-identifier", rf"spdx-license-identifier:\s*(?:{ident})(?![\w.-])", 90, 1.0),
-            Rule(label, keyword, rf"licen[cs]e\s*::\s*osi\s+approved\s*::\s*(?:{name})", 80, 1.0),
-            Rule(label, keyword, rf"licen[cs]ed\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:gnu\s+)?(?:{name})(?!\w)", 70, 0.95),
+            Rule(label, keyword, rf"licen[cs]e\s*::\s*osi\s+approved\s*::\s*(?:{name})", 80, 1.0, _CLASSIFIER),
+            Rule(label, keyword, rf"licen[cs]ed\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:gnu\s+)?(?:{name})(?!\w)", 70, 0.95, _NOTICE),
             Rule(label, keyword, rf"(?<!\w)(?:{name})(?!\w)", 50, 0.8),
-            Rule(label, "licen", rf"(?<!\w)licen[cs]e\"?\s*[:=]\s*[\"']?(?:{ident})(?![\w.-])", 60, 0.9),
+            Rule(label, "licen", rf"(?<!\w)licen[cs]e\"?\s*[:=]\s*[\"']?(?:{ident})(?![\w.-])", 60, 0.9, _FIELD),
         ]
     made += [Rule(label, keyword, pattern, 65, 0.9 if label != "proprietary" else 0.5) for label, keyword, pattern in TEXTS]
     return sorted(made, key=lambda r: -r.priority)
@@ -182,6 +290,7 @@ def rules() -> list[Rule]:
 class Scanner:
     def __init__(self, table: list[Rule]):
         self.rules = [(r, re.compile(r.pattern)) for r in table]
+        self.openings = {o: re.compile(o) for o in {r.opening for r in table} if o}
         by_keyword: dict[str, list[int]] = {}
         for n, r in enumerate(table):
             for k in r.keyword.split("|"):
@@ -197,14 +306,33 @@ class Scanner:
         for _, own in self.keywords.iter(" ".join(lower.split())):
             due.update(own)
         found = []
+        opened = {"": True} | {o: p.search(lower) is not None for o, p in self.openings.items()} if due else {}
         for n in sorted(due):
             rule, pattern = self.rules[n]
+            if not opened[rule.opening]:
+                continue
             found += [(-rule.priority, m.start() - m.end(), m.start(), m.end(), rule.label, rule.score) for m in pattern.finditer(lower)]
-        kept: list[tuple[int, int, str, float]] = []
-        for _, _, start, end, label, score in sorted(found):
-            if not any(s <= start and end <= e for s, e, _, _ in kept):
-                kept.append((start, end, label, score))
-        return sorted(kept)
+        return sorted((start, end, label, score) for start, end, label, score in _outermost(found))
+
+
+def _outermost(found: list[tuple]) -> Iterator[tuple[int, int, str, float]]:
+    """Detections in their order, without those inside an earlier one that was kept.
+
+    ``tree`` holds greatest ends of kept detections by start (a Fenwick tree over the starts there are).
+    """
+    place = {s: n for n, s in enumerate(sorted({f[2] for f in found}), 1)}
+    tree = [0] * (len(place) + 1)
+    for _, _, start, end, label, score in sorted(found):
+        at = place[start]
+        while at and tree[at] < end:
+            at &= at - 1
+        if at:
+            continue  # one that starts no later ends no earlier
+        at = place[start]
+        while at < len(tree):
+            tree[at] = max(tree[at], end)
+            at += at & -at
+        yield start, end, label, score
 
 
 @lru_cache(maxsize=1)
@@ -220,10 +348,11 @@ def base_places(low: bytes) -> tuple[int, list[tuple[int, str]]]:
     if b"license" in low:
         joined = b" " + b" ".join(words) + b" "
         for phrase, label in BASE:
-            at = joined.find(b" " + phrase + b" ")
+            at, last, before = joined.find(b" " + phrase + b" "), 0, 0
             while at >= 0:
-                places.append((joined.count(b" ", 0, at), label))
-                at = joined.find(b" " + phrase + b" ", at + 1)
+                before += joined.count(b" ", last, at)
+                places.append((before, label))
+                last, at = at, joined.find(b" " + phrase + b" ", at + 1)
     return len(words), sorted(places)
 
 

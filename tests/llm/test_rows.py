@@ -171,6 +171,17 @@ def test_quality_rows(edge, corpus, edge_rows, texts):
             assert not (r.kept and r.base_failed)
 
 
+def test_windows_that_share_a_key(spark):
+    """With one key for all windows every neighbour clashes, so the windows themselves are sorted."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(1)
+    rows = [(n, " ".join(r.choice("abcd") for _ in range(n))) for n in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same = quality._repeat_words(quality._words(F.col("text")), lambda x: F.xxhash64(x) * 0)
+    assert dict(df.select("doc_id", same).collect()) == {n: measures(t)[4] for n, t in rows}
+
+
 def test_quality_plan_has_no_python(corpus):
     plan = quality.quality_rows(corpus)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
@@ -221,6 +232,44 @@ def test_pii_adds_checked_kinds(spark):
     assert [x.split(":")[0] for x in got[0].spans.split(",")] == ["iban", "ssn"] and got[1].spans == ""
 
 
+def test_context_moves_scores(spark):
+    one = "DE89 3704 0044 0532 0130 00"
+    rows = [(1, f"iban {one}"), (2, one), (3, f"order {one}"), (4, "device 00:1A:2b:3C:4d:5E"), (5, "00:1A:2b:3C:4d:5E"), (6, "order a@b.org"), (7, "passport C01234567"), (8, "C01234567")]
+    got = {r.doc_id: (r.n_spans, r.score) for r in pii.pii_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 0.75), 2: (1, 0.55), 3: (0, 0.0), 4: (1, 0.65), 5: (0, 0.0), 6: (1, 0.7), 7: (1, 0.55), 8: (0, 0.0)}
+
+
+def test_base_kinds_clear_the_threshold_in_any_context():
+    assert all(k.score - k.malus >= pii.THRESHOLD for k in pii.KINDS if k.name in pii.BASE_KINDS)
+
+
+def test_many_matches_in_one_text(spark):
+    r = random.Random(5)
+    pieces = [r.choice([f"u{n}@x{n}.org", f"+1 (212) 555-{n % 10000:04}", f"10.0.{n % 300}.7", "é plain 😀", f"DE89 3704 0044 0532 0130 00 x{n}@y.de"]) for n in range(30_000)]
+    text = " ".join(pieces)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.pii_rows(df).first()
+    assert tuple(got)[1:5] == personal(text)[:4] and got.base_sha256 == sha(personal(text)[4])
+    want, at = "", 0
+    for kind, start, end in (x.split(":") for x in got.spans.split(",")):
+        if int(start) >= at:
+            want += text[at : int(start)] + f"<{kind.upper()}>"
+        at = max(at, int(end))
+    assert pii.redact(df).first().text == want + text[at:]
+
+
+def test_names_with_dots(spark):
+    rows = [(1, "mail a@b.org " + "the of and " * 30, "x", "y", 5)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "a.b", "kept_columns", "c0"])
+    assert pii.redact(df).columns == df.columns and quality.keep_good(df).columns == df.columns
+    assert pii.redact(df).first()["a.b"] == "x" and pii.redact(df).first().c0 == 5
+
+
+def test_empty_tables(empty):
+    for rows in (secretscan.secret_rows, licences.license_rows, pii.pii_rows, pii.redact, quality.quality_rows):
+        assert rows(empty).count() == 0
+
+
 def test_redaction(spark, edge):
     got = {r.doc_id: r for r in pii.redact(edge.where("doc_id IN (1, 2, 12)")).collect()}
     assert got[1].text is None and got[2].text == "" and got[12].n_chars == len(got[12].text)
