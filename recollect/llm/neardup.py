@@ -7,10 +7,14 @@ probability at most 2 * (1 - s ** DEPTH) ** SIDE, about 2e-5 at 0.85 and under 1
 
 Within a table key no list of all pairs is made. First every member is compared with one hub, the member
 that meets most others over all its tables; the links found join into components, which settles groups of
-near copies in one comparison per member. Only members of one key that are still apart are then compared
+near copies in one comparison per member. A hub's members are dealt to tasks of bounded size, each of which gets the
+hub's set once. Only members of one key that are still apart are then compared
 with each other, in cells of bounded size, first on their minhashes and then on their sets; a cell yields only
-the links that join components, and these are confirmed once more on full 64-bit sets. The minhash test keeps a pair with at least AGREE of all minhashes equal; a pair at 0.85 fails it with
-probability under 1e-6.
+the links that join components. Every comparison is of full sets of 64-bit shingle hashes. The minhash test keeps a pair
+with at least AGREE of all minhashes equal; a pair at 0.85 fails it with probability under 1e-6.
+
+Texts are read twice: for the signatures, and for the sets of the classes that meet another in some table, which are
+written once and used by both rounds of comparison.
 
 Texts are read whole, lower-cased in A-Z and split at white space. Null or empty texts, and texts of white
 space, have no shingles and link with nothing. With fewer words than a shingle has, all words make one.
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, arrow_schema, materialise
+from .common import LOWER_AZ, arrow_schema, kept_struct, materialise, named, unkept
 from ..operators.components import components
 
 MEMO_LIMIT = 2_000_000
@@ -46,6 +50,8 @@ class Params:
     depth: int = 2
     cell: int = 2048  # members of a block; two blocks are compared in one task
     cell_shingles: int = 4_000_000  # shingles of a block
+    spokes: int = 4096  # members that one task compares with a hub
+    spoke_shingles: int = 4_000_000  # their shingles
 
     @property
     def hashes(self) -> int:
@@ -119,9 +125,14 @@ def class_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def text_digest(text: str | None) -> bytes:
+    """The same in Spark: unhex(md5(text)), of a null text that of an empty one."""
+    return hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest()
+
+
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n_shingles, class (null without shingles), sub-keys of both sides, 16 bits of every minhash."""
-    ddl = "doc_id long, n_shingles long, class long, sub array<long>, low binary"
+    """doc_id, n_shingles, class (null without shingles), sub-keys of both sides, 16 bits of every minhash, digest of the text."""
+    ddl = "doc_id long, n_shingles long, class long, sub array<long>, low binary, digest binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,65 +141,69 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                 s = shingle_set(text, p.shingle)
                 if len(s):
                     low = minhashes(s, p.hashes)
-                    rows.append((doc_id, len(s), class_id(s), _sub_keys(low, p.depth), low.astype("<u2").tobytes()))
+                    rows.append((doc_id, len(s), class_id(s), _sub_keys(low, p.depth), low.astype("<u2").tobytes(), text_digest(text)))
                 else:
-                    rows.append((doc_id, 0, None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, out)], schema=out)
+                    rows.append((doc_id, 0, None, None, None, text_digest(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(out), out)], schema=out)
 
     out = arrow_schema(docs.sparkSession, ddl)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
 
 
 def _sets(docs: DataFrame, needed: DataFrame, p: Params) -> DataFrame:
-    """class, full set and its low 32 bits packed, for the classes in ``needed`` (class, rep) only; texts are read again."""
+    """class and full set, packed, for the classes in ``needed`` (class, and rep and digest of one of its rows) only."""
+    ddl = "class long, packed binary"
+    out = arrow_schema(docs.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, p.shingle) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([s.view(np.int64) for s in sets], out.field(1).type),
-                    pa.array([s.astype("<u4").tobytes() for s in sets], pa.binary()),
-                ],
-                schema=out,
-            )
-
-    ddl = "class long, shingles array<long>, packed binary"
-    out = arrow_schema(docs.sparkSession, ddl)
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    wanted = texts.join(needed.select("rep").distinct(), texts["rep"].eqNullSafe(needed["rep"]), "left_semi").select("text")
-    made = wanted.mapInArrow(run, ddl)
-    return made.join(needed.select("class"), "class", "left_semi").dropDuplicates(["class"])
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the threshold."""
-    sizes = classes.select("class", "n_shingles")
-    near = (
-        pairs.join(sizes.withColumnsRenamed({"class": "a", "n_shingles": "na"}), "a")
-        .join(sizes.withColumnsRenamed({"class": "b", "n_shingles": "nb"}), "b")
-        .where(100 * F.least("na", "nb") >= p.percent * F.greatest("na", "nb"))
-    )
-    near = materialise(near, "pairs")
-    ends = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = _sets(docs, classes.join(ends, "class", "left_semi").select("class", "rep"), p)
-    sets = materialise(sets.select("class", "shingles"), "sets")
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return (
-        near.join(sets.withColumnsRenamed({"class": "b", "shingles": "sb"}), "b")
-        .join(sets.withColumnsRenamed({"class": "a", "shingles": "sa"}), "a")
-        .select("a", "b", "na", "nb", both.alias("i"))
-        .where(100 * F.col("i") >= p.percent * (F.col("na") + F.col("nb") - F.col("i")))
-        .select("a", "b")
-    )
+            sets = [shingle_set(t, p.shingle) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], schema=out)
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("hash"), text.alias("text"))
+    asked = rows.join(needed.select("class", "rep", "digest"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("hash") == F.col("digest")))
+    return asked.select("class", "text").dropDuplicates(["class"]).mapInArrow(run, ddl)
+
+
+def _reach(common: np.ndarray, n: np.ndarray, m: int, p: Params) -> np.ndarray:
+    return 100 * common >= p.percent * (n + m - common)
+
+
+def _spokes(t: pa.Table, p: Params) -> pa.Table:
+    """The members of a group that link with their hub, the row whose ``class`` is the hub."""
+    ids, hub = t["class"].to_numpy(), t["hub"][0].as_py()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["packed"]]
+    own = sets[int(np.flatnonzero(ids == hub)[0])]
+    rest = [k for k in range(len(ids)) if ids[k] != hub]
+    linked = []
+    for k in rest:
+        at = np.searchsorted(own, sets[k])
+        common = np.count_nonzero(own[np.minimum(at, len(own) - 1)] == sets[k])
+        if _reach(common, len(sets[k]), len(own), p):
+            linked.append(ids[k])
+    b = np.array(linked, np.int64)
+    return pa.table({"a": np.minimum(b, hub), "b": np.maximum(b, hub)})
+
+
+def _star_links(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """The pairs (class, hub) whose sets reach the threshold; pairs whose sizes rule it out move no set."""
+    both = pairs.join(sizes, "class").join(sizes.withColumnsRenamed({"class": "hub", "n_shingles": "hub_shingles"}), "hub")
+    near = materialise(both.where(100 * F.least("n_shingles", "hub_shingles") >= p.percent * F.greatest("n_shingles", "hub_shingles")), "near")
+    load = near.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("members") / F.lit(p.spokes)), F.ceil(F.col("shingles") / F.lit(p.spoke_shingles))).cast("int")
+    dealt = load.select("hub", parts.alias("parts"))
+    members = near.join(dealt, "hub").select("hub", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), "class")
+    hubs = dealt.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("class"))
+    rows = members.unionByName(hubs).join(sets, "class")
+    return rows.groupBy("hub", "part").applyInArrow(lambda t: _spokes(t, p), "a long, b long")
 
 
 def _joined(t: pa.Table, p: Params) -> pa.Table:
     """Links between the components of one cell: a spanning forest of its pairs at or over the threshold."""
     ids, root, n, part = (t[c].to_numpy().copy() for c in ("class", "root", "n_shingles", "part"))
     low = np.frombuffer(b"".join(t["low"].to_pylist()), "<u2").reshape(len(t), p.hashes)
-    sets = [np.frombuffer(x, "<u4") for x in t["packed"].to_pylist()]
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["packed"]]
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum([len(x) for x in sets])
     marked = np.zeros(int(token.max()) + 1, bool)
@@ -209,7 +224,7 @@ def _joined(t: pa.Table, p: Params) -> pa.Table:
             pieces = [token[ends[j] - len(sets[j]) : ends[j]] for j in some]
             starts = np.cumsum([0, *(len(x) for x in pieces[:-1])])
             common = np.add.reduceat(marked[np.concatenate(pieces)].astype(np.int64), starts)
-            for j in some[100 * common >= p.percent * (n[some] + n[i] - common)].tolist():
+            for j in some[_reach(common, n[some], n[i], p)].tolist():
                 if root[j] != root[i]:
                     found_a.append(ids[i])
                     found_b.append(ids[j])
@@ -220,7 +235,7 @@ def _joined(t: pa.Table, p: Params) -> pa.Table:
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _apart(rooted: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+def _apart(rooted: DataFrame, classes: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """Links that join components which still meet in a table key.
 
     ``rooted``: key, class, root. Whoever meets another component in any key is compared, on full sets, within
@@ -242,17 +257,16 @@ def _apart(rooted: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) ->
     rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.when((F.col("blocks") == 1) | (F.col("block") == F.col("other")), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
     rows = rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), part.cast("long").alias("part"), "class", "root", "n_shingles")
-    sets = _sets(docs, about.select("class", "rep"), p).select("class", "packed")
     whole = rows.join(about.select("class", "low").join(sets, "class"), "class")
     return whole.groupBy("cell").applyInArrow(lambda t: _joined(t, p), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable) and kept, one row per input row."""
-    p = params or Params()
+def _labelled(docs: DataFrame, p: Params) -> DataFrame:
+    """doc_id, n_shingles, class, digest, and root: the component's smallest class (null without shingles)."""
     signed = materialise(signatures(docs, p), "signatures")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))  # the row whose text stands for the class
     classes = signed.where("class IS NOT NULL").groupBy("class").agg(
-        F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.any_value("sub").alias("sub"), F.min("low").alias("low")
+        one["doc_id"].alias("rep"), one["digest"].alias("digest"), F.min("n_shingles").alias("n_shingles"), F.any_value("sub").alias("sub"), F.min("low").alias("low")
     )
     classes = materialise(classes, "classes")
 
@@ -265,29 +279,48 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(keys.join(shared, "key"), "members")
 
-    met = members.groupBy("class").agg(F.sum("n").alias("met"))
+    met = materialise(members.groupBy("class").agg(F.sum("n").alias("met")), "met")
     hubs = members.join(met, "class").groupBy("key").agg(F.max(F.struct("met", "class"))["class"].alias("hub"))
     starred = materialise(members.join(hubs, "key").select("key", "class", "hub"), "starred")
-    star = starred.where("class <> hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
-    links = materialise(_confirmed(star, classes, docs, p), "links")
+    sets = materialise(_sets(docs, classes.join(met, "class", "left_semi"), p), "sets")
+    pairs = starred.where("class <> hub").select("class", "hub").distinct()
+    links = materialise(_star_links(pairs, classes.select("class", "n_shingles"), sets, p), "links")
 
     roots = components(links).withColumnRenamed("node", "class")
-    rooted = starred.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rest = materialise(_apart(rooted, classes, docs, p), "apart")
-    more = _confirmed(rest, classes, docs, p)
+    rooted = starred.select("key", "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    more = materialise(_apart(rooted, classes, sets, p), "apart")
     roots = components(links.unionByName(more)).withColumnRenamed("node", "class")
+    rows = signed.select("doc_id", "n_shingles", "class", "digest").join(roots, "class", "left")
+    return rows.withColumn("root", F.coalesce("root", "class"))
 
-    whole = classes.select("class", "rep").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = whole.join(least, "root").select("class", "component_id")
-    rows = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable) and kept, one row per input row."""
+    rows = materialise(_labelled(docs, params or Params()), "labelled")
+    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = rows.join(least, "root", "left")
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """The input's rows, one of each component: the one with the smallest id, of repeated rows one, of rows without id one per text."""
-    kept = near_duplicates(docs, params).where("kept").select("doc_id").distinct()
-    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    named = chosen.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(chosen.where("doc_id IS NULL").dropDuplicates(["text"]))
+    """The input's rows, one of each component: that with the smallest id (rows without id last), then the smallest digest of text.
+
+    Texts without words are components by themselves, one for each id and text. Two rows that share an id but no component
+    both stay. Of rows with equal id and text the one with the smallest hash over all columns stays.
+    """
+    rows = materialise(_labelled(docs, params or Params()), "labelled")
+    own = F.coalesce(F.col("root").cast("string"), F.concat_ws(":", F.lit("none"), F.col("doc_id").cast("string"), F.hex("digest")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    first = rows.groupBy(own.alias("own")).agg(F.min(order).alias("x")).select("x.doc_id", "x.digest")
+    copies = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    chosen = first.join(copies, first["doc_id"].eqNullSafe(copies["doc_id"]) & (first["digest"] == copies["digest"])).select(
+        first["doc_id"].alias("chosen_id"), first["digest"].alias("chosen_digest"), "copies"
+    )
+    chosen = materialise(chosen, "chosen")
+    every = kept_struct(docs, docs.columns)
+    wide = docs.select(every.alias("kept_columns"), named("doc_id").cast("long").alias("id"),
+                       F.unhex(F.md5(F.coalesce(named("text").cast("string"), F.lit("")).cast("binary"))).alias("digest"), F.xxhash64(every).alias("h"))
+    wide = wide.join(chosen, F.col("id").eqNullSafe(F.col("chosen_id")) & (F.col("digest") == F.col("chosen_digest")))
+    many = wide.where("copies > 1").groupBy("id", "digest").agg(F.min_by("kept_columns", "h").alias("kept_columns"))
+    return wide.where("copies = 1").select("kept_columns").unionByName(many.select("kept_columns")).select(*unkept(docs))

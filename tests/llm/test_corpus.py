@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from recollect.llm import eliasfano, lm, neardup, packing, registry, topk
@@ -232,6 +233,36 @@ def test_families_of_copies(spark):
     assert len({c for _, _, c, _ in want}) > 8
     assert Counter(map(tuple, neardup.near_duplicates(df, neardup.Params(cell=8)).collect())) == want
     assert Counter(map(tuple, neardup.near_duplicates(df).collect())) == want
+    assert Counter(map(tuple, neardup.near_duplicates(df, neardup.Params(spokes=3)).collect())) == want
+
+
+def test_shingles_alike_in_their_low_bits(spark, monkeypatch):
+    """Sets whose 64-bit hashes agree in the low 32 bits are told apart, and no link beside them is lost."""
+    whole = neardup.shingle_set
+
+    def clashing(text, size):
+        s = whole(text, size)
+        return np.unique((s & np.uint64(0xFFFFFFFF00000000)) | np.uint64(7))
+
+    r = random.Random(9)
+    sets = [clashing(" ".join(r.choice("abcdefgh") for _ in range(60)), 3) for _ in range(12)]
+    sets += [np.union1d(x[:-1], x[:1] + np.uint64(1 << 32)) for x in sets[:6]]
+    p = neardup.Params(cell=4)
+    rows = [(n, n, len(s), 0, np.zeros(p.hashes, "<u2").tobytes(), s.tobytes()) for n, s in enumerate(sets)]
+    t = pa.Table.from_pylist([dict(zip(("class", "root", "n_shingles", "part", "low", "packed"), x)) for x in rows])
+    got = {tuple(x.values()) for x in neardup._joined(t, p).to_pylist()}
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) for i in [len(np.intersect1d(sets[a], sets[b]))] if 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i)}
+    parts = lambda links: {frozenset(c) for c in closure(links, len(sets))}
+    assert want and got <= want and parts(got) == parts(want)
+
+
+def closure(links, n):
+    group = {i: {i} for i in range(n)}
+    for a, b in links:
+        both = group[a] | group[b]
+        for x in both:
+            group[x] = both
+    return group.values()
 
 
 def test_near_duplicates_empty(empty):
@@ -245,6 +276,16 @@ def test_one_of_each(edge, edge_rows):
     assert ids[5] == 1 and ids[7] == 0 and ids[1] == 1 and ids[None] == 1
 
 
+def test_one_of_each_with_repeated_and_missing_ids(spark):
+    r = random.Random(6)
+    a, b, c = (" ".join(r.choice(["x", "y", "z", "u", "v"]) + str(r.randint(0, 99)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "p"), (1, b, "q"), (2, b, "r"), (None, c, "s"), (None, c + " tail", "t"), (3, a, "u"), (1, a, "v"), (4, "", "w"), (4, "", "w"), (5, None, "x"), (None, None, "y")]
+    got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, `a.b` string"))
+    found = sorted(((x.doc_id, x.text) for x in got.collect()), key=str)
+    assert found == sorted([(1, a), (1, b), (4, ""), (5, None), (None, None), (None, min(c, c + " tail", key=neardup.text_digest))], key=str)
+    assert got.columns == ["doc_id", "text", "a.b"]
+
+
 # pipeline ------------------------------------------------------------------------------
 
 
