@@ -22,6 +22,18 @@ def _pack_low(low: np.ndarray, width: int) -> np.ndarray:
     return words
 
 
+def _nth_one(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where the n-th set bit (from 0) of each word stands; 64 if there is none."""
+    left, at = n.copy(), np.zeros(len(words), np.int64)
+    for step in (32, 16, 8, 4, 2, 1):
+        chunk = (words >> at.astype(np.uint64)) & ((_ONE << np.uint64(step)) - _ONE)
+        count = np.bitwise_count(chunk).astype(np.int64)
+        skip = count <= left
+        left -= np.where(skip, count, 0)
+        at += np.where(skip, step, 0)
+    return at
+
+
 class EliasFano:
     """A non-decreasing sequence: low bits packed, high parts in unary, with counts per word for selection."""
 
@@ -50,23 +62,27 @@ class EliasFano:
         rest = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return (first | rest) & ((_ONE << np.uint64(self.width)) - _ONE)
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at these places."""
+        i = i.astype(np.int64)
+        before = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros  # ones before each word
+        word = np.minimum(np.searchsorted(before, i, side="right") - 1, len(self.high) - 1)
+        bit = _nth_one(self.high[word], i - before[word])
+        high = (word * 64 + bit - i).astype(np.uint64)
+        return (high << np.uint64(self.width)) | self._lows(i)
+
     def _before_zero(self, k: np.ndarray) -> np.ndarray:
         """How many ones stand before the k-th zero (from 0): the values whose high part is at most k."""
         word = np.searchsorted(self.zeros, k, side="right") - 1
         inside = np.minimum(word, len(self.high) - 1)
-        left = (k - self.zeros[inside]).astype(np.int64)
-        free = ~self.high[inside]
-        at = np.zeros(len(k), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):
-            chunk = (free >> at.astype(np.uint64)) & ((_ONE << np.uint64(step)) - _ONE)
-            count = np.bitwise_count(chunk).astype(np.int64)
-            skip = count <= left
-            left -= np.where(skip, count, 0)
-            at += np.where(skip, step, 0)
+        at = _nth_one(~self.high[inside], (k - self.zeros[inside]).astype(np.int64))
         return np.minimum(inside * 64 + at - k, self.n)
 
-    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each x the index of the first value not under it, and whether that value equals x."""
+    def successor(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each x the index of the first value not under it, and whether that value equals x.
+
+        With bounds, only places from ``first`` up to but not including ``last`` are looked at.
+        """
         x = x.astype(np.uint64)
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
@@ -76,6 +92,8 @@ class EliasFano:
         top = np.minimum(top, limit - 1)
         end = self._before_zero(top)
         start = np.where(top > 0, self._before_zero(np.maximum(top - 1, 0)), 0)
+        if first is not None:
+            start, end = np.maximum(start, first), np.minimum(end, last)
         want = x & ((_ONE << np.uint64(self.width)) - _ONE)
         lo, hi = start.copy(), end.copy()
         while True:
@@ -96,25 +114,30 @@ class EliasFano:
 
 
 class BigramTrie:
-    """Levels of one shard: words, their context pointers, contexts relative to the word, quantised gains.
+    """Levels of one shard: words with quantised probabilities and counts, their pointers, contexts, quantised gains.
 
-    A context is known by its rank among the shard's contexts; rank plus word number times their count is
-    increasing over the whole level, so one Elias-Fano sequence holds it and a successor search from the
-    word's base finds a context. ``codes`` are gains in steps of 1 / STEPS of log10; ``unigram`` holds the
-    counts of the words.
+    The pointers bound each word's contexts in the level below. A context is known by its rank among the shard's
+    contexts; rank plus word number times their count is increasing over the whole level, so one Elias-Fano sequence
+    holds it, and a successor search between a word's pointers finds a context. ``codes`` are gains in steps of
+    1 / STEPS of log10, ``alone`` are log10 probabilities of the words by themselves in steps of 1 / FINE under 0;
+    ``unigram`` holds the words' counts, for whoever wants those.
     """
 
-    STEPS = 256
+    STEPS, FINE = 256, 2048
 
     def __init__(self, arrays: list[np.ndarray]):
         self.raw = arrays
         parts = [EliasFano(int(arrays[i][0]), int(arrays[i][1]), *arrays[i + 1 : i + 4]) for i in (0, 4, 8, 12)]
         self.words, self.contexts, self.pointers, self.level = parts
-        self.unigram, self.codes = arrays[16], arrays[17]
+        self.unigram, self.alone, self.codes = arrays[16], arrays[17], arrays[18]
+
+    @classmethod
+    def quantised(cls, log10: np.ndarray) -> np.ndarray:
+        return np.minimum(np.rint(-log10 * cls.FINE), 65535).astype(np.uint16)
 
     @classmethod
-    def build(cls, words: np.ndarray, counts: np.ndarray, of_word: np.ndarray, context: np.ndarray, gains: np.ndarray) -> BigramTrie:
-        """``words`` sorted with their counts; entries sorted by (word number, context), with log10 gains."""
+    def build(cls, words: np.ndarray, counts: np.ndarray, of_word: np.ndarray, context: np.ndarray, gains: np.ndarray, alone: np.ndarray) -> BigramTrie:
+        """``words`` sorted, with counts and log10 probabilities; entries sorted by (word number, context), with log10 gains."""
         known, rank = np.unique(context, return_inverse=True)
         span = max(1, len(known))
         sizes = np.bincount(of_word, minlength=len(words))
@@ -127,7 +150,7 @@ class BigramTrie:
             EliasFano.build(pointers, len(level) + 1),
             EliasFano.build(level, max(1, len(words)) * span),
         ]
-        return cls([a for s in sequences for a in s.arrays()] + [counts.astype(np.int64), codes])
+        return cls([a for s in sequences for a in s.arrays()] + [counts.astype(np.int64), cls.quantised(alone), codes])
 
     def word(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1 if unknown) and count of each word."""
@@ -137,14 +160,17 @@ class BigramTrie:
         return number, np.where(hit, count, 0)
 
     def gain(self, number: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """The log10 gain of each (word number, context) over the word alone; 0 where it was never seen."""
+        """The code of the gain of each (word number, context) over the word alone; 0 where it was never seen."""
         at, hit = self.contexts.successor(context)
-        out = np.zeros(len(number))
+        out = np.zeros(len(number), np.uint16)
         ask = np.flatnonzero(hit & (number >= 0))
+        if not len(ask):
+            return out
+        asked, of_ask = np.unique(number[ask], return_inverse=True)
         base = number[ask].astype(np.uint64) * np.uint64(max(1, self.contexts.n))
-        where, found = self.level.successor(base + at[ask].astype(np.uint64))
-        good = ask[found]
-        out[good] = self.codes[where[found]] / self.STEPS
+        first, last = self.pointers.get(asked).astype(np.int64), self.pointers.get(asked + 1).astype(np.int64)
+        where, found = self.level.successor(base + at[ask].astype(np.uint64), first[of_ask], last[of_ask])
+        out[ask[found]] = self.codes[where[found]]
         return out
 
     def to_bytes(self) -> bytes:

@@ -6,15 +6,23 @@ The model is a bigram model with a Dirichlet prior on the smoothed unigram model
 
 so log10 p(w | v) = log10 p1(w) + gain(v, w) + backoff(v), with gain = log10(1 + c(v w) / (MU * p1(w))) and
 backoff = log10(MU / (c(v) + MU)). The gain depends on the word's shard alone and the backoff on the
-context's shard alone, so a document's score is a sum of parts that shards find independently: one shuffle
-carries both the counts and the questions, and no model is ever broadcast.
+context's count alone, so shards answer independently, and no model is ever broadcast.
 
-Pass 1 counts words (pre-aggregated per batch) for N, V and the words with at least 1/HOT_SHARE of all
-tokens, of which there are at most HOT_SHARE: the only thing collected, with a proven bound. Pass 2 groups the
-bigrams of a batch by shard, each bigram once with the rows it occurs in; frequent words are dealt by word and
-context together, so neither a hot word nor a hot pair loads one shard. A shard builds its trie from the
-training rows and scores all rows against it. Gains are quantised to 1/256 of log10; contexts are 48-bit
-hashes and words 64-bit hashes, so counts are exact but for hash collisions.
+Pass 1 counts words (pre-aggregated per batch) for N, V and the frequent words. Pass 2 sums the bigrams of a batch
+before anything moves: a shard gets each distinct bigram of a batch once, with its count in the batch's training
+rows, never its occurrences. It builds its trie from the sums, answers every batch's bigrams with codes, and the
+batch puts the codes back on its tokens, which rode along with the shards as numbers of bigrams. So a pair
+that makes up a third of all tokens costs its shard one entry a batch.
+
+A shard is meant for ``tokens_per_shard`` tokens. Words with more than a HOT-th of that are dealt by word and context
+together. Their counts are collected and sent to all tasks: at most MOST_HOT words (16 MB), which holds because
+the limit is also at least an MOST_HOT-th of all tokens. Beyond MOST_HOT * tokens_per_shard / HOT tokens (1.6e11, half a
+TB of text) an undivided word may thus weigh more than a HOT-th of a shard, as the share of one word in MOST_HOT.
+
+Gains are quantised to 1/256 of log10, probabilities to 1/2048; contexts are 48-bit hashes and words 64-bit hashes, so
+counts are exact but for hash collisions. ``mean_score`` is the score by token, and ``n_again`` counts the tokens whose pair
+with the word before stands in training more often than once, for texts not of training at all: high in texts that
+occur twice.
 
 Null texts count as empty: one end token. A null id is held out (the remainder of an empty text is 0).
 Repeated rows are trained on and scored each on their own. Without any training token every count is 0. An
@@ -38,7 +46,7 @@ from .common import LOWER_AZ, arrow_schema, materialise, shuffle_partitions
 from .eliasfano import BigramTrie
 
 MEMO_LIMIT = 250_000
-HOT_SHARE = 2000
+HOT, MOST_HOT = 8, 1_000_000
 #: Fixed stand-ins for the end of a text and for the place before its first word; words never hold a blank.
 END = xxhash.xxh3_64_intdigest(b" end")
 START = xxhash.xxh3_64_intdigest(b" start")
@@ -109,50 +117,66 @@ def shard_of(word: np.ndarray, context: np.ndarray, hot: np.ndarray, shards: int
     return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-BLOB = "shard long, batch long, doc_ids array<long>, doc_at array<int>, doc_tokens array<int>, words binary, fan binary, contexts binary, times binary, places binary"
-#: The top bit of a place says that its row is one of training.
-_TRAIN = np.uint32(1 << 31)
+ROWS = "doc_ids array<long>, doc_at array<int>, doc_tokens array<int>, codes binary"
+BLOB = f"shard long, batch long, {ROWS}, words binary, fan binary, contexts binary, counts binary"
+PART = f"batch long, shard long, {ROWS}, fan binary, seen binary, alone binary, gains binary"
+
+
+def _bytes(x: np.ndarray) -> bytes:
+    """Unsigned integers in the least of 1, 2, 4 or 8 bytes that holds them all, after a byte that says which."""
+    top = int(x.max()) if len(x) else 0
+    kind = "<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8"
+    return kind[-1].encode() + x.astype(kind).tobytes()
+
+
+def _numbers(scalar: pa.Scalar) -> np.ndarray:
+    data = scalar.as_buffer()
+    return np.frombuffer(data[1:], f"<u{bytes(data[:1]).decode()}").astype(np.int64)
 
 
 def _blobs(docs: DataFrame, hot: np.ndarray, shards: int, p: Params) -> DataFrame:
-    """Per batch and shard: the distinct words, their contexts, and the places (rows of the batch) of every occurrence.
+    """Per batch and shard: the distinct words, their contexts, and counts in training rows.
 
-    The ids and lengths of a row ride with one of the shards.
+    The pairs of a batch are numbered by shard, word and context. Ids, lengths and the pair numbers of a row's tokens
+    ride with one of the shards.
     """
     fields = arrow_schema(docs.sparkSession, BLOB)
 
     def flush(first: int, ids: list, tokens: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array([len(t) for t in tokens])
+        ends = np.cumsum(lengths)
         word = np.concatenate(tokens)
         context = np.empty_like(word)
         context[1:] = word[:-1]
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        context[starts] = np.uint64(START)
-        row = np.repeat(np.arange(len(tokens), dtype=np.uint32), lengths)
+        context[ends - lengths] = np.uint64(START)
         context &= _LOW48
         shard = shard_of(word, context, hot, shards)
-        order = np.argsort(shard.astype(np.uint16) if shards <= 65536 else shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(shards + 1))
-        row |= np.repeat(np.where([held_out(i) for i in ids], np.uint32(0), _TRAIN), lengths)
+        order = np.lexsort((context, word, shard))
+        w, v = word[order], context[order]
+        new_word = np.ones(len(w), bool)
+        new_word[1:] = (w[1:] != w[:-1]) | (shard[order][1:] != shard[order][:-1])
+        new = new_word.copy()
+        new[1:] |= v[1:] != v[:-1]
+        heads = np.flatnonzero(new)
+        code = np.empty(len(order), np.uint32)
+        code[order] = np.cumsum(new) - 1
+        training = np.repeat(np.array([not held_out(i) for i in ids]), lengths)
+        count = np.add.reduceat(training[order].astype(np.int64), heads)
+        of_pair = shard[order][heads]
+        word_heads = np.flatnonzero(new_word[heads])
+        fan = np.diff(word_heads, append=len(heads))
+        of_word = of_pair[word_heads]
+        six = v[heads].view(np.uint8).reshape(-1, 8)[:, :6]
         carrier = (first + np.arange(len(ids))) % shards
         out = []
-        present = np.union1d(np.flatnonzero(np.diff(edges)), np.unique(carrier))
-        for s in present.tolist():
-            at = order[edges[s] : edges[s + 1]]
-            at = at[np.lexsort((context[at], word[at]))]
-            w, v, r = word[at], context[at], row[at]
-            new_word = np.ones(len(at), bool)
-            new_word[1:] = w[1:] != w[:-1]
-            new = new_word.copy()
-            new[1:] |= v[1:] != v[:-1]
-            heads = np.flatnonzero(new)
-            firsts = np.flatnonzero(new_word[heads])
+        for s in np.union1d(of_word, carrier).tolist():
+            a, b = np.searchsorted(of_pair, [s, s + 1])
+            c, d = np.searchsorted(of_word, [s, s + 1])
             own = np.flatnonzero(carrier == s)
+            codes = np.concatenate([code[ends[k] - lengths[k] : ends[k]] for k in own]) if len(own) else np.empty(0, np.uint32)
             out.append((
-                s, first, [ids[k] for k in own], own, lengths[own], w[heads[firsts]].tobytes(),
-                np.diff(firsts, append=len(heads)).astype("<u4").tobytes(),
-                v[heads].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
-                np.diff(heads, append=len(at)).astype("<u4").tobytes(), r.astype("<u4").tobytes(),
+                s, first, [ids[k] for k in own], own, lengths[own], codes.astype("<u4").tobytes(), w[heads[word_heads[c:d]]].tobytes(), _bytes(fan[c:d]),
+                six[a:b].tobytes(), _bytes(count[a:b]),
             ))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=fields)
 
@@ -175,28 +199,24 @@ def _blobs(docs: DataFrame, hot: np.ndarray, shards: int, p: Params) -> DataFram
 
 
 class _Shard:
-    """The questions of one shard, unpacked: distinct bigrams with training counts, and every occurrence's row.
-
-    A row is its blob's number above its place in the batch; only rows that occur are held.
-    """
+    """The questions of one shard, unpacked: words by batch, and the distinct bigrams with their counts in training."""
 
     def __init__(self, t: pa.Table):
-        words, contexts, counts, times, rows = [], [], [], [], []
+        words, contexts, counts, fans = [], [], [], []
         for k in range(len(t)):
-            get = lambda c, kind: np.frombuffer(t[c][k].as_buffer(), kind)  # noqa: B023, E731
-            fan, six = get("fan", "<u4"), get("contexts", np.uint8).reshape(-1, 6)
+            six = np.frombuffer(t["contexts"][k].as_buffer(), np.uint8).reshape(-1, 6)
             wide = np.zeros((len(six), 8), np.uint8)
             wide[:, :6] = six
-            time, place = get("times", "<u4"), get("places", "<u4")
-            words.append(np.repeat(get("words", np.uint64), fan))
+            words.append(np.frombuffer(t["words"][k].as_buffer(), np.uint64))
+            fans.append(_numbers(t["fan"][k]))
             contexts.append(wide.view(np.uint64).ravel())
-            times.append(time)
-            rows.append((place & ~_TRAIN).astype(np.int64) | k << 32)
-            heads = np.concatenate([[0], np.cumsum(time)[:-1]]).astype(np.int64) if len(time) else np.empty(0, np.int64)
-            counts.append(np.add.reduceat((place >> np.uint32(31)).astype(np.int64), heads) if len(time) else np.empty(0, np.int64))
-        self.rows, self.times = np.concatenate(rows), np.concatenate(times)
-        word, context, count = np.concatenate(words), np.concatenate(contexts), np.concatenate(counts)
-        del words, contexts, counts, times, rows
+            counts.append(_numbers(t["counts"][k]))
+        self.word_edges = np.cumsum([0, *map(len, words)])
+        self.pair_edges = np.cumsum([0, *map(len, contexts)])
+        self.asked = np.concatenate(words)
+        word = np.repeat(self.asked, np.concatenate(fans))
+        context, count = np.concatenate(contexts), np.concatenate(counts)
+        del words, contexts, counts
         order = np.lexsort((context, word))
         w, v = word[order], context[order]
         new = np.ones(len(order), bool)
@@ -204,48 +224,67 @@ class _Shard:
         heads = np.flatnonzero(new)
         self.word, self.context = w[heads], v[heads]
         self.count = np.add.reduceat(count[order], heads) if len(heads) else np.empty(0, np.int64)
-        self.entry = np.empty(len(order), np.int64)  # the distinct bigram of every entry
+        self.entry = np.empty(len(order), np.int64)  # the distinct bigram of every question
         self.entry[order] = np.cumsum(new) - 1
 
 
+def _counted(words: np.ndarray, counts: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray) -> np.ndarray:
+    """Counts of words, those of hot words as given: a shard sees only some of their contexts."""
+    if not len(hot):
+        return counts
+    at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
+    return np.where(hot[at] == words, hot_counts[at], counts)
+
+
 def _trie(q: _Shard, hot: np.ndarray, hot_counts: np.ndarray, total: float, p: Params) -> bytes:
-    """The levels of a shard: words and contexts of the training rows, with the counts of hot words as given."""
+    """The levels of a shard: words and contexts of the training rows."""
     seen = q.count > 0
     word, context, count = q.word[seen], q.context[seen], q.count[seen]
     words, of_word = np.unique(word, return_inverse=True)
-    counts = np.bincount(of_word, weights=count, minlength=len(words)).astype(np.int64)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
-        counts = np.where(hot[at] == words, hot_counts[at], counts)
+    counts = _counted(words, np.bincount(of_word, weights=count, minlength=len(words)).astype(np.int64), hot, hot_counts)
     alone = (counts + p.add) / total
     gains = np.log10(1 + count / (p.mu * alone[of_word])) if len(count) else np.empty(0)
-    return BigramTrie.build(words, counts, of_word, context, gains).to_bytes()
+    return BigramTrie.build(words, counts, of_word, context, gains, np.log10(alone)).to_bytes()
 
 
-def _gathered(t: pa.Table) -> pa.Table:
-    """The rows of one batch: sums over its shards. Its tokens bound what it holds."""
-    flat = lambda c: np.concatenate([np.asarray(x.as_py() if x.is_valid else [], np.int64) for x in t[c]])
-    at, length = flat("doc_at"), flat("doc_tokens")
+def _gathered(t: pa.Table, total: float, texts: int, p: Params) -> pa.Table:
+    """The rows of one batch: its shards' answers put back on its tokens. The batch's size bounds what this holds."""
+    t = t.sort_by("shard")
+    many = lambda c, of: np.concatenate([of(x) for x in t[c]])
+    lists = lambda x: np.asarray(x.as_py(), np.int64)
+    u2 = lambda x: np.frombuffer(x.as_buffer(), "<u2").astype(np.int64)
+    at, length = many("doc_at", lists), many("doc_tokens", lists)
     ids = [i for x in t["doc_ids"] for i in x.as_py()]
     order = np.argsort(at)
-    joined = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
-    place = joined("places", "<u4")
-    sums = [np.bincount(place, joined(c, kind), len(at)) for c, kind in (("known", "<u4"), ("base", "<f8"), ("score", "<f8"))]
+    starts = np.cumsum(length) - length
+    code = many("codes", lambda x: np.frombuffer(x.as_buffer(), "<u4"))
+    fan, seen, gains = many("fan", _numbers), many("seen", _numbers), many("gains", u2)
+    of_word = np.repeat(np.arange(len(fan)), fan)
+    seen, is_end = seen >> 1, seen & 1  # the lowest bit marks the end token, which stands in for the place before a text
+    alone = np.log10((seen + p.add) / total)
+    backoff = np.log10(p.mu / (np.where(is_end, texts, seen) + p.mu))
+    value = (backoff - many("alone", u2) / BigramTrie.FINE)[of_word] + gains / BigramTrie.STEPS
+    pair_count = (10.0 ** (gains / BigramTrie.STEPS) - 1) * p.mu * 10.0 ** alone[of_word]
+    training = np.repeat([not held_out(i) for i in ids], length)
+    sums = lambda x: np.add.reduceat(x, starts)[order]
+    score, n = sums(value[code]), length[order]
     return pa.table(
         {
-            "doc_id": pa.array([ids[k] for k in order], pa.int64()), "n_tokens": pa.array(length[order]), "n_known": pa.array(sums[0].astype(np.int64)),
-            "base_score": pa.array(sums[1]), "score": pa.array(sums[2]),
+            "doc_id": pa.array([ids[k] for k in order], pa.int64()), "n_tokens": pa.array(n), "n_known": pa.array(sums((seen > 0)[of_word[code]].astype(np.int64))),
+            "base_score": pa.array(sums(alone[of_word[code]])), "score": pa.array(score), "mean_score": pa.array(score / n),
+            "n_again": pa.array(sums((pair_count[code] > 0.5 + training).astype(np.int64))),
         }
     )
 
 
 def score(docs: DataFrame, params: Params | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), mean_score and n_again of every row."""
     p = params or Params()
     spark = docs.sparkSession
     counts = materialise(word_counts(docs), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.where(F.col("c") * HOT_SHARE >= max(n, 1)).collect()  # at most HOT_SHARE rows
+    limit = max(p.tokens_per_shard // HOT, -(-n // MOST_HOT), 1)
+    frequent = counts.where(F.col("c") > F.lit(limit)).collect()  # fewer than MOST_HOT rows, as limit * MOST_HOT >= n
     # words to the left of a whole text's end are as frequent as texts are: the end token is given its count here
     end = counts.where(F.col("word") == F.lit(int(np.uint64(END).view(np.int64)))).collect()
     given = {int(np.int64(r.word).view(np.uint64)): r.c for r in [*frequent, *end]} | ({END: 0} if not end else {})
@@ -255,37 +294,26 @@ def score(docs: DataFrame, params: Params | None = None) -> DataFrame:
     total = n + p.add * (v + 1)
     shards = max(shuffle_partitions(spark), -(-int(n) // p.tokens_per_shard))
 
-    def judge(t: pa.Table) -> pa.Table:
+    def answer(t: pa.Table) -> pa.Table:
         q = _Shard(t)
         trie = BigramTrie.mapped(_trie(q, hot, hot_counts, total, p))
-        words, of_word = np.unique(q.word, return_inverse=True)
+        words, of_asked = np.unique(q.asked, return_inverse=True)
         number, seen = trie.word(words)
-        if len(hot):  # a hot word's count stands, also where this shard has none of its training contexts
-            at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
-            seen = np.where(hot[at] == words, hot_counts[at], seen)
-        alone = np.log10((seen + p.add) / total)
-        # a word is also the context of what follows; the end token stands in for the place before the first word
-        as_context = np.where(words == np.uint64(END), texts, seen)
-        part = alone + np.log10(p.mu / (as_context + p.mu))
-        value = part[of_word] + trie.gain(number[of_word], q.context)
-        token = np.repeat(q.entry, q.times)
-        hit, at = np.unique(q.rows, return_inverse=True)
-        sums = [
-            np.bincount(at, (seen > 0)[of_word][token], len(hit)).astype("<u4"),
-            np.bincount(at, alone[of_word][token], len(hit)),
-            np.bincount(at, value[token], len(hit)),
-        ]
-        edges = np.searchsorted(hit, np.arange(len(t) + 1) << 32)
-        place = (hit & 0xFFFFFFFF).astype("<u4")
-        cut = lambda x: [x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
-        columns = [t["batch"], t["doc_ids"], t["doc_at"], t["doc_tokens"], *[pa.array(cut(x), pa.binary()) for x in (place, *sums)]]
+        seen = _counted(words, seen, hot, hot_counts)
+        alone = np.where(number >= 0, trie.alone[np.maximum(number, 0)] if len(trie.alone) else 0, BigramTrie.quantised(np.log10((seen + p.add) / total))).astype("<u2")
+        marked = (seen << 1) | (words == np.uint64(END))
+        gains = trie.gain(number[np.searchsorted(words, q.word)], q.context)[q.entry].astype("<u2")
+        cut = lambda x, edges, to=np.ndarray.tobytes: pa.array([to(x[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.binary())
+        columns = [t[c] for c in ("batch", "shard", "doc_ids", "doc_at", "doc_tokens", "codes", "fan")]
+        columns += [cut(marked[of_asked], q.word_edges, _bytes), cut(alone[of_asked], q.word_edges), cut(gains, q.pair_edges)]
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=part_fields)
 
-    part_ddl = "batch long, doc_ids array<long>, doc_at array<int>, doc_tokens array<int>, places binary, known binary, base binary, score binary"
-    part_fields = arrow_schema(spark, part_ddl)
-    parts = _blobs(docs, hot, shards, p).groupBy("shard").applyInArrow(judge, part_ddl)
-    whole = parts.groupBy("batch").applyInArrow(_gathered, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    part_fields = arrow_schema(spark, PART)
+    parts = _blobs(docs, hot, shards, p).repartition(shards, "shard").groupBy("shard").applyInArrow(answer, PART)
+    batches = max(shuffle_partitions(spark), -(-int(n) // p.tokens_per_batch))
+    out = "doc_id long, n_tokens long, n_known long, base_score double, score double, mean_score double, n_again long"
+    whole = parts.repartition(batches, "batch").groupBy("batch").applyInArrow(lambda t: _gathered(t, total, texts, p), out)
     out_of_training = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
     return whole.select(
-        "doc_id", out_of_training.alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score"
+        "doc_id", out_of_training.alias("held_out"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score", "mean_score", "n_again"
     )

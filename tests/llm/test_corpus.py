@@ -126,6 +126,7 @@ def test_elias_fano(seed):
         n = int(r.integers(0, 200))
         values = np.sort(r.integers(0, universe, n).astype(np.uint64))
         ef = eliasfano.EliasFano.build(values, universe)
+        assert (ef.get(np.arange(n)) == values).all()
         asked = np.concatenate([r.integers(0, universe, 100).astype(np.uint64), values, values + np.uint64(1)])
         at, hit = ef.successor(asked)
         assert (at == np.searchsorted(values, asked)).all() and (hit == np.isin(asked, values)).all()
@@ -133,12 +134,13 @@ def test_elias_fano(seed):
 
 def test_trie_survives_its_bytes(tmp_path):
     words = np.array([5, 9, 1 << 60], np.uint64)
-    made = eliasfano.BigramTrie.build(words, np.array([3, 1, 2]), np.array([0, 0, 2]), np.array([4, 8, 4], np.uint64), np.array([0.5, 1.0, 2.0]))
+    made = eliasfano.BigramTrie.build(words, np.array([3, 1, 2]), np.array([0, 0, 2]), np.array([4, 8, 4], np.uint64), np.array([0.5, 1.0, 2.0]), np.array([-1.0, -2.0, -4.5]))
     (tmp_path / "trie").write_bytes(made.to_bytes())
     for t in (eliasfano.BigramTrie.open(str(tmp_path / "trie")), eliasfano.BigramTrie.mapped(made.to_bytes())):
         number, count = t.word(np.array([9, 6, 1 << 60], np.uint64))
         assert number.tolist() == [1, -1, 2] and count.tolist() == [1, 0, 2]
-        assert t.gain(np.array([0, 0, 1, -1, 2]), np.array([8, 5, 4, 4, 4], np.uint64)).tolist() == [1.0, 0.0, 0.0, 0.0, 2.0]
+        assert t.gain(np.array([0, 0, 1, -1, 2]), np.array([8, 5, 4, 4, 4], np.uint64)).tolist() == [256, 0, 0, 0, 512]
+        assert (t.alone / t.FINE).tolist() == [1.0, 2.0, 4.5]
 
 
 def brute_lm(rows, p):
@@ -171,6 +173,34 @@ def test_lm_scores(edge, corpus, edge_rows, texts):
     assert sum(x[6] for x in held) > sum(x[5] for x in held)  # contexts help on texts the model has not seen
 
 
+def test_lm_with_one_pair_in_a_third_of_the_tokens(spark, monkeypatch):
+    """No shard holds more than twice its share, whatever one pair weighs."""
+    r = random.Random(8)
+    rows = [(i, " ".join("hot pair" if r.random() < 0.35 else f"w{r.randint(0, 3000)}" for _ in range(200))) for i in range(300)]
+    p = lm.Params(tokens_per_shard=4000, tokens_per_batch=8000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    n = lm.score(df, p).first().train_tokens
+    c = Counter(int(w) for _, t in rows for w in lm.token_ids(t))
+    hot = np.array(sorted(w for w, k in c.items() if k > p.tokens_per_shard // lm.HOT), np.uint64)
+    shards = -(-n // p.tokens_per_shard)
+    held = Counter()
+    for b in lm._blobs(df, hot, shards, p).collect():
+        held[b.shard] += len(b.contexts) // 6
+    assert max(held.values()) <= 2 * p.tokens_per_shard
+    want, got = sorted(brute_lm(rows, p)), sorted(map(tuple, lm.score(df, p).collect()))
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    assert all(abs(g[6] - w[6]) <= w[2] / eliasfano.BigramTrie.STEPS for g, w in zip(got, want))
+
+
+def test_lm_tells_texts_that_occur_twice(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join(f"w{r.randint(0, 20_000)}" for _ in range(100))) for i in range(200)]
+    rows += [(1000 + i, t) for i, t in rows[:20]]
+    got = {x.doc_id: x for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    twice = {i for i in range(20) if not lm.held_out(i) or not lm.held_out(1000 + i)}
+    assert all((x.n_again > 0.9 * x.n_tokens) == (i % 1000 in twice and not (lm.held_out(1000 + i % 1000 if i < 1000 else i - 1000))) for i, x in got.items() if not x.held_out)
+
+
 def test_lm_empty(empty):
     assert lm.score(empty).count() == 0
 
