@@ -2,15 +2,22 @@
 
 Vectors become integers floor(256 * x). They are dealt into range partitions by length, cut into lanes (rows of
 packed bytes), and each lane into buckets of similar length, the longest first. The stated queries are packed
-into blocks, and every block meets every lane once. Within a meeting each query keeps the k-th best score so
+into blocks. Within a meeting of a block and a lane each query keeps the k-th best score so
 far; divided by the query's and the bucket's greatest length it is the bucket's local cosine threshold. Above 1
-the bucket is skipped whole (length pruning); from COORDINATE_FROM on, only vectors whose coordinate at the
-query's largest component can reach the threshold are looked at (coordinate pruning); below that all of the
-bucket is. What is left is verified by exact products. The head lane, with the longest vectors, is met first and
-gives every query its first threshold.
+the bucket is skipped whole (length pruning); from COORDINATE_FROM on, the bucket is pruned by coordinates; below that all of
+the bucket is looked at. What is left is verified by exact products.
+
+Coordinate pruning takes the query's largest components, as many as leave it so short a rest that rest times a usual rest of
+a vector stays under half the threshold. Their part of the product, and the lengths of both rests, bound the product; vectors
+whose bound misses the threshold are left out.
+
+The head lane, with the longest vectors, is met first and gives every query its first threshold. Lanes whose longest vector
+cannot reach the lowest of a block's thresholds do not meet the block: both sides carry the lengths, and the join looks
+at those before any vector moves. Blocks go to the lanes in chunks of at most CHUNK_BYTES, which are broadcast;
+lanes stay where they are.
 
 No cap: every query meets every lane or is excluded by a bound, so the result is exact. Memory is bounded by a
-lane and a block. The work grows with queries times vectors, as the stated query set makes it.
+lane, a block and a chunk. The work grows with queries times vectors, as the stated query set makes it.
 
 Vectors that are null or hold a null or non-finite component take no part, nor do rows without an id. Vectors of
 different widths are compared as if zeros followed. An empty vector scores 0 with everything. Repeated query
@@ -24,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +54,8 @@ class Params:
     lane: int = 16384  # vectors to a lane
     bucket: int = 1024  # vectors to a bucket
     block: int = 1024  # queries to a block
-    coordinate_from: float = 0.8
+    coordinate_from: float = 0.25
+    chunk_bytes: int = 64_000_000  # of query blocks broadcast at once
 
 
 LANES = "part int, ids binary, width int, values binary, longest double"
@@ -119,6 +128,7 @@ class _Best:
 
     def __init__(self, n: int, k: int):
         self.k = k
+        self.skipped = 0  # products that bounds ruled out
         self.score = np.full((n, k), NONE, np.int64)
         self.id = np.full((n, k), np.iinfo(np.int64).max, np.int64)
 
@@ -141,7 +151,6 @@ def retrieve(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarra
     lengths = np.sqrt((m.astype(np.float64) ** 2).sum(axis=1))
     order = np.argsort(-lengths, kind="stable")
     q_length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
-    focus = np.abs(q).argmax(axis=1) if q.shape[1] else np.zeros(len(q), np.int64)
     slack = 1e-9
     for at in range(0, len(order), p.bucket):
         rows = order[at : at + p.bucket]
@@ -151,7 +160,9 @@ def retrieve(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarra
         known = floor > NONE
         live = ~known | (floor <= reach * (1 + slack) + slack)
         if not live.any():
+            best.skipped += len(q) * (len(order) - at)
             break  # shorter buckets cannot reach either
+        best.skipped += int(np.count_nonzero(~live)) * len(rows)
         local = np.where(known & (reach > 0), floor / np.where(reach > 0, reach, 1), -1.0)
         by_coordinate = live & (local >= p.coordinate_from)
         part, part_ids = m[rows], ids[rows]
@@ -163,28 +174,34 @@ def retrieve(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarra
             for row in np.flatnonzero(worth.any(axis=1)).tolist():
                 take = worth[row]
                 best.offer(full[row], scores[row, take], part_ids[take])
-        for one in np.flatnonzero(by_coordinate).tolist():
-            # with cosine t and the query's share f of its length in the focus coordinate, a vector's share g
-            # there satisfies t <= f * g + sqrt(1 - f * f) * sqrt(1 - g * g)
-            f = q[one, focus[one]] / q_length[one]
-            t = min(1.0, float(local[one]))
-            if focus[one] >= m.shape[1]:
-                rest = np.arange(len(rows))
-            else:
-                own = np.maximum(lengths[rows], slack)
-                g = np.clip(part[:, focus[one]] / own, -1, 1)
-                rest = np.flatnonzero(f * g + np.sqrt(max(0.0, 1 - f * f)) * np.sqrt(1 - g * g) >= t - 1e-7)
-            rest = rest[part_ids[rest] != query_ids[one]]
-            if len(rest):
-                best.offer(one, _products(q[one : one + 1], part[rest])[0], part_ids[rest])
+        pruned = np.flatnonzero(by_coordinate)
+        if len(pruned):
+            columns = np.ascontiguousarray(part[:, : q.shape[1]].T, np.float64)
+            squares, own = columns * columns, lengths[rows] ** 2
+        for one in pruned.tolist():
+            focus = _focus(q[one], q_length[one], float(local[one]), len(columns))
+            rest_q = np.sqrt(max(0.0, q_length[one] ** 2 - float((q[one, focus].astype(np.float64) ** 2).sum())))
+            rest_v = np.sqrt(np.maximum(own - squares[focus].sum(axis=0), 0))
+            bound = q[one, focus].astype(np.float64) @ columns[focus] + rest_q * rest_v
+            left = np.flatnonzero((bound >= floor[one] - 1e-6 * (abs(float(floor[one])) + reach[one])) & (part_ids != query_ids[one]))
+            best.skipped += len(rows) - len(left)
+            if len(left):
+                best.offer(one, _products(q[one : one + 1], part[left])[0], part_ids[left])
     return best
 
 
-BEST = "block long, place int, query_id long, vec_id long, score long"
+def _focus(q: np.ndarray, length: float, threshold: float, width: int) -> np.ndarray:
+    """The largest components, until the rest of the query is under half the threshold in length."""
+    order = np.argsort(-np.abs(q[:width]), kind="stable")
+    got = np.cumsum(q[order].astype(np.float64) ** 2)
+    return order[: int(np.searchsorted(got, (1 - (threshold / 2) ** 2) * length**2)) + 1]
+
+
+BEST = "block long, place int, query_id long, vec_id long, score long, skipped long"
 
 
 def _meet(pairs: DataFrame, p: Params) -> DataFrame:
-    """One row per (query block, lane) to the lane's best for every query of the block."""
+    """One row per (query block, lane) to the lane's best for every query of the block; the first row of a meeting has the products skipped."""
     out = arrow_schema(pairs.sparkSession, BEST)
     least = NONE
 
@@ -199,41 +216,75 @@ def _meet(pairs: DataFrame, p: Params) -> DataFrame:
                 best = retrieve(query_ids, q, ids, m, floors, p)
                 row, col = np.nonzero(best.id != np.iinfo(np.int64).max)
                 block = np.full(len(row), x["block"], np.int64)
-                columns = [block, row, query_ids[row], best.id[row, col], best.score[row, col]]
+                skipped = np.zeros(len(row), np.int64)
+                skipped[:1] = best.skipped
+                columns = [block, row, query_ids[row], best.id[row, col], best.score[row, col], skipped]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
     columns = ["block", "q_ids", "q_width", "q_values", "floors", "ids", "width", "values"]
     return pairs.select(*columns).mapInArrow(run, BEST)
 
 
-def top_k(vectors: DataFrame, params: Params | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id and score for the rows whose id is divisible by ``every``."""
+def _chunks(blocks: DataFrame, size: int) -> list[DataFrame]:
+    """The blocks in chunks that are each known to be of at most ``size`` bytes, or one block."""
+    sizes = blocks.select("block", (F.octet_length("q_values") + F.octet_length("q_ids")).alias("n")).orderBy("block").collect()  # two numbers a block
+    out, held = [], 0
+    for r in sizes:
+        if not out or held + r.n > size:
+            out.append([])
+            held = 0
+        out[-1].append(r.block)
+        held += r.n
+    return [blocks.where(F.col("block").isin(c)) for c in out]
+
+
+def meetings(vectors: DataFrame, params: Params | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """What every meeting of a block of queries and a lane found: BEST."""
     p = params or Params()
     rows = quantise(vectors, p.scale, id_col, vector_col)
     n = rows.count()
     parts = max(1, -(-n // p.lane))
     by_length = rows.repartitionByRange(parts, F.col("len").desc(), "id").sortWithinPartitions(F.col("len").desc(), "id")
-    lanes = _packed(by_length, p.lane).withColumn("part", F.col("part") % parts).withColumn("lane", F.monotonically_increasing_id())
+    lanes = _packed(by_length, p.lane).withColumn("lane", F.monotonically_increasing_id()).drop("part")
     lanes = materialise(lanes, "lanes")
 
-    asked = rows.where(F.pmod("id", F.lit(p.every)) == 0).select("id", "v").distinct()
-    asked = asked.repartition(max(1, -(-n // (p.every * p.block))), "id")
+    asked = rows.where(F.pmod("id", F.lit(p.every)) == 0).select("id", "v", "len").distinct()
+    asked = asked.repartitionByRange(max(1, -(-n // (p.every * p.block))), F.col("len").desc(), "id")  # queries of like length share their blocks
     names = {"ids": "q_ids", "width": "q_width", "values": "q_values"}
     blocks = _packed(asked, p.block).select(F.monotonically_increasing_id().alias("block"), *[F.col(a).alias(b) for a, b in names.items()])
     blocks = materialise(blocks, "blocks")
+    chunks = _chunks(blocks, p.chunk_bytes)
 
     # the head lane first: one lane (bounded by its size), every block
     longest = lanes.agg(F.max(F.struct("longest", "lane"))["lane"]).first()[0]
-    head = lanes.where(F.col("lane") == F.lit(longest)).select("part", "ids", "width", "values")
+    head, others = lanes.where(F.col("lane") == F.lit(longest)), lanes.where(F.col("lane") != F.lit(longest))
     unknown = F.lit(None).cast("array<struct<place:int,floor:bigint>>")
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    first = blocks.withColumn("floors", unknown).join(F.broadcast(head.drop("part").withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))
-    first = materialise(_meet(first, p), "head")
+    found = [_meet(head.join(F.broadcast(c.withColumn("floors", unknown)), F.lit(True)), p) for c in chunks]
+    first = materialise(reduce(DataFrame.unionByName, found), "head") if found else rows.sparkSession.createDataFrame([], BEST)
+
+    floors = first.groupBy("block", "place", "query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
+    # a block's reach: the least length of a vector that some query of it still needs; queries without k results need any
+    lengths = asked.select(F.col("id").alias("query_id"), "len")
+    needs = floors.join(lengths.groupBy("query_id").agg(F.max("len").alias("len")), "query_id")
+    need = F.when((F.col("n") >= p.k) & (F.col("floor") > 0) & (F.col("len") > 0), F.col("floor") / F.col("len") * (1 - 1e-9)).otherwise(F.lit(-1.0))
+    about = needs.groupBy("block").agg(
+        F.collect_list(F.when(F.col("n") >= p.k, F.struct("place", "floor"))).alias("floors"),  # a block's queries at most
+        F.min(need).alias("reach"), F.count(F.lit(1)).alias("queries"),
+    )
+    about = materialise(about, "floors")
+
+    met = [first]
+    for c in chunks:
+        known = c.join(about, "block", "left")
+        complete = F.col("queries") == F.octet_length("q_ids") / 8
+        known = known.withColumn("reach", F.when(complete, F.col("reach")).otherwise(F.lit(-1.0))).drop("queries")
+        met.append(_meet(others.join(F.broadcast(known), F.col("longest") >= F.col("reach")), p))
+    return reduce(DataFrame.unionByName, met)
 
-    floors = first.groupBy("block", "place").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= p.k)
-    floors = floors.groupBy("block").agg(F.collect_list(F.struct("place", "floor")).alias("floors"))  # a block's queries at most
-    rest = blocks.join(floors, "block", "left").withColumn("part", everywhere).join(lanes.where(F.col("lane") != F.lit(longest)), "part")
 
-    both = first.unionByName(_meet(rest, p)).select("query_id", "vec_id", "score")
+def top_k(vectors: DataFrame, params: Params | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id and score for the rows whose id is divisible by ``every``."""
+    p = params or Params()
+    best = meetings(vectors, p, id_col, vector_col).select("query_id", "vec_id", "score")
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return both.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")

@@ -100,16 +100,32 @@ def brute_top(rows, k=5, every=50):
     return out
 
 
-@pytest.mark.parametrize("spread", [0.0, 3.0])
-def test_top_k(spark, spread):
+@pytest.mark.parametrize("spread, chunk", [(0.0, 64_000_000), (3.0, 100)])
+def test_top_k(spark, spread, chunk):
     r = random.Random(7)
     rows = [(i, [r.gauss(0, 1) * math.exp(spread * r.random()) for _ in range(8)]) for i in range(600)]
     rows += [(600 + i, list(rows[i % 3][1])) for i in range(60)] + [(700, None), (701, [1.0, None]), (702, [float("nan")] * 8), (703, [float("inf")] * 8), (None, [1.0] * 8), (704, [0.0] * 8), (750, [2.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, rank string")
-    small = topk.Params(lane=100, bucket=16, block=5, coordinate_from=0.3)
+    small = topk.Params(lane=100, bucket=16, block=5, chunk_bytes=chunk)
     assert {tuple(x) for x in topk.top_k(df, small).collect()} == brute_top(rows)
 
 
+def test_bounds_leave_products_out(spark, data):
+    """On the corpus's vectors, all of one length and far apart, coordinates rule out products; on lengths apart lanes are not met."""
+    from pyspark.sql import functions as F
+
+    wide = data.replace("sf0.001", "sf0.1")
+    vectors = spark.read.parquet(f"{wide}/embeddings.parquet")
+    p = topk.Params(lane=512, bucket=128, block=16)
+    met = topk.meetings(vectors, p).agg(F.sum("skipped")).first()[0]
+    assert met > 0.5 * 40 * vectors.count()
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) / (1 + i) for _ in range(4)]) for i in range(1, 2000)] + [(0, [1.0, 1.0, 1.0, 1.0])]
+    some = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    lanes = topk.meetings(some, topk.Params(lane=50, block=1000, every=5000)).groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert all(x.n <= 3 * 5 for x in lanes)  # of forty lanes
+
+
 def test_top_k_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (3, [2.0]), (0, [1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 3, 256 * 512)]
