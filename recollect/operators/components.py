@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise
+from ..plans.storage import materialise, scratch
 
 
 def _open(edges: DataFrame) -> DataFrame:
@@ -20,6 +20,11 @@ def _open(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) for every node that is not its own root."""
+    with scratch(edges.sparkSession) as keep:
+        return keep(_contracted(edges), "components")
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.col("a").alias("a"), F.col("b").alias("b"))
     left = materialise(_open(edges), "edges")
     labels = None

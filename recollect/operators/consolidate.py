@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import contents_joined, origin_of, project_key
-from ..plans.storage import materialise
+from ..plans.storage import materialise, scratch
 from .components import components
 
 Judge = Callable[[DataFrame], DataFrame]
@@ -90,6 +90,11 @@ def screened(members: DataFrame, judge: Judge) -> DataFrame:
     Members are walked in rounds, the oldest first: 1, then 2, 4 and so on of every cluster still undecided meet all
     later members. A decided cluster is left alone, so only one whose pairs are all independent has all of them judged.
     """
+    with scratch(members.sparkSession) as keep:
+        return keep(_decided(members, judge), "screened")
+
+
+def _decided(members: DataFrame, judge: Judge) -> DataFrame:
     rows = materialise(members.select("cluster", "id", "created_at", "content"), "screening")
     oldest, width, found = Window.partitionBy("cluster").orderBy("created_at", "id"), 1, []
     rest = rows
