@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise  # noqa: F401
+from ..plans.storage import materialise, scratch  # noqa: F401
 
 #: Maps ASCII capitals to small letters and leaves all other bytes alone.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, arrow_schema, materialise, shuffle_partitions
+from .common import LOWER_AZ, arrow_schema, materialise, scratch, shuffle_partitions
 from .eliasfano import BigramTrie
 
 MEMO_LIMIT = 250_000
@@ -281,13 +281,14 @@ def score(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), mean_score and n_again of every row."""
     p = params or Params()
     spark = docs.sparkSession
-    counts = materialise(word_counts(docs), "words")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    limit = max(p.tokens_per_shard // HOT, -(-n // MOST_HOT), 1)
-    frequent = counts.where(F.col("c") > F.lit(limit)).collect()  # fewer than MOST_HOT rows, as limit * MOST_HOT >= n
-    # words to the left of a whole text's end are as frequent as texts are: the end token is given its count here
-    end = counts.where(F.col("word") == F.lit(int(np.uint64(END).view(np.int64)))).collect()
-    given = {int(np.int64(r.word).view(np.uint64)): r.c for r in [*frequent, *end]} | ({END: 0} if not end else {})
+    with scratch(spark):
+        counts = materialise(word_counts(docs), "words")
+        n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+        limit = max(p.tokens_per_shard // HOT, -(-n // MOST_HOT), 1)
+        # words to the left of a whole text's end are as frequent as texts are: the end token is given its count as well
+        wanted = (F.col("c") > F.lit(limit)) | (F.col("word") == F.lit(int(np.uint64(END).view(np.int64))))
+        frequent = counts.where(wanted).collect()  # at most MOST_HOT rows, as limit * MOST_HOT >= n
+    given = {END: 0} | {int(np.int64(r.word).view(np.uint64)): r.c for r in frequent}
     hot = np.array(sorted(given), np.uint64)
     hot_counts = np.array([given[int(w)] for w in hot], np.int64)
     texts = given[END]  # training texts: as many as end tokens

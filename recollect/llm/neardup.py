@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, arrow_schema, kept_struct, materialise, named, unkept
+from .common import LOWER_AZ, arrow_schema, kept_struct, materialise, named, scratch, unkept
 from ..operators.components import components
 
 MEMO_LIMIT = 2_000_000
@@ -296,7 +296,8 @@ def _labelled(docs: DataFrame, p: Params) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable) and kept, one row per input row."""
-    rows = materialise(_labelled(docs, params or Params()), "labelled")
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(_labelled(docs, params or Params()), "labelled")
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = rows.join(least, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -309,15 +310,16 @@ def one_of_each(docs: DataFrame, params: Params | None = None) -> DataFrame:
     Texts without words are components by themselves, one for each id and text. Two rows that share an id but no component
     both stay. Of rows with equal id and text the one with the smallest hash over all columns stays.
     """
-    rows = materialise(_labelled(docs, params or Params()), "labelled")
-    own = F.coalesce(F.col("root").cast("string"), F.concat_ws(":", F.lit("none"), F.col("doc_id").cast("string"), F.hex("digest")))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
-    first = rows.groupBy(own.alias("own")).agg(F.min(order).alias("x")).select("x.doc_id", "x.digest")
-    copies = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
-    chosen = first.join(copies, first["doc_id"].eqNullSafe(copies["doc_id"]) & (first["digest"] == copies["digest"])).select(
-        first["doc_id"].alias("chosen_id"), first["digest"].alias("chosen_digest"), "copies"
-    )
-    chosen = materialise(chosen, "chosen")
+    with scratch(docs.sparkSession) as keep:
+        rows = materialise(_labelled(docs, params or Params()), "labelled")
+        own = F.coalesce(F.col("root").cast("string"), F.concat_ws(":", F.lit("none"), F.col("doc_id").cast("string"), F.hex("digest")))
+        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+        first = rows.groupBy(own.alias("own")).agg(F.min(order).alias("x")).select("x.doc_id", "x.digest")
+        copies = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
+        chosen = first.join(copies, first["doc_id"].eqNullSafe(copies["doc_id"]) & (first["digest"] == copies["digest"])).select(
+            first["doc_id"].alias("chosen_id"), first["digest"].alias("chosen_digest"), "copies"
+        )
+        chosen = keep(chosen, "chosen")
     every = kept_struct(docs, docs.columns)
     wide = docs.select(every.alias("kept_columns"), named("doc_id").cast("long").alias("id"),
                        F.unhex(F.md5(F.coalesce(named("text").cast("string"), F.lit("")).cast("binary"))).alias("digest"), F.xxhash64(every).alias("h"))

@@ -3,9 +3,9 @@
 A document's tokens are cut into full windows; what is left of it goes, longest first, into the open window
 with the least room that still fits. A segment tree over room sizes finds that window in log(window) steps.
 
-Windows are packed in groups of documents dealt by a hash of the id, whose number follows the count of
-documents, so a task holds lengths of a bounded number of pieces, never texts. Only the last few windows
-of a group stay partly empty.
+Windows are packed in groups dealt by a hash of the row, whose number follows the count of documents and, where token
+ids are asked for, the bytes of their texts; the full windows of a long document are dealt one by one. So a task holds a bounded
+number of pieces. Only the last few windows of a group stay partly empty.
 
 Null texts count as empty and hold the end token only. Repeated rows are packed each on their own; ties in
 length are taken by id and start. An empty table gives an empty result. Only the id and the text are read.
@@ -33,7 +33,7 @@ from .common import arrow_schema
 WINDOW = 2048
 END_TOKEN = 1
 #: Documents to a group, on average.
-GROUP_DOCUMENTS = 8192
+GROUP_DOCUMENTS, GROUP_BYTES = 8192, 64_000_000
 MEMO_LIMIT = 1_500_000
 
 #: Fixed value: the published split pattern of the vocabulary; what lies between matches is dropped.
@@ -172,9 +172,13 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_token: int = EN
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_token: int = END_TOKEN, with_ids: bool = True) -> DataFrame:
     """Pieces with sequence_id and offset; ``ids`` holds the packed token ids where asked for."""
-    groups = max(1, -(-docs.count() // GROUP_DOCUMENTS))
+    size = F.sum(F.octet_length(F.col("text").cast("string"))) if with_ids else F.lit(0)
+    n, held = docs.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    groups = max(1, -(-n // GROUP_DOCUMENTS), -(-held // GROUP_BYTES))
     cut = pieces(docs, path, window, end_token, with_ids)
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(groups)).cast("long"))
+    # full windows need no neighbour: the windows of a long document are spread over all groups
+    spread = F.when(F.col("length") == window, F.col("start")).otherwise(F.lit(0))
+    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "row_key", spread), F.lit(groups)).cast("long"))
 
     def place(table: pa.Table) -> pa.Table:
         order = sorted(zip(table["length"].to_pylist(), table["doc_id"].to_pylist(), table["row_key"].to_pylist(), table["start"].to_pylist(), range(len(table))), key=lambda x: (-x[0], x[1] is None, x[1] or 0, x[2], x[3]))

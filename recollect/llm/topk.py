@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialise
+from .common import arrow_schema, materialise, scratch
 
 
 #: Under every score; its negation still fits.
@@ -285,6 +285,7 @@ def meetings(vectors: DataFrame, params: Params | None = None, id_col: str = "ve
 def top_k(vectors: DataFrame, params: Params | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score for the rows whose id is divisible by ``every``."""
     p = params or Params()
-    best = meetings(vectors, p, id_col, vector_col).select("query_id", "vec_id", "score")
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    with scratch(vectors.sparkSession) as keep:
+        best = keep(meetings(vectors, p, id_col, vector_col).select("query_id", "vec_id", "score"), "met")
     return best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")

@@ -230,11 +230,11 @@ def test_lm_without_training(spark):
 # 9 -----------------------------------------------------------------------------------
 
 
-def brute_near(rows):
+def brute_near(rows, size=3, percent=85):
     sets = []
     for _, t in rows:
         w = SPACE.findall((t or "").translate(LOWER))
-        sets.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
     parent = list(range(len(rows)))
 
     def find(x):
@@ -244,9 +244,9 @@ def brute_near(rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and min(len(sets[a]), len(sets[b])) * 100 >= 85 * max(len(sets[a]), len(sets[b])):
+            if sets[a] and min(len(sets[a]), len(sets[b])) * 100 >= percent * max(len(sets[a]), len(sets[b])):
                 i = len(sets[a] & sets[b])
-                if 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i):
+                if 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i):
                     parent[find(a)] = find(b)
     least = {}
     for n, (i, _) in enumerate(rows):
@@ -346,10 +346,14 @@ def test_pipeline(spark, data, texts, word_path):
     good = []
     for i, t in texts:
         n, chars, symbols, dup, rep = measures(t)
-        lines = sum(bool(SPACE.search(x)) for x in t.split("\n"))
-        if n >= 50 and 2 * rep <= n and chars <= 25 * n and 2 * symbols <= n and len(set(SPACE.findall(t)) & stops) >= 2 and 2 * dup <= lines:
+        lines = [x for x in t.split("\n") if SPACE.search(x)]
+        common = sum(w in stops for w in SPACE.findall(t))
+        line_chars, once = sum(map(len, lines)), sum(map(len, set(lines)))
+        bullets, dots = sum(bool(re.match(r"[ \t]*[-*\u2022]", x)) for x in lines), sum(bool(re.search(r"(\.\.\.|\u2026)[ \t\r]*\Z", x)) for x in lines)
+        shape = 2 * dup <= len(lines) and 2 * (line_chars - once) <= line_chars and bullets <= 0.9 * len(lines) and dots <= 0.3 * len(lines)
+        if n >= 50 and 2 * rep <= n and chars <= 25 * n and 4 * symbols <= n and common >= 0.08 * n and shape:
             good.append((i, t))
-    kept = {i for (i, _, c, k) in brute_near(good) if k}
+    kept = {i for (i, _, c, k) in brute_near(good, 5, 80) if k}
     docs, seen = spark.read.parquet(f"{data}/documents.parquet"), []
     for _, stage in corpus_pipeline.STAGES[:3]:
         docs = stage(spark, docs, data)
@@ -368,3 +372,23 @@ def test_pipeline(spark, data, texts, word_path):
         whole = own.packed(seen[2][i]) + (1).to_bytes(4, "little")
         assert sum(r.length for r in rows) == rows[0].doc_tokens == len(whole) // 4
         assert all(zlib.crc32(whole[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32 for r in rows)
+        assert b"".join(bytes(r.ids) for r in sorted(rows, key=lambda r: r.start)) == whole
+
+
+def test_pipeline_on_hard_rows(spark, edge, empty):
+    import corpus_pipeline
+
+    text = "the cat and the dog went to the river of gold with a mail to x@y.org and a list of " + " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a"), (1, text + " it was more of the same", "b"), (2, text, "c"), (None, text, "d"), (3, None, "e"), (4, "", "f"), (5, "the of and " * 40_000, "g"), (6, text.replace("w", "v"), "h"), (6, text.replace("w", "v"), "h")]
+    dotted = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    for docs in (edge, empty, dotted, dotted.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            docs, before = stage(spark, docs, ""), docs
+            assert docs.columns == before.columns, name
+        packed = corpus_pipeline.pack(spark, docs, "").collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+    left = dotted
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        left = stage(spark, left, "")
+    assert sorted((r.doc_id, r["a.b"]) for r in left.collect()) == [(1, min((neardup.text_digest(t), x) for _, t, x in rows[:2])[1]), (6, "h")]
+    assert all("<EMAIL>" in r.text and "@" not in r.text for r in left.collect())
