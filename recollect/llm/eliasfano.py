@@ -146,7 +146,7 @@ class BigramTrie:
         codes = np.minimum(np.rint(gains * cls.STEPS), 65535).astype(np.uint16)
         sequences = [
             EliasFano.build(words, 1 << 64),
-            EliasFano.build(known, 1 << 48),
+            EliasFano.build(known, 1 << 40),
             EliasFano.build(pointers, len(level) + 1),
             EliasFano.build(level, max(1, len(words)) * span),
         ]

@@ -19,7 +19,7 @@ together. Their counts are collected and sent to all tasks: at most MOST_HOT wor
 the limit is also at least an MOST_HOT-th of all tokens. Beyond MOST_HOT * tokens_per_shard / HOT tokens (1.6e11, half a
 TB of text) an undivided word may thus weigh more than a HOT-th of a shard, as the share of one word in MOST_HOT.
 
-Gains are quantised to 1/256 of log10, probabilities to 1/2048; contexts are 48-bit hashes and words 64-bit hashes, so
+Gains are quantised to 1/256 of log10, probabilities to 1/2048; contexts are 40-bit hashes and words 64-bit hashes, so
 counts are exact but for hash collisions. ``mean_score`` is the score by token, and ``n_again`` counts the tokens whose pair
 with the word before stands in training more often than once, for texts not of training at all: high in texts that
 occur twice.
@@ -50,7 +50,7 @@ HOT, MOST_HOT = 8, 1_000_000
 #: Fixed stand-ins for the end of a text and for the place before its first word; words never hold a blank.
 END = xxhash.xxh3_64_intdigest(b" end")
 START = xxhash.xxh3_64_intdigest(b" start")
-_LOW48 = np.uint64((1 << 48) - 1)
+_LOW40 = np.uint64((1 << 40) - 1)
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,7 @@ def _blobs(docs: DataFrame, hot: np.ndarray, shards: int, p: Params) -> DataFram
         context = np.empty_like(word)
         context[1:] = word[:-1]
         context[ends - lengths] = np.uint64(START)
-        context &= _LOW48
+        context &= _LOW40
         shard = shard_of(word, context, hot, shards)
         order = np.lexsort((context, word, shard))
         w, v = word[order], context[order]
@@ -166,7 +166,8 @@ def _blobs(docs: DataFrame, hot: np.ndarray, shards: int, p: Params) -> DataFram
         word_heads = np.flatnonzero(new_word[heads])
         fan = np.diff(word_heads, append=len(heads))
         of_word = of_pair[word_heads]
-        six = v[heads].view(np.uint8).reshape(-1, 8)[:, :6]
+        five = v[heads].view(np.uint8).reshape(-1, 8)[:, :5]
+        wide = 3 if len(heads) < 1 << 24 else 4  # bytes of a pair's number
         carrier = (first + np.arange(len(ids))) % shards
         out = []
         for s in np.union1d(of_word, carrier).tolist():
@@ -175,8 +176,8 @@ def _blobs(docs: DataFrame, hot: np.ndarray, shards: int, p: Params) -> DataFram
             own = np.flatnonzero(carrier == s)
             codes = np.concatenate([code[ends[k] - lengths[k] : ends[k]] for k in own]) if len(own) else np.empty(0, np.uint32)
             out.append((
-                s, first, [ids[k] for k in own], own, lengths[own], codes.astype("<u4").tobytes(), w[heads[word_heads[c:d]]].tobytes(), _bytes(fan[c:d]),
-                six[a:b].tobytes(), _bytes(count[a:b]),
+                s, first, [ids[k] for k in own], own, lengths[own], codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide].tobytes(), w[heads[word_heads[c:d]]].tobytes(), _bytes(fan[c:d]),
+                five[a:b].tobytes(), _bytes(count[a:b]),
             ))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=fields)
 
@@ -204,9 +205,9 @@ class _Shard:
     def __init__(self, t: pa.Table):
         words, contexts, counts, fans = [], [], [], []
         for k in range(len(t)):
-            six = np.frombuffer(t["contexts"][k].as_buffer(), np.uint8).reshape(-1, 6)
-            wide = np.zeros((len(six), 8), np.uint8)
-            wide[:, :6] = six
+            five = np.frombuffer(t["contexts"][k].as_buffer(), np.uint8).reshape(-1, 5)
+            wide = np.zeros((len(five), 8), np.uint8)
+            wide[:, :5] = five
             words.append(np.frombuffer(t["words"][k].as_buffer(), np.uint64))
             fans.append(_numbers(t["fan"][k]))
             contexts.append(wide.view(np.uint64).ravel())
@@ -257,7 +258,10 @@ def _gathered(t: pa.Table, total: float, texts: int, p: Params) -> pa.Table:
     ids = [i for x in t["doc_ids"] for i in x.as_py()]
     order = np.argsort(at)
     starts = np.cumsum(length) - length
-    code = many("codes", lambda x: np.frombuffer(x.as_buffer(), "<u4"))
+    thin = many("codes", lambda x: np.frombuffer(x.as_buffer(), np.uint8)).reshape(int(length.sum()), -1)
+    wide = np.zeros((len(thin), 4), np.uint8)
+    wide[:, : thin.shape[1]] = thin
+    code = wide.view("<u4").ravel()
     fan, seen, gains = many("fan", _numbers), many("seen", _numbers), many("gains", u2)
     of_word = np.repeat(np.arange(len(fan)), fan)
     seen, is_end = seen >> 1, seen & 1  # the lowest bit marks the end token, which stands in for the place before a text
