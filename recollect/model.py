@@ -40,7 +40,7 @@ THOUGHTS = T.StructType(
 FALLBACK_TYPE = "observation"
 
 _TOPICS = (None, [], ["market", "markets"], ["market-analysis"], ["market_analysis", "gold"], ["Market Analysis"], ["golds", "news"])
-_PEOPLE = (None, [], ["Dohmen"], ["Bert Dohmen"], ["Ann Lee", "Dohmen"], ["ann lee"])
+_PEOPLE = (None, [], ["Varkas"], ["Bert Varkas"], ["Ann Lee", "Varkas"], ["ann lee"])
 
 
 def _pick(choices, key: Column, kind: str) -> Column:

@@ -25,7 +25,7 @@ class Discipline:
     person_aliases: Mapping[str, str] = field(default_factory=dict)
     self_names: tuple[str, ...] = ()
     topic_aliases: Mapping[str, str] = field(default_factory=dict)
-    require_specific_type: bool = False
+    require_specific_type: bool = True
     require_known_topics: bool = False
     require_project: bool = False
     default_project: str = "personal"
@@ -50,9 +50,9 @@ def validated(batch: DataFrame, default_source: str = "api", byte_limit: int = 6
 
 
 def resolved_type(given: Column, extracted: Column, strict: bool) -> tuple[Column, Column]:
-    """(type, error): a given type must be one of the kinds; else the extracted one, or the fallback if that is allowed."""
+    """(type, error): a given type must be one of the kinds; else the extracted one, whatever it is, or the fallback if that is allowed."""
     kinds = [F.lit(t) for t in TYPES]
-    chosen = F.when(given.isNotNull(), given).when(extracted.isin(*kinds), extracted).otherwise(F.lit(FALLBACK_TYPE))
+    chosen = F.coalesce(given, extracted, F.lit(FALLBACK_TYPE))
     error = F.when(given.isNotNull() & ~given.isin(*kinds), F.lit("unknown type"))
     if strict:
         error = F.coalesce(error, F.when(given.isNull() & (chosen == FALLBACK_TYPE), F.lit("a specific type is required")))

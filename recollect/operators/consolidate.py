@@ -41,9 +41,14 @@ class Thresholds:
 
 
 def candidates(thoughts: DataFrame, project: str, watermark: datetime, limit: int = 500) -> DataFrame:
-    """Live rows of a project ('' for none) with a vector, changed after the watermark, the oldest first, by id at ties."""
+    """Live rows of a project ('' for none) with a vector, changed after the watermark, the oldest first, by id at ties.
+
+    Rows as old as the last one within the limit come as well: the cursor moves past their time, so a cut among them would lose the rest.
+    """
     live = thoughts.where(F.col("archived") == F.lit(False)).where(F.col("embedding").isNotNull())
-    return live.where(project_key(F.col("project")) == project).where(F.col("updated_at") > F.lit(watermark)).orderBy("updated_at", "id").limit(limit)
+    due = live.where(project_key(F.col("project")) == project).where(F.col("updated_at") > F.lit(watermark))
+    last = due.select("updated_at").orderBy("updated_at").limit(limit).agg(F.max("updated_at").alias("last"))  # one row
+    return due.join(F.broadcast(last), F.col("updated_at") <= F.col("last")).drop("last").orderBy("updated_at", "id")
 
 
 def clusters(edges: DataFrame, threshold: float) -> DataFrame:

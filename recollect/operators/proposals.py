@@ -88,6 +88,15 @@ def reviewed(items: DataFrame, thoughts: DataFrame) -> DataFrame:
     )
 
 
+def reviewed_syntheses(items: DataFrame, thoughts: DataFrame) -> DataFrame:
+    """key, content, and sources (id and content, null where a row is gone) in the item's order."""
+    rows = keyed(items).where("kind = 'synthesis'").select("key", "content", F.posexplode("sources").alias("at", "id"))
+    texts = thoughts.select("id", F.col("content").alias("source")).join(rows.select("id").distinct(), "id", "left_semi")
+    listed = F.array_sort(F.collect_list(F.struct("at", "id", F.col("source").alias("content"))))
+    sources = F.transform(listed, lambda x: F.struct(x["id"].alias("id"), x["content"].alias("content")))
+    return rows.join(texts, "id", "left").groupBy("key", "content").agg(sources.alias("sources"))
+
+
 def status(stored: Column, expires_at: Column, as_of: datetime) -> Column:
     return F.when((stored == "open") & (expires_at <= F.lit(as_of)), "expired").otherwise(stored)
 

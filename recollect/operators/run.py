@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import traceback
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,8 +69,10 @@ def settled_ids(items: DataFrame) -> DataFrame:
 class Consolidator:
     def __init__(
         self, spark: SparkSession, store: Store, root: str, judge: Judge, writer: Writer, thresholds: Thresholds | None = None,
-        topic_aliases: dict[str, str] | None = None, person_aliases: dict[str, str] | None = None,
+        topic_aliases: dict[str, str] | None = None, person_aliases: dict[str, str] | None = None, embedder: Callable[[Column], Column] | None = None,
     ):
+        """``embedder`` makes the vectors of merged and synthesised rows; without one they have none, and no vector search finds them."""
+        self.embedder = embedder
         self.spark, self.store, self.judge, self.writer = spark, store, judge, writer
         self.t = thresholds or Thresholds()
         self.proposals = VersionedTable(spark, f"{root}/proposals", PROPOSALS)
@@ -149,7 +152,8 @@ class Consolidator:
             out.bump(out.applied, "merge", kinds.pop("mergeable", 0))
             out.bump(out.skipped, "merge_unscreened", sum(kinds.values()))
             merging = members.join(screen.where("outcome = 'mergeable'").select("cluster"), "cluster", "left_semi")
-            out.merges = materialise(consolidate.canonical(merging), "merges")
+            merges = consolidate.canonical(merging)
+            out.merges = materialise(merges.withColumn("embedding", self.embedder(F.col("content"))) if self.embedder else merges, "merges")
             settled = materialise(merging.select("id").unionByName(found.select(F.explode(F.array("a", "b")).alias("id"))), "settled")
             if not dry_run and out.applied.get("merge"):
                 self.store.merge(out.merges, as_of)
@@ -232,6 +236,9 @@ class Consolidator:
     def review(self, proposal_id: str) -> DataFrame:
         return proposals.reviewed(self.items(proposal_id), self.store.read())
 
+    def review_syntheses(self, proposal_id: str) -> DataFrame:
+        return proposals.reviewed_syntheses(self.items(proposal_id), self.store.read())
+
     def apply(self, proposal_id: str, accept: list[str], as_of: datetime, embedder=None) -> tuple[list[str], list[str]]:
         """Apply the accepted items of an open, unexpired proposal; returns applied and rejected keys."""
         stored = self.proposals.read().where(F.col("id") == proposal_id).select("status", "expires_at").first()
@@ -248,6 +255,7 @@ class Consolidator:
             self.store.patch(patch, as_of)
         if not new.isEmpty():
             rows = new.select(F.sha2(F.concat_ws(":", F.lit(proposal_id), "key"), 256).alias("id"), "content", "created_by", "project", F.lit("dream").alias("source"))
+            embedder = embedder or self.embedder
             self.store.insert(rows.withColumn("embedding", embedder(F.col("content"))) if embedder else rows, as_of)
         self._set_status(proposal_id, "applied", as_of)
         keys = lambda df: [r.key for r in df.select("key").orderBy("pos").collect()]

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as fts
 from ..functions.embed import trigram_embedder
-from ..functions.labels import normalise_topic, person_words, topic_key
+from ..functions.labels import contents_joined, normalise_topic, person_words, topic_key
 from ..functions.vector import probe
 from ..model import thoughts, thoughts_sql
 from ..operators import browse, capture, consolidate, neighbours, proposals, search, stats, vocabulary
 from ..operators.components import components
+from ..operators.run import settled_ids
 from ..sources import store
+from .storage import remove, scratch, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,9 +140,9 @@ def _(t):
     return browse.listed(t, topic="market")
 
 
-@_query("list_by_person", _LIST.format("list_contains(people, 'Dohmen') AND project = 'proj2'"))
+@_query("list_by_person", _LIST.format("list_contains(people, 'Varkas') AND project = 'proj2'"))
 def _(t):
-    return browse.listed(t, person="Dohmen", project="proj2")
+    return browse.listed(t, person="Varkas", project="proj2")
 
 
 @_query("list_recent_days", _LIST.format(f"created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY AND created_by = 'user1'"))
@@ -231,10 +235,10 @@ def _(t):
     return v.select("topic", normalise_topic(F.col("topic")).alias("normalised"), topic_key(F.col("topic")).alias("key"))
 
 
-@_query("resolve_people", "SELECT id, list_distinct(list_transform(list_filter(people, lambda p: lower(p) <> 'ann lee'), lambda p: CASE lower(p) WHEN 'dohmen' THEN 'Bert Dohmen' ELSE p END)) AS people FROM t WHERE people IS NOT NULL")
+@_query("resolve_people", "SELECT id, list_distinct(list_transform(list_filter(people, lambda p: lower(p) <> 'ann lee'), lambda p: CASE lower(p) WHEN 'varkas' THEN 'Bert Varkas' ELSE p END)) AS people FROM t WHERE people IS NOT NULL")
 def _(t):
     rows = t.where(F.col("people").isNotNull())
-    return rows.select("id", vocabulary.resolved(F.col("people"), {"dohmen": "Bert Dohmen"}, None, False, ("Ann Lee",)).alias("people"))
+    return rows.select("id", vocabulary.resolved(F.col("people"), {"varkas": "Bert Varkas"}, None, False, ("Ann Lee",)).alias("people"))
 
 
 _ALIAS_SQL = "SELECT value AS variant, canonical FROM (SELECT value, first_value(value) OVER (PARTITION BY g ORDER BY n DESC, length(value), value) AS canonical FROM (SELECT value, n, {0} AS g FROM ({1}))) WHERE value <> canonical"
@@ -263,10 +267,10 @@ def _(t):
 
 
 def _configured(t: DataFrame) -> DataFrame:
-    return t.sparkSession.createDataFrame([("ann", "Ann Lee"), ("bd", "Bert Dohmen")], "variant string, canonical string")
+    return t.sparkSession.createDataFrame([("ann", "Ann Lee"), ("bd", "Bert Varkas")], "variant string, canonical string")
 
 
-_MERGED_SQL = f"""(WITH c(variant, canonical) AS (VALUES ('ann', 'Ann Lee'), ('bd', 'Bert Dohmen')),
+_MERGED_SQL = f"""(WITH c(variant, canonical) AS (VALUES ('ann', 'Ann Lee'), ('bd', 'Bert Varkas')),
     i AS (SELECT lower(trim(variant)) AS variant, canonical FROM {_PEOPLE_SQL})
     SELECT * FROM c UNION ALL SELECT * FROM i WHERE variant NOT IN (SELECT variant FROM c) AND lower(variant) NOT IN (SELECT lower(canonical) FROM c)
       AND lower(canonical) NOT IN (SELECT variant FROM c) AND lower(canonical) NOT IN (SELECT variant FROM i))"""
@@ -277,9 +281,9 @@ def _(t):
     return vocabulary.merge_aliases(vocabulary.keyed_people(vocabulary.person_aliases(_people(t))), _configured(t))
 
 
-@_query("stale_spellings", "SELECT v AS value, 'Bert Dohmen' AS canonical FROM (SELECT DISTINCT unnest(people) AS v FROM t WHERE archived = false) WHERE lower(trim(v)) = 'dohmen'")
+@_query("stale_spellings", "SELECT v AS value, 'Bert Varkas' AS canonical FROM (SELECT DISTINCT unnest(people) AS v FROM t WHERE archived = false) WHERE lower(trim(v)) = 'varkas'")
 def _(t):
-    table = t.sparkSession.createDataFrame([("dohmen", "Bert Dohmen"), ("bert dohmen", "Bert Dohmen")], "variant string, canonical string")
+    table = t.sparkSession.createDataFrame([("varkas", "Bert Varkas"), ("bert varkas", "Bert Varkas")], "variant string, canonical string")
     return vocabulary.stale_spellings(_people(t), table, F.lower(F.trim("value")))
 
 
@@ -290,12 +294,12 @@ _FIRST_SEEN = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
     SELECT id, o, p, {_FIRST_SEEN.format('n')} AS n, {_FIRST_SEEN.format('m')} AS m FROM (
         SELECT id, coalesce(topics, []) AS o, coalesce(people, []) AS p,
                list_transform(coalesce(topics, []), lambda x: CASE {_NORMAL.format('x')} WHEN 'markets' THEN 'market' ELSE {_NORMAL.format('x')} END) AS n,
-               list_transform(coalesce(people, []), lambda x: CASE lower(x) WHEN 'dohmen' THEN 'Bert Dohmen' ELSE x END) AS m FROM t)) WHERE n <> o OR m <> p""")
+               list_transform(coalesce(people, []), lambda x: CASE lower(x) WHEN 'varkas' THEN 'Bert Varkas' ELSE x END) AS m FROM t)) WHERE n <> o OR m <> p""")
 def _(t):
-    return vocabulary.vocabulary_changes(t, {"markets": "market"}, {"dohmen": "Bert Dohmen"})
+    return vocabulary.vocabulary_changes(t, {"markets": "market"}, {"varkas": "Bert Varkas"})
 
 
-_CANDIDATES_SQL = f"SELECT * FROM t WHERE archived = false AND embedding IS NOT NULL AND coalesce(project, '') = '{{}}' AND updated_at > TIMESTAMP '{SINCE}' ORDER BY updated_at, id LIMIT 500"
+_CANDIDATES_SQL = f"SELECT * FROM t WHERE archived = false AND embedding IS NOT NULL AND coalesce(project, '') = '{{}}' AND updated_at > TIMESTAMP '{SINCE}' QUALIFY rank() OVER (ORDER BY updated_at) <= 500"
 
 
 @_query("candidates_since", f"SELECT id, content, updated_at FROM ({_CANDIDATES_SQL.format('proj1')})", embedding=True)
@@ -511,32 +515,144 @@ def _(t):
     return store.upserted(rows, new.unionByName(t.sparkSession.createDataFrame([("new", "proj9")], "id string, project string")), "id")
 
 
-#: Items to capture: the archived rows' neighbours in id, offered again.
+#: Items to capture: the rows of the stated query set (ids divisible by 100), offered again.
 def _offered(t: DataFrame) -> DataFrame:
-    n = F.col("id").cast("long")
+    n = F.floor(F.col("id").cast("long") / 100)
     none = F.lit(None).cast("string")
-    return t.where(n % 23 == 0).select(
-        F.concat(F.lit("new-"), "id").alias("id"), F.when(n % 2 == 0, F.col("content")).otherwise(F.lit("  ")).alias("content"), F.when(n % 4 == 0, "no such type").alias("type"),
-        "topics", "people", none.alias("source"), "project", "created_by", none.alias("supersedes"), none.alias("extracted_type"),
+    return t.where(F.col("id").cast("long") % 100 == 0).select(
+        F.concat(F.lit("new-"), "id").alias("id"), F.when(n % 5 != 1, F.col("content")).otherwise(F.lit("  ")).alias("content"), F.when(n % 5 == 2, "no such type").alias("type"),
+        "topics", "people", none.alias("source"), "project", "created_by", none.alias("supersedes"), F.col("type").alias("extracted_type"),
         F.lit(None).cast("array<string>").alias("extracted_topics"), F.lit(None).cast("array<string>").alias("extracted_people"), "embedding",
     )
 
 
 @_query("dedupe_nearest", f"""SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(similarity, 12) DESC, b) AS n FROM (
     SELECT 'new-' || q.id AS a, t.id AS b, list_cosine_similarity(q.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS similarity
-    FROM t q JOIN t ON q.id::BIGINT % 23 = 0 AND t.archived = false AND t.embedding IS NOT NULL AND q.embedding IS NOT NULL) WHERE similarity >= 0.2) WHERE n = 1""", embedding=True)
+    FROM t q JOIN t ON q.id::BIGINT % 100 = 0 AND t.archived = false AND t.embedding IS NOT NULL AND q.embedding IS NOT NULL) WHERE similarity >= 0.2) WHERE n = 1""", embedding=True)
 def _(t):
     return _round(neighbours.duplicates(_offered(t), t, 0.2), "similarity")
 
 
-@_query("capture_outcomes", """SELECT 'new-' || q.id AS id, CASE WHEN q.id::BIGINT % 2 = 1 THEN 'rejected' WHEN q.id::BIGINT % 4 = 0 THEN 'rejected'
-    WHEN q.embedding IS NOT NULL AND EXISTS (SELECT 1 FROM t x WHERE x.archived = false AND list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]) >= 0.9) THEN 'duplicate' ELSE 'written' END AS status,
-    CASE WHEN q.id::BIGINT % 2 = 1 THEN 'content is required' WHEN q.id::BIGINT % 4 = 0 THEN 'unknown type' END AS error,
-    coalesce(q.project, 'personal') AS project FROM t q WHERE q.id::BIGINT % 23 = 0""", embedding=True)
+@_query("capture_outcomes", """SELECT id, CASE WHEN error IS NOT NULL THEN 'rejected' WHEN known THEN 'duplicate' ELSE 'written' END AS status, error, project FROM (
+    SELECT 'new-' || q.id AS id, coalesce(q.project, 'personal') AS project,
+           CASE WHEN q.id::BIGINT // 100 % 5 = 1 OR trim(coalesce(q.content, '')) = '' THEN 'content is required' WHEN q.id::BIGINT // 100 % 5 = 2 THEN 'unknown type'
+                WHEN coalesce(q.type, 'observation') = 'observation' THEN 'a specific type is required' END AS error,
+           q.embedding IS NOT NULL AND EXISTS (SELECT 1 FROM t x WHERE x.archived = false AND list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]) >= 0.9) AS known
+    FROM t q WHERE q.id::BIGINT % 100 = 0)""", embedding=True)
 def _(t):
     return capture.outcomes(_offered(t), t, ["market"], capture.Discipline()).select("id", "status", "error", "project")
 
 
+# writes: each on a table of its own in the shared folder, made of the bridge view -------------------------
+
+
+def _written(t: DataFrame, work: Callable[[store.Store], object]) -> DataFrame:
+    spark = t.sparkSession
+    with scratch(spark) as keep:
+        table = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+        table.write(t)
+        work(table)
+        out = keep(table.read().select("id", "content", "type", "archived", "supersedes", "updated_at"), "written")
+        remove(spark, table.root)
+    return out
+
+
+_AFTER = "SELECT id, {content} AS content, {type} AS type, {archived} AS archived, {supersedes} AS supersedes, CASE WHEN {hit} THEN TIMESTAMP '" + str(AS_OF) + "' ELSE updated_at END AS updated_at FROM t WHERE {stays}"
+
+
+def _after(hit: str, stays: str = "true", **values: str) -> str:
+    return _AFTER.format(**{c: f"CASE WHEN {hit} THEN {values[c]} ELSE {c} END" if c in values else c for c in ("content", "type", "archived", "supersedes")}, hit=hit, stays=stays)
+
+
+@_query("store_insert", _after("false") + f" UNION ALL SELECT 'new-' || id, content, type, false, NULL, TIMESTAMP '{AS_OF}' FROM t WHERE type = 'idea'")
+def _(t):
+    return _written(t, lambda s: s.insert(t.where("type = 'idea'").select(F.concat(F.lit("new-"), "id").alias("id"), "content", "type"), AS_OF))
+
+
+@_query("store_archive", _after("id IN ('1', '11', '42')", archived="true"))
+def _(t):
+    return _written(t, lambda s: s.archive(["1", "11", "42"], AS_OF))
+
+
+@_query("store_set_supersedes", _after("id = '7'", supersedes="'5'"))
+def _(t):
+    return _written(t, lambda s: s.set_supersedes("7", "5", AS_OF))
+
+
+@_query("store_replace", _after("id = '9'", content="'gold fell'", type="'task'"))
+def _(t):
+    return _written(t, lambda s: s.replace("9", "gold fell", None, {"type": "task"}, AS_OF))
+
+
+@_query("store_delete", _after("supersedes = '18'", "id <> '18'", supersedes="NULL"))
+def _(t):
+    return _written(t, lambda s: s.delete("18", AS_OF))
+
+
+@_query("store_patch", _after("type = 'bug'", type="'task'"))
+def _(t):
+    return _written(t, lambda s: s.patch(t.where("type = 'bug'").select("id", F.lit("task").alias("type")), AS_OF))
+
+
+@_query("store_write_chain", f"SELECT id, CASE WHEN id = '9' THEN 'gold fell' ELSE content END AS content, CASE WHEN id = '9' THEN 'task' WHEN type = 'bug' THEN 'task' ELSE type END AS type, CASE WHEN id IN ('1', '11') THEN true ELSE archived END AS archived, CASE WHEN supersedes = '18' THEN NULL ELSE supersedes END AS supersedes, CASE WHEN id IN ('1', '9', '11') OR type = 'bug' OR supersedes = '18' THEN TIMESTAMP '{AS_OF}' ELSE updated_at END AS updated_at FROM t WHERE id <> '18'")
+def _(t):
+    def work(s: store.Store) -> None:
+        s.patch(t.where("type = 'bug'").select("id", F.lit("task").alias("type")), AS_OF)
+        s.archive(["1", "11"], AS_OF)
+        s.delete("18", AS_OF)
+        s.replace("9", "gold fell", None, {"type": "task"}, AS_OF)
+
+    return _written(t, work)
+
+
+@_query("web_query_matches", f"""SELECT id FROM (SELECT id, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS s FROM t)
+    WHERE (contains(s, ' of the ') AND NOT contains(s, ' and ')) OR contains(s, ' token ')""")
+def _(t):
+    parsed = fts.parse('"of the" -and or token')
+    return t.select("id", fts.tokens(F.col("content")).alias("w")).where(fts.matches(F.col("w"), parsed)).select("id")
+
+
+_KNOWN = "['gold', 'market', 'news']"
+
+
+@_query("plural_match", f"""SELECT id, {_FIRST_SEEN.format('n')} AS new_topics FROM (SELECT id, coalesce(topics, []) AS o, list_transform(list_transform(coalesce(topics, []), lambda x: {_NORMAL.format('x')}),
+        lambda x: CASE WHEN list_contains({_KNOWN}, x) THEN x WHEN x LIKE '%s' AND list_contains({_KNOWN}, left(x, -1)) THEN left(x, -1) WHEN list_contains({_KNOWN}, x || 's') THEN x || 's' ELSE x END) AS n FROM t) WHERE {_FIRST_SEEN.format('n')} <> o""")
+def _(t):
+    return vocabulary.vocabulary_changes(t, {}, {}, ["gold", "market", "news"]).where("new_topics <> topics").select("id", "new_topics")
+
+
+@_query("contents_joined", """SELECT a AS cluster, CASE WHEN contains(l, s) THEN l ELSE l || chr(10) || chr(10) || s END AS content FROM (
+    SELECT x.id AS a, CASE WHEN length(y.content) > length(x.content) THEN y.content ELSE x.content END AS l, CASE WHEN length(y.content) > length(x.content) THEN x.content ELSE y.content END AS s
+    FROM t x JOIN t y ON y.id::BIGINT = x.id::BIGINT + 1 WHERE x.id::BIGINT % 2 = 0 AND x.content IS NOT NULL AND y.content IS NOT NULL)""")
+def _(t):
+    """Every even row with its successor; the longer content first, a contained one left out."""
+    n = F.col("id").cast("long")
+    members = t.where("content IS NOT NULL").select((n - n % 2).cast("string").alias("cluster"), n.alias("position"), "content")
+    pairs = members.groupBy("cluster").agg(F.collect_list(F.struct("position", "content")).alias("parts")).where(F.size("parts") == 2)
+    return pairs.select("cluster", contents_joined(F.col("parts")).alias("content"))
+
+
+@_query("contradiction_items", """SELECT a, b, 'contradicts' AS verdict, obsolete_id FROM (SELECT x.id AS a, y.id AS b, length(x.content) AS la, CASE WHEN length(x.content) < length(y.content) THEN x.id ELSE y.id END AS obsolete_id
+    FROM t x JOIN t y ON y.id::BIGINT = x.id::BIGINT + 1) WHERE la % 5 <> 0 AND la % 3 = 0""")
+def _(t):
+    after = t.select(F.col("id").alias("b"), F.col("content").alias("content_b"))
+    pairs = t.select(F.col("id").alias("a"), F.col("content").alias("content_a"), (F.col("id").cast("long") + 1).cast("string").alias("b")).join(after, "b")
+    return consolidate.contradiction_items(pairs, _judge).drop("reason")
+
+
+@_query("proposal_review_syntheses", f"""SELECT key, list(sid ORDER BY place) AS sources, list(coalesce(length(content), -1) ORDER BY place) AS lengths FROM (
+    SELECT key, sid, place, t.content FROM (SELECT key, sources[place] AS sid, place FROM (SELECT kind || ':' || row_number() OVER (PARTITION BY kind ORDER BY pos) AS key, kind, sources FROM {_ITEMS_SQL}) i,
+        (VALUES (1), (2)) v(place) WHERE kind = 'synthesis') s LEFT JOIN t ON t.id = s.sid) GROUP BY key""")
+def _(t):
+    out = proposals.reviewed_syntheses(_items(t), t)
+    return out.select("key", F.transform("sources", lambda s: s["id"]).alias("sources"), F.transform("sources", lambda s: F.coalesce(F.length(s["content"]), F.lit(-1))).alias("lengths"))
+
+
+@_query("hold_ids_of_items", f"SELECT DISTINCT id FROM (SELECT unnest(CASE WHEN kind = 'contradiction' THEN [a, b] ELSE sources END) AS id FROM {_ITEMS_SQL})")
+def _(t):
+    return settled_ids(_items(t))
+
+
 @_query("trigram_neighbours", embedding=False)
 def _(t):
     embedded = t.withColumn("embedding", trigram_embedder(64)(F.col("content")))

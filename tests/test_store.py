@@ -53,13 +53,41 @@ def test_upsert_and_single_use(spark):
 
 def test_stream_of_captures(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    items = [{"content": "gold broke out"}, {"content": "   "}, {"content": "silver fell", "type": "task"}]
+    items = [{"content": "gold broke out", "type": "idea"}, {"content": "   "}, {"content": "silver fell", "type": "task"}]
     (tmp_path / "in" / "1.json").write_text("\n".join(map(json.dumps, items)))
     store = Store(spark, f"file://{tmp_path}/t")
     start = lambda: ingest.capture(ingest.items(spark, str(tmp_path / "in")), store, str(tmp_path / "cp"), trigram_embedder(32), rejects=str(tmp_path / "no")).trigger(availableNow=True).start().awaitTermination()
     start()
     assert {r.content for r in store.read().collect()} == {"gold broke out", "silver fell"}
-    (tmp_path / "in" / "2.json").write_text(json.dumps({"content": "Gold broke out!"}))
+    (tmp_path / "in" / "2.json").write_text(json.dumps({"content": "Gold broke out!", "type": "idea"}))
     start()
     assert store.read().count() == 2
     assert {r.status for r in spark.read.parquet(str(tmp_path / "no")).collect()} == {"rejected", "duplicate"}
+
+
+def bytes_of(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_a_write_costs_what_it_changes(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/t")
+    s.insert(spark.range(20_000).select(F.col("id").cast("string"), F.sha2(F.col("id").cast("string"), 256).alias("content")), T1)
+    whole = bytes_of(tmp_path)
+    for write in (lambda: s.insert(rows(spark, "new"), T2), lambda: s.archive(["5"], T2), lambda: s.delete("6", T2), lambda: s.update("7", {"content": F.lit("x")}, T2)):
+        before = bytes_of(tmp_path)
+        write()
+        assert bytes_of(tmp_path) - before < whole / 20
+    got = {r.id: r for r in s.read().where("id IN ('5', '6', '7', 'new')").collect()}
+    assert s.read().count() == 20_000 and set(got) == {"5", "7", "new"} and got["5"].archived and got["7"].content == "x"
+    s.compact()
+    assert s.read().count() == 20_000 and len(s.parts(s.versions()[-1])) == 1
+    assert s.read(s.versions()[0]).where("id = '6'").count() == 0
+
+
+def test_parts_are_compacted(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/t")
+    s.most_parts = 4
+    for n in range(6):
+        s.insert(rows(spark, f"{n}"), T1)
+        s.archive([f"{n}"], T2)
+    assert len(s.parts(s.versions()[-1])) < 4 and s.read().where("archived").count() == 6
