@@ -328,7 +328,7 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, buckets: int = BUCKETS, per_bucket: int = PER_BUCKET) -> Formats:
     seen = labelled(docs)
-    hashed = seen.withColumn("h", F.xxhash64("value")).withColumn("bucket", F.when(F.col("kind").isNotNull(), F.pmod("h", F.lit(buckets))))
+    hashed = seen.withColumn("h", F.xxhash64("value")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     order = Window.partitionBy("kind", "bucket").orderBy("h", "value")
     sample = hashed.withColumn("r", F.row_number().over(order)).where(F.col("kind").isNull() | (F.col("r") <= per_bucket)).select("kind", "value", "n")
     samples: dict[str, list[str]] = {}
