@@ -59,7 +59,7 @@ def tagged(thoughts: DataFrame, field: str, values: list[str], project: str | No
 
 
 def lineage(thoughts: DataFrame, start: str, steps: int = 64) -> DataFrame:
-    """A row and what it supersedes, step by step; only ids are walked."""
+    """A row and what it supersedes, step by step; only ids are walked. A chain of more than ``steps`` raises when read."""
     spark = thoughts.sparkSession
     thoughts.select("id", "supersedes").createOrReplaceTempView("recollect_lineage")
     return spark.sql(
@@ -67,5 +67,6 @@ def lineage(thoughts: DataFrame, start: str, steps: int = 64) -> DataFrame:
               SELECT id, supersedes, 0 FROM recollect_lineage WHERE id = '{start.replace("'", "")}'
               UNION ALL
               SELECT t.id, t.supersedes, w.depth + 1 FROM walk w JOIN recollect_lineage t ON t.id = w.supersedes WHERE w.depth < {int(steps)})
-            SELECT id, supersedes, depth FROM walk"""
+            SELECT id, CASE WHEN depth = {int(steps)} AND supersedes IS NOT NULL THEN raise_error('the chain is longer than {int(steps)} steps') ELSE supersedes END AS supersedes, depth
+            FROM walk"""
     )

@@ -141,3 +141,12 @@ def test_candidates_of_one_time_are_all_read(spark):
     assert consolidate.candidates(rows, "p", T0 - timedelta(days=1), 4).count() == 501
     assert consolidate.candidates(rows, "p", T0 - timedelta(days=1), 3).count() == 3
     assert consolidate.candidates(rows.limit(0), "p", T0, 3).count() == 0
+
+
+def test_lineage_is_never_cut_in_silence(spark):
+    from recollect.operators import browse
+
+    rows = spark.range(70).select(F.col("id").cast("string"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("supersedes"))
+    assert browse.lineage(rows, "60").count() == 61
+    with pytest.raises(Exception, match="longer than 64 steps"):
+        browse.lineage(rows, "69").collect()
