@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licences, lm, neardup, packing, pii, quality, secretscan, sql, topk
+from . import bpe, chat, clusters, counts, lexical, licences, lm, neardup, packing, pii, quality, secretscan, sql, topk
 from .common import documents
 
 
@@ -58,6 +58,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_rows(documents(spark, sf_dir))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_pii": op10_pii,
+        "op11_token_counts": op11_token_counts,
+        "op12_clusters": op12_clusters,
+        "op13_lexical_search": op13_lexical_search,
         "pipeline": pipeline,
     }
 
@@ -86,4 +101,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_top_k": sql.top_k(),
         "op8_quality_rules": sql.quality_rules(),
         "op9_near_duplicates": sql.near_duplicates(),
+        "op12_clusters": sql.clustering(),
+        "op13_lexical_search": sql.lexical(),
     }

@@ -85,3 +85,41 @@ def top_k() -> str:
     SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
     FROM s QUALIFY rank <= 5
     """
+
+
+def clustering() -> str:
+    """Ten rounds of assignment and floors of means, one statement a round."""
+    d2 = "list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    ctes = [
+        """e AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+              WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS j, v FROM e QUALIFY j < 8)",
+    ]
+    for n in range(11):
+        ctes.append(f"a{n} AS MATERIALIZED (SELECT e.rid, e.vec_id, e.v, min((({d2}), c.j)) AS best FROM e, c{n} c GROUP BY ALL)")
+        if n < 10:
+            ctes.append(f"s{n} AS (SELECT best[2] AS j, i, sum(v[i]) AS s, count(*) AS n FROM a{n}, range(1, 65) r(i) GROUP BY ALL)")
+            floors = "list((CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END)::BIGINT ORDER BY i)"
+            ctes.append(f"c{n + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN (SELECT j, {floors} AS v FROM s{n} GROUP BY j) m USING (j))")
+    return f"""
+    WITH {", ".join(ctes)}
+    SELECT vec_id, best[2]::INT AS cluster, best[1]::BIGINT AS distance, sum(best[1]) OVER (PARTITION BY best[2])::BIGINT AS cluster_inertia,
+           sum(best[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(c10.v, ',')) AS centroid_sha256
+    FROM a10 JOIN c10 ON c10.j = best[2]
+    """
+
+
+def lexical() -> str:
+    """Scores of all documents that share a term with an item, ranked."""
+    words = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS ws FROM documents WHERE text IS NOT NULL),
+    g AS (SELECT count(*) AS n_docs, sum(len(ws)) AS n_terms FROM d WHERE len(ws) > 0),
+    q AS (SELECT DISTINCT item_id, unnest({words}) AS t FROM benchmark),
+    p AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+    w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY t, n_docs),
+    s AS (SELECT item_id, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(ws) * n_docs) // n_terms))))::BIGINT AS score
+          FROM q JOIN p USING (t) JOIN w USING (t) JOIN d USING (rid), g GROUP BY ALL),
+    r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s JOIN d USING (rid) WHERE score > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 50
+    """
