@@ -13,8 +13,8 @@ Three passes over the documents or the index: counts (documents, terms, and the
 Spark), the blocks (made where the documents lie, without a shuffle, and written), the search (a task keeps k rows for each
 query; those are ranked first within SALTS groups of tasks, then for each query).
 
-The index covers the terms the items ask for. Items are dealt into groups by hash, as many as keep a group's texts at
-GROUP_BYTES on average; a group's items are what each task is given, and a group beyond twice that size (one huge item) raises an error.
+The index covers the terms the items ask for. Items are dealt by hash and gathered into groups whose texts stay
+under ``group_bytes``; a group's items are what each task is given. Items of one hash beyond eight times that raise an error.
 
 Null texts hold no term. Rows of one item id are one item, with the terms of all; items without id are one item too.
 Every document row ranks on its own, also one whose id is repeated; rows without id come last among equal scores. A term
@@ -299,20 +299,26 @@ def search(blocks: DataFrame, items: list[list[int]], p: Params) -> DataFrame:
     return blocks.mapInArrow(run, FOUND)
 
 
-def _groups(items: DataFrame, p: Params) -> list[list[tuple]]:
-    """(item id, terms) of each group of items. What a task is given is bounded by the group's size, which is checked first."""
+def _groups(items: DataFrame, p: Params) -> Iterator[list[tuple]]:
+    """(item id, terms) of each group of items. What a task is given is bounded by the group's size, which is known before its items are read."""
     size = F.octet_length("text") + 16
     total = items.agg(F.sum(size)).first()[0] or 0
-    n = max(1, -(-total // p.group_bytes))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(n)))
-    for r in dealt.groupBy("part").agg(F.sum(size).alias("size")).where(F.col("size") > 2 * p.group_bytes).limit(1).collect():
-        raise ValueError(f"items of {r['size']} bytes in one group; the bound is {2 * p.group_bytes}")
-    for g in range(n):
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(8 * max(1, -(-total // p.group_bytes)))))
+    groups: list[list[int]] = []
+    held = 0
+    for r in dealt.groupBy("part").agg(F.sum(size).alias("size")).orderBy("part").collect():  # eight numbers a group
+        if r["size"] > 8 * p.group_bytes:
+            raise ValueError(f"an item's terms take {r['size']} bytes; the bound is {8 * p.group_bytes}")
+        if not groups or held + r["size"] > p.group_bytes:
+            groups.append([])
+            held = 0
+        groups[-1].append(r.part)
+        held += r["size"]
+    for parts in groups:
         found: dict = {}
-        for r in dealt.where(F.col("part") == g).collect():
+        for r in dealt.where(F.col("part").isin(parts)).collect():
             found.setdefault(r.item_id, set()).update(terms(r.text))
-        if found:
-            yield list(found.items())
+        yield list(found.items())
 
 
 def rank(docs: DataFrame, items: DataFrame, params: Params | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
