@@ -45,7 +45,7 @@ class Params:
     k: int = 50
     block: int = 8192  # documents
     block_postings: int = 500_000  # a block also ends here
-    sparse: int = 256  # terms in fewer documents of a block than one in so many stay as places
+    sparse: int = 3  # terms in fewer documents of a block than one in so many are stored as places: there that is shorter
     group_bytes: int = 8_000_000
     cache_bytes: int = 64_000_000  # of bitmaps that a task keeps between items
     salts: int = 64
@@ -110,23 +110,20 @@ def to_slices(places: np.ndarray, values: np.ndarray, n: int) -> bytes:
     return bytes([bits]) + np.packbits(flags, axis=1, bitorder="little").tobytes()
 
 
+def to_places(places: np.ndarray, values: np.ndarray) -> bytes:
+    """A zero byte, the bytes of an impact, the number of places, the places, their impacts."""
+    kind = "<u4" if int(values.max()) < 2**32 else "<u8"
+    return bytes([0, int(kind[2])]) + struct.pack("<I", len(places)) + places.astype("<u4").tobytes() + values.astype(kind).tobytes()
+
+
 def from_slices(raw: bytes, n: int) -> list[int]:
-    """One integer to a bitmap, also for a sparse term (a zero byte, the number of places, places, impacts)."""
-    if raw[0]:
-        width = -(-n // 8)
-        return [int.from_bytes(raw[1 + b * width : 1 + (b + 1) * width], "little") for b in range(raw[0])]
-    (count,) = struct.unpack_from("<I", raw, 1)
-    places = np.frombuffer(raw, "<u4", count, 5).tolist()
-    values = np.frombuffer(raw, "<u8", count, 5 + 4 * count).tolist()
-    out = [0] * max(1, max(values).bit_length())
-    for p, v in zip(places, values):
-        bit, b = 1 << p, 0
-        while v:
-            if v & 1:
-                out[b] |= bit
-            v >>= 1
-            b += 1
-    return out
+    """One integer to a bitmap, the lowest bit first."""
+    if not raw[0]:
+        (count,) = struct.unpack_from("<I", raw, 2)
+        places = np.frombuffer(raw, "<u4", count, 6).astype(np.int64)
+        raw = to_slices(places, np.frombuffer(raw, f"<u{raw[1]}", count, 6 + 4 * count).astype(np.int64), n)
+    width = -(-n // 8)
+    return [int.from_bytes(raw[1 + b * width : 1 + (b + 1) * width], "little") for b in range(raw[0])]
 
 
 def _block(held: list[tuple], n_docs: int, n_terms: int, weights: dict[int, int], p: Params) -> tuple:
@@ -146,10 +143,7 @@ def _block(held: list[tuple], n_docs: int, n_terms: int, weights: dict[int, int]
             continue  # adds nothing to any score
         places = np.array(found[t][0], np.int64)
         values = impacts(np.array(found[t][1], np.int64), lengths[places], n_docs, n_terms, weights[t])
-        if len(places) * p.sparse < n:
-            part = b"\0" + struct.pack("<I", len(places)) + places.astype("<u4").tobytes() + values.astype("<u8").tobytes()
-        else:
-            part = to_slices(places, values, n)
+        part = to_places(places, values) if len(places) * p.sparse < n else to_slices(places, values, n)
         names.append(t)
         parts.append(part)
         total += len(part)

@@ -204,7 +204,7 @@ def test_bitmaps_add_and_rank(seed):
     columns = [{p: r.randint(1, r.choice((3, 1 << 35))) for p in r.sample(range(n), r.randint(1, n))} for _ in range(6)]
     total = []
     for x in columns:
-        raw = lexical.to_slices(np.array([*x]), np.array([*x.values()]), n)
+        raw = (lexical.to_slices(np.array([*x]), np.array([*x.values()]), n) if r.random() < 0.5 else lexical.to_places(np.array([*x]), np.array([*x.values()])))
         total = lexical.add(total, lexical.from_slices(raw, n))
     sums = Counter()
     for x in columns:
