@@ -1,53 +1,97 @@
-"""Filters over metadata kept as JSON text, for keys that have no column of their own."""
+"""Schemaless metadata as VARIANT: containment filters, shallow merges and overlays, all as built-in expressions.
+
+A filter is a Python dict and is compiled to paths: one typed comparison for each of its leaves. Types are compared as JSON has
+them: 1 and 1.0 are equal, "1" and 1 are not, true is no number. An object is contained in one that has its keys; a
+list in one that has, for each of its entries, an entry that contains it; anything else in its equal.
+"""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+import re
+from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+_PLAIN_KEY = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 
-def holds(value, wanted) -> bool:
-    """Containment: objects by key, arrays by element (a scalar is held by an array of it), scalars by equality."""
-    if isinstance(wanted, dict):
-        return isinstance(value, dict) and all(k in value and holds(value[k], w) for k, w in wanted.items())
-    if isinstance(wanted, list):
-        return isinstance(value, list) and all(any(holds(v, w) for v in value) for w in wanted)
-    if isinstance(value, (dict, list)):
-        return False
-    return type(value) is type(wanted) and value == wanted or (not isinstance(value, bool) and not isinstance(wanted, bool) and isinstance(value, (int, float)) and isinstance(wanted, (int, float)) and value == wanted)
 
+def parsed(text: Column) -> Column:
+    """JSON text as a VARIANT; broken text is null."""
+    return F.try_parse_json(text)
+
+
+def _object(v: Column) -> Column:
+    """The top-level keys of an object, null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def at(v: Column, key: str) -> Column:
+    """What an object holds under a key, null if nothing."""
+    if _PLAIN_KEY.match(key):
+        return F.try_variant_get(v, f"$.{key}", "variant")
+    return F.try_element_at(_object(v), F.lit(key))  # a path cannot spell every key
+
+
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
 
-def contains(metadata: Column, wanted: dict) -> Column:
-    """Whether JSON text contains ``wanted``; null or broken text does not. An empty filter holds for any object."""
 
-    @F.pandas_udf(T.BooleanType())
-    def check(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(text):
-            try:
-                return holds(json.loads(text), wanted)
-            except (TypeError, ValueError):
-                return False
+def _equals(v: Column, wanted) -> Column:
+    if wanted is None:
+        return F.is_variant_null(v)
+    if isinstance(wanted, bool):
+        return (_kind(v) == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == wanted)
+    if isinstance(wanted, str):
+        return (_kind(v) == "STRING") & (F.try_variant_get(v, "$", "string") == wanted)
+    number = _kind(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    exact = F.lit(Decimal(wanted)) if isinstance(wanted, int) and abs(wanted) < 10**27 else None
+    if exact is not None:
+        whole = F.try_variant_get(v, "$", "decimal(38,10)")
+        return number & F.coalesce(whole == exact, F.try_variant_get(v, "$", "double") == float(wanted))
+    return number & (F.try_variant_get(v, "$", "double") == float(wanted))
 
-        for column in columns:
-            yield column.map(one)
 
-    return check(metadata)
+def _entry(wanted):
+    return lambda e: F.coalesce(_holds(e, wanted), F.lit(False))
+
+
+def _holds(v: Column, wanted) -> Column:
+    if isinstance(wanted, dict):
+        out = _kind(v).startswith("OBJECT")
+        for key, value in wanted.items():
+            out = out & F.coalesce(_holds(at(v, key), value), F.lit(False))
+        return out
+    if isinstance(wanted, (list, tuple)):
+        entries = F.try_variant_get(v, "$", "array<variant>")
+        out = entries.isNotNull()
+        for value in wanted:
+            out = out & F.exists(entries, _entry(value))
+        return out
+    return _equals(v, wanted)
+
+
+def contains(metadata: Column, wanted: dict) -> Column:
+    """Whether metadata contains ``wanted``; null metadata does not. An empty filter holds for any object."""
+    return F.coalesce(_holds(metadata, wanted), F.lit(False))
 
 
 def has_entry(metadata: Column, field: str, value: str) -> Column:
-    """Whether the list (or the string) under a key is or has ``value``."""
-    entries = F.from_json(F.get_json_object(metadata, f"$.{field}"), "array<string>")
-    return F.coalesce(F.array_contains(entries, value), F.lit(False)) | F.coalesce(F.get_json_object(metadata, f"$.{field}") == value, F.lit(False))
+    """Whether the list (or the string) under a key has an entry that is (or is itself) ``value``."""
+    held = at(metadata, field)
+    return F.coalesce(_holds(held, [value]), F.lit(False)) | F.coalesce(_equals(held, value), F.lit(False))
+
+
+def merged(metadata: Column, patch: Column) -> Column:
+    """Top-level keys of ``patch`` over those of ``metadata``: a key given as null is null from then on. A null patch changes nothing."""
+    base, over = F.coalesce(_object(metadata), _object(F.parse_json(F.lit("{}")))), _object(patch)
+    kept = F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(over), k))
+    return F.when(over.isNull(), metadata).otherwise(F.to_variant_object(F.map_concat(kept, over)))
 
 
-def overlay(extracted: Column, caller: Column, resolved: Column) -> Column:
-    """Maps laid over each other: extracted under the caller's under the resolved keys."""
-    join = lambda low, high: F.map_concat(F.map_filter(low, lambda k, v: ~F.array_contains(F.map_keys(high), k)), high)
-    empty = F.create_map().cast("map<string,string>")
-    some = lambda m: F.coalesce(m, empty)
-    return join(join(some(extracted), some(caller)), some(resolved))
+def overlay(*layers: Column) -> Column:
+    """Objects laid over each other, the first at the bottom (extracted, the caller's, what the rules resolved); null layers are skipped."""
+    out = layers[0]
+    for layer in layers[1:]:
+        out = merged(out, layer)
+    return out

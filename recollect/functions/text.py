@@ -8,7 +8,7 @@ words and quoted phrases, some of them negated. Parsing never fails: unbalanced
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -164,6 +164,44 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({_TOKEN})"), F.lit(1))
 
 
+#: Kinds of token: name and pattern. Written for leftmost-first engines without look-around; repeats of groups are bounded, so that no
+#: engine recurses deeply (a path of more than 100 steps is two tokens).
+TOKEN_KINDS = {
+    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){1,30}",
+    "url": r"(?:https?|ftp)://[^ \t-\r<>]*[\p{L}\p{N}/]",
+    "version": r"[0-9]+(?:\.[0-9]+){2,30}",
+    "host": r"[\p{L}\p{N}][\p{L}\p{N}-]*(?:\.[\p{L}\p{N}][\p{L}\p{N}-]*){0,30}\.\p{L}\p{L}+",
+    "path": r"(?:~|\.\.?|[\p{L}\p{N}_-]+)?(?:/[\p{L}\p{N}._-]*[\p{L}\p{N}_]){1,100}",
+    "number": r"[-+]?[0-9]+(?:\.[0-9]+)?(?:e[-+]?[0-9]+)?",
+    "compound": r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+){1,100}",
+    "word": r"[\p{L}\p{N}]+",
+}
+#: The first that fits at a place is the longest: what may start with digits and go on with letters or hyphens comes before numbers.
+ANY_TOKEN = "|".join([*(f"(?:{TOKEN_KINDS[k]})" for k in ("email", "url", "version", "host", "path", "compound")), r"(?:[0-9]*\p{L}[\p{L}\p{N}]*)", f"(?:{TOKEN_KINDS['number']})", f"(?:{TOKEN_KINDS['word']})"])
+
+
+def typed_tokens(text: Column) -> Column:
+    """Tokens of the lower-cased text by maximal munch: array of struct(pos, kind, token).
+
+    Links, addresses, hosts, paths and compounds stay whole, and the words they are made of stand at the same position as kind part;
+    numbers keep their sign and fraction.
+    """
+
+    def kind(token: Column) -> Column:
+        out = F.lit("word")
+        for name in reversed([k for k in TOKEN_KINDS if k != "word"]):
+            out = F.when(token.rlike(f"^(?:{TOKEN_KINDS[name]})$"), name).otherwise(out)
+        return out
+
+    def entries(token: Column, i: Column) -> Column:
+        of = kind(token)
+        whole = F.array(F.struct(i.alias("pos"), of.alias("kind"), token.alias("token")))
+        parts = F.transform(F.regexp_extract_all(token, F.lit(f"({_TOKEN})"), F.lit(1)), lambda w: F.struct(i.alias("pos"), F.lit("part").alias("kind"), w.alias("token")))
+        return F.when(of.isin("number", "version", "word"), whole).otherwise(F.concat(whole, parts))
+
+    return F.flatten(F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({ANY_TOKEN})"), F.lit(1)), entries))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def english_lexemes(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stems by position; null where a stop word stands."""
@@ -194,18 +232,26 @@ def _followed(here: Column, lexemes: Column, n: int, word: str) -> Column:
 
 
 def matches(lexemes: Column, query: Query) -> Column:
+    return satisfied(query, lambda words: F.coalesce(F.array_contains(lexemes, words[0]), F.lit(False)) if len(words) == 1 else F.size(_at(lexemes, words)) > 0)
+
+
+def satisfied(query: Query, hit: Callable[[tuple[str, ...]], Column]) -> Column:
+    """Whether a row meets the query, given what tells whether words stand in it one after the other."""
     out = F.lit(False)
     for group in query.groups:
         every = F.lit(True)
         for t in group:
-            hit = F.coalesce(F.array_contains(lexemes, t.words[0]), F.lit(False)) if len(t.words) == 1 else F.size(_at(lexemes, t.words)) > 0
-            every = every & (~hit if t.negated else hit)
+            every = every & (~hit(t.words) if t.negated else hit(t.words))
         out = out | every
     return out
 
 
 def cover_density(lexemes: Column, query: Query) -> Column:
-    """Sum over groups and their minimal covers of 0.1 / (1 + words inside a cover that are not needed).
+    return density(query, lambda words: _at(lexemes, words))
+
+
+def density(query: Query, at: Callable[[tuple[str, ...]], Column]) -> Column:
+    """Sum over groups and their minimal covers of 0.1 / (1 + words inside a cover that are not needed), from the places of terms.
 
     A cover is a shortest stretch that holds every positive term of a group; each starts at another place.
     """
@@ -214,7 +260,7 @@ def cover_density(lexemes: Column, query: Query) -> Column:
         wanted = [t for t in group if not t.negated]
         if not wanted:
             continue
-        places = F.concat(*[F.transform(_at(lexemes, t.words), _tagged(n, len(t.words))) for n, t in enumerate(wanted)])
+        places = F.concat(*[F.transform(at(t.words), _tagged(n, len(t.words))) for n, t in enumerate(wanted)])
         size = len(wanted)
         blank = F.struct(
             F.array_repeat(F.lit(-1), size).alias("last"), F.lit(-1).alias("start"), F.lit(0.0).alias("sum"),

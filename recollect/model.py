@@ -34,6 +34,7 @@ THOUGHTS = T.StructType(
         T.StructField("supersedes", T.StringType()),
         T.StructField("created_at", T.TimestampType()),
         T.StructField("updated_at", T.TimestampType()),
+        T.StructField("metadata", T.VariantType()),  # whatever keys have no column of their own
     ]
 )
 
@@ -43,6 +44,10 @@ _TOPICS = (None, [], ["market", "markets"], ["market-analysis"], ["market_analys
 _PEOPLE = (None, [], ["Varkas"], ["Bert Varkas"], ["Ann Lee", "Varkas"], ["ann lee"])
 
 
+#: Free metadata of a row: language, size, a flag, a list and an object. Filled in by both engines' printf.
+_METADATA = '{"lang": "%s", "size": %d, "even": %s, "tags": ["all", "t%s"], "nested": {"rest": %s, "none": null}}'
+
+
 def _pick(choices, key: Column, kind: str) -> Column:
     out = F.lit(None).cast(kind)
     for n, c in enumerate(choices):
@@ -54,7 +59,7 @@ def _pick(choices, key: Column, kind: str) -> Column:
 
 def thoughts(spark: SparkSession, sf_dir: str, embedding: bool = False) -> DataFrame:
     """The bridge view. The embeddings table is joined only when asked for, so other plans never read vectors."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang", "n_chars")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     d = d.join(labels, "doc_id", "left")
     if embedding:
@@ -81,6 +86,7 @@ def thoughts(spark: SparkSession, sf_dir: str, embedding: bool = False) -> DataF
         F.when((i % 19 == 0) & (i > 0), (i - 1).cast("string")).alias("supersedes"),
         created.alias("created_at"),
         F.timestamp_seconds(F.unix_timestamp(created) + (i % 10) * 3600).alias("updated_at"),
+        F.when(i % 13 != 0, F.parse_json(F.format_string(_METADATA, F.col("lang"), F.col("n_chars"), F.when(i % 2 == 0, "true").otherwise("false"), (i % 3).cast("string"), (i % 4).cast("string")))).alias("metadata"),
     )
 
 
@@ -105,6 +111,7 @@ def thoughts_sql() -> str:
            CASE WHEN d.doc_id % 11 <> 0 THEN coalesce(l.toxic = 1, false) END AS archived,
            CASE WHEN d.doc_id % 19 = 0 AND d.doc_id > 0 THEN (d.doc_id - 1)::VARCHAR END AS supersedes,
            TIMESTAMP '2024-01-01 00:00:00' + to_minutes(d.doc_id) AS created_at,
-           TIMESTAMP '2024-01-01 00:00:00' + to_minutes(d.doc_id) + to_hours(d.doc_id % 10) AS updated_at
+           TIMESTAMP '2024-01-01 00:00:00' + to_minutes(d.doc_id) + to_hours(d.doc_id % 10) AS updated_at,
+           CASE WHEN d.doc_id % 13 <> 0 THEN printf('{_METADATA}', d.lang, d.n_chars, CASE WHEN d.doc_id % 2 = 0 THEN 'true' ELSE 'false' END, (d.doc_id % 3)::VARCHAR, (d.doc_id % 4)::VARCHAR)::JSON END AS metadata
     FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = d.doc_id
     """

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import contents_joined, origin_of, project_key
+from ..functions.metadata import at, overlay
 from ..plans.storage import materialise, scratch
 from .components import components
 
@@ -40,15 +41,43 @@ class Thresholds:
             raise ValueError("the merge threshold must not lie under the duplicate threshold")
 
 
-def candidates(thoughts: DataFrame, project: str, watermark: datetime, limit: int = 500) -> DataFrame:
+@dataclass(frozen=True)
+class Cursor:
+    """How far a project has been read: all rows up to ``time``, or, with an id, those of that time up to the id as well."""
+
+    time: datetime
+    id: str | None = None
+
+    def reached(self) -> tuple:
+        """Sorts cursors by what they have read; one without an id has read all of its time."""
+        return self.time, self.id is None, self.id or ""
+
+
+def candidates(thoughts: DataFrame, project: str, watermark: datetime | Cursor, limit: int = 500) -> DataFrame:
     """Live rows of a project ('' for none) with a vector, changed after the watermark, the oldest first, by id at ties.
 
-    Rows as old as the last one within the limit come as well: the cursor moves past their time, so a cut among them would lose the rest.
+    ``limit`` holds at ties too: a cursor with an id goes on among rows of one time.
     """
+    cursor = watermark if isinstance(watermark, Cursor) else Cursor(watermark)
     live = thoughts.where(F.col("archived") == F.lit(False)).where(F.col("embedding").isNotNull())
-    due = live.where(project_key(F.col("project")) == project).where(F.col("updated_at") > F.lit(watermark))
-    last = due.select("updated_at").orderBy("updated_at").limit(limit).agg(F.max("updated_at").alias("last"))  # one row
-    return due.join(F.broadcast(last), F.col("updated_at") <= F.col("last")).drop("last").orderBy("updated_at", "id")
+    later = F.col("updated_at") > F.lit(cursor.time)
+    if cursor.id is not None:
+        later = later | ((F.col("updated_at") == F.lit(cursor.time)) & (F.col("id") > cursor.id))
+    return live.where(project_key(F.col("project")) == project).where(later).orderBy("updated_at", "id").limit(limit)
+
+
+def next_cursor(rows: DataFrame, current: Cursor, started: datetime, slack: timedelta, held: DataFrame | None = None) -> Cursor:
+    """Behind the last of the candidates, but never past the run's start less the slack, behind the oldest of the rows that
+    await review (by a millisecond), and never back."""
+    last = rows.agg(F.max(F.struct("updated_at", "id")).alias("x")).first().x
+    if last is None:
+        return current
+    horizon = started - slack
+    ahead = Cursor(last.updated_at, last.id) if last.updated_at <= horizon else Cursor(horizon)
+    oldest = held.agg(F.min("updated_at")).first()[0] if held is not None else None
+    if oldest is not None:
+        ahead = min(ahead, Cursor(oldest - timedelta(milliseconds=1)), key=Cursor.reached)
+    return max(current, ahead, key=Cursor.reached)
 
 
 def clusters(edges: DataFrame, threshold: float) -> DataFrame:
@@ -123,16 +152,32 @@ def _first_present(value: Column) -> Column:
     return F.min_by(F.when(value.isNotNull(), value), F.when(value.isNotNull(), F.struct("created_at", "id")))
 
 
-def canonical(members: DataFrame) -> DataFrame:
+def _texts(metadata: Column, key: str) -> Column:
+    """The texts of a list in metadata, null for none."""
+    entries = F.try_variant_get(at(metadata, key), "$", "array<variant>")
+    return F.transform(F.filter(entries, lambda e: F.schema_of_variant(e) == "STRING"), lambda e: F.try_variant_get(e, "$", "string"))
+
+
+def lineage_block(op: str, as_of: datetime | None, **lists: Column) -> Column:
+    """An object under the key dream: what made a row, when, and of which rows."""
+    fields = [F.lit(op).alias("op"), F.lit(as_of.isoformat() if as_of else None).cast("string").alias("run_at"), *[c.alias(n) for n, c in lists.items()]]
+    return F.to_variant_object(F.struct(F.struct(*fields).alias("dream")))
+
+
+def canonical(members: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """The merged row of every cluster.
 
-    Contents longest first, contained ones left out; lists united in order of age; the most frequent type, at ties the
-    earliest member's; source and origin of the earliest member that has one; the rest from the earliest member.
+    Contents longest first, contained ones left out; lists united in order of age, those of action items and dates in metadata as well;
+    the most frequent type, at ties the earliest member's; source and origin of the earliest member that has one; the rest from the
+    earliest member. Metadata names the members under dream.
     """
     age = F.struct("created_at", "id")
     counted = members.withColumn("uses", F.when(F.col("type").isNotNull(), F.count("type").over(Window.partitionBy("cluster", "type"))))
     unite = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", F.coalesce(c, F.array().cast("array<string>")).alias("v")))), lambda x: x["v"])))
-    return counted.groupBy("cluster").agg(
+    listed = ("action_items", "dates")
+    metadata = F.col("metadata") if "metadata" in members.columns else F.lit(None).cast("variant")
+    counted = counted.withColumns({f"_{k}": _texts(metadata, k) for k in listed})
+    merged_rows = counted.groupBy("cluster").agg(
         contents_joined(F.collect_list(F.struct(F.col("id").alias("position"), F.col("content").alias("content")))).alias("content"),
         unite("topics").alias("topics"),
         unite("people").alias("people"),
@@ -143,7 +188,11 @@ def canonical(members: DataFrame) -> DataFrame:
         F.min_by("created_by", age).alias("created_by"),
         F.min_by("id", age).alias("supersedes"),
         F.transform(F.array_sort(F.collect_list(age)), lambda x: x["id"]).alias("merged_from"),
+        *[unite(f"_{k}").alias(f"_{k}") for k in listed],
     )
+    parts = [F.when(F.size(f"_{k}") > 0, F.to_variant_object(F.struct(F.col(f"_{k}").alias(k)))) for k in listed]
+    whole = overlay(F.parse_json(F.lit("{}")), *parts, lineage_block("merge", as_of, merged_from=F.col("merged_from")))
+    return merged_rows.withColumn("metadata", whole).drop(*[f"_{k}" for k in listed])
 
 
 def contradiction_pairs(edges: DataFrame, settled: DataFrame, t: Thresholds) -> DataFrame:

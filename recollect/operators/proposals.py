@@ -1,8 +1,7 @@
 """Proposals: keys, consistency, review and application.
 
 Items are a table: pos (from 0), kind (contradiction or synthesis), a, b, verdict, reason, obsolete_id, content,
-sources. A proposal holds the items of one run over at most 500 candidates, so an ordered fold over it fits a row;
-a table of several runs names the column that tells them apart.
+sources. A table of several runs names the column that tells them apart.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise, scratch
+
 LONG_CHARS, LONG_RATIO = 2000, 2
 #: Positions numbered in one task.
 STRETCH = 4096
@@ -33,30 +34,40 @@ def _ids() -> Column:
     return F.when(F.col("kind") == "contradiction", F.array("a", "b")).otherwise(F.col("sources"))
 
 
-def _kills() -> Column:
-    return F.when(F.col("kind") == "contradiction", F.array("obsolete_id")).otherwise(F.array().cast("array<string>"))
-
-
 def consistent(items: DataFrame, run: str | None = None) -> DataFrame:
-    """Items with ``kept``: in order, one that would archive a row needed or already archived by a kept one goes.
+    """Items with ``kept``: in order, one that would archive a row which a kept one before it names goes.
 
-    With ``run``, a column, the items of each run are folded on their own.
+    With ``run``, a column, the items of each run are told apart. No item is folded after another: in every round an
+    item whose row no earlier undecided item names is settled (it goes if a kept one names the row, else it stays), and
+    what it stays or goes for is settled in the next. Per row only the first kept and the first undecided item matter, so a row that
+    many items name costs no more than a minimum. Rounds are as many as the longest chain of items that hang on each other.
     """
-    by = [run] if run else []
-    needs = F.when(F.col("kind") == "contradiction", F.array_except(F.array("a", "b"), F.array("obsolete_id"))).otherwise(F.col("sources"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), _kills().alias("kills"), needs.alias("needs"))))
-    empty = F.array().cast("array<string>")
-    blank = F.struct(empty.alias("doomed"), empty.alias("needed"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc, x):
-        clash = F.arrays_overlap(x["kills"], acc["needed"]) | F.arrays_overlap(x["kills"], acc["doomed"])
-        return F.when(clash, acc).otherwise(
-            F.struct(F.concat(acc["doomed"], x["kills"]).alias("doomed"), F.concat(acc["needed"], x["needs"]).alias("needed"), F.array_append(acc["kept"], x["pos"]).alias("kept"))
-        )
-
-    kept = items.groupBy(*by).agg(F.aggregate(rows, blank, step, lambda acc: acc["kept"]).alias("kept_at"))
-    joined = items.join(kept, run) if run else items.join(F.broadcast(kept))
-    return joined.withColumn("kept", F.array_contains("kept_at", F.col("pos").cast("long"))).drop("kept_at")
+    with scratch(items.sparkSession) as keep:
+        kept = keep(_settled(items, run), "consistent")
+    own = ["pos"] if run is None else [run, "pos"]
+    return items.join(kept.withColumnRenamed("at", "pos").withColumnRenamed("by", run or "by"), own).drop("by")
+
+
+def _settled(items: DataFrame, run: str | None) -> DataFrame:
+    """by (the run), at (the position) and kept of every item."""
+    by = F.col(run) if run else F.lit(0)
+    pair = F.col("kind") == "contradiction"
+    named = F.when(pair, F.array("a", "b", "obsolete_id")).otherwise(F.col("sources"))
+    rows = items.select(by.alias("by"), F.col("pos").alias("at"), F.when(pair, F.col("obsolete_id")).alias("kill"), F.array_distinct(named).alias("names"))
+    rows = materialise(rows, "items")
+    mentions = rows.select("by", "at", F.explode("names").alias("id")).where(F.col("id").isNotNull())
+    state = rows.select("by", "at", "kill", F.when(F.col("kill").isNull(), True).alias("kept"))
+    while True:
+        state = materialise(state, "settled")
+        if state.where("kept IS NULL").isEmpty():
+            return state.select("by", "at", "kept")
+        # rows that no undecided item would archive need not be looked at any more
+        asked = state.where("kept IS NULL").select("by", F.col("kill").alias("id")).distinct()
+        live = mentions.join(asked, ["by", "id"], "left_semi").join(state.select("by", "at", "kept"), ["by", "at"])
+        first = live.groupBy("by", "id").agg(F.min(F.when(F.col("kept"), F.col("at"))).alias("taken"), F.min(F.when(F.col("kept").isNull(), F.col("at"))).alias("open"))
+        judged = state.join(first.withColumnRenamed("id", "kill"), ["by", "kill"], "left")
+        verdict = F.when(F.col("taken") < F.col("at"), False).when(F.col("open") >= F.col("at"), True)
+        state = judged.select("by", "at", "kill", F.coalesce("kept", verdict).alias("kept"))
 
 
 def overlaps(items: DataFrame) -> DataFrame:

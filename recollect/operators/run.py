@@ -1,7 +1,8 @@
 """A consolidation run: read behind the cursor, unify spellings, merge, propose, and move the cursor.
 
-What a run touches is bounded by its candidates (500) and their neighbours (6 each); those small tables are
-written between the steps because several later steps read them. One writer at a time is assumed.
+What a run touches is bounded by its candidates (500, also among rows of one time: the cursor is a time and an id) and their
+neighbours (6 each); those small tables are written between the steps because several later steps read them. Stored
+tables get the rows that a run changes, so its cost does not follow their history. One writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from pyspark.sql import types as T
 
 from ..functions.labels import project_key
 from ..plans.storage import materialise
-from ..sources.store import Store, VersionedTable, upserted
+from ..sources.store import Store, VersionedTable
 from . import consolidate, neighbours, proposals, stats, vocabulary
-from .consolidate import Judge, Thresholds, Writer
+from .consolidate import Cursor, Judge, Thresholds, Writer
 
 ITEM = "struct<pos:int,kind:string,a:string,b:string,verdict:string,reason:string,obsolete_id:string,content:string,sources:array<string>>"
 PROPOSALS = f"id string, project string, created_at timestamp, expires_at timestamp, applied_at timestamp, status string, items array<{ITEM}>"
-STATE = "project string, watermark timestamp, last_run_at timestamp, last_run_stats map<string,bigint>"
+STATE = "project string, watermark timestamp, watermark_id string, last_run_at timestamp, last_run_stats map<string,bigint>"
 RUNS = (
     "run_id string, project string, status string, dry_run boolean, trigger string, applied map<string,bigint>, proposed map<string,bigint>, "
     "skipped map<string,bigint>, candidates bigint, clusters bigint, proposal_id string, error string, started_at timestamp, finished_at timestamp"
@@ -76,7 +77,7 @@ class Consolidator:
         self.spark, self.store, self.judge, self.writer = spark, store, judge, writer
         self.t = thresholds or Thresholds()
         self.proposals = VersionedTable(spark, f"{root}/proposals", PROPOSALS)
-        self.state = VersionedTable(spark, f"{root}/state", STATE)
+        self.state = VersionedTable(spark, f"{root}/state", STATE, key="project")
         self.runs = VersionedTable(spark, f"{root}/runs", RUNS)
         table = lambda m: spark.createDataFrame(sorted((m or {}).items()), "variant string, canonical string")
         self.configured = {"topics": table(topic_aliases), "people": table(person_aliases)}
@@ -118,8 +119,8 @@ class Consolidator:
 
     def _steps(self, out: Outcome, project: str, as_of: datetime, ops: tuple[str, ...], dry_run: bool, since: datetime | None, limit: int) -> None:
         t, rows = self.t, self.store.read()
-        stored = self.state.read().where(F.col("project") == project).select("watermark").first()
-        cursor = stored.watermark if stored else EPOCH
+        stored = self.state.read().where(F.col("project") == project).select("watermark", "watermark_id").first()
+        cursor = Cursor(*stored) if stored else Cursor(EPOCH)
         candidates = materialise(consolidate.candidates(rows, project, since or cursor, limit), "candidates")
         out.candidates = candidates.count()
         edges = materialise(neighbours.edges(candidates, rows, t.neighbour), "edges")
@@ -152,7 +153,7 @@ class Consolidator:
             out.bump(out.applied, "merge", kinds.pop("mergeable", 0))
             out.bump(out.skipped, "merge_unscreened", sum(kinds.values()))
             merging = members.join(screen.where("outcome = 'mergeable'").select("cluster"), "cluster", "left_semi")
-            merges = consolidate.canonical(merging)
+            merges = consolidate.canonical(merging, as_of)
             out.merges = materialise(merges.withColumn("embedding", self.embedder(F.col("content"))) if self.embedder else merges, "merges")
             settled = materialise(merging.select("id").unionByName(found.select(F.explode(F.array("a", "b")).alias("id"))), "settled")
             if not dry_run and out.applied.get("merge"):
@@ -193,18 +194,17 @@ class Consolidator:
             F.lit(out.proposal_id).alias("id"), F.lit(project).alias("project"), F.lit(as_of).alias("created_at"), F.lit(as_of + proposals.TTL).alias("expires_at"),
             F.lit(None).cast("timestamp").alias("applied_at"), F.lit("open").alias("status"), "items",
         )
-        old = self.proposals.read()
-        open_here = (F.col("project") == project) & (F.col("status") == "open")
-        self.proposals.write(old.withColumn("status", F.when(open_here, "superseded").otherwise(F.col("status"))).unionByName(new))
+        before = self.proposals.read().where((F.col("project") == project) & (F.col("status") == "open"))
+        self.proposals.change(before.withColumn("status", F.lit("superseded")).unionByName(new))
 
-    def _advance(self, out: Outcome, candidates: DataFrame, project: str, cursor: datetime, as_of: datetime, dry_run: bool) -> None:
-        advanced = consolidate.next_watermark(candidates, cursor, as_of, self.t.slack).first().watermark
+    def _advance(self, out: Outcome, candidates: DataFrame, project: str, cursor: Cursor, as_of: datetime, dry_run: bool) -> None:
         held = candidates.join(settled_ids(out.items), "id", "left_semi")
-        out.watermark = consolidate.hold_back(F.lit(advanced), held, cursor).first().watermark
+        ahead = consolidate.next_cursor(candidates, cursor, as_of, self.t.slack, held)
+        out.watermark = ahead.time
         if not dry_run:
             stats_map = F.create_map(*[F.lit(x) for pair in (out.applied | {"candidates": out.candidates}).items() for x in pair]).cast("map<string,bigint>")
-            row = self.spark.range(1).select(F.lit(project).alias("project"), F.lit(out.watermark).alias("watermark"), F.lit(as_of).alias("last_run_at"), stats_map.alias("last_run_stats"))
-            self.state.write(upserted(self.state.read(), row, "project"))
+            row = self.spark.range(1).select(F.lit(project).alias("project"), F.lit(ahead.time).alias("watermark"), F.lit(ahead.id).cast("string").alias("watermark_id"), F.lit(as_of).alias("last_run_at"), stats_map.alias("last_run_stats"))
+            self.state.change(row)
 
     def _record(self, out: Outcome, run_id: str, as_of: datetime, dry_run: bool, trigger: str, error: str | None) -> None:
         row = (run_id, out.project, "failed" if error else "ok", dry_run, trigger, out.applied, out.proposed, out.skipped, out.candidates, out.clusters, out.proposal_id, error, as_of, as_of)
@@ -254,7 +254,8 @@ class Consolidator:
         if not patch.isEmpty():
             self.store.patch(patch, as_of)
         if not new.isEmpty():
-            rows = new.select(F.sha2(F.concat_ws(":", F.lit(proposal_id), "key"), 256).alias("id"), "content", "created_by", "project", F.lit("dream").alias("source"))
+            rows = new.select(F.sha2(F.concat_ws(":", F.lit(proposal_id), "key"), 256).alias("id"), "content", "created_by", "project", F.lit("dream").alias("source"),
+                              F.lit("observation").alias("type"), consolidate.lineage_block("synthesis", as_of, sources=F.col("sources")).alias("metadata"))
             embedder = embedder or self.embedder
             self.store.insert(rows.withColumn("embedding", embedder(F.col("content"))) if embedder else rows, as_of)
         self._set_status(proposal_id, "applied", as_of)
@@ -262,12 +263,8 @@ class Consolidator:
         return keys(accepted), keys(rejected)
 
     def _set_status(self, proposal_id: str, status: str, applied_at: datetime | None) -> None:
-        hit = F.col("id") == proposal_id
-        self.proposals.write(
-            self.proposals.read().withColumns(
-                {"status": F.when(hit, status).otherwise(F.col("status")), "applied_at": F.when(hit, F.lit(applied_at)).otherwise(F.col("applied_at"))}
-            )
-        )
+        row = self.proposals.read().where(F.col("id") == proposal_id)
+        self.proposals.change(row.withColumns({"status": F.lit(status), "applied_at": F.lit(applied_at).cast("timestamp")}))
 
 
 __all__ = ["Consolidator", "Outcome", "counters", "settled_ids"]

@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fts
 from ..functions.labels import shown
+from ..functions.metadata import contains
 from ..functions.vector import cosine, literal, present
 
 
 @dataclass(frozen=True)
 class Scope:
-    """Which rows a search may see. Archived rows, and rows whose flag is missing, are hidden unless asked for."""
+    """Which rows a search may see. Archived rows, and rows whose flag is missing, are hidden unless asked for; ``metadata`` is what a row's must contain."""
 
     type: str | None = None
     topic: str | None = None
     project: str | None = None
     created_by: str | None = None
     include_archived: bool = False
+    metadata: dict | None = None
 
     def condition(self) -> Column:
         """One conjunction; parts that were not given are left out, so simple parts reach the scan."""
@@ -33,6 +35,8 @@ class Scope:
         parts += [F.col(c) == F.lit(v) for c, v in (("type", self.type), ("project", self.project), ("created_by", self.created_by)) if v is not None]
         if self.topic is not None:
             parts.append(F.array_contains("topics", self.topic))
+        if self.metadata is not None:
+            parts.append(contains(F.col("metadata"), self.metadata))
         out = F.lit(True)
         for p in parts:
             out = out & p

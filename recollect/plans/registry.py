@@ -9,14 +9,17 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import metadata
 from ..functions import text as fts
-from ..functions.embed import trigram_embedder
+from ..functions.embed import trigram_embedder, truncation_notes
 from ..functions.labels import contents_joined, normalise_topic, person_words, topic_key
 from ..functions.vector import probe
 from ..model import thoughts, thoughts_sql
-from ..operators import browse, capture, consolidate, neighbours, proposals, search, stats, vocabulary
+from ..operators import browse, capture, consolidate, intake, neighbours, proposals, search, stats, table_functions, vocabulary
+from ..operators.ann import AnnIndex
 from ..operators.components import components
-from ..operators.run import settled_ids
+from ..operators.run import Consolidator, settled_ids
+from ..operators.textindex import TextIndex
 from ..sources import store
 from .storage import remove, scratch, shared_dir
 
@@ -299,7 +302,7 @@ def _(t):
     return vocabulary.vocabulary_changes(t, {"markets": "market"}, {"varkas": "Bert Varkas"})
 
 
-_CANDIDATES_SQL = f"SELECT * FROM t WHERE archived = false AND embedding IS NOT NULL AND coalesce(project, '') = '{{}}' AND updated_at > TIMESTAMP '{SINCE}' QUALIFY rank() OVER (ORDER BY updated_at) <= 500"
+_CANDIDATES_SQL = f"SELECT * FROM t WHERE archived = false AND embedding IS NOT NULL AND coalesce(project, '') = '{{}}' AND updated_at > TIMESTAMP '{SINCE}' QUALIFY row_number() OVER (ORDER BY updated_at, id) <= 500"
 
 
 @_query("candidates_since", f"SELECT id, content, updated_at FROM ({_CANDIDATES_SQL.format('proj1')})", embedding=True)
@@ -421,7 +424,16 @@ def _(t):
     return proposals.keyed(_items(t)).select("pos", "key")
 
 
-@_query("proposal_consistency")
+#: Items folded one after the other, run by run.
+_CONSISTENT_SQL = f"""SELECT pos, kind, kept FROM (WITH RECURSIVE o AS (SELECT pos, kind, obsolete_id, CASE WHEN kind = 'contradiction' THEN [a, b] ELSE sources END AS ids,
+        pos // 500 AS run, row_number() OVER (PARTITION BY pos // 500 ORDER BY pos) AS n FROM (SELECT * REPLACE (a::BIGINT AS pos) FROM {_ITEMS_SQL})),
+    f AS (SELECT DISTINCT run, 0::BIGINT AS n, []::VARCHAR[] AS taken, NULL::BIGINT AS pos, NULL::VARCHAR AS kind, NULL::BOOLEAN AS kept FROM o
+          UNION ALL SELECT run, n, CASE WHEN keep THEN list_concat(taken, ids) ELSE taken END, pos, kind, keep
+          FROM (SELECT f.run, o.n, f.taken, o.ids, o.pos, o.kind, NOT (o.kind = 'contradiction' AND list_contains(f.taken, o.obsolete_id)) AS keep FROM f JOIN o ON o.run = f.run AND o.n = f.n + 1))
+    SELECT pos, kind, kept FROM f WHERE n > 0)"""
+
+
+@_query("proposal_consistency", _CONSISTENT_SQL)
 def _(t):
     return proposals.consistent(_items(t), "run").select("pos", "kind", "kept")
 
@@ -653,7 +665,19 @@ def _(t):
     return settled_ids(_items(t))
 
 
-@_query("trigram_neighbours", embedding=False)
+#: Slots of trigrams, counts per row as a unit vector of floats, and the nearest of every asked row.
+_TRIGRAM_SQL = r"""(WITH f AS (SELECT id, archived, ' ' || trim(regexp_replace(lower(coalesce(content, '')), '[^a-z0-9]+', ' ', 'g')) || ' ' AS s FROM t),
+    g AS (SELECT id, g, count(*) AS n FROM (SELECT id, substr(s, i, 3) AS g FROM (SELECT id, s, unnest(range(1, length(s) - 1)) AS i FROM f)) GROUP BY ALL),
+    h AS (SELECT g, ('0x' || left(sha256(g), 8))::BIGINT % 64 AS slot FROM (SELECT DISTINCT g FROM g)),
+    c AS (SELECT id, slot, sum(n)::DOUBLE AS n FROM g JOIN h USING (g) GROUP BY ALL),
+    v AS (SELECT id, slot, (n / sqrt(sum(n * n) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS x FROM c),
+    m AS (SELECT id, sqrt(sum(x * x)) AS m FROM v GROUP BY id),
+    s AS (SELECT q.id AS a, v.id AS b, sum(q.x * v.x) / (any_value(k.m) * any_value(l.m)) AS similarity FROM v q JOIN v USING (slot) JOIN f ON f.id = v.id AND f.archived = false JOIN m k ON k.id = q.id JOIN m l ON l.id = v.id
+          WHERE q.id::BIGINT % 100 = 0 GROUP BY q.id, v.id)
+    SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(similarity, 12) DESC, b) AS n FROM s WHERE similarity >= 0.9) WHERE n = 1)"""
+
+
+@_query("trigram_neighbours", f"SELECT * FROM {_TRIGRAM_SQL}", embedding=False)
 def _(t):
     embedded = t.withColumn("embedding", trigram_embedder(64)(F.col("content")))
     return _round(neighbours.duplicates(embedded.where(F.col("id").cast("long") % 100 == 0), embedded, 0.9), "similarity")
@@ -669,6 +693,235 @@ def _(t):
     return components(t.where("supersedes IS NOT NULL").select(F.col("id").alias("a"), F.col("supersedes").alias("b")))
 
 
+# indexes: each built in the shared folder, of the bridge view, and asked once ---------------------------------
+
+
+def _indexed(t: DataFrame, work: Callable[[str], DataFrame], name: str) -> DataFrame:
+    spark = t.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with scratch(spark) as keep:
+        out = keep(work(path), name)
+    remove(spark, path)
+    return out
+
+
+#: Nine of ten exact neighbours, over all asked rows, is what the index is held to; SQL counts what there is to find.
+_RECALL_SQL = """SELECT count(DISTINCT a) AS asked, count(*) AS wanted, true AS reached FROM (SELECT q.id AS a, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]) DESC, x.id) AS n
+    FROM t q JOIN t x ON q.id::BIGINT % 100 = 0 AND q.embedding IS NOT NULL AND x.embedding IS NOT NULL) WHERE n <= 10"""
+
+
+@_query("ann_recall", _RECALL_SQL, embedding=True)
+def _(t):
+    """The ten nearest of every row whose id is divisible by 100, by the index and exactly; whether nine tenths are the same."""
+    rows = t.select("id", "embedding", "archived", "project")
+    asked = rows.where(F.col("id").cast("long") % 100 == 0)
+    exact = neighbours.nearest(asked, rows, 10, -1.0).select("a", "b")
+
+    def work(path: str) -> DataFrame:
+        found = AnnIndex.build(rows, path).neighbours(asked, 10).select("a", "b", F.lit(1).alias("hit"))
+        both = exact.join(found, ["a", "b"], "left")
+        return both.agg(F.count_distinct("a").alias("asked"), F.count(F.lit(1)).alias("wanted"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("reached"))
+
+    return _indexed(t, work, "ann")
+
+
+@_query("ann_topk", embedding=True)
+def _(t):
+    """One query by codes and exact re-ranking, without Python in the plan."""
+    rows = t.select("id", "content", "embedding", "archived", "created_at", "project", "type", "topics", "created_by")
+    found = _indexed(t, lambda path: AnnIndex.build(rows, path).search(probe(SEED, WIDTH), 10, SEMANTIC), "ann")
+    return _round(found.select("id", "content", "similarity", "created_at"), "similarity")
+
+
+@_query("text_index_rank", f"SELECT id, round(text_rank, 6) AS text_rank, created_at FROM (WITH {_TEXT_SQL} SELECT * FROM said)")
+def _(t):
+    return _round(_indexed(t, lambda path: TextIndex.build(t, path, english=False).search(TEXT, 50, english=False), "postings"), "text_rank")
+
+
+@_query("typed_tokens", f"""SELECT kind, count(*) AS n, count(DISTINCT token) AS different, min(token) AS least FROM (
+    SELECT token, CASE {" ".join(f"WHEN regexp_full_match(token, '{p}') THEN '{k}'" for k, p in fts.TOKEN_KINDS.items() if k != "word")} ELSE 'word' END AS kind
+    FROM (SELECT unnest(regexp_extract_all(lower(coalesce(content, '')), '{fts.ANY_TOKEN}')) AS token FROM t)) GROUP BY kind""")
+def _(t):
+    each = t.select(F.explode(fts.typed_tokens(F.col("content"))).alias("x")).select("x.kind", "x.token").where("kind <> 'part'")
+    return each.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("token").alias("different"), F.min("token").alias("least"))
+
+
+# metadata without columns -----------------------------------------------------------------------------------
+
+
+@_query("metadata_containment", "SELECT id FROM t WHERE metadata->>'lang' = 'en' AND (metadata->'even')::VARCHAR = 'true' AND list_contains((metadata->'tags')::VARCHAR[], 't1') AND (metadata->'nested'->'rest')::INT = 2")
+def _(t):
+    return t.where(metadata.contains(F.col("metadata"), {"lang": "en", "even": True, "tags": ["t1"], "nested": {"rest": 2, "none": None}})).select("id")
+
+
+@_query("metadata_has_entry", "SELECT id FROM t WHERE list_contains((metadata->'tags')::VARCHAR[], 't2') OR metadata->>'lang' = 't2'")
+def _(t):
+    return t.where(metadata.has_entry(F.col("metadata"), "tags", "t2") | metadata.has_entry(F.col("metadata"), "lang", "t2")).select("id")
+
+
+@_query("metadata_merge", """SELECT id, CASE WHEN id::BIGINT % 6 = 1 THEN '{' || CASE WHEN metadata IS NULL THEN '' ELSE '"even":' || (metadata->'even')::VARCHAR || ',' END || '"lang":null'
+        || CASE WHEN metadata IS NULL THEN '' ELSE ',"nested":{"none":null,"rest":' || (metadata->'nested'->'rest')::VARCHAR || '}' END || ',"seen":[1,2]'
+        || CASE WHEN metadata IS NULL THEN '' ELSE ',"size":' || (metadata->'size')::VARCHAR || ',"tags":["all","' || (metadata->'tags'->>1) || '"]' END || '}' END AS metadata,
+    CASE WHEN id::BIGINT % 6 = 1 THEN TIMESTAMP '""" + str(AS_OF) + """' ELSE updated_at END AS updated_at FROM t""")
+def _(t):
+    """A key given as null is null from then on, other keys stay; rows that are not patched are left out of the text."""
+    n = F.col("id").cast("long")
+    changes = t.where(n % 6 == 1).select("id", F.parse_json(F.lit('{"lang": null, "seen": [1, 2]}')).alias("metadata"))
+    out = store.patched(t, changes, AS_OF)
+    return out.select("id", F.when(n % 6 == 1, F.to_json("metadata")).alias("metadata"), "updated_at")
+
+
+@_query("metadata_overlay", """SELECT id, '{"by":"rules","lang":"' || CASE WHEN metadata IS NULL THEN 'xx' ELSE metadata->>'lang' END || '","type":' || coalesce('"' || type || '"', 'null') || '}' AS metadata FROM t""")
+def _(t):
+    """What an extractor proposed under what the row says under what the rules resolved."""
+    extracted = F.parse_json(F.lit('{"lang": "xx", "type": "guess", "by": "extractor"}'))
+    own = F.when(F.col("metadata").isNotNull(), F.to_variant_object(F.struct(F.try_variant_get("metadata", "$.lang", "string").alias("lang"))))
+    resolved = F.parse_json(F.concat(F.lit('{"by": "rules", "type": '), F.coalesce(F.concat(F.lit('"'), "type", F.lit('"')), F.lit("null")), F.lit("}")))
+    return t.select("id", F.to_json(metadata.overlay(extracted, own, resolved)).alias("metadata"))
+
+
+@_query("search_by_metadata", f"SELECT id, round(s, 6) AS similarity FROM ({_semantic_sql(chr(39).join(['archived = false AND metadata->>', 'lang', ' = ', 'en', ' AND (metadata->', 'nested', '->', 'rest', ')::INT = 1']), -1.0, 10)})", embedding=True)
+def _(t):
+    return _round(search.semantic(t, probe(SEED, WIDTH), 10, -1.0, search.Scope(metadata={"lang": "en", "nested": {"rest": 1}})).select("id", "similarity"), "similarity")
+
+
+@_query("merge_metadata", f"""SELECT cluster, '{{"dream":{{"merged_from":["' || string_agg(t.id, '","' ORDER BY created_at, t.id) || '"],"op":"merge","run_at":"{AS_OF.isoformat()}"}}}}' AS metadata
+    FROM t JOIN (SELECT content, min(id) AS cluster FROM t WHERE content IS NOT NULL GROUP BY content HAVING count(*) > 1) USING (content) GROUP BY cluster""")
+def _(t):
+    return consolidate.canonical(_copies(t), AS_OF).select("cluster", F.to_json("metadata").alias("metadata"))
+
+
+# table functions in SQL ----------------------------------------------------------------------------------------
+
+
+def _by_sql(t: DataFrame, statement: str) -> DataFrame:
+    spark, view = t.sparkSession, "recollect_memories"
+    t.createOrReplaceTempView(view)
+    table_functions.register(spark, view)
+    return spark.sql(statement)
+
+
+_ARRAY = "array(" + ", ".join(f"{x!r}D" for x in probe(SEED, WIDTH)) + ")"
+
+
+@_query("sql_match_thoughts", f"SELECT id, content, round(s, 6) AS similarity, created_at FROM ({_semantic_sql(chr(39).join(['archived = false AND project = ', 'proj1', ' AND type = ', 'task', '']), -1.0, 10)})", embedding=True)
+def _(t):
+    return _round(_by_sql(t, f"SELECT * FROM match_thoughts({_ARRAY}, -1D, 10, project => 'proj1', type => 'task')"), "similarity")
+
+
+@_query("sql_hybrid_match_thoughts", f"SELECT id, round(similarity, 6) AS similarity, round(text_rank, 6) AS text_rank, round(score, 6) AS score, matched_by, content, created_at FROM {_HYBRID_SQL.replace("{k}", "10")}", embedding=True)
+def _(t):
+    return _round(_by_sql(t, f"SELECT * FROM hybrid_match_thoughts({_ARRAY}, '{TEXT}', threshold => {SEMANTIC}D)"), "similarity", "text_rank", "score")
+
+
+@_query("sql_match_by_source", "SELECT h, id, created_at FROM (SELECT source_file_hash AS h, id, created_at, row_number() OVER (PARTITION BY source_file_hash ORDER BY created_at DESC, id) AS n FROM t WHERE source_file_hash IN ('h1', 'h2') AND archived = false) WHERE n <= 2")
+def _(t):
+    return _by_sql(t, "SELECT v.h, l.id, l.created_at FROM (VALUES ('h1'), ('h2')) v(h), LATERAL match_thoughts_by_source(v.h, 2) l")
+
+
+# bodies of captures --------------------------------------------------------------------------------------------
+
+_ID = "00000000-0000-4000-8000-000000000001"
+
+
+def _bodies(t: DataFrame) -> DataFrame:
+    """A body of every row, each seventh with another fault or oddity."""
+    n = F.col("id").cast("long") % 7
+    own = F.struct(
+        F.when(n != 1, F.coalesce("content", F.lit(""))).alias("content"), F.when(n == 2, F.lit("  ")).alias("source"), F.when(n == 3, F.col("project")).alias("project"),
+        F.when(n == 4, F.lit("no id")).when(n == 5, F.lit(_ID)).alias("supersedes"), F.when(n == 6, F.lit("blue")).alias("colour"), F.when(n == 5, F.array(F.lit("a"))).alias("topics"),
+    )
+    return t.select("id", F.parse_json(F.to_json(own)).alias("body"))
+
+
+@_query("capture_bodies", f"""SELECT id, CASE WHEN n = 1 OR trim(coalesce(content, ''), chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN 'content must be a text that is not blank' WHEN n = 2 THEN 'source must be a text that is not blank'
+        WHEN n = 4 THEN 'supersedes must be an id' END AS error,
+    list_filter([CASE n WHEN 5 THEN 'topics:deprecated_top_level' WHEN 6 THEN 'colour:unknown_field' END, CASE WHEN n <> 1 AND strlen(content) > 6000 THEN 'content:embedding_truncated' END], lambda x: x IS NOT NULL) AS warnings,
+    '{{' || CASE WHEN n <> 1 AND strlen(content) > 6000 THEN '"content_bytes":' || strlen(content) || ',"embedding_indexed_bytes":6000,"embedding_truncated":true' || CASE WHEN n = 5 THEN ',' ELSE '' END ELSE '' END
+        || CASE WHEN n = 5 THEN '"topics":["a"]' ELSE '' END || '}}' AS metadata, CASE WHEN n = 3 THEN project END AS project FROM (SELECT *, id::BIGINT % 7 AS n FROM t)""")
+def _(t):
+    out = intake.checked(_bodies(t))
+    return out.select("id", "error", F.transform("warnings", lambda w: F.concat_ws(":", w["field"], w["reason"])).alias("warnings"), F.to_json("metadata").alias("metadata"), "project")
+
+
+@_query("capture_batches", """SELECT b AS batch, i::INT AS item, CASE WHEN bad IS NOT NULL THEN 'item ' || bad || ': content must be a text that is not blank' END AS batch_error, CASE WHEN i = 0 THEN 'own' ELSE 'shared' END AS project, 'import' AS source FROM (
+    SELECT id::BIGINT // 3 AS b, row_number() OVER (PARTITION BY id::BIGINT // 3 ORDER BY id::BIGINT) - 1 AS i,
+           min(CASE WHEN blank THEN r END) OVER (PARTITION BY id::BIGINT // 3) AS bad FROM (
+        SELECT *, row_number() OVER (PARTITION BY id::BIGINT // 3 ORDER BY id::BIGINT) - 1 AS r, trim(coalesce(content, ''), chr(32) || chr(9) || chr(10) || chr(13)) = '' OR id::BIGINT % 11 = 0 AS blank FROM t))""")
+def _(t):
+    """Batches of three neighbouring rows; the first of each names its own project."""
+    n = F.col("id").cast("long")
+    item = F.struct(n.alias("n"), F.when(n % 11 != 0, F.coalesce("content", F.lit(""))).alias("content"))
+    groups = t.select(F.floor(n / 3).alias("batch"), item.alias("x")).groupBy("batch").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    thoughts_ = F.transform("x", lambda x, i: F.struct(x["content"].alias("content"), F.when(i == 0, F.lit("own")).alias("project")))
+    body = F.struct(thoughts_.alias("thoughts"), F.lit("shared").alias("project"), F.lit("import").alias("source"))
+    out = intake.batches(groups.select("batch", F.parse_json(F.to_json(body)).alias("body")))
+    return out.select("batch", "item", "batch_error", "project", "source")
+
+
+# what remains ------------------------------------------------------------------------------------------------------
+
+
+@_query("single_use", f"""SELECT id AS code, CASE WHEN id = '7' AND updated_at > TIMESTAMP '{SINCE}' THEN TIMESTAMP '{SINCE}' ELSE c END AS consumed_at, (id = '7' AND c IS NULL AND updated_at > TIMESTAMP '{SINCE}') AS won
+    FROM (SELECT *, CASE WHEN id::BIGINT % 2 = 0 THEN created_at END AS c FROM t)""")
+def _(t):
+    n = F.col("id").cast("long")
+    codes = t.select(F.col("id").alias("code"), F.when(n % 2 == 0, F.col("created_at")).alias("consumed_at"), F.col("updated_at").alias("expires_at"))
+    won, after = store.consumed(codes, "7", SINCE)
+    return after.join(won.select("code", F.lit(True).alias("won")), "code", "left").select("code", "consumed_at", F.coalesce("won", F.lit(False)).alias("won"))
+
+
+@_query("expired_purge", f"SELECT id FROM t WHERE updated_at > TIMESTAMP '{SINCE}'")
+def _(t):
+    return store.purged(t.withColumn("expires_at", F.col("updated_at")), SINCE).select("id")
+
+
+@_query("semantic_nan_guard", f"SELECT id, content, round(s, 6) AS similarity, created_at FROM ({_semantic_sql('archived = false AND id::BIGINT % 3 <> 0', -1.0, 40)})", embedding=True)
+def _(t):
+    """Vectors with a component that is no number are never near anything."""
+    broken = F.when(F.col("id").cast("long") % 3 == 0, F.transform("embedding", lambda x, i: F.when(i == 5, F.lit(float("nan")).cast("float")).otherwise(x))).otherwise(F.col("embedding"))
+    return _round(search.semantic(t.withColumn("embedding", broken), probe(SEED, WIDTH), 40, -1.0), "similarity")
+
+
+@_query("truncated_contents", "SELECT id, true AS embedding_truncated, 6000 AS embedding_indexed_bytes, strlen(content) AS content_bytes FROM t WHERE strlen(content) > 6000")
+def _(t):
+    return t.select("id", truncation_notes(F.col("content")).alias("x")).where("x IS NOT NULL").select("id", "x.*")
+
+
+_LIMITS = consolidate.Thresholds(neighbour=EDGE, merge=MERGE, contradiction_floor=EDGE, dedupe=MERGE)
+
+
+#: The run's pairs in order, judged, then folded: an item goes if a kept one before it names the row it would archive.
+_RUN_SQL = f"""(WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_EDGES_SQL}),
+    j AS (SELECT a, b, CASE WHEN length(x.content) < length(y.content) THEN a ELSE b END AS obsolete_id FROM e JOIN t x ON x.id = a JOIN t y ON y.id = b
+          WHERE similarity < {MERGE} AND length(x.content) % 5 <> 0 AND length(x.content) % 3 = 0),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY a, b) AS n FROM j),
+    f AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS taken, NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::VARCHAR AS obsolete_id, false AS kept
+          UNION ALL SELECT n, CASE WHEN keep THEN list_concat(taken, [a, b]) ELSE taken END, a, b, obsolete_id, keep
+          FROM (SELECT o.n, f.taken, o.a, o.b, o.obsolete_id, NOT list_contains(f.taken, o.obsolete_id) AS keep FROM f JOIN o ON o.n = f.n + 1))
+    SELECT (SELECT count(*) FROM ({_CANDIDATES_SQL.format('')})) AS candidates, (SELECT count(*) FROM o) AS proposed, (SELECT count(*) FROM f WHERE n > 0 AND NOT kept) AS conflicts,
+           list(a || ':' || b || ':' || obsolete_id ORDER BY n) FILTER (kept) AS items FROM f)"""
+
+
+@_query("consolidation_run", f"SELECT candidates, proposed, conflicts, coalesce(items, []) AS items FROM {_RUN_SQL}", embedding=True)
+def _(t):
+    """A recorded run over the rows of no project: its candidates, what it proposed and skipped, and the stored proposal."""
+    spark = t.sparkSession
+    root = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    with scratch(spark) as keep:
+        table = store.Store(spark, f"{root}/t")
+        table.write(t)
+        mill = Consolidator(spark, table, f"{root}/state", _judge, lambda groups: groups.withColumn("content", F.lit("")), _LIMITS)
+        out = mill.run("", STARTED, ops=("contradiction",), since=SINCE)
+        known = mill.items(out.proposal_id) if out.proposal_id else mill.proposals.read().select(F.inline("items"))
+        listed = known.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "a", "b", "obsolete_id"))), lambda x: F.concat_ws(":", x["a"], x["b"], x["obsolete_id"])).alias("items"))
+        record = mill.history("").select("candidates", F.coalesce(F.col("proposed")["contradiction"], F.lit(0)).alias("proposed"), F.coalesce(F.col("skipped")["proposal_conflict"], F.lit(0)).alias("conflicts"))
+        kept = keep(record.join(F.broadcast(listed)), "run")  # one row each
+    remove(spark, root)
+    return kept
+
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q)
 

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.metadata import merged as merged_metadata
 from ..model import THOUGHTS
 
-
 _LIST = "_parts"
 
 
@@ -164,11 +164,14 @@ class Store(VersionedTable):
 
 
 def patched(rows: DataFrame, changes: DataFrame, as_of: datetime) -> DataFrame:
-    """Rows with a patch table (id and any columns) laid over them, key by key; null patch values leave a column alone."""
+    """Rows with a patch table (id and any columns) laid over them, key by key; null patch values leave a column alone.
+
+    Metadata is merged by its top-level keys, where a key given as null becomes null.
+    """
     columns = [c for c in changes.columns if c not in ("id", "archive")]
     renamed = changes.withColumnsRenamed({c: f"new_{c}" for c in changes.columns if c != "id"}).withColumn("hit", F.lit(True))
     out = rows.join(renamed, "id", "left")
-    values = {c: F.coalesce(f"new_{c}", c) for c in columns}
+    values = {c: merged_metadata(F.col(c), F.col(f"new_{c}")) if c == "metadata" else F.coalesce(f"new_{c}", c) for c in columns}
     if "archive" in changes.columns:
         values["archived"] = F.coalesce("new_archive", "archived")
     values["updated_at"] = F.when(F.col("hit"), F.lit(as_of)).otherwise(F.col("updated_at"))

@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -14,7 +16,7 @@ T0 = datetime(2026, 8, 1, 10)
 
 def memories(spark, *rows):
     base = dict(content="Gold broke out above 3400", embedding=None, type=None, topics=None, people=None, source=None, origin=None, source_file_hash=None,
-                code_hash=None, project="markets", created_by="someone", archived=False, supersedes=None, created_at=T0, updated_at=T0 + timedelta(days=9))
+                code_hash=None, project="markets", created_by="someone", archived=False, supersedes=None, created_at=T0, updated_at=T0 + timedelta(days=9), metadata=None)
     full = [base | r for r in rows]
     return spark.createDataFrame([tuple(r[f.name] for f in THOUGHTS) for r in full], THOUGHTS)
 
@@ -30,14 +32,10 @@ def aliases(df):
 # components -----------------------------------------------------------------
 
 
-def test_components_follow_chains(spark):
-    e = spark.createDataFrame([("one", "two", 0.95), ("two", "three", 0.95)], "a string, b string, similarity double")
-    assert {r.id for r in consolidate.clusters(e, 0.9).collect()} == {"one", "two", "three"}
-
-
-def test_components_ignore_weak_edges(spark):
-    e = spark.createDataFrame([("one", "two", 0.95), ("three", "four", 0.5)], "a string, b string, similarity double")
-    assert {r.id for r in consolidate.clusters(e, 0.9).collect()} == {"one", "two"}
+def test_clusters_hold_their_root_and_strong_edges_only(spark):
+    rows = [("f", "d", 0.81), ("d", "g", 0.8), ("g", "h", 0.79), ("b", "c", 0.99), ("c", "b", 0.99), ("k", "m", 0.2)]
+    e = spark.createDataFrame(rows, "a string, b string, similarity double")
+    assert {(r.cluster, r.id) for r in consolidate.clusters(e, 0.8).collect()} == {("d", "d"), ("d", "f"), ("d", "g"), ("b", "b"), ("b", "c")}
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(7, i) for i in range(30)], [(i * 7 % 31, i * 3 % 29) for i in range(60)]])
@@ -61,27 +59,52 @@ def test_components_against_union_find(spark, edges):
 # aliases ---------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(
-    "rows, want",
-    [
-        ([("market", 5), ("markets", 2)], {"markets": "market"}),
-        ([("market", 1), ("markets", 6)], {"market": "markets"}),
-        ([("market-analysis", 5), ("market_analysis", 2), ("Market Analysis", 1)], {"market_analysis": "market-analysis", "Market Analysis": "market-analysis"}),
-        ([("market-analysis", 5), ("markets", 3)], {}),
-        ([("markets", 2), ("market", 2)], {"markets": "market"}),
-        ([("notes", 2), ("note", 2)], {}),
-    ],
-)
-def test_topic_aliases(spark, rows, want):
-    assert aliases(vocabulary.topic_aliases(counts(spark, rows=rows))) == want
-
-
-def test_person_aliases(spark):
-    assert aliases(vocabulary.person_aliases(counts(spark, rows=[("Varkas", 7), ("Bert Varkas", 3)]))) == {"Bert Varkas": "Varkas"}
-    # a bare surname bridges two full names
-    got = aliases(vocabulary.person_aliases(counts(spark, rows=[("Varkas", 1), ("Bert Varkas", 3), ("Ann Varkas", 2)])))
-    assert got == {"Varkas": "Bert Varkas", "Ann Varkas": "Bert Varkas"}
-    assert aliases(vocabulary.person_aliases(counts(spark, rows=[("Bert Varkas", 1), ("Bert Schmidt", 3)]))) == {}
+def elected(groups, length_sign):
+    """Of each group the most used, at ties by length, then by name, for all the others."""
+    out = {}
+    for group in groups:
+        best = min(group, key=lambda x: (-x[1], length_sign * len(x[0]), x[0]))[0]
+        out |= {name: best for name, _ in group if name != best}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_topic_aliases_are_elected_by_key(spark, seed):
+    """Random spellings of a few stems, against an election in Python."""
+    r = random.Random(seed)
+    stems = ["copper-mine", "query", "box", "river_bank", "glass"]
+    spell = [str.upper, str.title, lambda t: t.replace("-", "_"), lambda t: t.replace("_", "  "), lambda t: t + "s", lambda t: t + "es", lambda t: t.removesuffix("y") + "ies", lambda t: f" {t}"]
+    names = {r.choice(spell)(r.choice(spell)(r.choice(stems))) for _ in range(30)} | set(stems)
+    rows = [(name, r.randint(1, 4)) for name in sorted(names)]
+
+    def key(t):
+        t = re.sub(r"[\s_-]+", "-", t.strip(" ").lower())
+        return re.sub("ies$", "y", t) if t.endswith("ies") else re.sub("es$", "", t) if t.endswith("es") else re.sub("s$", "", t)
+
+    groups = {}
+    for name, n in rows:
+        groups.setdefault(key(name), []).append((name, n))
+    assert len(groups) < len(rows)
+    assert aliases(vocabulary.topic_aliases(counts(spark, rows=rows))) == elected(groups.values(), 1)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_person_aliases_follow_contained_names(spark, seed):
+    """Random names of one to three words, against groups of names that hold each other's words."""
+    r = random.Random(seed)
+    words = ["Ida", "Olin", "Pavel", "Ruiz", "Sato", "Tove"]
+    rows = [(name, r.randint(1, 3)) for name in sorted({r.choice((" ", "-", "  ")).join(r.sample(words, r.randint(1, 3))) for _ in range(9)})]
+    sets = {name: set(re.split(r"[\s_-]+", name.lower())) for name, _ in rows}
+    group = {name: name for name in sets}
+    for _ in sets:
+        for x in sets:
+            for y in sets:
+                if sets[x] <= sets[y] or sets[y] <= sets[x]:
+                    group[x] = group[y] = min(group[x], group[y])
+    by = {}
+    for name, n in rows:
+        by.setdefault(group[name], []).append((name, n))
+    assert aliases(vocabulary.person_aliases(counts(spark, rows=rows))) == elected(by.values(), -1)
 
 
 def test_configured_aliases_win(spark):
@@ -179,13 +202,54 @@ def test_neighbours_count_the_row_itself(spark):
     rows = memories(spark, *({"id": str(i), "embedding": [1.0, i / 100]} for i in range(9)), {"id": "x", "embedding": [1.0, 0.0], "archived": None}, {"id": "y", "embedding": [1.0, 0.0], "project": "other"})
     e = neighbours.edges(rows.where("id = '4'"), rows, 0.8, 6).collect()
     assert len(e) == 5 and all(r.a == "4" and r.b not in ("4", "x", "y") for r in e)
-    many = neighbours.nearest(rows.where("id < '3'"), rows, 3, 0.8, small=1)
+    many = neighbours.nearest(rows.where("id < '3'"), rows, 3, 0.8, small_bytes=1)
     few = neighbours.nearest(rows.where("id < '3'"), rows, 3, 0.8)
     assert many.count() == 9 and sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
     free = memories(spark, {"id": "q", "embedding": [1.0, 0.0], "project": None})
     assert {r.b for r in neighbours.edges(free, rows, 0.8, 20).collect()} == {*map(str, range(9)), "y"}
 
 
+def clouds(r, centres, each, width, spread):
+    """Unit-free vectors around random centres."""
+    import numpy as np
+
+    rng = np.random.default_rng(r)
+    c = rng.normal(size=(centres, width))
+    return (np.repeat(c, each, axis=0) + spread * rng.normal(size=(centres * each, width))).tolist()
+
+
+@pytest.mark.parametrize("small_bytes", [1, neighbours.SMALL_BYTES])
+@pytest.mark.parametrize("threshold", [-1.0, 0.3, 0.9])
+def test_nearest_against_brute_force(spark, small_bytes, threshold):
+    import numpy as np
+
+    v = clouds(7, 6, 25, 8, 0.4) + [[0.0] * 8, [1.0] * 4, [1.0] * 11, [float("nan")] * 8]
+    rows = [(f"{i:03}", ["p", "q", None][i % 3], [float(x) for x in x]) for i, x in enumerate(v)] + [("none", "p", None)]
+    df = spark.createDataFrame(rows, "id string, project string, embedding array<double>").repartition(5)
+    got = {(r.a, r.b): r.similarity for r in neighbours.nearest(df, df, 4, threshold, True, small_bytes).collect()}
+    want = {}
+    whole = [(i, p, np.pad(np.array(x), (0, 11 - len(x)))) for i, p, x in rows if x is not None and np.isfinite(x).all() and any(x)]
+    for i, p, x in whole:
+        s = [(-round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 12), j) for j, q, y in whole if p is None or p == q]
+        want |= {(i, j): -d for d, j in sorted(s)[:4] if -d >= threshold}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("small_bytes", [1, neighbours.SMALL_BYTES])
+def test_clustered_vectors_are_not_all_compared(spark, monkeypatch, small_bytes):
+    """Of 80 far clouds, a row meets a few: products grow far less than with the square of the rows."""
+    monkeypatch.setattr(neighbours, "PART", 64)
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    n = {}
+    for centres in (20, 80):
+        rows = [(str(i), "p", v) for i, v in enumerate(clouds(1, centres, 20, 16, 0.02))]
+        df = spark.createDataFrame(rows, "id string, project string, embedding array<float>")
+        met = neighbours.met(df, df, 6, 0.9, False, small_bytes)
+        n[centres] = met.agg(F.sum("compared")).first()[0] / len(rows) ** 2
+        assert neighbours.nearest(df, df, 6, 0.9, False, small_bytes).count() == 6 * len(rows)
+    assert n[80] < 0.2 and n[80] < 0.5 * n[20]
+
+
 # archive flags ------------------------------------------------------------------------
 
 
@@ -305,6 +369,34 @@ def test_earlier_items_win(spark):
     assert over["2"] == (["contradiction:1", "contradiction:4", "contradiction:5"], ["contradiction:1", "contradiction:4"])
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_consistency_against_a_fold(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for _ in range(120):
+        x = [str(i) for i in r.sample(range(25), 3)]
+        rows.append(synthesis(*x) if r.random() < 0.3 else contradiction(x[0], x[1], r.choice([x[0], x[1], x[2], None])))
+    taken, want = set(), []
+    for kind, a, b, _, _, obsolete, _, sources in rows:
+        keep = kind == "synthesis" or obsolete is None or obsolete not in taken
+        want.append(keep)
+        if keep:
+            taken |= set(sources or [a, b, obsolete]) - {None}
+    assert [x.kept for x in proposals.consistent(items(spark, *rows)).orderBy("pos").collect()] == want
+
+
+def test_consistency_of_many_items_in_one_run(spark):
+    """A hundred thousand items, a third of them on one row, none gathered into one row."""
+    n = F.col("id")
+    near = (n % 3 == 0) | (n % 97 == 1)
+    df = spark.range(100_000).select(
+        n.cast("int").alias("pos"), F.lit("contradiction").alias("kind"), F.when(near, F.lit("hot")).otherwise(F.concat(F.lit("a"), (n % 5000).cast("string"))).alias("a"),
+        F.concat(F.lit("b"), n.cast("string")).alias("b"), F.lit(None).cast("array<string>").alias("sources"),
+    ).withColumn("obsolete_id", F.col("a"))
+    kept = proposals.consistent(df).where("kept").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("obsolete_id").alias("rows")).first()
+    assert kept.n == kept.rows == df.select("obsolete_id").distinct().count()
+
+
 def test_apply(spark):
     df = items(spark, contradiction("1", "2", "2"), synthesis("4", "5"), contradiction("1", "3", "1"))
     with pytest.raises(ValueError):

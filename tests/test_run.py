@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect import config
 from recollect.functions import metadata
-from recollect.operators import vocabulary
+from recollect.operators import consolidate, vocabulary
 from recollect.operators.run import Consolidator
 from recollect.sources.store import Store
 
@@ -51,7 +51,9 @@ def test_run_review_apply(brain):
     out = brain.run("p", NOW)
     assert out.candidates == 7 and out.applied["merge"] == 1
     rows = {r.id: r for r in brain.store.read().collect()}
-    assert rows["1"].archived and rows["2"].archived and rows["merge-1"].content == "gold rose again" or "gold rose" in rows["merge-1"].content
+    assert rows["1"].archived and rows["2"].archived and rows["merge-1"].content == "gold rose again"
+    block = json.loads(brain.store.read().where("id = 'merge-1'").select(F.to_json("metadata")).first()[0])
+    assert block == {"dream": {"op": "merge", "run_at": NOW.isoformat(), "merged_from": ["1", "2"]}}
     assert rows["2"].topics == ["market"] and rows["3"].people == ["Varkas"]
     # rows under review hold the cursor back
     assert out.watermark < T0
@@ -100,11 +102,22 @@ def test_resolution_by_join_equals_maps(spark):
 
 
 def test_metadata_filters(spark):
-    df = spark.createDataFrame([('{"type": "task", "topics": ["a", "b"], "n": {"x": 1, "y": [1, {"k": 2}]}}',), ('{"topics": "a"}',), (None,), ("broken",)], "m string")
-    ask = lambda w: [r[0] for r in df.select(metadata.contains(F.col("m"), w)).collect()]
-    assert ask({"type": "task", "topics": ["b"]}) == [True, False, False, False]
-    assert ask({"n": {"y": [{"k": 2}]}}) == [True, False, False, False] and ask({}) == [True, True, False, False]
-    assert [r[0] for r in df.select(metadata.has_entry(F.col("m"), "topics", "a")).collect()] == [True, True, False, False]
+    texts = ['{"type": "task", "topics": ["a", "b"], "n": {"x": 1, "y": [1, {"k": 2}]}, "z": null, "t": true, "a.b": 7, "d": 1.5}', '{"topics": "a"}', None, "broken", "[1]"]
+    df = spark.createDataFrame([(t,) for t in texts], "m string").select(metadata.parsed(F.col("m")).alias("m"))
+    ask = lambda w: "".join("x" if r[0] else "." for r in df.select(metadata.contains(F.col("m"), w)).collect())
+    for wanted in ({"type": "task", "topics": ["b"]}, {"n": {"y": [{"k": 2}]}}, {"z": None}, {"t": True}, {"n": {"x": 1.0}}, {"a.b": 7}, {"d": 1.5}, {"topics": []}):
+        assert ask(wanted) == "x....", wanted
+    for wanted in ({"t": 1}, {"n": {"x": "1"}}, {"topics": ["c"]}, {"missing": None}, {"n": [1]}, {"d": 1}):
+        assert ask(wanted) == ".....", wanted
+    assert ask({}) == "xx..." and ask({"topics": "a"}) == ".x..."
+    assert [r[0] for r in df.select(metadata.has_entry(F.col("m"), "topics", "a")).collect()] == [True, True, False, False, False]
+    assert "Python" not in df.select(metadata.contains(F.col("m"), {"n": {"y": [1]}}))._jdf.queryExecution().toString()
+
+
+def test_metadata_merge_is_shallow(spark):
+    df = spark.createDataFrame([('{"a": {"x": 1}, "b": 2}', '{"a": {"y": 3}, "c": null}'), ('{"a": 1}', None), (None, '{"a": 1}'), (None, None)], "m string, p string")
+    got = [r[0] and json.loads(r[0]) for r in df.select(F.to_json(metadata.merged(F.try_parse_json("m"), F.try_parse_json("p")))).collect()]
+    assert got == [{"a": {"y": 3}, "b": 2, "c": None}, {"a": 1}, {"a": 1}, None]
 
 
 def test_config(tmp_path):
@@ -131,18 +144,39 @@ def test_merged_rows_are_found_again(spark, brain):
     assert semantic(wide, trigram_vector(content, 32), 1).first().id == "merge-1"
 
 
-def test_candidates_of_one_time_are_all_read(spark):
-    from recollect.operators import consolidate
-
-    rows = spark.range(501).select(
-        F.col("id").cast("string"), F.lit(False).alias("archived"), F.array(F.lit(1.0)).alias("embedding"), F.lit("p").alias("project"),
+def test_rows_of_one_time_are_read_in_bounded_runs(spark):
+    """A bulk insert gives all rows one time: the cursor goes on among them, by id, and loses none."""
+    rows = spark.range(1203).select(
+        F.format_string("%05d", F.col("id")).alias("id"), F.lit(False).alias("archived"), F.array(F.lit(1.0)).alias("embedding"), F.lit("p").alias("project"),
         F.when(F.col("id") < 3, F.lit(T0)).otherwise(F.lit(NOW)).alias("updated_at"),
-    )
-    assert consolidate.candidates(rows, "p", T0 - timedelta(days=1), 4).count() == 501
-    assert consolidate.candidates(rows, "p", T0 - timedelta(days=1), 3).count() == 3
+    ).cache()
+    cursor, seen = consolidate.Cursor(T0 - timedelta(days=1)), []
+    while some := consolidate.candidates(rows, "p", cursor, 500).collect():
+        assert len(some) <= 500
+        seen += [r.id for r in some]
+        cursor = consolidate.next_cursor(spark.createDataFrame(some), cursor, NOW + timedelta(hours=1), timedelta(seconds=60))
+    assert seen == [f"{i:05}" for i in range(1203)]
     assert consolidate.candidates(rows.limit(0), "p", T0, 3).count() == 0
 
 
+def test_cursor_bounds(spark):
+    rows = spark.createDataFrame([("1", T0), ("2", NOW)], "id string, updated_at timestamp")
+    start, slack, now = consolidate.Cursor(T0 - timedelta(days=1)), timedelta(seconds=60), NOW
+    ahead = lambda *a, **k: consolidate.next_cursor(*a, **k)
+    assert ahead(rows, start, now, slack) == consolidate.Cursor(NOW - slack)  # not past the start less the slack
+    assert ahead(rows, start, now + timedelta(days=1), slack) == consolidate.Cursor(NOW, "2")
+    assert ahead(rows, start, now + timedelta(days=1), slack, rows.where("id = '1'")) == consolidate.Cursor(T0 - timedelta(milliseconds=1))
+    late = consolidate.Cursor(NOW + timedelta(days=3))
+    assert ahead(rows, late, now, slack) == late and ahead(rows.limit(0), start, now, slack) == start
+
+
+def test_runs_go_on_behind_the_last_candidate(brain):
+    seen = [brain.run("p", NOW, ops=("merge",), limit=3).candidates for _ in range(4)]
+    assert sum(seen) >= 7 and max(seen) == 3 and seen[-1] in (0, 1)
+    row = brain.state.read().where("project = 'p'").first()
+    assert row.watermark >= T0
+
+
 def test_lineage_is_never_cut_in_silence(spark):
     from recollect.operators import browse
 
