@@ -6,7 +6,8 @@ kind however many matches it has. Patterns are written with possessive repeats a
 same leftmost non-overlapping matches in linear time and without deep recursion on very long texts.
 
 A span's score is its kind's own, more beside a word of the kind's context, less beside a word of its
-counter-context (an order number is no account number). What ends under the threshold is no span. The base kinds
+counter-context (an order number is no account number). Context is whole words, or their plurals, within CONTEXT_CHARS code points of
+either end, whatever stands there, other matches included. What ends under the threshold is no span. The base kinds
 start high enough to stay reported whatever stands beside them; context decides for the others.
 
 Whole texts are read; a null text counts as empty and has no spans. Repeated rows are handled each on
@@ -88,11 +89,11 @@ _SSN_BAD = "^(?:000|666|9)|-00-|0000$"
 
 #: In this order at equal starts; the first four are the base kinds and always clear the threshold.
 KINDS = (
-    Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), 0.8, "mail|contact|write|courriel|correo|kontakt", "@"),
-    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", _octets, 0.7, "host|server|addr|ip|from", "."),
-    Kind("card", r"[0-9](?:[ -]?[0-9])++", luhn, 0.7, "card|visa|master|credit|pay|carte|karte|tarjeta"),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), 0.6, "phone|call|tel|mobile|fax|ruf", "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97, 0.55, "iban|account|bank|konto|compte|cuenta"),
+    Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), 0.8, "e?mail|contact|write|courriel|correo|kontakt", "@"),
+    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", _octets, 0.7, "host|server|addr|address|adresse|ip|from", "."),
+    Kind("card", r"[0-9](?:[ -]?[0-9])++", luhn, 0.7, "card|visa|master|mastercard|credit|pay|payment|carte|karte|kreditkarte|tarjeta"),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), 0.6, "phone|telephone|telefon|téléphone|teléfono|call|tel|mobile|fax|ruf|rufnummer", "+"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97, 0.55, "iban|account|bank|konto|kontonummer|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike(_SSN_BAD), 0.3, "ssn|social security", "-", 0.4),
     Kind("mac", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z:])", lambda m: F.lit(True), 0.45, "mac|device|wlan|wifi|ethernet", ":"),
     Kind("passport", r"(?<![A-Za-z0-9])[A-Z][A-Z0-9][0-9]{7}(?![A-Za-z0-9])", lambda m: F.lit(True), 0.25, "passport|passeport|reisepass|pasaporte", bonus=0.3),
@@ -105,39 +106,70 @@ _plus = lambda a, x: a + x
 _most = lambda a, x: F.greatest(a, x)
 
 
-def _kind_spans(text: Column, kind: Kind, order: int) -> Column:
-    pattern = F.lit(kind.pattern)
+#: Matches before and after one that a window is put together from: any two are a sign or more long, with one between.
+_NEAR = CONTEXT_CHARS // 3 + 1
 
-    def placed(matches, gaps):
+
+def _words(pattern: str) -> str:
+    """Whole words, singular or plural, of a lower-cased text."""
+    return rf"(?U)(?<![\p{{L}}\p{{N}}])(?:{pattern})(?:e?s)?(?![\p{{L}}\p{{N}}])"
+
+
+def _beside(matches: Column, gaps: Column, i: Column, left: bool) -> Column:
+    """The CONTEXT_CHARS code points before or after match ``i``. Only pieces that reach into them are put together."""
+    edge = F.right if left else F.left
+    cut = lambda x: edge(x, F.lit(CONTEXT_CHARS))
+    gap = F.get(gaps, i if left else i + 1)
+    if left:
+        first = F.greatest(i - _NEAR, F.lit(0))
+        more = F.transform(F.slice(matches, first + 1, i - first), lambda m, n: F.concat(cut(F.get(gaps, first + n)), cut(m)))
+        pieces = F.concat(F.array_join(more, ""), gap)
+    else:
+        more = F.transform(F.slice(matches, i + 2, F.lit(_NEAR)), lambda m, n: F.concat(cut(m), cut(F.get(gaps, i + n + 2))))
+        pieces = F.concat(gap, F.array_join(more, ""))
+    return F.when(F.length(gap) >= CONTEXT_CHARS, cut(gap)).otherwise(cut(pieces))
+
+
+def _all_spans(text: Column, kinds: tuple[Kind, ...]) -> Column:
+    """Spans of every kind in one array. What follows the patterns is one expression over (kind, matches, gaps) for all kinds."""
+    none = F.array().cast("array<string>")
+
+    def found(order: int, kind: Kind) -> Column:
+        some = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+        some = F.when(F.contains(text, F.lit(kind.needs)), some).otherwise(none) if kind.needs else some
+        both = lambda m: F.struct(F.lit(order).alias("order"), m.alias("matches"), F.when(F.size(m) == 0, none).otherwise(F.split(text, kind.pattern, -1)).alias("gaps"))
+        return let(some, both)
+
+    def by_kind(order: Column, value: Callable[[Kind], Column]) -> Column:
+        out = F.when(order == 0, value(kinds[0]))
+        for n, kind in enumerate(kinds[1:], 1):
+            out = out.when(order == n, value(kind))
+        return out
+
+    def score(order: Column, near: Column) -> Column:
+        bonus = by_kind(order, lambda k: F.when(near.rlike(_words(k.context)), k.bonus).otherwise(0.0))
+        malus = by_kind(order, lambda k: F.when(near.rlike(_words(k.counter)), k.malus).otherwise(0.0))
+        return F.round(by_kind(order, lambda k: F.lit(k.score)) + bonus - malus, 3)
+
+    def placed(k: Column) -> Column:
+        order, matches, gaps = k["order"], k["matches"], k["gaps"]
         steps = F.transform(matches, lambda m, i: (F.length(m) + F.length(F.get(gaps, i))).cast("long"))
 
-        def spans(before):
-            def span(m, i):
-                left, right = F.get(gaps, i), F.get(gaps, i + 1)
-                near = F.lower(F.concat_ws(" ", F.right(left, F.lit(CONTEXT_CHARS)), F.left(right, F.lit(CONTEXT_CHARS))))
-                start = (F.get(before, i) + F.length(left)).cast("int")
-                score = let(
-                    near,
-                    lambda n: F.lit(kind.score)
-                    + F.when(n.rlike(kind.context), F.lit(kind.bonus)).otherwise(F.lit(0.0))
-                    - F.when(n.rlike(rf"\b(?:{kind.counter})\b"), F.lit(kind.malus)).otherwise(F.lit(0.0)),
-                )
-                whole = lambda s: F.struct(
-                    s.alias("start"), F.lit(order).alias("order"), (s + F.length(m)).alias("end"), F.lit(kind.name).alias("kind"),
-                    F.round(score, 3).alias("score"),
+        def spans(before: Column) -> Column:
+            def span(m: Column, i: Column) -> Column:
+                start = (F.get(before, i) + F.length(F.get(gaps, i))).cast("int")
+                near = F.lower(F.concat_ws(" ", _beside(matches, gaps, i, True), _beside(matches, gaps, i, False)))
+                whole = lambda at, n: F.struct(
+                    at.alias("start"), order.alias("order"), (at + F.length(m)).alias("end"), by_kind(order, lambda x: F.lit(x.name)).alias("kind"), score(order, n).alias("score"),
                 )
-                return F.when(kind.valid(m), let(start, whole))
+                return F.when(by_kind(order, lambda x: x.valid(m)), let(near, lambda n: let(start, lambda at: whole(at, n))))
 
             return F.filter(F.transform(matches, span), lambda s: s.isNotNull())
 
-        return let(before_each(steps, _plus, F.lit(0).cast("long")), spans)
+        empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,score:double>>")
+        return F.when(F.size(matches) == 0, empty).otherwise(let(before_each(steps, _plus, F.lit(0).cast("long")), spans))
 
-    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,score:double>>")
-    found = let(
-        F.regexp_extract_all(text, pattern, F.lit(0)),
-        lambda m: F.when(F.size(m) == 0, none).otherwise(let(F.split(text, kind.pattern, -1), lambda g: placed(m, g))),
-    )
-    return F.when(F.contains(text, F.lit(kind.needs)), found).otherwise(none) if kind.needs else found
+    return F.flatten(F.transform(F.array(*[found(n, k) for n, k in enumerate(kinds)]), placed))
 
 
 def find(
@@ -146,9 +178,8 @@ def find(
     """``kept_columns`` (``keep`` as a struct c0, c1, ...), ``text`` and ``spans``: start, order, end, kind, score, sorted by start and kind."""
     keep = ["doc_id"] if keep is None else keep
     base = docs.select(kept_struct(docs, keep).alias("kept_columns"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
-    each = base.select("*", *[_kind_spans(F.col("text"), k, n).alias(f"spans_{n}") for n, k in enumerate(kinds)])
-    spans = F.array_sort(F.filter(F.concat(*[F.col(f"spans_{n}") for n in range(len(kinds))]), lambda s: s["score"] >= threshold))
-    return each.select("kept_columns", "text", spans.alias("spans"))
+    spans = F.array_sort(F.filter(_all_spans(F.col("text"), kinds), lambda s: s["score"] >= threshold))
+    return base.select("kept_columns", "text", spans.alias("spans"))
 
 
 def span_list(spans: Column) -> Column:

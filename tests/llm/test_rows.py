@@ -284,6 +284,58 @@ def test_context_moves_scores(spark):
     assert got == {1: (1, 0.75), 2: (1, 0.55), 3: (0, 0.0), 4: (1, 0.65), 5: (0, 0.0), 6: (1, 0.7), 7: (1, 0.55), 8: (0, 0.0)}
 
 
+def test_context_is_whole_words_by_position(spark):
+    rows = [
+        (1, "the relationship 10.0.0.1"), (2, "hosts 10.0.0.1"), (3, "hotel localLY +1 212 555 0100"), (4, "social security 123-45-6789, 123-45-6780"),
+        (5, "123-45-6789, 123-45-6780 are ssns"), (6, "ssn" + " " * 38 + "123-45-6789"), (7, "ssn" + " " * 37 + "123-45-6789"), (8, "10.0.0.1 repay 10.0.0.2 IP"), (9, "reorders C01234567 passports"),
+    ]
+    got = {r.doc_id: (r.n_spans, r.score) for r in pii.pii_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 0.7), 2: (1, 0.9), 3: (1, 0.6), 4: (2, 0.7), 5: (2, 0.7), 6: (0, 0.0), 7: (1, 0.7), 8: (2, 0.9), 9: (1, 0.55)}
+
+
+def all_personal(t):
+    """Spans and scores of all kinds: patterns by the regex module, windows cut out of the text."""
+    import regex
+
+    found = []
+    for order, k in enumerate(pii.KINDS):
+        for m in regex.finditer(k.pattern, t):
+            digits = re.sub("[^0-9]", "", m[0])
+            if k.name == "ip":
+                ok = all(int(x) <= 255 for x in m[0].split("."))
+            elif k.name == "card":
+                twice = [int(c) * (1 + n % 2) for n, c in enumerate(reversed(digits))]
+                ok = 12 <= len(digits) <= 19 and sum(x // 10 + x % 10 for x in twice) % 10 == 0
+            elif k.name == "phone":
+                ok = 9 <= len(digits) <= 15
+            elif k.name == "iban":
+                x = m[0].replace(" ", "")
+                ok = 15 <= len(x) <= 34 and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+            elif k.name == "ssn":
+                ok = not re.search("^(?:000|666|9)|-00-|0000$", m[0])
+            else:
+                ok = True
+            if ok:
+                near = f"{t[max(0, m.start() - 40) : m.start()]} {t[m.end() : m.end() + 40]}".lower()
+                said = lambda words: regex.search(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?:e?s)?(?![\p{{L}}\p{{N}}])", near) is not None
+                score = round(k.score + k.bonus * said(k.context) - k.malus * said(k.counter), 3)
+                if score >= pii.THRESHOLD:
+                    found.append((m.start(), order, m.end(), k.name, score))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_all_kinds_and_scores_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    said = ["iban", "hosts", "order", "invoices", "ssn", "social security", "the", "relationship", "ip", "passport", "device", "card", "pay", "é", "中", ",", "\n", "", " ", "a b", "serial", "tel"]
+    data = ["10.0.0.1", "300.1.1.1", "a@b.org", "u.v@x-y.co.uk", "4111 1111 1111 1111", "4111 1111 1111 1112", "12", "+1 (212) 555-0100", "DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 01",
+            "123-45-6789", "000-45-6789", "00:1A:2b:3C:4d:5E", "C01234567", "7", "1-2"]
+    texts_ = [(n, "".join(r.choice(data if r.random() < 0.4 else said) + r.choice([" ", " ", "", ", "]) for _ in range(r.randint(1, 60)))) for n in range(150)]
+    df = spark.createDataFrame(texts_, "doc_id long, text string")
+    got = {row.i: [tuple(x) for x in row.spans] for row in pii.find(df).selectExpr("kept_columns.c0 AS i", "spans").collect()}
+    assert got == {n: all_personal(t) for n, t in texts_}
+
+
 def test_base_kinds_clear_the_threshold_in_any_context():
     assert all(k.score - k.malus >= pii.THRESHOLD for k in pii.KINDS if k.name in pii.BASE_KINDS)
 
