@@ -4,8 +4,10 @@ Regexes written by hand over lower-cased text: a name and an identifier for each
 addresses of their texts. Names and identifiers stand in the forms that ``rules`` lists (a notice, a classifier, a
 field, an SPDX line, the bare name), which makes the rules. Patterns let words part at any white space, so wrapped
 texts match as well. A rule runs only on texts that hold one of its keywords, which every text
-it matches does once runs of white space are one blank (one Aho-Corasick pass finds all keywords). Detections are taken by priority, then length, then start; one whose interval lies
-inside that of an accepted detection is suppressed, which a tree of greatest ends answers in logarithmic time.
+it matches does once runs of white space are one blank (one Aho-Corasick pass finds all keywords). Identifiers stand in the
+expressions of an SPDX line (OR, AND, WITH, brackets) as well. Detections are taken by priority, then length, then start; one whose interval lies
+inside that of an accepted detection is suppressed, which a tree of greatest ends answers in logarithmic time, and so is one that
+names a family only (gpl) where a version of it (gpl-2.0) is detected within NOTICE code points: both are parts of one notice.
 The base phrases are rules as well, never suppressed, and match on words.
 
 Null texts count as empty; whole texts are scanned; repeated rows are scanned each on their own; an empty table
@@ -14,10 +16,13 @@ gives an empty result; only the id and the text are read.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -259,6 +264,48 @@ TEXTS = (
 )
 
 
+#: Between an abbreviation and its version, and what may follow that.
+_W = r"(?:,?\s+(?:version\s+|v(?:er(?:sion)?)?\.?\s*)?|[- ]?v?\.?)"
+_LATER = r"(?:\+|,?\s+(?:\(?or(?:\s+\(at\s+your\s+option\))?|and)\s+(?:any\s+)?(?:later|newer|above)(?:\s+versions?)?\)?|-only|-or-later)?"
+
+#: label, keyword, pattern: abbreviated names, with versions.
+SHORT = (
+    ("gpl-1.0", "gpl", rf"(?:gnu\s+)?gpl{_W}1(?:\.0)?{_LATER}"),
+    ("gpl-2.0", "gpl", rf"(?:gnu\s+)?gpl{_W}2(?:\.0)?{_LATER}"),
+    ("gpl-3.0", "gpl", rf"(?:gnu\s+)?gpl{_W}3(?:\.0)?{_LATER}"),
+    ("gpl", "gnu gpl|gpl licen|gpl'd|gpled", r"gnu\s+gpl|gpl\s+licen[cs]ed?|gpl'?e?d"),
+    ("lgpl-2.0", "lgpl", rf"(?:gnu\s+)?lgpl{_W}2(?:\.0)?{_LATER}"),
+    ("lgpl-2.1", "lgpl", rf"(?:gnu\s+)?lgpl{_W}2\.1{_LATER}"),
+    ("lgpl-3.0", "lgpl", rf"(?:gnu\s+)?lgpl{_W}3(?:\.0)?{_LATER}"),
+    ("lgpl", "gnu lgpl|lgpl licen", r"gnu\s+lgpl|lgpl\s+licen[cs]ed?"),
+    ("agpl-3.0", "agpl", rf"(?:gnu\s+)?agpl{_W}3(?:\.0)?{_LATER}"),
+    ("agpl", "gnu agpl|agpl licen", r"gnu\s+agpl|agpl\s+licen[cs]ed?"),
+    ("gfdl", "gnu fdl|gfdl", rf"(?:gnu\s+fdl|gfdl)(?:{_W}1\.[123])?"),
+    ("mpl-1.1", "mpl", rf"mpl{_W}1\.1"),
+    ("mpl-2.0", "mpl", rf"mpl{_W}2(?:\.0)?"),
+    ("epl-1.0", "epl", rf"epl{_W}1(?:\.0)?"),
+    ("epl-2.0", "epl", rf"epl{_W}2(?:\.0)?"),
+    ("cddl-1.0", "cddl", rf"cddl{_W}1(?:\.[01])?"),
+    ("eupl-1.2", "eupl", rf"eupl{_W}1\.[012]"),
+    ("asl-2.0", "asl", rf"asl{_W}2\.0"),
+    ("bsd-2-clause", "bsd", r"bsd-2-clause(?:\s+licen[cs]e)?|2-clause[- ]bsd"),
+    ("bsd-3-clause", "bsd", r"bsd-3-clause(?:\s+licen[cs]e)?|3-clause[- ]bsd"),
+    ("bsd", "bsd", r"bsd\s+licen[cs]ed"),
+    ("mit", "mit", r"mit[- ]licen[cs]ed"),
+    ("apache-2.0", "apache", rf"apache(?:\s+software)?(?:\s+licen[cs]e)?{_W}2\.0|apache-?2(?!\.?\w)"),
+    ("cc-by-nc-nd", "attribution", r"(?:creative\s+commons|cc)\s+attribution[- ]non-?commercial[- ]no[- ]?deriv(?:ative|s|atives)*"),
+    ("cc-by-nc-sa", "attribution", r"(?:creative\s+commons|cc)\s+attribution[- ]non-?commercial[- ]share[- ]?alike"),
+    ("cc-by-nc", "attribution", r"(?:creative\s+commons|cc)\s+attribution[- ]non-?commercial(?![- ](?:no|share))"),
+    ("cc-by-nd", "attribution", r"(?:creative\s+commons|cc)\s+attribution[- ]no[- ]?deriv(?:ative|s|atives)*"),
+    ("cc-by-sa", "attribution", r"(?:creative\s+commons|cc)\s+attribution[- ]share[- ]?alike"),
+    ("cc-by", "attribution", r"(?:creative\s+commons|cc)\s+attribution(?![- ](?:non|no|share))(?:\s+[1-4]\.[0-5])?"),
+    ("cc0-1.0", "creative commons", r"creative\s+commons\s+(?:zero|cc0)"),
+)
+
+#: Code points between the parts of one notice, at most.
+NOTICE = 400
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -272,6 +319,23 @@ class Rule:
 _CLASSIFIER, _NOTICE, _FIELD = r"licen[cs]e\s*::\s*osi", r"licen[cs]ed\s+under\s", r"(?<!\w)licen[cs]e\"?\s*[:=]"
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between bars outside brackets."""
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def family(label: str) -> str:
+    """What the versions and kinds of a license have in common."""
+    return re.split(r"-(?=\d|by\b)", label)[0]
+
+
 def rules() -> list[Rule]:
     """Every form of every license, the strongest first; equal priorities keep the order of the tables."""
     made = []
@@ -283,13 +347,23 @@ def rules() -> list[Rule]:
             Rule(label, keyword, rf"(?<!\w)(?:{name})(?!\w)", 50, 0.8),
             Rule(label, "licen", rf"(?<!\w)licen[cs]e\"?\s*[:=]\s*[\"']?(?:{ident})(?![\w.-])", 60, 0.9, _FIELD),
         ]
+        for one in _alternatives(ident):
+            lead = re.match(r"[\w-]*", one)[0]
+            if "-" in lead or lead[:1].isdigit():  # others are plain words
+                made.append(Rule(label, lead, rf"(?<![\w.-]){one}(?!\.?\w|-\w)", 55, 0.85))
+    made += [Rule(label, keyword, rf"(?<![\w-])(?:{pattern})(?!\.?\w)", 58, 0.85) for label, keyword, pattern in SHORT]
     made += [Rule(label, keyword, pattern, 65, 0.9 if label != "proprietary" else 0.5) for label, keyword, pattern in TEXTS]
     return sorted(made, key=lambda r: -r.priority)
 
 
+_EXPRESSION = re.compile(r"spdx-license-identifier:[ \t]*([(\w][\w.+() \t-]*)")
+_PIECE = re.compile(r"[\w.+-]+|[()]")
+
+
 class Scanner:
     def __init__(self, table: list[Rule]):
         self.rules = [(r, re.compile(r.pattern)) for r in table]
+        self.identifiers = [(label, re.compile(ident)) for label, _, _, ident in NAMES]
         self.openings = {o: re.compile(o) for o in {r.opening for r in table} if o}
         by_keyword: dict[str, list[int]] = {}
         for n, r in enumerate(table):
@@ -312,7 +386,28 @@ class Scanner:
             if not opened[rule.opening]:
                 continue
             found += [(-rule.priority, m.start() - m.end(), m.start(), m.end(), rule.label, rule.score) for m in pattern.finditer(lower)]
-        return sorted((start, end, label, score) for start, end, label, score in _outermost(found))
+        if "spdx-license-identifier" in lower:
+            found += self._expressions(lower)
+        return _specific(sorted((start, end, label, score) for start, end, label, score in _outermost(found)))
+
+    def _expressions(self, lower: str) -> Iterator[tuple]:
+        """Identifiers of SPDX expressions; what follows an expression on its line is left alone."""
+        for m in _EXPRESSION.finditer(lower):
+            due, after = True, ""  # an identifier is due at first and after each operator
+            for piece in _PIECE.finditer(m[1]):
+                word = piece[0]
+                if word in "()":
+                    continue
+                if word in ("or", "and", "with"):
+                    due, after = True, word
+                    continue
+                if not due:
+                    break
+                due = False
+                label = word if after == "with" else next((x for x, p in self.identifiers if p.fullmatch(word)), None)
+                if label:
+                    start, end = m.start(1) + piece.start(), m.start(1) + piece.end()
+                    yield -90, start - end, start, end, re.sub(r"-exception-[\d.]+$", "-exception", label), 1.0
 
 
 def _outermost(found: list[tuple]) -> Iterator[tuple[int, int, str, float]]:
@@ -335,6 +430,26 @@ def _outermost(found: list[tuple]) -> Iterator[tuple[int, int, str, float]]:
         yield start, end, label, score
 
 
+def _specific(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Detections by start, without those that name a family only beside one of its versions."""
+    special: dict[str, list[tuple[int, int]]] = {}
+    for start, end, label, _ in found:
+        if family(label) != label:
+            special.setdefault(family(label), []).append((start, end))
+    if not special:
+        return found
+    reach = {name: list(accumulate((end for _, end in spans), max)) for name, spans in special.items()}
+
+    def part_of_notice(start: int, end: int, label: str) -> bool:
+        spans = special.get(label)
+        if not spans:
+            return False
+        at = bisect_right(spans, (end + NOTICE, math.inf))  # those that start before the notice ends
+        return at > 0 and reach[label][at - 1] >= start - NOTICE
+
+    return [f for f in found if not part_of_notice(*f[:3])]
+
+
 @lru_cache(maxsize=1)
 def scanner() -> Scanner:
     return Scanner(rules())
@@ -380,21 +495,21 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def license_rows(docs: DataFrame) -> DataFrame:
-    """The digest rows of the query. The score is that of the surest detection; a base phrase alone gives 0.8."""
+    """The digest rows of the query. The score is that of the surest detection; a base phrase alone gives 0.8. ``spans`` has label:start:end of detections."""
 
     def make():
         def rows(ids, texts):
-            out = [ids, [], [], [], [], [], [], []]
+            out = [ids, [], [], [], [], [], [], [], []]
             for t in texts:
                 n, base, found = scan_text(t)
                 base_labels = {x for _, x in base}
                 labels = base_labels | {x for _, _, x, _ in found}
                 score = max([0.0, *(p for _, _, _, p in found), *([0.8] if base else [])])
-                row = (n, len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score)
+                row = (n, len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, ",".join(f"{x}:{a}:{b}" for a, b, x, _ in found))
                 for column, x in zip(out[1:], row):
                     column.append(x)
             return out
 
         return rows
 
-    return map_texts(docs, make, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return map_texts(docs, make, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")

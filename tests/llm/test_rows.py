@@ -374,6 +374,27 @@ def test_redaction(spark, edge):
     assert pii.redact(edge).schema == edge.schema
 
 
+NOTICES = {
+    "GPL v2": "gpl-2.0", "gnu gpl version 2 or later": "gpl-2.0", "gnu gpl v3": "gpl-3.0", "GNU LGPL v2.1": "lgpl-2.1", "MPL 2.0": "mpl-2.0", "BSD-3-Clause License": "bsd-3-clause",
+    "Apache-2.0": "apache-2.0", "under Apache-2.0.": "apache-2.0", "Creative Commons Attribution 4.0": "cc-by", "CC Attribution-ShareAlike 4.0": "cc-by-sa", "SPDX-License-Identifier: (MIT OR Apache-2.0)": "mit apache-2.0",
+    "spdx-license-identifier: gpl-2.0-or-later with classpath-exception-2.0 and more": "gpl-2.0 classpath-exception", "spdx-license-identifier: isc text mit": "isc", "EPL 2.0, LGPLv3": "epl-2.0 lgpl-3.0",
+    "sample-2 gplx 2 temple 2.0 ample mpl vim apache-2.0.1": "",
+}
+
+
+def test_notices_as_they_are_written(spark):
+    found = lambda t: [x for _, _, x, _ in licences.scan_text(t)[2]]
+    for text, labels in NOTICES.items():
+        assert list(dict.fromkeys(found(text))) == labels.split(), text
+    gpl = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License
+    as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+    You should have received a copy of the GNU General Public License along with this program."""
+    assert found(gpl) == ["gpl-2.0"]
+    assert found("gnu gpl" + " x" * 300 + " gpl v2") == ["gpl", "gpl-2.0"]  # too far apart for one notice
+    got = licences.license_rows(spark.createDataFrame([(1, "x GPL v2, MPL 2.0")], "doc_id long, text string")).first()
+    assert got.spans == "gpl-2.0:2:8,mpl-2.0:10:17" and got.labels == "gpl-2.0,mpl-2.0"
+
+
 # 5 -----------------------------------------------------------------------------------
 
 
