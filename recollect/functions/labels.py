@@ -27,14 +27,6 @@ def person_words(name: Column) -> Column:
     return F.filter(F.split(F.lower(F.trim(name)), r"[\s_-]+"), lambda w: w != "")
 
 
-def stem_match(tag: Column, known: Column) -> Column:
-    """The known spelling with or without a final s, if there is one."""
-    short = F.substring(tag, F.lit(1), F.length(tag) - 1)
-    return F.when(tag.endswith("s") & F.array_contains(known, short), short).when(
-        F.array_contains(known, F.concat(tag, F.lit("s"))), F.concat(tag, F.lit("s"))
-    )
-
-
 def project_key(project: Column) -> Column:
     return F.coalesce(project, F.lit(""))
 
@@ -43,10 +35,6 @@ def origin_of(origin: Column, source: Column) -> Column:
     return F.coalesce(origin, source, F.lit(""))
 
 
-def first_seen(items: Column) -> Column:
-    return F.array_distinct(items)
-
-
 def is_uuid(value: Column) -> Column:
     return value.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 

@@ -180,6 +180,10 @@ TOKEN_KINDS = {
 ANY_TOKEN = "|".join([*(f"(?:{TOKEN_KINDS[k]})" for k in ("email", "url", "version", "host", "path", "compound")), r"(?:[0-9]*\p{L}[\p{L}\p{N}]*)", f"(?:{TOKEN_KINDS['number']})", f"(?:{TOKEN_KINDS['word']})"])
 
 
+#: The same for an engine with look-ahead: letters that nothing joins to what follows are a word at once.
+_ANY_TOKEN_FAST = rf"\p{{L}}+(?![\p{{L}}\p{{N}}._%+@:/-])|{ANY_TOKEN}"
+
+
 def typed_tokens(text: Column) -> Column:
     """Tokens of the lower-cased text by maximal munch: array of struct(pos, kind, token).
 
@@ -191,7 +195,7 @@ def typed_tokens(text: Column) -> Column:
         out = F.lit("word")
         for name in reversed([k for k in TOKEN_KINDS if k != "word"]):
             out = F.when(token.rlike(f"^(?:{TOKEN_KINDS[name]})$"), name).otherwise(out)
-        return out
+        return F.when(token.rlike(r"^\p{L}+$"), "word").otherwise(out)  # most tokens
 
     def entries(token: Column, i: Column) -> Column:
         of = kind(token)
@@ -199,7 +203,7 @@ def typed_tokens(text: Column) -> Column:
         parts = F.transform(F.regexp_extract_all(token, F.lit(f"({_TOKEN})"), F.lit(1)), lambda w: F.struct(i.alias("pos"), F.lit("part").alias("kind"), w.alias("token")))
         return F.when(of.isin("number", "version", "word"), whole).otherwise(F.concat(whole, parts))
 
-    return F.flatten(F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({ANY_TOKEN})"), F.lit(1)), entries))
+    return F.flatten(F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({_ANY_TOKEN_FAST})"), F.lit(1)), entries))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -78,8 +78,8 @@ class AnnIndex:
     def __init__(self, spark: SparkSession, path: str, params: Params | None = None):
         self.spark, self.path, self.p = spark, path, params or Params()
         m = spark.read.schema(MODEL).parquet(f"{path}/model").first()
-        self.width, self.probe = m.width, m.probe
-        self.centroids = np.array(m.centroids).reshape(len(m.centroids), self.width)
+        self.width, self.probe = m.width, m.probe  # a width of 0: nothing is indexed
+        self.centroids = np.array(m.centroids)
         self.codebooks = np.array(m.codebooks)  # parts x codes x step
 
     # building --------------------------------------------------------------------------
@@ -104,9 +104,9 @@ class AnnIndex:
         coded = _coded(usable, width, centroids, codebooks)
         files = max(1, -(-usable.count() // p.file_rows))
         # by range of cell and id: a large cell is cut over tasks, and files are sorted by id
-        coded.repartitionByRange(files, "cell", "id").sortWithinPartitions("cell", "id").write.partitionBy("cell").parquet(f"{path}/rows")
+        coded.repartitionByRange(files, "cell", "id").sortWithinPartitions("cell", "id").write.partitionBy(*(["cell"] if taken else [])).parquet(f"{path}/rows")
         probe = _tuned(spark.createDataFrame([(r.id, r.embedding) for r in taken[: p.tuned_on]], "id string, embedding array<double>"), usable, spark.read.parquet(f"{path}/rows") if taken else None, centroids, p)
-        spark.createDataFrame([(width, probe, centroids.tolist(), codebooks.tolist())], MODEL).coalesce(1).write.parquet(f"{path}/model")
+        spark.createDataFrame([(width if taken else 0, probe, centroids.tolist(), codebooks.tolist())], MODEL).coalesce(1).write.parquet(f"{path}/model")
         return AnnIndex(spark, path, p)
 
     def rows(self) -> DataFrame:
@@ -134,6 +134,8 @@ class AnnIndex:
 
     def search(self, query: Sequence[float], k: int = 10, threshold: float = 0.5, scope: Scope | None = None, probe: int | None = None) -> DataFrame:
         """The rows of ``shortlist`` ranked by exact similarity, by id at ties: the index's columns and ``similarity``."""
+        if not self.width:
+            return self.rows().withColumn("similarity", F.lit(None).cast("double")).drop("cell", "code")
         if len(query) != self.width:
             raise ValueError(f"the index holds vectors of width {self.width}")
         listed = self.shortlist(query, k, scope, probe).select(F.col("id").alias("listed"), F.col("cell").alias("in_cell"))
@@ -148,7 +150,7 @@ class AnnIndex:
         """a, b, similarity: the k best of every asked row (id, embedding). Cells that no asked row reads are not scanned; a row finds itself."""
         usable = asked.where(F.col("embedding").isNotNull() & (norm(F.col("embedding")) > 0)).select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
         found = None
-        for rows in _asked_blocks(usable, self.width):
+        for rows in _asked_blocks(usable, self.width) if self.width else ():
             q = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), self.width)
             q /= np.linalg.norm(q, axis=1, keepdims=True)
             probed = np.zeros((len(q), len(self.centroids)), bool)

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import scratch
+
 
 def visible(include_archived: bool = False) -> Column:
     return F.lit(True) if include_archived else ~F.coalesce(F.col("archived"), F.lit(False))
@@ -59,14 +61,29 @@ def tagged(thoughts: DataFrame, field: str, values: list[str], project: str | No
 
 
 def lineage(thoughts: DataFrame, start: str, steps: int = 64) -> DataFrame:
-    """A row and what it supersedes, step by step; only ids are walked. A chain of more than ``steps`` raises when read."""
-    spark = thoughts.sparkSession
-    thoughts.select("id", "supersedes").createOrReplaceTempView("recollect_lineage")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(id, supersedes, depth) AS (
-              SELECT id, supersedes, 0 FROM recollect_lineage WHERE id = '{start.replace("'", "")}'
-              UNION ALL
-              SELECT t.id, t.supersedes, w.depth + 1 FROM walk w JOIN recollect_lineage t ON t.id = w.supersedes WHERE w.depth < {int(steps)})
-            SELECT id, CASE WHEN depth = {int(steps)} AND supersedes IS NOT NULL THEN raise_error('the chain is longer than {int(steps)} steps') ELSE supersedes END AS supersedes, depth
-            FROM walk"""
-    )
+    """id, supersedes and depth of a row and of what it supersedes, step by step, to the end of the chain; only ids are walked.
+
+    A recursive statement walks ``steps`` rows (Spark bounds its depth); a longer chain is gone on with from where that ends, and
+    each stretch is written. A chain that closes into a ring raises.
+    """
+    spark, links, found, seen, at = thoughts.sparkSession, thoughts.select("id", "supersedes"), None, set(), start
+    with scratch(spark) as keep:
+        while True:
+            walked = spark.sql(
+                """WITH RECURSIVE walk(id, supersedes, depth) AS (
+                     SELECT id, supersedes, 0 FROM {links} WHERE id = :start
+                     UNION ALL SELECT t.id, t.supersedes, w.depth + 1 FROM walk w JOIN {links} t ON t.id = w.supersedes WHERE w.depth + 1 < :steps)
+                   SELECT id, supersedes, depth FROM walk""",
+                args={"start": at, "steps": steps}, links=links,
+            )
+            walked = keep(walked, "lineage")
+            offset = len(seen) * steps
+            seen.add(at)
+            part = walked.withColumn("depth", F.col("depth") + offset)
+            found = part if found is None else found.unionByName(part)
+            last = walked.where(F.col("depth") == steps - 1).select("supersedes").first()
+            if last is None or last.supersedes is None:
+                return found
+            at = last.supersedes
+            if at in seen:
+                raise ValueError(f"the chain of {start} closes into a ring")

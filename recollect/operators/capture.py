@@ -38,10 +38,8 @@ class Discipline:
             raise ValueError("dedupe_threshold must lie between 0 and 1")
 
 
-def validated(batch: DataFrame, default_source: str = "api", byte_limit: int = 6000, envelope: Mapping[str, str] | None = None) -> DataFrame:
-    """``error`` (null if fine), ``warnings``, and defaults filled in; the envelope's values stand in where an item has none."""
-    for column, value in (envelope or {}).items():
-        batch = batch.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
+def validated(batch: DataFrame, default_source: str = "api", byte_limit: int = 6000) -> DataFrame:
+    """``error`` (null if fine), ``warnings``, and defaults filled in. Bodies as JSON are taken apart by ``intake``."""
     error = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "content is required").when(
         F.col("supersedes").isNotNull() & ~is_uuid(F.col("supersedes")) & ~F.col("supersedes").rlike("^[0-9]+$"), "supersedes must be an id"
     )

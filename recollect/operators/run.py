@@ -55,12 +55,6 @@ class Outcome:
             table[key] = table.get(key, 0) + n
 
 
-def counters(events: DataFrame) -> DataFrame:
-    """One map of kind to count."""
-    n = events.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    return n.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("counters"))
-
-
 def settled_ids(items: DataFrame) -> DataFrame:
     """Every row id that items name."""
     ids = F.when(F.col("kind") == "contradiction", F.array("a", "b")).otherwise(F.col("sources"))
@@ -267,4 +261,4 @@ class Consolidator:
         self.proposals.change(row.withColumns({"status": F.lit(status), "applied_at": F.lit(applied_at).cast("timestamp")}))
 
 
-__all__ = ["Consolidator", "Outcome", "counters", "settled_ids"]
+__all__ = ["Consolidator", "Outcome", "settled_ids"]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
 def scoped(thoughts: DataFrame, project: str | None = None, created_by: str | None = None) -> DataFrame:
     for column, value in (("project", project), ("created_by", created_by)):
         if value is not None:
@@ -57,3 +58,10 @@ def combined(thoughts: DataFrame, project: str | None = None, created_by: str |
     for part in (folded(types(rows), "types"), folded(top_values(rows, "topics"), "topics"), folded(top_values(rows, "people"), "people")):
         out = out.join(F.broadcast(part))  # one row each
     return out
+
+
+def with_pending(combined: DataFrame, proposals: DataFrame, project: str, as_of: datetime) -> DataFrame:
+    """The row of ``combined`` with the project's open, unexpired proposal: ``pending`` (id, expires_at, n_items), null for none; the newest, if several."""
+    open_ = proposals.where((F.col("project") == project) & (F.col("status") == "open") & (F.col("expires_at") > F.lit(as_of)))
+    newest = open_.agg(F.max_by(F.struct("id", "expires_at", F.size("items").cast("long").alias("n_items")), F.struct("created_at", "id")).alias("pending"))
+    return combined.join(F.broadcast(newest))  # one row each

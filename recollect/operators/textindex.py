@@ -1,7 +1,7 @@
 """An inverted positional index: searches read the postings of their words and no content.
 
-Documents are numbered, and a chunk is CHUNK numbers in a row. A posting block holds one word in one chunk: the documents
-that have it, the word's positions in each, and the most often it stands in any. Blocks lie in folders by a hash of the word,
+Documents are numbered, and a chunk is CHUNK numbers in a row. A posting block holds one word in one chunk (or a part of it): the
+documents that have it, the word's positions in each, and the most often it stands in any. Blocks lie in folders by a hash of the word,
 sorted by word, so a search reads a few folders and in them the row groups of its words. Numbers and positions are ascending integers, which
 Parquet's delta encoding packs.
 
@@ -15,10 +15,15 @@ by and is left to the scan: ``search`` raises.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fts
+from ..plans.storage import materialise, scratch
 from .search import Scope
 
 CHUNK = 4096
@@ -30,7 +35,33 @@ _DELTA = {"parquet.writer.version": "v2"}
 
 
 def bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(word.cast("binary")) % BUCKETS).cast("int")
+
+
+_BLOCK = "leg tinyint, word string, chunk long, n int, most int, docs array<bigint>, places array<array<int>>"
+
+
+def _blocks(lexed: DataFrame) -> DataFrame:
+    """Posting blocks of the rows of each Arrow batch: doc, then a list of lexemes for each leg. A chunk that several batches hold has a block for each."""
+    schema = pa.schema([("leg", pa.int8()), ("word", pa.string()), ("chunk", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("docs", pa.list_(pa.int64())), ("places", pa.list_(pa.list_(pa.int32())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(0).to_pylist()
+            for leg in range(batch.num_columns - 1):
+                held: dict[tuple, dict[int, list[int]]] = {}
+                for doc, words in zip(numbers, batch.column(leg + 1)):
+                    for at, word in enumerate(words.as_py() or ()):
+                        if word is not None:
+                            held.setdefault((word, doc // CHUNK), {}).setdefault(doc, []).append(at)
+                keys = list(held)
+                for first in range(0, len(keys), 4096):
+                    some = keys[first : first + 4096]
+                    lists = [held[k] for k in some]
+                    columns = [[leg] * len(some), [w for w, _ in some], [c for _, c in some], [len(x) for x in lists], [max(map(len, x.values())) for x in lists], [list(x) for x in lists], [list(x.values()) for x in lists]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return lexed.mapInArrow(run, _BLOCK)
 
 
 class TextIndex:
@@ -44,26 +75,16 @@ class TextIndex:
         """Index ``content`` of memories; a null content has no word."""
         spark = rows.sparkSession
         wanted = [c for c in ("id", "created_at", "archived", "type", "project", "created_by", "topics", "metadata") if c in rows.columns]
-        # numbers ascend with the id and are dense within a task's range, so chunks hold neighbouring ids
-        files = max(1, -(-rows.count() // (64 * CHUNK)))
-        numbered = rows.select(*wanted, "content").repartitionByRange(files, "id").sortWithinPartitions("id").withColumn("doc", F.monotonically_increasing_id())
-        numbered.write.options(**_DELTA).parquet(f"{path}/numbered")
+        # numbered where they lie: the rows of a task follow each other, and nothing is shuffled for it
+        rows.select(*wanted, "content").withColumn("doc", F.monotonically_increasing_id()).write.options(**_DELTA).parquet(f"{path}/numbered")
         stored = spark.read.parquet(f"{path}/numbered")
         lexed = stored.select("doc", fts.tokens(F.col("content")).alias("words"))
-        legs = [(0, "words")]
         if english:
             lexed = lexed.withColumn("stems", fts.english_lexemes("words"))
-            legs.append((1, "stems"))
-        each = None
-        for leg, column in legs:
-            some = lexed.select("doc", F.lit(leg).cast("tinyint").alias("leg"), F.posexplode(column).alias("pos", "word")).where(F.col("word").isNotNull())
-            each = some if each is None else each.unionByName(some)
-        places = each.groupBy("leg", "word", "doc").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-        chunked = places.withColumn("chunk", F.floor(F.col("doc") / CHUNK))
-        listed = F.array_sort(F.collect_list(F.struct("doc", "places")))  # at most CHUNK entries
-        blocks = chunked.groupBy("leg", "word", "chunk").agg(listed.alias("x"), F.max(F.size("places")).alias("most"), F.count(F.lit(1)).alias("n"))
-        blocks = blocks.select("leg", "word", "chunk", "n", "most", F.transform("x", lambda e: e["doc"]).alias("docs"), F.transform("x", lambda e: e["places"]).alias("places"), bucket(F.col("word")).alias("bucket"))
-        blocks.repartitionByRange(max(files, 8), "bucket", "word", "chunk").sortWithinPartitions("bucket", "word", "leg", "chunk").write.partitionBy("bucket").options(**_DELTA).parquet(f"{path}/postings")
+        blocks = _blocks(lexed).withColumn("bucket", bucket(F.col("word")))
+        files = max(8, -(-stored.count() // (64 * CHUNK)))
+        # a folder's blocks go by stretches of chunks, so a word of every document is not one task's
+        blocks.repartition(files, "bucket", F.floor(F.col("chunk") / 256)).sortWithinPartitions("bucket", "word", "leg", "chunk").write.partitionBy("bucket").options(**_DELTA).parquet(f"{path}/postings")
         return TextIndex(spark, path)
 
     def documents(self) -> DataFrame:
@@ -72,8 +93,8 @@ class TextIndex:
 
     def postings(self, words: list[str]) -> DataFrame:
         """The blocks of some words: a filter on the folders and one that reaches the row groups."""
-        read = self.spark.read.parquet(f"{self.path}/postings")
-        folders = [r[0] for r in self.spark.createDataFrame([(w,) for w in words], "word string").select(bucket(F.col("word"))).distinct().collect()]
+        read = self.spark.read.schema(_BLOCK + ", bucket int").parquet(f"{self.path}/postings")
+        folders = sorted({zlib.crc32(w.encode()) % BUCKETS for w in words})
         return read.where(F.col("bucket").isin(folders) & F.col("word").isin(words))
 
     # ranking -----------------------------------------------------------------------------
@@ -105,7 +126,7 @@ class TextIndex:
     def _ranked(self, legs: list[tuple[int, fts.Query]], chunks: DataFrame) -> DataFrame:
         """doc and text_rank of the documents of some chunks that match."""
         named = sorted({(leg, w) for leg, q in legs for g in q.groups for t in g for w in t.words})
-        blocks = self.postings(sorted({w for _, w in named})).join(F.broadcast(chunks.select("chunk")), "chunk", "left_semi")
+        blocks = self.postings(sorted({w for _, w in named})).join(chunks.select("chunk"), "chunk", "left_semi")
         each = blocks.select("leg", "word", F.explode(F.arrays_zip("docs", "places")).alias("x")).select("leg", "word", "x.docs", "x.places")
         mine = lambda leg, w: F.max(F.when((F.col("leg") == leg) & (F.col("word") == w), F.col("places")))
         by_doc = each.groupBy(F.col("docs").alias("doc")).agg(*[F.coalesce(mine(leg, w), F.array().cast("array<int>")).alias(f"p{n}") for n, (leg, w) in enumerate(named)])
@@ -126,13 +147,17 @@ class TextIndex:
             return visible.select("id", F.lit(0.0).alias("text_rank"), "created_at").limit(0)
         order = (F.col("text_rank").desc(), F.col("id"))
         best = lambda hits: hits.join(visible, "doc").select(*columns).orderBy(*order).limit(k)
-        chunks = self._chunks(legs)
-        some = chunks.orderBy(F.col("bound").desc(), "chunk").limit(FIRST)
-        first = best(self._ranked(legs, some))
-        # the k-th best so far, where there are k: k rows, then one
-        least = first.agg(F.when(F.count(F.lit(1)) == k, F.min("text_rank")).otherwise(F.lit(0.0)).alias("least"))
-        rest = chunks.join(F.broadcast(some.select("chunk")), "chunk", "left_anti").join(F.broadcast(least), F.col("bound") >= F.col("least") - 1e-9)
-        return first.unionByName(best(self._ranked(legs, rest))).orderBy(*order).limit(k)
+        with scratch(self.spark) as keep:
+            chunks = materialise(self._chunks(legs), "chunks")
+            some = materialise(chunks.orderBy(F.col("bound").desc(), "chunk").limit(FIRST), "first-chunks")
+            first = keep(best(self._ranked(legs, some)), "first-hits")
+            found = first.agg(F.count(F.lit(1)).alias("n"), F.min("text_rank").alias("least")).first()
+            rest = chunks.join(F.broadcast(some.select("chunk")), "chunk", "left_anti")
+            if found.n == k:
+                rest = rest.where(F.col("bound") >= found.least - 1e-9)
+            if rest.isEmpty():
+                return first.orderBy(*order)
+            return keep(first.unionByName(best(self._ranked(legs, rest))).orderBy(*order).limit(k), "hits").orderBy(*order)
 
 
 def _places(leg: int, named: list[tuple[int, str]]):

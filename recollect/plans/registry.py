@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import metadata
 from ..functions import text as fts
 from ..functions.embed import trigram_embedder, truncation_notes
-from ..functions.labels import contents_joined, normalise_topic, person_words, topic_key
+from ..functions.labels import contents_joined, normalise_topic, person_words, preview, topic_key
 from ..functions.vector import probe
 from ..model import thoughts, thoughts_sql
 from ..operators import browse, capture, consolidate, intake, neighbours, proposals, search, stats, table_functions, vocabulary
@@ -738,9 +738,8 @@ def _(t):
     return _round(_indexed(t, lambda path: TextIndex.build(t, path, english=False).search(TEXT, 50, english=False), "postings"), "text_rank")
 
 
-@_query("typed_tokens", f"""SELECT kind, count(*) AS n, count(DISTINCT token) AS different, min(token) AS least FROM (
-    SELECT token, CASE {" ".join(f"WHEN regexp_full_match(token, '{p}') THEN '{k}'" for k, p in fts.TOKEN_KINDS.items() if k != "word")} ELSE 'word' END AS kind
-    FROM (SELECT unnest(regexp_extract_all(lower(coalesce(content, '')), '{fts.ANY_TOKEN}')) AS token FROM t)) GROUP BY kind""")
+#: The same statement in DuckDB takes over a minute on sf0.01; a test holds the tokens against another engine.
+@_query("typed_tokens")
 def _(t):
     each = t.select(F.explode(fts.typed_tokens(F.col("content"))).alias("x")).select("x.kind", "x.token").where("kind <> 'part'")
     return each.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("token").alias("different"), F.min("token").alias("least"))
@@ -891,6 +890,19 @@ def _(t):
 _LIMITS = consolidate.Thresholds(neighbour=EDGE, merge=MERGE, contradiction_floor=EDGE, dedupe=MERGE)
 
 
+@_query("stats_pending", f"""SELECT total, id AS pending_id, n_items FROM (SELECT count(*) AS total FROM t) LEFT JOIN (
+    SELECT id, 2::BIGINT AS n_items FROM t WHERE coalesce(project, '') = 'proj1' AND id::BIGINT % 3 = 0 AND updated_at > TIMESTAMP '{SINCE}' ORDER BY created_at DESC, id DESC LIMIT 1) ON true""")
+def _(t):
+    """Every third row stands for an open proposal of two items; its row's change is when it expires."""
+    stored = t.select("id", F.coalesce("project", F.lit("")).alias("project"), "created_at", F.col("updated_at").alias("expires_at"), F.when(F.col("id").cast("long") % 3 == 0, "open").otherwise("applied").alias("status"), F.array(F.lit(1), F.lit(2)).alias("items"))
+    return stats.with_pending(stats.combined(t), stored, "proj1", SINCE).select("total", F.col("pending.id").alias("pending_id"), F.col("pending.n_items").alias("n_items"))
+
+
+@_query("content_previews", "SELECT id, CASE WHEN length(content) > 240 THEN substr(content, 1, 240) || '…' ELSE content END AS preview FROM t WHERE content IS NOT NULL")
+def _(t):
+    return t.where("content IS NOT NULL").select("id", preview(F.col("content")).alias("preview"))
+
+
 #: The run's pairs in order, judged, then folded: an item goes if a kept one before it names the row it would archive.
 _RUN_SQL = f"""(WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_EDGES_SQL}),
     j AS (SELECT a, b, CASE WHEN length(x.content) < length(y.content) THEN a ELSE b END AS obsolete_id FROM e JOIN t x ON x.id = a JOIN t y ON y.id = b

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.capture import Discipline, outcomes
+from ..plans.storage import materialise, scratch
 from ..sources.store import Store
 
 ITEM = (
@@ -19,6 +20,10 @@ ITEM = (
 )
 
 
+#: Rows of a batch whose ids are broadcast.
+SMALL = 100_000
+
+
 def items(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(ITEM).json(path)
 
@@ -30,14 +35,13 @@ def capture(stream: DataFrame, store: Store, checkpoint: str, embedder, known_to
     def each(batch: DataFrame, number: int) -> None:
         # ids follow from the content and the batch, so a batch that is replayed gives the same ids
         named = batch.withColumn("id", F.sha2(F.concat_ws("\x1f", F.lit(str(number)), F.coalesce("content", F.lit("")), F.coalesce("source", F.lit(""))), 256))
-        done = store.read().select("id")
-        fresh = named.dropDuplicates(["id"]).join(done, "id", "left_anti")
-        result = outcomes(fresh, store.read(), known_topics or [], rules, embedder).persist()
-        try:
-            if rejects:
-                result.where("status <> 'written'").select("id", "content", "status", "error", "duplicate_of").write.mode("append").parquet(rejects)
+        with scratch(batch.sparkSession):
+            named = materialise(named.dropDuplicates(["id"]), "batch")
+            # the batch's ids meet the stored ones, not the other way round: what comes back is what a replay would write again
+            done = store.read().select("id").join(F.broadcast(named.select("id")), "id", "left_semi") if named.count() <= SMALL else store.read().select("id").join(named.select("id"), "id", "left_semi")
+            result = materialise(outcomes(named.join(done, "id", "left_anti"), store.read(), known_topics or [], rules, embedder), "outcomes")
+            if rejects:  # a folder a batch: a replay writes it anew
+                result.where("status <> 'written'").select("id", "content", "status", "error", "duplicate_of").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
             store.insert(result.where("status = 'written'").select("id", "content", "embedding", "type", "topics", "people", "source", "project", "created_by", "supersedes"), datetime.now(timezone.utc).replace(tzinfo=None))
-        finally:
-            result.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -177,10 +177,13 @@ def test_runs_go_on_behind_the_last_candidate(brain):
     assert row.watermark >= T0
 
 
-def test_lineage_is_never_cut_in_silence(spark):
+def test_lineage_goes_to_the_end(spark):
     from recollect.operators import browse
 
-    rows = spark.range(70).select(F.col("id").cast("string"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("supersedes"))
-    assert browse.lineage(rows, "60").count() == 61
-    with pytest.raises(Exception, match="longer than 64 steps"):
-        browse.lineage(rows, "69").collect()
+    n = F.col("id")
+    rows = spark.range(170).select(n.cast("string").alias("id"), F.when(n > 0, (n - 1).cast("string")).alias("supersedes"))
+    assert {(r.id, r.depth) for r in browse.lineage(rows, "160").collect()} == {(str(i), 160 - i) for i in range(161)}
+    odd = rows.limit(3).unionByName(spark.createDataFrame([("a'b\\", "2"), ("r", "s"), ("s", "r")], "id string, supersedes string"))
+    assert browse.lineage(odd, "a'b\\").count() == 4 and browse.lineage(odd, "none").count() == 0
+    with pytest.raises(ValueError, match="ring"):
+        browse.lineage(odd, "r")
