@@ -11,10 +11,10 @@ Coordinate pruning takes the query's largest components, as many as leave it so
 a vector stays under half the threshold. Their part of the product, and the lengths of both rests, bound the product; vectors
 whose bound misses the threshold are left out.
 
-The head lane, with the longest vectors, is met first and gives every query its first threshold. Lanes whose longest vector
+The head lane, with the longest vectors, goes to all blocks first and gives every query its first threshold. Lanes whose longest vector
 cannot reach the lowest of a block's thresholds do not meet the block: both sides carry the lengths, and the join looks
-at those before any vector moves. Blocks go to the lanes in chunks of at most CHUNK_BYTES, which are broadcast;
-lanes stay where they are.
+at those before any vector moves. Blocks go to the lanes in chunks of at most CHUNK_BYTES, which are broadcast, and
+what a chunk finds is written before the next goes out, so one chunk at a time is held; lanes stay where they are.
 
 No cap: every query meets every lane or is excluded by a bound, so the result is exact. Memory is bounded by a
 lane, a block and a chunk. The work grows with queries times vectors, as the stated query set makes it.
@@ -55,6 +55,7 @@ class Params:
     bucket: int = 1024  # vectors to a bucket
     block: int = 1024  # queries to a block
     coordinate_from: float = 0.25
+    lane_bytes: int = 32_000_000  # of a lane's components, at most
     chunk_bytes: int = 64_000_000  # of query blocks broadcast at once
 
 
@@ -80,12 +81,13 @@ def _pack(rows: list[tuple[int, list[int]]]) -> tuple[bytes, int, bytes, float]:
     return np.array([i for i, _ in rows], np.int64).tobytes(), width, m.tobytes(), longest
 
 
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of a partition, in their order, as packed rows of at most ``size`` vectors."""
+def _packed(rows: DataFrame, size: int, most_bytes: int) -> DataFrame:
+    """Rows of a partition, in their order, as packed rows of at most ``size`` vectors and about ``most_bytes``."""
     out = arrow_schema(rows.sparkSession, LANES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, list[int]]] = []
+        width = 0
 
         def flush() -> pa.RecordBatch:
             row = (TaskContext.get().partitionId(), *_pack(held))
@@ -94,9 +96,10 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.append(pair)
-                if len(held) >= size:
+                width = max(width, len(pair[1]))
+                if len(held) >= size or 8 * width * len(held) >= most_bytes:
                     yield flush()
-                    held = []
+                    held, width = [], 0
         if held:
             yield flush()
 
@@ -226,8 +229,8 @@ def _meet(pairs: DataFrame, p: Params) -> DataFrame:
 
 
 def _chunks(blocks: DataFrame, size: int) -> list[DataFrame]:
-    """The blocks in chunks that are each known to be of at most ``size`` bytes, or one block."""
-    sizes = blocks.select("block", (F.octet_length("q_values") + F.octet_length("q_ids")).alias("n")).orderBy("block").collect()  # two numbers a block
+    """The blocks in chunks that are each known to be of at most ``size`` bytes, thresholds included, or one block."""
+    sizes = blocks.select("block", (F.octet_length("q_values") + 3 * F.octet_length("q_ids")).alias("n")).orderBy("block").collect()  # two numbers a block
     out, held = [], 0
     for r in sizes:
         if not out or held + r.n > size:
@@ -245,22 +248,21 @@ def meetings(vectors: DataFrame, params: Params | None = None, id_col: str = "ve
     n = rows.count()
     parts = max(1, -(-n // p.lane))
     by_length = rows.repartitionByRange(parts, F.col("len").desc(), "id").sortWithinPartitions(F.col("len").desc(), "id")
-    lanes = _packed(by_length, p.lane).withColumn("lane", F.monotonically_increasing_id()).drop("part")
+    lanes = _packed(by_length, p.lane, p.lane_bytes).withColumn("lane", F.monotonically_increasing_id()).drop("part")
     lanes = materialise(lanes, "lanes")
 
     asked = rows.where(F.pmod("id", F.lit(p.every)) == 0).select("id", "v", "len").distinct()
     asked = asked.repartitionByRange(max(1, -(-n // (p.every * p.block))), F.col("len").desc(), "id")  # queries of like length share their blocks
     names = {"ids": "q_ids", "width": "q_width", "values": "q_values"}
-    blocks = _packed(asked, p.block).select(F.monotonically_increasing_id().alias("block"), *[F.col(a).alias(b) for a, b in names.items()])
+    blocks = _packed(asked, p.block, p.lane_bytes).select(F.monotonically_increasing_id().alias("block"), *[F.col(a).alias(b) for a, b in names.items()])
     blocks = materialise(blocks, "blocks")
     chunks = _chunks(blocks, p.chunk_bytes)
 
-    # the head lane first: one lane (bounded by its size), every block
+    # the head lane first: one lane, bounded by its bytes, goes to the blocks where they lie
     longest = lanes.agg(F.max(F.struct("longest", "lane"))["lane"]).first()[0]
     head, others = lanes.where(F.col("lane") == F.lit(longest)), lanes.where(F.col("lane") != F.lit(longest))
     unknown = F.lit(None).cast("array<struct<place:int,floor:bigint>>")
-    found = [_meet(head.join(F.broadcast(c.withColumn("floors", unknown)), F.lit(True)), p) for c in chunks]
-    first = materialise(reduce(DataFrame.unionByName, found), "head") if found else rows.sparkSession.createDataFrame([], BEST)
+    first = materialise(_meet(blocks.withColumn("floors", unknown).join(F.broadcast(head), F.lit(True)), p), "head")
 
     floors = first.groupBy("block", "place", "query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
     # a block's reach: the least length of a vector that some query of it still needs; queries without k results need any
@@ -278,7 +280,7 @@ def meetings(vectors: DataFrame, params: Params | None = None, id_col: str = "ve
         known = c.join(about, "block", "left")
         complete = F.col("queries") == F.octet_length("q_ids") / 8
         known = known.withColumn("reach", F.when(complete, F.col("reach")).otherwise(F.lit(-1.0))).drop("queries")
-        met.append(_meet(others.join(F.broadcast(known), F.col("longest") >= F.col("reach")), p))
+        met.append(materialise(_meet(others.join(F.broadcast(known), F.col("longest") >= F.col("reach")), p), "met"))
     return reduce(DataFrame.unionByName, met)
 
 

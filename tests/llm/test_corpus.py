@@ -106,7 +106,7 @@ def test_top_k(spark, spread, chunk):
     rows = [(i, [r.gauss(0, 1) * math.exp(spread * r.random()) for _ in range(8)]) for i in range(600)]
     rows += [(600 + i, list(rows[i % 3][1])) for i in range(60)] + [(700, None), (701, [1.0, None]), (702, [float("nan")] * 8), (703, [float("inf")] * 8), (None, [1.0] * 8), (704, [0.0] * 8), (750, [2.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, rank string")
-    small = topk.Params(lane=100, bucket=16, block=5, chunk_bytes=chunk)
+    small = topk.Params(lane=100, bucket=16, block=5, chunk_bytes=chunk, lane_bytes=20 * chunk)
     assert {tuple(x) for x in topk.top_k(df, small).collect()} == brute_top(rows)
 
 
