@@ -6,6 +6,7 @@ import json
 import os
 from collections.abc import Mapping
 from dataclasses import fields
+from datetime import datetime, timezone
 
 from .operators.capture import Discipline
 from .operators.consolidate import Thresholds
@@ -22,6 +23,14 @@ def _number(text: str | None, default: float) -> float:
     return x if x == x and abs(x) != float("inf") else default
 
 
+def timestamp(text: str | None) -> datetime | None:
+    """A time in ISO form as UTC without a zone; anything else raises, it never becomes the epoch. Nothing given is None."""
+    if text is None:
+        return None
+    when = datetime.fromisoformat(text.strip())
+    return when.astimezone(timezone.utc).replace(tzinfo=None) if when.tzinfo else when
+
+
 def discipline(path: str | None = None, env: Mapping[str, str] | None = None) -> Discipline:
     env = os.environ if env is None else env
     stored = {}

@@ -195,6 +195,13 @@ def canonical(members: DataFrame, as_of: datetime | None = None) -> DataFrame:
     return merged_rows.withColumn("metadata", whole).drop(*[f"_{k}" for k in listed])
 
 
+def merge_audit(merges: DataFrame, thoughts: DataFrame) -> DataFrame:
+    """merged (the new row's id), position, source and content of every row that went into a merge, the oldest first; a content is null where the row is gone."""
+    each = merges.select(F.concat(F.lit("merge-"), "cluster").alias("merged"), F.posexplode("merged_from").alias("position", "source"))
+    texts = thoughts.select(F.col("id").alias("source"), "content").join(each.select("source").distinct(), "source", "left_semi")
+    return each.join(texts, "source", "left").select("merged", "position", "source", "content")
+
+
 def contradiction_pairs(edges: DataFrame, settled: DataFrame, t: Thresholds) -> DataFrame:
     """Edges at or over the floor and under the merge threshold, neither end settled by a merge. Both directions stay."""
     out = edges.where((F.col("similarity") >= t.contradiction_floor) & (F.col("similarity") < t.merge))

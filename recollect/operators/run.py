@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import timestamp
 from ..functions.labels import project_key
 from ..plans.storage import materialise
 from ..sources.store import Store, VersionedTable
@@ -95,10 +96,11 @@ class Consolidator:
         return vocabulary.planned_changes(due, topics, people, of("topics"))
 
     def run(
-        self, project: str, as_of: datetime, ops: tuple[str, ...] = OPS, dry_run: bool = False, since: datetime | None = None, trigger: str = "manual",
+        self, project: str, as_of: datetime, ops: tuple[str, ...] = OPS, dry_run: bool = False, since: datetime | str | None = None, trigger: str = "manual",
         limit: int = 500,
     ) -> Outcome:
-        """One project ('' for rows without). ``since`` widens what is read; the stored cursor never goes back."""
+        """One project ('' for rows without). ``since`` (a text in ISO form, or a time) widens what is read; the stored cursor never goes back."""
+        since = timestamp(since) if isinstance(since, str) else since
         out = Outcome(project)
         run_id, error = uuid.uuid4().hex, None
         try:
@@ -220,6 +222,10 @@ class Consolidator:
         rows = self.runs.read() if project is None else self.runs.read().where(F.col("project") == project)
         return rows.orderBy(F.col("started_at").desc(), "run_id").limit(max(1, min(200, limit)))
 
+    def merge_audit(self, merges: DataFrame) -> DataFrame:
+        """What went into the merges of a run (``Outcome.merges``), or would have."""
+        return consolidate.merge_audit(merges, self.store.read())
+
     def pending(self, project: str, as_of: datetime) -> DataFrame:
         rows = proposals.described(self.proposals.read().where(F.col("project") == project), as_of)
         return rows.where("actionable")

@@ -890,6 +890,21 @@ def _(t):
 _LIMITS = consolidate.Thresholds(neighbour=EDGE, merge=MERGE, contradiction_floor=EDGE, dedupe=MERGE)
 
 
+@_query("merge_audit", """SELECT 'merge-' || cluster AS merged, (row_number() OVER (PARTITION BY cluster ORDER BY created_at, t.id) - 1)::INT AS position, t.id AS source, content
+    FROM t JOIN (SELECT content, min(id) AS cluster FROM t WHERE content IS NOT NULL GROUP BY content HAVING count(*) > 1) USING (content)""")
+def _(t):
+    return consolidate.merge_audit(consolidate.canonical(_copies(t), AS_OF), t)
+
+
+@_query("upsert_columns", """SELECT id, CASE WHEN id::BIGINT % 2 = 0 THEN 'proj9' ELSE project END AS project, CASE WHEN id::BIGINT % 2 = 0 THEN NULL ELSE type END AS type, created_by FROM t UNION ALL SELECT 'new', 'proj9', NULL, 'fresh'""")
+def _(t):
+    """Two of four columns are set where a row is there, one of them to null; the author of an old row stays."""
+    rows, none = t.select("id", "project", "type", "created_by"), F.lit(None).cast("string")
+    even = rows.where(F.col("id").cast("long") % 2 == 0).select("id", F.lit("proj9").alias("project"), none.alias("type"), F.lit("fresh").alias("created_by"))
+    new = even.unionByName(t.sparkSession.createDataFrame([("new", "proj9", None, "fresh")], even.schema))
+    return store.upserted(rows, new, "id", ["project", "type"])
+
+
 @_query("stats_pending", f"""SELECT total, id AS pending_id, n_items FROM (SELECT count(*) AS total FROM t) LEFT JOIN (
     SELECT id, 2::BIGINT AS n_items FROM t WHERE coalesce(project, '') = 'proj1' AND id::BIGINT % 3 = 0 AND updated_at > TIMESTAMP '{SINCE}' ORDER BY created_at DESC, id DESC LIMIT 1) ON true""")
 def _(t):

@@ -188,8 +188,16 @@ def merged(rows: DataFrame, canonical: DataFrame, as_of: datetime) -> DataFrame:
     return patched(rows, gone, as_of).unionByName(new.select(*rows.columns))
 
 
-def upserted(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``new`` replaces rows with its keys and adds the others: insert, on conflict update."""
+def upserted(rows: DataFrame, new: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
+    """``new`` replaces rows with its keys and adds the others: insert, on conflict update.
+
+    With ``columns``, only those of a row that is there already are set, to what ``new`` has (null included); new keys come in whole.
+    """
+    if columns is not None:
+        given = new.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{n}") for n, c in enumerate(columns)], F.lit(True).alias("_hit"))
+        held = rows.join(given, rows[key] == given["_key"], "left")
+        held = held.withColumns({c: F.when(F.col("_hit"), F.col(f"_{n}")).otherwise(F.col(c)) for n, c in enumerate(columns)}).select(*rows.columns)
+        return held.unionByName(new.join(rows.select(key), key, "left_anti"), allowMissingColumns=True)
     return rows.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

@@ -127,6 +127,10 @@ def test_config(tmp_path):
     assert c.person_aliases == {"varkas": "Bert Varkas"} and c.self_names == ("me",) and not c.require_project
     assert config.search_threshold({"RECOLLECT_SEARCH_THRESHOLD": "7"}) == 0.5 and config.search_threshold({"RECOLLECT_SEARCH_THRESHOLD": "0.2"}) == 0.2
     assert config.thresholds({"RECOLLECT_MERGE": "0.97"}).merge == 0.97
+    assert config.timestamp("2026-08-01T12:00:00+02:00") == datetime(2026, 8, 1, 10) and config.timestamp(None) is None
+    for text in ("", "soon", "1754042400", "2026-13-01"):
+        with pytest.raises(ValueError):
+            config.timestamp(text)
     with pytest.raises(ValueError):
         config.thresholds({"RECOLLECT_MERGE": "0.5"})
 
