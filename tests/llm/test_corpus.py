@@ -392,3 +392,12 @@ def test_pipeline_on_hard_rows(spark, edge, empty):
         left = stage(spark, left, "")
     assert sorted((r.doc_id, r["a.b"]) for r in left.collect()) == [(1, min((neardup.text_digest(t), x) for _, t, x in rows[:2])[1]), (6, "h")]
     assert all("<EMAIL>" in r.text and "@" not in r.text for r in left.collect())
+
+
+def test_packing_with_clashing_columns(spark, edge, word_path):
+    from pyspark.sql import functions as F
+
+    names = ("ids", "start", "length", "sequence_id", "offset", "n_tokens", "task", "a.b")
+    clash = edge.withColumns({c: F.lit("clash") for c in names})
+    key = lambda df: sorted((r.doc_id or -1, r.start, r.length, r.ids_crc32) for r in df.collect())
+    assert key(packing.pack(clash, word_path)) == key(packing.pack(edge, word_path))

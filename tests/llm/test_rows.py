@@ -418,3 +418,17 @@ def test_chat_round_trip(spark, data):
     assert len(examples) == 2
     assert examples[1].text.startswith(examples[0].text) and examples[0].text[examples[0].loss_start :][: examples[0].loss_chars] == "\\h\\h\\h x \\l/turn>\n\\bl"
     assert chat.read_back(chat.expand(df.limit(0))).count() == 0
+
+
+def test_chat_with_long_texts_a_hot_conversation_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, n, "assistant" if n % 2 else "user", f"turn {n} # \\ <") for n in range(300)] + [(2, 0, "user", "x" * 200_000), (2, 1, "assistant", "é\n" * 100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clash = df.withColumns({c: F.lit("clash") for c in ("example", "loss_start", "loss_chars", "n_turns", "p", "lines", "loss_sha256", "a.b")})
+    got = {r.conv_id: r for r in chat.read_back(chat.expand(clash)).collect()}
+    for c in (1, 2):
+        mine = [(r, t) for i, _, r, t in rows if i == c]
+        loss = "".join(t for r, t in mine if r == "assistant")
+        assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(mine), len(loss), sha(loss))
+        assert got[c].turns_sha256 == sha("".join(f"{r}\n{t}\n" for r, t in mine))
