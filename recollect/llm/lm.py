@@ -24,7 +24,7 @@ counts are exact but for hash collisions. ``mean_score`` is the score by token,
 with the word before stands in training more often than once, for texts not of training at all: high in texts that
 occur twice.
 
-Null texts count as empty: one end token. Whole texts are scored, a long one token by token in bounded batches. A null id is held out (the remainder of an empty text is 0).
+Null texts count as empty: one end token. Whole texts are scored, very long ones as well. A null id is held out (the remainder of an empty text is 0).
 Repeated rows are trained on and scored each on their own. Without any training token every count is 0. An
 empty table gives an empty result; only the id and the text are read.
 """
