@@ -359,7 +359,7 @@ def _(t):
     members = _copies(t)
     first = members.groupBy("cluster").agg(F.min_by(F.struct("project"), F.struct("created_at", "id"))["project"].alias("project_first"), F.min("created_at").alias("since"), F.count(F.lit(1)).alias("n"))
     merged = consolidate.canonical(members).withColumns({"topics": F.sort_array("topics"), "people": F.sort_array("people")})
-    return merged.drop("project", "created_by").join(first, "cluster")
+    return merged.drop("project", "created_by", "metadata").join(first, "cluster")
 
 
 @_query("contradiction_pairs", f"""SELECT a, b, round(similarity, 6) AS similarity FROM {_EDGES_SQL} WHERE similarity >= {EDGE} AND similarity < {MERGE}
