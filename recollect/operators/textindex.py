@@ -31,7 +31,7 @@ BUCKETS = 64
 #: Chunks ranked first, to find a score that others must reach.
 FIRST = 16
 
-_DELTA = {"parquet.writer.version": "v2"}
+_DELTA = {"parquet.writer.version": "v2", "compression": "zstd"}
 
 
 def bucket(word: Column) -> Column:
