@@ -1,7 +1,7 @@
 """An inverted positional index: searches read the postings of their words and no content.
 
 Documents are numbered, and a chunk is CHUNK numbers in a row. A posting block holds one word in one chunk (or a part of it): the
-documents that have it, the word's positions in each, and the most often it stands in any. Blocks lie in folders by a hash of the word,
+documents that have it (numbers within the chunk), the word's positions in all of them as one list with the ends of each document's, and the most often it stands in any. Blocks lie in folders by a hash of the word,
 sorted by word, so a search reads a few folders and in them the row groups of its words. Numbers and positions are ascending integers, which
 Parquet's delta encoding packs.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,12 +39,12 @@ def bucket(word: Column) -> Column:
     return (F.crc32(word.cast("binary")) % BUCKETS).cast("int")
 
 
-_BLOCK = "leg tinyint, word string, chunk long, n int, most int, docs array<bigint>, places array<array<int>>"
+_BLOCK = "leg tinyint, word string, chunk long, n int, most int, docs array<int>, ends array<int>, places array<int>"
 
 
 def _blocks(lexed: DataFrame) -> DataFrame:
     """Posting blocks of the rows of each Arrow batch: doc, then a list of lexemes for each leg. A chunk that several batches hold has a block for each."""
-    schema = pa.schema([("leg", pa.int8()), ("word", pa.string()), ("chunk", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("docs", pa.list_(pa.int64())), ("places", pa.list_(pa.list_(pa.int32())))])
+    schema = pa.schema([("leg", pa.int8()), ("word", pa.string()), ("chunk", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("docs", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,7 +59,10 @@ def _blocks(lexed: DataFrame) -> DataFrame:
                 for first in range(0, len(keys), 4096):
                     some = keys[first : first + 4096]
                     lists = [held[k] for k in some]
-                    columns = [[leg] * len(some), [w for w, _ in some], [c for _, c in some], [len(x) for x in lists], [max(map(len, x.values())) for x in lists], [list(x) for x in lists], [list(x.values()) for x in lists]]
+                    docs = [[d - c * CHUNK for d in x] for (_, c), x in zip(some, lists)]
+                    ends = [list(accumulate(map(len, x.values()))) for x in lists]
+                    places = [list(chain.from_iterable(x.values())) for x in lists]
+                    columns = [[leg] * len(some), [w for w, _ in some], [c for _, c in some], [len(x) for x in lists], [max(map(len, x.values())) for x in lists], docs, ends, places]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return lexed.mapInArrow(run, _BLOCK)
@@ -127,7 +131,12 @@ class TextIndex:
         """doc and text_rank of the documents of some chunks that match."""
         named = sorted({(leg, w) for leg, q in legs for g in q.groups for t in g for w in t.words})
         blocks = self.postings(sorted({w for _, w in named})).join(chunks.select("chunk"), "chunk", "left_semi")
-        each = blocks.select("leg", "word", F.explode(F.arrays_zip("docs", "places")).alias("x")).select("leg", "word", "x.docs", "x.places")
+        # a document's positions lie between the end before its own and its own
+        def entry(end: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get("ends", i - 1)).otherwise(0)
+            return F.struct((F.col("chunk") * CHUNK + F.get("docs", i)).alias("docs"), F.slice("places", before + 1, end - before).alias("places"))
+
+        each = blocks.select("leg", "word", F.explode(F.transform("ends", entry)).alias("x")).select("leg", "word", "x.docs", "x.places")
         mine = lambda leg, w: F.max(F.when((F.col("leg") == leg) & (F.col("word") == w), F.col("places")))
         by_doc = each.groupBy(F.col("docs").alias("doc")).agg(*[F.coalesce(mine(leg, w), F.array().cast("array<int>")).alias(f"p{n}") for n, (leg, w) in enumerate(named)])
         hit, rank = F.lit(False), F.lit(0.0)
