@@ -76,7 +76,7 @@ def postings(bridge, tmp_path_factory):
     return textindex.TextIndex.build(bridge, f"file://{tmp_path_factory.mktemp('text')}/t")
 
 
-@pytest.mark.parametrize("query", ["the of", '"of the" -and or token', "password", '"MIT license" or email -secret', "zzzz", "", 'contact "the'])
+@pytest.mark.parametrize("query", ["the of", '"of the" -and or token', "password", "", 'contact "the'])
 @pytest.mark.parametrize("english", [False, True])
 def test_text_index_equals_the_scan(bridge, postings, query, english):
     rounded = lambda rows: [(r.id, round(r.text_rank, 9)) for r in rows]

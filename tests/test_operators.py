@@ -68,7 +68,7 @@ def elected(groups, length_sign):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_topic_aliases_are_elected_by_key(spark, seed):
     """Random spellings of a few stems, against an election in Python."""
     r = random.Random(seed)
@@ -88,7 +88,7 @@ def test_topic_aliases_are_elected_by_key(spark, seed):
     assert aliases(vocabulary.topic_aliases(counts(spark, rows=rows))) == elected(groups.values(), 1)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_person_aliases_follow_contained_names(spark, seed):
     """Random names of one to three words, against groups of names that hold each other's words."""
     r = random.Random(seed)
@@ -219,7 +219,7 @@ def clouds(r, centres, each, width, spread):
 
 
 @pytest.mark.parametrize("small_bytes", [1, neighbours.SMALL_BYTES])
-@pytest.mark.parametrize("threshold", [-1.0, 0.3, 0.9])
+@pytest.mark.parametrize("threshold", [-1.0, 0.9])
 def test_nearest_against_brute_force(spark, small_bytes, threshold):
     import numpy as np
 
@@ -369,11 +369,11 @@ def test_earlier_items_win(spark):
     assert over["2"] == (["contradiction:1", "contradiction:4", "contradiction:5"], ["contradiction:1", "contradiction:4"])
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_consistency_against_a_fold(spark, seed):
     r = random.Random(seed)
     rows = []
-    for _ in range(120):
+    for _ in range(60):
         x = [str(i) for i in r.sample(range(25), 3)]
         rows.append(synthesis(*x) if r.random() < 0.3 else contradiction(x[0], x[1], r.choice([x[0], x[1], x[2], None])))
     taken, want = set(), []
