@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, arrow_schema, kept_struct, materialise, named, scratch, unkept
-from ..operators.components import components
+from ..operators.components import components, merged
 
 MEMO_LIMIT = 250_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -162,7 +162,7 @@ def _sets(docs: DataFrame, needed: DataFrame, p: Params) -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("hash"), text.alias("text"))
-    asked = rows.join(needed.select("class", "rep", "digest"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("hash") == F.col("digest")))
+    asked = merged(rows, needed.select("class", "rep", "digest"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("hash") == F.col("digest")))
     return asked.select("class", "text").dropDuplicates(["class"]).mapInArrow(run, ddl)
 
 
@@ -188,14 +188,14 @@ def _spokes(t: pa.Table, p: Params) -> pa.Table:
 
 def _star_links(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """The pairs (class, hub) whose sets reach the threshold; pairs whose sizes rule it out move no set."""
-    both = pairs.join(sizes, "class").join(sizes.withColumnsRenamed({"class": "hub", "n_shingles": "hub_shingles"}), "hub")
+    both = merged(merged(pairs, sizes, "class"), sizes.withColumnsRenamed({"class": "hub", "n_shingles": "hub_shingles"}), "hub")
     near = materialise(both.where(100 * F.least("n_shingles", "hub_shingles") >= p.percent * F.greatest("n_shingles", "hub_shingles")), "near")
     load = near.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("members") / F.lit(p.spokes)), F.ceil(F.col("shingles") / F.lit(p.spoke_shingles))).cast("int")
     dealt = load.select("hub", parts.alias("parts"))
-    members = near.join(dealt, "hub").select("hub", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), "class")
+    members = merged(near, dealt, "hub").select("hub", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), "class")
     hubs = dealt.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("class"))
-    rows = members.unionByName(hubs).join(sets, "class")
+    rows = merged(members.unionByName(hubs), sets, "class")
     return rows.groupBy("hub", "part").applyInArrow(lambda t: _spokes(t, p), "a long, b long")
 
 
@@ -244,8 +244,8 @@ def _apart(rooted: DataFrame, classes: DataFrame, sets: DataFrame, p: Params) ->
     pair of blocks makes a cell, so a task never holds more than two blocks.
     """
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    open_classes = materialise(rooted.join(mixed, "key").groupBy("class").agg(F.min("root").alias("root")), "open")
-    about = classes.join(open_classes, "class")
+    open_classes = materialise(merged(rooted, mixed, "key").groupBy("class").agg(F.min("root").alias("root")), "open")
+    about = merged(classes, open_classes, "class")
     cells = about.select(
         "class", "root", "n_shingles", F.explode(F.transform(F.sequence(F.lit(0), F.lit(p.side - 1)), lambda i: F.xxhash64(F.get("sub", i), i))).alias("key")
     )
@@ -253,11 +253,11 @@ def _apart(rooted: DataFrame, classes: DataFrame, sets: DataFrame, p: Params) ->
         F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")
     ).where("r1 <> r2")
     blocks = F.greatest(F.ceil(F.col("members") / F.lit(p.cell)), F.ceil(F.col("shingles") / F.lit(p.cell_shingles))).cast("int")
-    rows = cells.join(sizes.select("key", blocks.alias("blocks")), "key")
+    rows = merged(cells, sizes.select("key", blocks.alias("blocks")), "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.when((F.col("blocks") == 1) | (F.col("block") == F.col("other")), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
     rows = rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), part.cast("long").alias("part"), "class", "root", "n_shingles")
-    whole = rows.join(about.select("class", "low").join(sets, "class"), "class")
+    whole = merged(rows, merged(about.select("class", "low"), sets, "class"), "class")
     return whole.groupBy("cell").applyInArrow(lambda t: _joined(t, p), "a long, b long").distinct()
 
 
@@ -277,20 +277,20 @@ def _labelled(docs: DataFrame, p: Params) -> DataFrame:
     )
     keys = classes.select("class", F.explode(tables).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(keys.join(shared, "key"), "members")
+    members = materialise(merged(keys, shared, "key"), "members")
 
     met = materialise(members.groupBy("class").agg(F.sum("n").alias("met")), "met")
-    hubs = members.join(met, "class").groupBy("key").agg(F.max(F.struct("met", "class"))["class"].alias("hub"))
-    starred = materialise(members.join(hubs, "key").select("key", "class", "hub"), "starred")
-    sets = materialise(_sets(docs, classes.join(met, "class", "left_semi"), p), "sets")
+    hubs = merged(members, met, "class").groupBy("key").agg(F.max(F.struct("met", "class"))["class"].alias("hub"))
+    starred = materialise(merged(members, hubs, "key").select("key", "class", "hub"), "starred")
+    sets = materialise(_sets(docs, merged(classes, met, "class", "left_semi"), p), "sets")
     pairs = starred.where("class <> hub").select("class", "hub").distinct()
     links = materialise(_star_links(pairs, classes.select("class", "n_shingles"), sets, p), "links")
 
     roots = components(links).withColumnRenamed("node", "class")
-    rooted = starred.select("key", "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = merged(starred.select("key", "class"), roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     more = materialise(_apart(rooted, classes, sets, p), "apart")
     roots = components(links.unionByName(more)).withColumnRenamed("node", "class")
-    rows = signed.select("doc_id", "n_shingles", "class", "digest").join(roots, "class", "left")
+    rows = merged(signed.select("doc_id", "n_shingles", "class", "digest"), roots, "class", "left")
     return rows.withColumn("root", F.coalesce("root", "class"))
 
 
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     with scratch(docs.sparkSession) as keep:
         rows = keep(_labelled(docs, params or Params()), "labelled")
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = rows.join(least, "root", "left")
+    found = merged(rows, least, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -316,13 +316,13 @@ def one_of_each(docs: DataFrame, params: Params | None = None) -> DataFrame:
         order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
         first = rows.groupBy(own.alias("own")).agg(F.min(order).alias("x")).select("x.doc_id", "x.digest")
         copies = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
-        chosen = first.join(copies, first["doc_id"].eqNullSafe(copies["doc_id"]) & (first["digest"] == copies["digest"])).select(
+        chosen = merged(first, copies, first["doc_id"].eqNullSafe(copies["doc_id"]) & (first["digest"] == copies["digest"])).select(
             first["doc_id"].alias("chosen_id"), first["digest"].alias("chosen_digest"), "copies"
         )
         chosen = keep(chosen, "chosen")
     every = kept_struct(docs, docs.columns)
     wide = docs.select(every.alias("kept_columns"), named("doc_id").cast("long").alias("id"),
                        F.unhex(F.md5(F.coalesce(named("text").cast("string"), F.lit("")).cast("binary"))).alias("digest"), F.xxhash64(every).alias("h"))
-    wide = wide.join(chosen, F.col("id").eqNullSafe(F.col("chosen_id")) & (F.col("digest") == F.col("chosen_digest")))
+    wide = merged(wide, chosen, F.col("id").eqNullSafe(F.col("chosen_id")) & (F.col("digest") == F.col("chosen_digest")))
     many = wide.where("copies > 1").groupBy("id", "digest").agg(F.min_by("kept_columns", "h").alias("kept_columns"))
     return wide.where("copies = 1").select("kept_columns").unionByName(many.select("kept_columns")).select(*unkept(docs))

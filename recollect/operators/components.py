@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from ..plans.storage import materialise, scratch
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that never sends a side through the driver: Spark takes exploded or well packed tables for small ones and would broadcast them."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def _open(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -32,14 +37,14 @@ def _contracted(edges: DataFrame) -> DataFrame:
         hook = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
         # one jump: where the target hooks on, follow it
         far = hook.select(F.col("node").alias("to"), F.col("to").alias("farther"))
-        hook = materialise(hook.join(far, "to", "left").select("node", F.coalesce("farther", "to").alias("to")), "hooks")
+        hook = materialise(merged(hook, far, "to", "left").select("node", F.coalesce("farther", "to").alias("to")), "hooks")
         if labels is None:
             labels = hook.select("node", F.col("to").alias("root"))
         else:
-            moved = labels.join(hook.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            moved = merged(labels, hook.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
             labels = materialise(moved.unionByName(hook.select("node", F.col("to").alias("root"))), "labels")
         for side in ("a", "b"):
-            left = left.join(hook.select(F.col("node").alias(side), F.col("to")), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+            left = merged(left, hook.select(F.col("node").alias(side), F.col("to")), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
         left = materialise(_open(left), "edges")
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from recollect.llm import eliasfano, lm, neardup, packing, registry, topk
+from recollect.operators import components
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -311,6 +312,29 @@ def closure(links, n):
     return group.values()
 
 
+def test_near_duplicates_send_no_table_through_the_driver(spark, monkeypatch):
+    """An exploded table counts as small as what it was made of, so a limit on broadcasts does not hold it."""
+    plans = []
+
+    def noting(df, name, write=components.materialise):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    for module in (neardup, components):
+        monkeypatch.setattr(module, "materialise", noting)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        text = " ".join(f"w{n}" for n in range(60))
+        df = spark.createDataFrame([(n, f"{text} {n // 2}") for n in range(12)], "doc_id long, text string")
+        left = [neardup.near_duplicates(df), neardup.one_of_each(df)]
+        plans += [("result", x._jdf.queryExecution().executedPlan().toString()) for x in left]
+        assert left[0].where("kept").count() == left[1].count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {"members", "starred", "near", "links", "apart", "hooks"} <= {n for n, _ in plans}
+    assert [n for n, plan in plans if "BroadcastExchange" in plan] == []
+
+
 def test_near_duplicates_empty(empty):
     assert neardup.near_duplicates(empty).count() == 0
 
