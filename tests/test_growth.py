@@ -25,3 +25,12 @@ def rows(spark, data):
 def test_a_filter_makes_tokens_once(rows):
     df = rows.select("id", fts.tokens(F.col("content")).alias("w")).where(fts.matches(F.col("w"), fts.parse('"of the" -and or token'))).select("id")
     assert plan(df).count("regexp_extract_all") == 1
+
+
+def test_kinds_counted(spark):
+    df = spark.createDataFrame([("See https://x.org/a b-c 1.2 b-c ../q/r me@x.org v 10.0.1",), (None,), ("b 1.2",)], "t string")
+    each = df.select(F.explode(fts.typed_tokens(F.col("t"))).alias("x")).select("x.*").where("kind <> 'part'")
+    want = each.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("token").alias("different"), F.min("token").alias("least"))
+    got = fts.kinds_counted(df)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.dtypes == want.dtypes
+    assert plan(got).count("Aggregate [token") == 1 and "Expand" not in plan(got)
