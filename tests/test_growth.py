@@ -27,6 +27,18 @@ def test_a_filter_makes_tokens_once(rows):
     assert plan(df).count("regexp_extract_all") == 1
 
 
+def test_a_filter_makes_vectors_once(spark):
+    df = spark.createDataFrame([(1, "gold")], "n int, t string").withColumn("v", trigram_embedder(8)(F.col("t"))).where(F.col("v").isNotNull())
+    assert plan(df).count("embed(") == 1
+
+
+def test_vectors_as_counted_one_by_one(text):
+    flat, v = " " + re.sub(r"[^a-z0-9]+", " ", (text or "").lower()).strip() + " ", np.zeros(64)
+    for i in range(len(flat) - 2):
+        v[int.from_bytes(hashlib.sha256(flat[i : i + 3].encode()).digest()[:4], "big") % 64] += 1
+    assert trigram_vector(text, 64) == (v / (np.sqrt((v * v).sum()) or 1.0)).tolist()
+
+
 def test_kinds_counted(spark):
     df = spark.createDataFrame([("See https://x.org/a b-c 1.2 b-c ../q/r me@x.org v 10.0.1",), (None,), ("b 1.2",)], "t string")
     each = df.select(F.explode(fts.typed_tokens(F.col("t"))).alias("x")).select("x.*").where("kind <> 'part'")
