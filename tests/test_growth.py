@@ -39,6 +39,20 @@ def test_vectors_as_counted_one_by_one(text):
     assert trigram_vector(text, 64) == (v / (np.sqrt((v * v).sum()) or 1.0)).tolist()
 
 
+def test_stems_keep_what_words_are_picked_by(rows):
+    words = {r[0] for r in rows.select(F.explode(fts.tokens(F.col("content")))).distinct().collect()} | set(fts._WHOLE) | set(fts._FIXED)
+    ends = ["", *fts._STEP2, *fts._STEP3, *fts._STEP4, "s", "ied", "ies", "sses", "ing", "edly", "eedly", "y", "ion", "ogi", "li"]
+    words |= {a + b + e for a in "aeybst" for b in ("", "a", "b", "y", "bb", "at") for e in ends}
+    assert all(w in fts._WHOLE or w.startswith(fts.stem(w)[:2]) for w in words if w)
+
+
+def test_python_gets_words_that_may_be_asked_for(rows, query):
+    found = search.textual(rows, query)
+    whole = search.textual(fts.with_lexemes(rows), query)
+    assert found.collect() == whole.collect()
+    assert "english_lexemes(" not in plan(found) and ("asked(array_distinct(filter(" in plan(found)) == (query != "the")
+
+
 def test_kinds_counted(spark):
     df = spark.createDataFrame([("See https://x.org/a b-c 1.2 b-c ../q/r me@x.org v 10.0.1",), (None,), ("b 1.2",)], "t string")
     each = df.select(F.explode(fts.typed_tokens(F.col("t"))).alias("x")).select("x.*").where("kind <> 'part'")
