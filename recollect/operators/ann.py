@@ -19,8 +19,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vector import cosine, literal, norm, present
 from . import neighbours
@@ -39,6 +40,7 @@ class Params:
     recall: float = 0.97
     refine: int = 20  # rows ranked exactly for each one returned
     file_rows: int = 1_000_000
+    file_bytes: int = 64_000_000  # of texts and vectors, which one task sorts into files
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -90,11 +92,10 @@ class AnnIndex:
         p, spark = params or Params(), rows.sparkSession
         usable = rows.where(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))))
         usable = usable.where(norm(F.col("embedding")) > 0)
-        by_hash = usable.select("id", "embedding").orderBy(F.xxhash64("id"), "id")
-        first = by_hash.limit(1).collect()
-        width = len(first[0].embedding) if first else 1
+        total = usable.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(usable)).alias("bytes"), F.min_by(F.size("embedding"), F.struct(F.xxhash64("id"), "id")).alias("width")).first()
+        width = total.width or 1
         n = min(p.sample, max(256, p.sample_values // width))
-        taken = by_hash.limit(n).collect()  # bounded by rows and components
+        taken = _least(usable.select("id", "embedding"), n, total.n)  # bounded by rows and components
         unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
         sample = unit(np.array([r.embedding for r in taken], np.float64)) if taken else np.zeros((1, width))
         centroids = k_means(sample, max(1, min(p.cells, len(sample) // 4)))
@@ -102,7 +103,7 @@ class AnnIndex:
         codebooks = np.stack([k_means(residuals[:, j], min(p.codes, len(sample)), 8, j) for j in range(p.parts)])
 
         coded = _coded(usable, width, centroids, codebooks)
-        files = max(1, -(-usable.count() // p.file_rows))
+        files = max(1, -(-total.n // p.file_rows), -(-(total.bytes or 0) // p.file_bytes))
         # by range of cell and id: a large cell is cut over tasks, and files are sorted by id
         coded.repartitionByRange(files, "cell", "id").sortWithinPartitions("cell", "id").write.partitionBy(*(["cell"] if taken else [])).parquet(f"{path}/rows")
         probe = _tuned(spark.createDataFrame([(r.id, r.embedding) for r in taken[: p.tuned_on]], "id string, embedding array<double>"), usable, spark.read.parquet(f"{path}/rows") if taken else None, centroids, p)
@@ -164,6 +165,28 @@ class AnnIndex:
         return found if found is not None else self.spark.createDataFrame([], "a string, b string, similarity double")
 
 
+def _row_bytes(rows: DataFrame) -> Column:
+    """About what a row takes: its texts and arrays."""
+    out = F.lit(64)
+    for f in rows.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            out = out + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            out = out + 8 * F.coalesce(F.size(F.col(f"`{f.name}`")), F.lit(0))
+    return out.cast("long")
+
+
+def _least(rows: DataFrame, n: int, total: int) -> list:
+    """The ``n`` rows (id, embedding) of ``total`` whose ids hash least. Only rows under a hash that about twice as many have go to the one task that
+    orders them, however many tasks there are."""
+    by_hash = lambda df: df.orderBy(F.xxhash64("id"), "id").limit(n).collect()
+    if total > 2 * n:
+        taken = by_hash(rows.where(F.xxhash64("id") < F.lit(-(2**63) + 2**64 * 2 * n // total)))
+        if len(taken) == n:
+            return taken
+    return by_hash(rows)
+
+
 #: Of asked vectors that a job gives to every task, about.
 ASKED_BYTES = 32_000_000
 

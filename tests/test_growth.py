@@ -60,3 +60,13 @@ def test_kinds_counted(spark):
     got = fts.kinds_counted(df)
     assert sorted(got.collect()) == sorted(want.collect()) and got.dtypes == want.dtypes
     assert plan(got).count("Aggregate [token") == 1 and "Expand" not in plan(got)
+
+
+def test_sample_and_files_of_the_vector_index(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(f"{i}", rng.normal(size=8).tolist(), "x" * 1000) for i in range(600)], "id string, embedding array<double>, content string").repartition(12).cache()
+    assert ann._least(df.select("id", "embedding"), 40, 600) == df.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(40).collect()
+    assert len(ann._least(df.select("id", "embedding"), 40, 10**9)) == 40
+    index = ann.AnnIndex.build(df, f"file://{tmp_path}/a", ann.Params(cells=2, codes=4, parts=2, file_bytes=100_000))
+    parts = index.rows().select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).distinct().count()
+    assert index.rows().count() == 600 and parts >= 5
