@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from .search import Scope
 
 CHUNK = 4096
 BUCKETS = 64
+#: Of contents whose words of one folder are sorted together; a task may be dealt a few such shares.
+STRETCH_BYTES = 8_000_000
 #: Chunks ranked first, to find a score that others must reach.
 FIRST = 16
 
@@ -47,23 +50,30 @@ def _blocks(lexed: DataFrame) -> DataFrame:
     schema = pa.schema([("leg", pa.int8()), ("word", pa.string()), ("chunk", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("docs", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbers = batch.column(0).to_pylist()
-            for leg in range(batch.num_columns - 1):
-                held: dict[tuple, dict[int, list[int]]] = {}
-                for doc, words in zip(numbers, batch.column(leg + 1)):
-                    for at, word in enumerate(words.as_py() or ()):
-                        if word is not None:
-                            held.setdefault((word, doc // CHUNK), {}).setdefault(doc, []).append(at)
-                keys = list(held)
-                for first in range(0, len(keys), 4096):
-                    some = keys[first : first + 4096]
-                    lists = [held[k] for k in some]
-                    docs = [[d - c * CHUNK for d in x] for (_, c), x in zip(some, lists)]
-                    ends = [list(accumulate(map(len, x.values()))) for x in lists]
-                    places = [list(chain.from_iterable(x.values())) for x in lists]
-                    columns = [[leg] * len(some), [w for w, _ in some], [c for _, c in some], [len(x) for x in lists], [max(map(len, x.values())) for x in lists], docs, ends, places]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        for whole in batches:
+            chunks = whole.column(0).to_numpy() // CHUNK
+            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for batch in (whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a):
+                yield from blocks_of(batch)
+
+    def blocks_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Of documents of one chunk."""
+        numbers = batch.column(0).to_pylist()
+        chunk = numbers[0] // CHUNK
+        for leg in range(batch.num_columns - 1):
+            held: dict[str, dict[int, list[int]]] = {}
+            for doc, words in zip(numbers, batch.column(leg + 1)):
+                for at, word in enumerate(words.as_py() or ()):
+                    if word is not None:
+                        held.setdefault(word, {}).setdefault(doc - chunk * CHUNK, []).append(at)
+            keys = list(held)
+            for first in range(0, len(keys), 4096):
+                some = keys[first : first + 4096]
+                lists = [held[k] for k in some]
+                ends = [list(accumulate(map(len, x.values()))) for x in lists]
+                places = [list(chain.from_iterable(x.values())) for x in lists]
+                columns = [[leg] * len(some), some, [chunk] * len(some), [len(x) for x in lists], [max(map(len, x.values())) for x in lists], [list(x) for x in lists], ends, places]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return lexed.mapInArrow(run, _BLOCK)
 
@@ -86,9 +96,12 @@ class TextIndex:
         if english:
             lexed = lexed.withColumn("stems", fts.english_lexemes("words"))
         blocks = _blocks(lexed).withColumn("bucket", bucket(F.col("word")))
-        files = max(8, -(-stored.count() // (64 * CHUNK)))
-        # a folder's blocks go by stretches of chunks, so a word of every document is not one task's
-        blocks.repartition(files, "bucket", F.floor(F.col("chunk") / 256)).sortWithinPartitions("bucket", "word", "leg", "chunk").write.partitionBy("bucket").options(**_DELTA).parquet(f"{path}/postings")
+        # a folder's blocks go by stretches of chunks, so a word of every document is not one task's, and what a task sorts does not grow with the input
+        octets = stored.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+        stretches = max(1, -(-octets // (BUCKETS * STRETCH_BYTES)))
+        stretch = F.pmod(F.xxhash64(F.floor(F.col("chunk") / 16)), F.lit(stretches))
+        ordered = blocks.repartition(BUCKETS * stretches, "bucket", stretch).sortWithinPartitions("bucket", "word", "leg", "chunk")
+        ordered.write.partitionBy("bucket").options(**_DELTA).parquet(f"{path}/postings")
         return TextIndex(spark, path)
 
     def documents(self) -> DataFrame:

@@ -32,6 +32,7 @@ def test_a_filter_makes_vectors_once(spark):
     assert plan(df).count("embed(") == 1
 
 
+@pytest.mark.parametrize("text", ["", "?!", "a", "Gold, GOLD and İstanbul 42", None, "ß" * 9 + " zz 9"])
 def test_vectors_as_counted_one_by_one(text):
     flat, v = " " + re.sub(r"[^a-z0-9]+", " ", (text or "").lower()).strip() + " ", np.zeros(64)
     for i in range(len(flat) - 2):
@@ -46,6 +47,7 @@ def test_stems_keep_what_words_are_picked_by(rows):
     assert all(w in fts._WHOLE or w.startswith(fts.stem(w)[:2]) for w in words if w)
 
 
+@pytest.mark.parametrize("query", ['"MIT license" or password -token', "dying or skies", "-license", "the", "licenses licensed"])
 def test_python_gets_words_that_may_be_asked_for(rows, query):
     found = search.textual(rows, query)
     whole = search.textual(fts.with_lexemes(rows), query)
@@ -70,3 +72,11 @@ def test_sample_and_files_of_the_vector_index(spark, tmp_path):
     index = ann.AnnIndex.build(df, f"file://{tmp_path}/a", ann.Params(cells=2, codes=4, parts=2, file_bytes=100_000))
     parts = index.rows().select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).distinct().count()
     assert index.rows().count() == 600 and parts >= 5
+
+
+def test_postings_are_sorted_in_shares(rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "STRETCH_BYTES", 200)
+    index = textindex.TextIndex.build(rows, f"file://{tmp_path}/t", english=False)
+    parts = index.spark.read.parquet(f"{tmp_path}/t/postings").select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).distinct().count()
+    assert parts > 8
+    assert index.search("the of", 20, english=False).collect() == search.textual(rows, "the of", 20, english=False).collect()
