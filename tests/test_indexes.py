@@ -11,6 +11,7 @@ from recollect.functions import text as fts
 from recollect.functions.vector import probe
 from recollect.model import thoughts
 from recollect.operators import ann, intake, neighbours, search, table_functions, textindex
+from recollect.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -138,6 +139,26 @@ def test_typed_tokens_against_brute_force(spark, seed):
         assert got[n] == want, t
 
 
+def test_typed_tokens_query_counts_every_row_with_its_parts(spark, tmp_path):
+    """The registered query against another engine: parts too, rows with several labels as often as the bridge view has them."""
+    import regex
+
+    texts = ["See https://x.org/a-b and me@x.org, well-known 03-5340199 v1.2.3 b -4.5e-3", "see well-known ../q/r well", None, "", "see B"]
+    spark.createDataFrame([(i, t, "s", "en", len(t or "")) for i, t in enumerate(texts)] + [(None, "lone-id", "s", "en", 7)], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (1, 1), (1, 1), (4, 0), (9, 0), (9, 1), (None, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    said = {}
+    for t in [*texts, texts[1], texts[1], "lone-id"]:
+        for m in regex.finditer(fts.ANY_TOKEN, (t or "").lower()):
+            kind = next(k for k, p in fts.TOKEN_KINDS.items() if regex.fullmatch(p, m[0]) or k == "word")
+            said.setdefault(kind, []).append(m[0])
+            if kind not in ("number", "version", "word"):
+                said.setdefault("part", []).extend(regex.findall(r"[\p{L}\p{N}]+", m[0]))
+    want = sorted((kind, len(all_), len(set(all_)), min(all_)) for kind, all_ in said.items())
+    assert {"part", "url", "path", "compound"} <= set(said)
+    got = registry.queries()["typed_tokens"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == want
+
+
 # SQL -------------------------------------------------------------------------------------------
 
 
