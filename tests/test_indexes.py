@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text as fts
 from recollect.functions.vector import probe
-from recollect.model import thoughts
+from recollect.model import contents, thoughts
 from recollect.operators import ann, intake, neighbours, search, table_functions, textindex
 from recollect.plans import registry
 
@@ -159,6 +159,24 @@ def test_typed_tokens_query_counts_every_row_with_its_parts(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("labels", [[(1, 0), (1, 1), (3, 0), (7, 1), (7, 1), (7, 0), (None, 0), (None, 1)], [(1, 0), (5, 1)], []])
+def test_contents_are_those_of_the_bridge_view(spark, tmp_path, labels):
+    """As often as the view has them, with no exchange of texts whose ids have one label at most."""
+    documents = spark.createDataFrame([(i, f"t{i}", "s", "en", 2) for i in (*range(10), 4, None)] + [(2, None, "s", "en", 0)], "doc_id long, text string, source string, lang string, n_chars long")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = contents(spark, str(tmp_path))
+        said = lambda df: sorted(r.content or "" for r in df.select("content").collect())
+        assert said(got) == said(thoughts(spark, str(tmp_path)))
+        first, second = (got._jdf.queryExecution().optimizedPlan().children().apply(i).toString() for i in (0, 1))
+        assert "Join" not in first and "scalar-subquery" in second
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 # SQL -------------------------------------------------------------------------------------------
 
 
